@@ -143,3 +143,288 @@ select customer_id, least(greatest(case when isfinite(x) then x else 0.0 end, 0.
 from (select customer_id, churn_probability*1.5 - 0.25 as x from scored)"""))
 
 _unused = (RISK_SQL,)
+
+
+# ---------------------------------------------------------------- 2.5 binning
+def _tenure_label_sql(c: str = "tenure") -> str:
+    return (f"case when {c} is null or {c}<=0 then null when {c}<=12 then '0-12 months' when {c}<=24 then "
+            f"'13-24 months' when {c}<=36 then '25-36 months' when {c}<=48 then '37-48 months' when {c}<=60 then "
+            f"'49-60 months' else '60+ months' end")
+
+
+def _year_label_sql(c: str = "tenure_group") -> str:
+    return (f"case when {c} is null then null when {c}=0 then '0-1 year' when {c}=1 then '1-2 years' "
+            f"when {c}=2 then '2-3 years' when {c}=3 then '3-4 years' when {c}=4 then '4-5 years' "
+            f"when {c}=5 then '5+ years' else concat('Group ', cast({c} as varchar)) end")
+
+
+def _referral_sql(c: str = "number_of_referrals") -> str:
+    return (f"case when {c} is null or {c}<=-1 then null when {c}<=0 then '0' when {c}<=1 then '1' "
+            f"when {c}<=2 then '2' when {c}<=3 then '3' else '4+' end")
+
+
+def _quartile_case(v: str, e: list[str], labels: list[str]) -> str:
+    return (f"case when {v} is null then null when {v} < {e[0]} then null when {v} <= {e[1]} then '{labels[0]}' "
+            f"when {v} <= {e[2]} then '{labels[1]}' when {v} <= {e[3]} then '{labels[2]}' "
+            f"when {v} <= {e[4]} then '{labels[3]}' end")
+
+
+POP_LABELS = ["Low Population", "Medium-Low Population", "Medium-High Population", "High Population"]
+Q_LABELS = ["Low", "Medium-Low", "Medium-High", "High"]
+POP_CTES = f"""
+pe as (select min(cast(population as double)) e0, quantile_cont(cast(population as double), 0.25) e1,
+  quantile_cont(cast(population as double), 0.5) e2, quantile_cont(cast(population as double), 0.75) e3,
+  max(cast(population as double)) e4 from analysis),
+popq as (select a.*, {_quartile_case('cast(a.population as double)', ['e0', 'e1', 'e2', 'e3', 'e4'], POP_LABELS)}
+  as population_segment from analysis a, pe)"""
+
+_USAGE = [("avg_monthly_gb_download", False), ("avg_monthly_long_distance_charges", False),
+          ("total_services", True), ("streaming_services", True)]
+_CYCLE = ["Very Low", "Low", "Medium-Low", "Medium", "Medium-High", "High", "Very High"]
+_TS = ["No Services", "Very Low (1)", "Low (2)", "Medium (3)", "Medium-High (4)", "High (5)", "Very High (6)"]
+
+
+def _txt(v: str) -> str:
+    ints = ", ".join(f"'{m}'" for m, i in _USAGE if i)
+    return f"(case when u.metric in ({ints}) then cast(cast({v} as bigint) as varchar) else cast({v} as varchar) end)"
+
+
+USAGE_CTES = f"""
+u as ({' union all '.join(f"select customer_id, churn_flag, '{m}' as metric, cast({m} as double) as value from analysis"
+                          for m, _ in _USAGE)}),
+ust as (select metric, count(distinct value) nu, min(value) mn, max(value) mx, quantile_cont(value, 0.25) q1,
+  quantile_cont(value, 0.5) q2, quantile_cont(value, 0.75) q3 from u group by metric),
+urk as (select metric, value, row_number() over (partition by metric order by value) - 1 as rk
+  from (select distinct metric, value from u where value is not null)
+  where metric in (select metric from ust where nu <= 10)),
+ug as (
+select u.customer_id, u.churn_flag, u.metric, u.value, case
+  when ust.nu = 2 then (case when u.value = ust.mn then 'Low (' || {_txt('ust.mn')} || ')'
+                             when u.value = ust.mx then 'High (' || {_txt('ust.mx')} || ')' end)
+  when u.metric = 'total_services' then (case when u.value in (0,1,2,3,4,5,6)
+       then {'[' + ', '.join(f"'{s}'" for s in _TS) + ']'}[cast(u.value as integer) + 1]
+       else 'Premium (' || {_txt('u.value')} || ')' end)
+  when ust.nu <= 10 then {'[' + ', '.join(f"'{s}'" for s in _CYCLE) + ']'}[cast(urk.rk % 7 as integer) + 1]
+  when ust.mn < ust.q1 and ust.q1 < ust.q2 and ust.q2 < ust.q3 and ust.q3 < ust.mx
+    then {_quartile_case('u.value', ['ust.mn', 'ust.q1', 'ust.q2', 'ust.q3', 'ust.mx'], Q_LABELS)}
+  else {_quartile_case('u.value', ['ust.mn', 'ust.mn + (ust.mx-ust.mn)/4.0', 'ust.mn + (ust.mx-ust.mn)*0.5',
+                                   'ust.mn + (ust.mx-ust.mn)*0.75', 'ust.mx'], Q_LABELS)}
+  end as usage_level
+from u join ust on ust.metric = u.metric left join urk on urk.metric = u.metric and urk.value = u.value
+where ust.nu > 1)"""
+
+oracle("tenure_code", with_fixtures(f"select customer_id, tenure, {TENURE_CODE_SQL} as tenure_code from base"))
+oracle("tenure_labels", with_fixtures(f"select customer_id, tenure, {_tenure_label_sql()} as tenure_label from base"))
+oracle("tenure_year_labels", with_views(
+    f"select customer_id, tenure_group, {_year_label_sql()} as tenure_year_label from analysis"))
+oracle("tenure_bounded_labels", with_fixtures("""
+select customer_id, tenure, case when tenure is null or tenure<=0 then null when tenure<=12 then '0-1 year'
+  when tenure<=24 then '1-2 years' when tenure<=36 then '2-3 years' when tenure<=48 then '3-4 years'
+  when tenure<=60 then '4-5 years' when tenure<=72 then '5-6 years' end as tenure_bounded from base"""))
+oracle("referral_bins", with_fixtures(
+    f"select customer_id, number_of_referrals, {_referral_sql()} as referral_group from crm"))
+oracle("risk_segment", with_views("select customer_id, churn_probability, risk_segment from scored_r"))
+oracle("risk_category_point", with_fixtures("""
+select customer_id, churn_probability, case when churn_probability < 0.25 then 'Low Risk'
+  when churn_probability < 0.5 then 'Medium-Low Risk' when churn_probability < 0.75 then 'Medium-High Risk'
+  else 'High Risk' end as risk_category from scored"""))
+oracle("population_quartiles", with_views("select customer_id, population, population_segment from popq", POP_CTES))
+oracle("usage_group", with_views("select * from ug", USAGE_CTES))
+oracle("equal_width_bins", with_fixtures(f"""
+select customer_id, monthly_charges, {_quartile_case('monthly_charges', ['mn', 'mn + (mx-mn)/4.0', 'mn + (mx-mn)*0.5',
+                                                                           'mn + (mx-mn)*0.75', 'mx'], Q_LABELS)}
+  as charge_group
+from base, (select min(monthly_charges) mn, max(monthly_charges) mx from base)"""))
+
+# ---------------------------------------------------------------- 2.6 reports
+RATE = "avg(cast(churn_flag as double))*100.0 as churn_rate, count(*) as customer_count"
+oracle("churn_by_dimension", with_views(f"""
+select 'Contract' as dimension, contract as segment, {RATE} from analysis where contract is not null group by 2
+union all select 'TenureGroup', {_year_label_sql()}, {RATE} from analysis where tenure_group is not null group by 2
+union all select 'InternetService', internet_service, {RATE} from analysis where internet_service is not null group by 2
+union all select 'PaymentMethod', payment_method, {RATE} from analysis where payment_method is not null group by 2"""))
+CITY = f"select city, {RATE} from analysis group by city having count(*) >= 30"
+oracle("churn_by_city", with_views(CITY))
+oracle("top_churn_cities", with_views(f"select * from ({CITY}) order by churn_rate desc, city limit 10"))
+oracle("bottom_churn_cities", with_views(f"select * from ({CITY}) order by churn_rate asc, city desc limit 10"))
+oracle("churn_by_population", with_views(
+    f"select population_segment, {RATE} from popq where population_segment is not null group by 1", POP_CTES))
+oracle("churn_by_usage", with_views(
+    f"select metric, usage_level, {RATE} from ug where usage_level is not null group by 1, 2", USAGE_CTES))
+oracle("service_efficiency", with_views(f"""
+select total_services, avg(monthly_charges / (case when total_services=0 then 1 else total_services end))
+  as avg_revenue_per_service, {RATE} from analysis group by total_services having count(*) >= 30"""))
+oracle("churn_by_tenure", with_views(f"""
+select tenure_label, {RATE} from (select *, {_tenure_label_sql()} as tenure_label from analysis)
+where tenure_label is not null group by 1"""))
+oracle("churn_by_referrals", with_views(f"""
+select referrals, {RATE} from (select *, {_referral_sql()} as referrals from analysis)
+where referrals is not null group by 1"""))
+oracle("churn_by_contract", with_views(
+    "select contract, avg(cast(churn_flag as double)) as churn_rate, count(*) as customer_count "
+    "from analysis group by contract"))
+FIN = """select count(*) as total_customers, sum(monthly_charges) as monthly_revenue,
+  avg(monthly_charges) as avg_monthly_charge,
+  coalesce(sum(case when churn_flag=1 then monthly_charges end), 0.0)*12.0 as annual_revenue_at_risk,
+  avg(cast(churn_flag as double))*100.0 as churn_rate from analysis"""
+oracle("financial_summary", with_views(FIN))
+oracle("revenue_metrics", with_views(f"""
+select total_customers, monthly_revenue, churn_rate, annual_revenue_at_risk as revenue_at_risk,
+  case when monthly_revenue > 0 then annual_revenue_at_risk / (monthly_revenue*12.0) * 100.0 else 0.0 end
+    as revenue_at_risk_percentage from ({FIN})"""))
+oracle("risk_segment_summary", with_views(f"""
+select l.risk_segment, l.risk_order, g.churn_rate, coalesce(g.customer_count, 0) as customer_count,
+  coalesce(g.monthly_revenue, 0.0) as monthly_revenue,
+  cast(coalesce(g.customer_count, 0) as double) / t.n * 100.0 as segment_pct
+from (select * from (values ('Low Risk', 0), ('Medium-Low Risk', 1), ('Medium-High Risk', 2), ('High Risk', 3))
+      v(risk_segment, risk_order)) l
+left join (select risk_segment, {RATE}, sum(monthly_charges) as monthly_revenue from analysis group by 1) g
+  on g.risk_segment = l.risk_segment
+cross join (select count(*) as n from analysis) t"""))
+DRIVERS = f"""
+select d.*, o.overall_churn, case when o.overall_churn = 0 then null else d.churn_rate / o.overall_churn end
+  as relative_risk
+from (
+  select 'Contract' as feature, 'Relationship' as category, contract as segment, {RATE} from analysis
+    where contract is not null group by 3
+  union all select 'InternetService', 'Service', internet_service, {RATE} from analysis
+    where internet_service is not null group by 3
+  union all select 'PaymentMethod', 'Billing', payment_method, {RATE} from analysis
+    where payment_method is not null group by 3
+  union all select 'TenureGroup', 'Relationship', tl, {RATE}
+    from (select *, {_tenure_label_sql()} as tl from analysis) where tl is not null group by 3) d,
+  (select avg(cast(churn_flag as double))*100.0 as overall_churn from analysis) o"""
+oracle("churn_drivers", with_views(DRIVERS))
+oracle("union_drivers", with_views(DRIVERS))
+oracle("top_risk_factors", with_views(
+    f"select * from ({DRIVERS}) order by relative_risk desc nulls last, feature, segment limit 10"))
+CORR = ["tenure", "monthly_charges", "total_charges", "churn_flag", "total_services", "clv", "contract_risk_factor"]
+oracle("feature_correlation", with_views(" union all ".join(
+    f"select '{c}' as feature, corr(cast({c} as double), cast(churn_flag as double)) as correlation from analysis"
+    for c in CORR if c != "churn_flag")))
+oracle("correlation_matrix", with_views(" union all ".join(
+    f"select '{a}' as feature_a, '{b}' as feature_b, corr(cast({a} as double), cast({b} as double)) as correlation "
+    f"from analysis" for i, a in enumerate(CORR) for b in CORR[i + 1:])))
+
+SEG_CTES = f"""
+seg as (
+select * from (
+  select 'Risk Level' as segment_type, risk_segment as segment_value, * from analysis
+  union all select 'Contract Type', contract, * from analysis
+  union all select 'Internet Service', internet_service, * from analysis
+  union all select 'Tenure Group', {_year_label_sql()}, * from analysis
+  union all select 'Payment Method', payment_method, * from analysis) where segment_value is not null)"""
+oracle("segment_profile", with_views(f"""
+select segment_type, segment_value, count(*) as segment_size, cast(count(*) as double) / o.n * 100.0 as segment_pct,
+  avg(cast(churn_flag as double))*100.0 as churn_rate, avg(cast(churn_flag as double))*100.0 - o.overall as churn_diff,
+  sum(monthly_charges) as monthly_revenue
+from seg, (select count(*) as n, avg(cast(churn_flag as double))*100.0 as overall from analysis) o
+group by segment_type, segment_value, o.n, o.overall""", SEG_CTES))
+NUMC = ["senior_citizen", "monthly_charges", "total_charges", "tenure", "total_services"]
+CATC = ["gender", "partner", "dependents", "internet_service", "online_security", "online_backup",
+        "device_protection", "tech_support", "streaming_tv", "streaming_movies", "phone_service", "multiple_lines",
+        "contract", "payment_method", "paperless_billing"]
+INSIGHT_CTES = SEG_CTES + f""",
+nl as ({' union all '.join(f"select segment_type, segment_value, '{c}' as column_name, cast({c} as double) as v from seg"
+                           for c in NUMC)}),
+nov as ({' union all '.join(f"select '{c}' as column_name, avg(cast({c} as double)) as overall_mean from analysis"
+                            for c in NUMC)}),
+num_ins as (
+select * from (select segment_type, segment_value, nl.column_name, avg(v) as segment_mean, nov.overall_mean,
+  (avg(v) - nov.overall_mean) / nov.overall_mean * 100.0 as diff_pct
+  from nl join nov on nov.column_name = nl.column_name
+  group by segment_type, segment_value, nl.column_name, nov.overall_mean
+  having min(v) < max(v) and nov.overall_mean > 0) where abs(diff_pct) >= 10.0),
+cl as ({' union all '.join(f"select segment_type, segment_value, '{c}' as column_name, cast({c} as varchar) as v "
+                           f"from seg" for c in CATC)}),
+ccnt as (select segment_type, segment_value, column_name, v, count(*) as n from cl where v is not null
+  group by all),
+cagg as (select segment_type, segment_value, column_name, sum(n) over w as tot, count(*) over w as nu, v, n,
+  row_number() over (partition by segment_type, segment_value, column_name order by n desc, v) as r
+  from ccnt window w as (partition by segment_type, segment_value, column_name)),
+oc as (select column_name, v, count(*) as n from ({' union all '.join(
+    f"select '{c}' as column_name, cast({c} as varchar) as v from analysis" for c in CATC)}) where v is not null
+  group by all),
+op as (select column_name, v, n * 100.0 / sum(n) over (partition by column_name) as overall_pct from oc),
+cat_ins as (
+select * from (select a.segment_type, a.segment_value, a.column_name, a.v as top_value,
+  cast(a.n as double) / a.tot * 100.0 as segment_pct, coalesce(op.overall_pct, 0.0) as overall_pct,
+  cast(a.n as double) / a.tot * 100.0 - coalesce(op.overall_pct, 0.0) as diff_pct
+  from cagg a left join op on op.column_name = a.column_name and op.v = a.v
+  where a.r = 1 and a.nu > 1) where abs(diff_pct) >= 10.0)"""
+oracle("segment_numeric_insights", with_views("select * from num_ins", INSIGHT_CTES))
+oracle("segment_categorical_insights", with_views("select * from cat_ins", INSIGHT_CTES))
+_DEMO = ["gender", "senior_citizen", "partner", "dependents"]
+_SERV = ["internet_service", "online_security", "online_backup", "device_protection", "tech_support",
+         "streaming_tv", "streaming_movies", "phone_service", "multiple_lines", "total_services"]
+_FINC = ["monthly_charges", "total_charges", "contract", "payment_method", "paperless_billing", "tenure", "clv",
+         "avg_monthly_spend"]
+
+
+def _inlist(xs):
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+oracle("insight_category", with_views(f"""
+select segment_type, segment_value, column_name, diff_pct, kind,
+  case when column_name in ({_inlist(_DEMO)}) then 'demographic' when column_name in ({_inlist(_SERV)})
+    then 'service' when column_name in ({_inlist(_FINC)}) then 'financial' end as category
+from (select segment_type, segment_value, column_name, diff_pct, 'numeric' as kind from num_ins
+      union all select segment_type, segment_value, column_name, diff_pct, 'categorical' from cat_ins)""",
+                                       INSIGHT_CTES))
+oracle("service_adoption", with_views(f"""
+select s.segment_type, s.segment_value, s.service, s.segment_adoption, o.overall_adoption from
+ (select segment_type, segment_value, service, avg(y)*100.0 as segment_adoption from
+   ({' union all '.join(f"select segment_type, segment_value, '{c}' as service, case when {c}='Yes' then 1.0 else 0.0 end as y from seg" for c in SERVICES)})
+   group by all) s
+ join (select service, avg(y)*100.0 as overall_adoption from
+   ({' union all '.join(f"select '{c}' as service, case when {c}='Yes' then 1.0 else 0.0 end as y from analysis" for c in SERVICES)})
+   group by all) o on o.service = s.service""", SEG_CTES))
+
+
+def _dist_sql(attrs: list[tuple[str, str]]) -> str:
+    seg_rows = " union all ".join(f"select segment_type, segment_value, '{a}' as attribute, cast({e} as varchar) as value "
+                                  f"from seg" for a, e in attrs)
+    all_rows = " union all ".join(f"select '{a}' as attribute, cast({e} as varchar) as value from analysis"
+                                  for a, e in attrs)
+    return f"""
+select s.segment_type, s.segment_value, s.attribute, s.value, s.segment_pct, coalesce(o.overall_pct, 0.0) as overall_pct
+from (select segment_type, segment_value, attribute, value,
+        n * 100.0 / sum(n) over (partition by segment_type, segment_value, attribute) as segment_pct
+      from (select segment_type, segment_value, attribute, value, count(*) as n from ({seg_rows})
+            where value is not null group by all)) s
+left join (select attribute, value, n * 100.0 / sum(n) over (partition by attribute) as overall_pct
+      from (select attribute, value, count(*) as n from ({all_rows}) where value is not null group by all)) o
+  on o.attribute = s.attribute and o.value = s.value"""
+
+
+oracle("demographic_distribution", with_views(_dist_sql([
+    ("gender", "gender"), ("senior_citizen", "case when senior_citizen=1 then 'Yes' when senior_citizen=0 then 'No' end"),
+    ("partner", "partner"), ("dependents", "dependents")]), SEG_CTES))
+oracle("tenure_distribution", with_views(_dist_sql([("tenure_group", _year_label_sql())]), SEG_CTES))
+oracle("charge_histogram", with_views("""
+select segment_type, segment_value, floor(monthly_charges/5.0)*5.0 as charge_bin, count(*) as customer_count
+from seg group by all
+union all select 'All Customers', 'All Customers', floor(monthly_charges/5.0)*5.0, count(*) from analysis group by 3""",
+                                      SEG_CTES))
+oracle("services_vs_charges", with_views("""
+select total_services, floor(monthly_charges/5.0)*5.0 as charge_bin, churn_flag, count(*) as customer_count
+from analysis group by all"""))
+oracle("segment_values", with_views("""
+select segment_type, segment_value, cast(row_number() over (partition by segment_type order by k) as integer) as position
+from (select segment_type, segment_value, min(case when segment_type='Tenure Group' then lpad(cast(tenure_group as varchar), 4, '0')
+      else segment_value end) as k from seg where segment_type <> 'Risk Level' group by all)
+union all select * from (values ('Risk Level', 'High Risk', 1), ('Risk Level', 'Medium-High Risk', 2),
+  ('Risk Level', 'Medium-Low Risk', 3), ('Risk Level', 'Low Risk', 4)) v(segment_type, segment_value, position)""",
+                                    SEG_CTES))
+oracle("churn_within_segment", with_views(f"""
+select segment_type, segment_value, factor, factor_value, {RATE} from (
+  select segment_type, segment_value, churn_flag, 'Contract' as factor, contract as factor_value from seg
+  union all select segment_type, segment_value, churn_flag, 'InternetService', internet_service from seg
+  union all select segment_type, segment_value, churn_flag, 'TenureGroup', {_year_label_sql()} from seg
+  union all select segment_type, segment_value, churn_flag, 'PaymentMethod', payment_method from seg)
+where factor_value is not null group by all""", SEG_CTES))
+
+# ---------------------------------------------------------------- 2.7 windows
+oracle("zip_customer_counts", with_views(
+    "select customer_id, zip_code, count(*) over (partition by zip_code) as customers_in_zip from integrated"))

@@ -221,3 +221,96 @@ def q_clamp(spark, sf):
     df = fixtures.scored(spark, sf).select("customer_id", (F.col("churn_probability") * 1.5 - 0.25)
                                            .alias("churn_probability"))
     return df.transform(features.clamp_probability)
+
+
+# ---------------------------------------------------------------- 2.5 binning
+from .functions import bins as B  # noqa: E402
+from .operators import binning, reports, segments  # noqa: E402
+
+
+@query("tenure_code")
+def q_tenure_code(spark, sf):
+    return base(spark, sf).select("customer_id", "tenure", B.tenure_code("tenure").alias("tenure_code"))
+
+
+@query("tenure_labels")
+def q_tenure_labels(spark, sf):
+    return base(spark, sf).select("customer_id", "tenure", B.tenure_label("tenure").alias("tenure_label"))
+
+
+@query("tenure_year_labels")
+def q_tenure_year_labels(spark, sf):
+    return views.analysis(spark, sf).select("customer_id", "tenure_group",
+                                            B.tenure_year_label("tenure_group").alias("tenure_year_label"))
+
+
+@query("tenure_bounded_labels")
+def q_tenure_bounded(spark, sf):
+    return base(spark, sf).select("customer_id", "tenure", B.tenure_bounded_label("tenure").alias("tenure_bounded"))
+
+
+@query("referral_bins")
+def q_referral_bins(spark, sf):
+    return fixtures.crm(spark, sf).select("customer_id", "number_of_referrals",
+                                          B.referral_bin("number_of_referrals").alias("referral_group"))
+
+
+@query("risk_segment")
+def q_risk_segment(spark, sf):
+    return views.scored(spark, sf).select("customer_id", "churn_probability", "risk_segment")
+
+
+@query("risk_category_point")
+def q_risk_point(spark, sf):
+    return fixtures.scored(spark, sf).select("customer_id", "churn_probability",
+                                             B.risk_category_point("churn_probability").alias("risk_category"))
+
+
+@query("population_quartiles")
+def q_population_quartiles(spark, sf):
+    return binning.population_quartiles(views.analysis(spark, sf)).select("customer_id", "population",
+                                                                          "population_segment")
+
+
+@query("usage_group")
+def q_usage_group(spark, sf):
+    return binning.usage_group(views.analysis(spark, sf))
+
+
+@query("equal_width_bins")
+def q_equal_width(spark, sf):
+    return binning.equal_width_bins(base(spark, sf), "monthly_charges", "charge_group").select(
+        "customer_id", "monthly_charges", "charge_group")
+
+
+# ---------------------------------------------------------------- 2.6 reports
+def A(spark, sf):
+    return views.analysis(spark, sf)
+
+
+for _name, _fn in [
+    ("churn_by_dimension", reports.churn_by_dimension), ("churn_by_city", reports.churn_by_city),
+    ("top_churn_cities", reports.top_churn_cities), ("bottom_churn_cities", reports.bottom_churn_cities),
+    ("churn_by_population", reports.churn_by_population), ("churn_by_usage", reports.churn_by_usage),
+    ("service_efficiency", reports.service_efficiency), ("churn_by_tenure", reports.churn_by_tenure),
+    ("churn_by_referrals", reports.churn_by_referrals), ("churn_by_contract", reports.churn_by_contract),
+    ("financial_summary", reports.financial_summary), ("revenue_metrics", reports.revenue_metrics),
+    ("risk_segment_summary", reports.risk_segment_summary), ("churn_drivers", reports.churn_drivers),
+    ("top_risk_factors", reports.top_risk_factors), ("feature_correlation", reports.feature_correlation),
+    ("correlation_matrix", reports.correlation_matrix), ("segment_profile", segments.segment_profile),
+    ("segment_numeric_insights", segments.segment_numeric_insights),
+    ("segment_categorical_insights", segments.segment_categorical_insights),
+    ("insight_category", segments.segment_insights), ("service_adoption", segments.service_adoption),
+    ("demographic_distribution", segments.demographic_distribution),
+    ("tenure_distribution", segments.tenure_distribution), ("charge_histogram", segments.charge_histogram),
+    ("services_vs_charges", reports.services_vs_charges), ("segment_values", segments.segment_values),
+    ("churn_within_segment", segments.churn_within_segment), ("union_drivers", reports.union_drivers),
+]:
+    QUERIES[_name] = (lambda fn: (lambda spark, sf: fn(A(spark, sf))))(_fn)
+
+
+# ---------------------------------------------------------------- 2.7 windows
+@query("zip_customer_counts")
+def q_zip_counts(spark, sf):
+    return views.integrated(spark, sf).transform(features.geo_features).select(
+        "customer_id", "zip_code", "customers_in_zip")
