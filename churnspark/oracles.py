@@ -7,6 +7,7 @@ to double and integer sums to bigint on both sides.
 
 from __future__ import annotations
 
+from .functions.numeric import two_sided_p_sql
 from .sources.fixture_sql import (RISK_SQL, TENURE_CODE_SQL, _mode, _services_count, with_fixtures,
                                   with_views)
 
@@ -428,3 +429,223 @@ where factor_value is not null group by all""", SEG_CTES))
 # ---------------------------------------------------------------- 2.7 windows
 oracle("zip_customer_counts", with_views(
     "select customer_id, zip_code, count(*) over (partition by zip_code) as customers_in_zip from integrated"))
+
+
+# ---------------------------------------------------------------- 2.9 retention
+CATALOG_SQL = """
+cat0 as (select * from (values
+  ('High Risk', 'Contract Upgrade with Bonus', 100.0, 0.35, 'High Risk customers on month-to-month contracts'),
+  ('High Risk', 'Service Bundle Upgrade', 120.0, 0.30, 'High Risk customers with fiber service but no protection'),
+  ('High Risk', 'Premium Customer Service', 40.0, 0.25, 'High Risk customers with high monthly charges'),
+  ('Medium-High Risk', 'Loyalty Rewards Program', 30.0, 0.25, 'Medium-High Risk customers with 12+ months tenure'),
+  ('Medium-Low Risk', 'Service Review & Optimization', 10.0, 0.15, 'Medium-Low Risk customers with high bills'),
+  ('Low Risk', 'Appreciation Communication', 2.0, 0.05, 'Low Risk customers with long tenure'))
+  v(risk_segment, strategy, cost_per_customer, retention_rate, target_segment)),
+cat as (select risk_segment, strategy, cast(cost_per_customer as double) as cost_per_customer,
+  cast(retention_rate as double) as retention_rate, target_segment,
+  case when lower(target_segment) like '%month-to-month%' then 'month_to_month'
+       when lower(target_segment) like '%fiber%' then 'fiber'
+       when lower(target_segment) like '%high%' and lower(target_segment) like '%charge%' then 'high_charge'
+       when lower(target_segment) like '%12+%' or lower(target_segment) like '%tenure%' then 'tenure_12'
+       else 'all' end as rule from cat0),
+med as (select quantile_cont(monthly_charges, 0.5) as charge_threshold from analysis),
+tgt as (select a.*, c.strategy, c.cost_per_customer, c.retention_rate, c.rule, m.charge_threshold
+  from analysis a join cat c on c.risk_segment = a.risk_segment cross join med m
+  where case c.rule when 'month_to_month' then a.contract = 'Month-to-month'
+    when 'fiber' then a.internet_service = 'Fiber optic' when 'high_charge' then a.monthly_charges > m.charge_threshold
+    when 'tenure_12' then a.tenure >= 12 else true end),
+cmp as (select risk_segment, strategy, count(*) as target_customers,
+  count(*) * cost_per_customer as total_cost,
+  sum(monthly_charges*churn_probability)*12.0*retention_rate as revenue_saved,
+  case when count(*) * cost_per_customer > 0 then
+    (sum(monthly_charges*churn_probability)*12.0*retention_rate - count(*) * cost_per_customer)
+    / (count(*) * cost_per_customer) else 0.0 end * 100.0 as roi_pct
+  from tgt group by risk_segment, strategy, cost_per_customer, retention_rate)"""
+
+oracle("retention_roi", with_views("""
+select p.target, coalesce(g.n, 0) as customers_targeted, g.cm*100.0 as segment_churn_rate,
+  cast(coalesce(g.n, 0) as double)*50.0 as intervention_cost, coalesce(g.rev, 0.0) as monthly_revenue,
+  coalesce(g.risk, 0.0) as annual_revenue_at_risk, coalesce(g.risk, 0.0)*0.2 as potential_annual_revenue_saved,
+  case when coalesce(g.n,0)*50.0 > 0 then (coalesce(g.risk,0.0)*0.2 - g.n*50.0)/(g.n*50.0) else 0.0 end as estimated_roi,
+  case when coalesce(g.n,0)*50.0 > 0 then (coalesce(g.risk,0.0)*0.2 - g.n*50.0)/(g.n*50.0) else 0.0 end*100.0
+    as estimated_roi_percent,
+  g.clv as avg_customer_clv, g.clv*coalesce(g.n,0)*g.cm*0.2 as potential_clv_impact,
+  case when coalesce(g.n,0)*50.0 > 0 then (g.clv*g.n*g.cm*0.2 - g.n*50.0)/(g.n*50.0) else 0.0 end as clv_roi,
+  case when coalesce(g.n,0)*50.0 > 0 then (g.clv*g.n*g.cm*0.2 - g.n*50.0)/(g.n*50.0) else 0.0 end*100.0
+    as clv_roi_percent
+from (values ('All Customers'), ('Low Risk'), ('Medium-Low Risk'), ('Medium-High Risk'), ('High Risk')) p(target)
+left join (select target, count(*) as n, sum(monthly_charges) as rev, avg(cast(churn_flag as double)) as cm,
+    sum(monthly_charges*churn_probability)*12.0 as risk, avg(clv) as clv
+  from (select 'All Customers' as target, * from analysis
+        union all select risk_segment, * from analysis where risk_segment is not null) group by target) g
+  on g.target = p.target"""))
+oracle("strategy_catalog", with_views("""
+select c.risk_segment, c.strategy, c.cost_per_customer, c.retention_rate, c.target_segment, c.rule,
+  coalesce(s.n, 0) as segment_customers
+from cat c left join (select risk_segment, count(*) as n from analysis group by 1) s on s.risk_segment = c.risk_segment""",
+                                      CATALOG_SQL))
+oracle("strategy_target_rules", with_views("""
+select risk_segment, strategy, rule, charge_threshold, count(*) as targeted_customers from tgt group by all""",
+                                           CATALOG_SQL))
+oracle("strategy_targets", with_views("select customer_id, risk_segment, strategy from tgt", CATALOG_SQL))
+oracle("segment_revenue", with_views("""
+select l.risk_segment, coalesce(g.n, 0) as customers, coalesce(g.rev, 0.0) as monthly_revenue,
+  coalesce(g.rev, 0.0)*12.0 as annual_revenue
+from (values ('Low Risk'), ('Medium-Low Risk'), ('Medium-High Risk'), ('High Risk')) l(risk_segment)
+left join (select risk_segment, count(*) as n, sum(monthly_charges) as rev from analysis group by 1) g
+  on g.risk_segment = l.risk_segment"""))
+oracle("strategy_comparison", with_views("select * from cmp where target_customers > 0 order by roi_pct desc, strategy",
+                                         CATALOG_SQL))
+oracle("top_strategies", with_views(
+    "select * from cmp where target_customers > 0 order by roi_pct desc, strategy limit 5", CATALOG_SQL))
+
+# ---------------------------------------------------------------- 2.10 experiments
+_ALPHA = repr(1 - 95 / 100)
+EXP_CTES = f"""
+seg6 as (select * from (
+  select 'All Customers' as segment_type, 'All Customers' as segment_value, * from analysis
+  union all select 'Risk Level', risk_segment, * from analysis
+  union all select 'Contract Type', contract, * from analysis
+  union all select 'Internet Service', internet_service, * from analysis
+  union all select 'Tenure Group', {_year_label_sql()}, * from analysis
+  union all select 'Payment Method', payment_method, * from analysis) where segment_value is not null),
+asg as (select *, row_number() over (partition by segment_type, segment_value
+  order by round(churn_probability, 9), customer_id) - 1 as position from seg6),
+asg2 as (select *, case when position % 2 = 0 then 'test' else 'control' end as arm from asg),
+strat as (select sid, strategy, cast(cost_per_customer as double) as cost_per_customer,
+  cast(base_retention_rate as double) as base_retention_rate,
+  least(greatest(cast(base_retention_rate as double) * (1 + 0/100.0), 0.0), 1.0) as adjusted_rate
+  from (values (0, 'Contract Upgrade Incentive', 100.0, 0.35), (1, 'Service Bundle Upgrade', 120.0, 0.30),
+    (2, 'Premium Customer Service', 40.0, 0.25), (3, 'Loyalty Rewards Program', 30.0, 0.25),
+    (4, 'Service Review & Optimization', 10.0, 0.15), (5, 'Appreciation Communication', 2.0, 0.05),
+    (6, 'Custom Strategy', 50.0, 0.20)) v(sid, strategy, cost_per_customer, base_retention_rate)),
+arms as (select segment_type, segment_value,
+  cast(sum(case when arm='test' then 1 else 0 end) as bigint) as test_size,
+  cast(sum(case when arm='control' then 1 else 0 end) as bigint) as control_size,
+  avg(case when arm='test' then churn_probability end) as test_avg_churn_prob,
+  avg(case when arm='control' then churn_probability end) as control_avg_churn_prob,
+  avg(case when arm='test' then monthly_charges end) as test_avg_monthly_charges,
+  avg(case when arm='control' then monthly_charges end) as control_avg_monthly_charges,
+  cast(sum(case when arm='control' and churn_probability > 0.5 then 1 else 0 end) as bigint) as control_churns,
+  cast(sum(case when arm='test' and churn_probability > 0.5 then 1 else 0 end) as bigint) as test_churns_baseline,
+  sum(case when arm='test' then monthly_charges else 0.0 end) as monthly_revenue_test,
+  avg(case when arm='test' then clv end) as test_clv,
+  avg(cast(churn_flag as double))*100.0 as baseline_churn_rate
+  from asg2 group by all),
+treated as (select a.segment_type, a.segment_value, s.strategy,
+  cast(sum(case when a.arm='test' and a.churn_probability*(1.0 - s.adjusted_rate) > 0.5 then 1 else 0 end) as bigint)
+    as test_churns_treated
+  from asg2 a cross join strat s group by all),
+eff as (select a.*, s.*, t.test_churns_treated,
+  case when a.control_size > 0 then cast(a.control_churns as double) / a.control_size * 100.0 end as control_churn_rate,
+  cast(a.test_churns_baseline as double) / a.test_size * 100.0 as test_churn_rate_baseline,
+  cast(t.test_churns_treated as double) / a.test_size * 100.0 as test_churn_rate_treated
+  from arms a cross join strat s
+  join treated t on t.segment_type = a.segment_type and t.segment_value = a.segment_value and t.strategy = s.strategy),
+eff2 as (select *, test_churn_rate_baseline - test_churn_rate_treated as absolute_lift,
+  case when test_churn_rate_baseline > 0 then (test_churn_rate_baseline - test_churn_rate_treated)
+    / test_churn_rate_baseline * 100.0 else 0.0 end as relative_lift from eff),
+fin0 as (select *, monthly_revenue_test * adjusted_rate * (test_churn_rate_baseline / 100.0) as monthly_revenue_saved,
+  test_size * cost_per_customer as total_cost, test_clv * adjusted_rate as clv_saved_per_customer from eff2),
+fin as (select *, monthly_revenue_saved*12.0 as annual_revenue_saved,
+  monthly_revenue_saved * (90/30.0) as test_period_revenue_saved,
+  clv_saved_per_customer * test_churns_baseline as total_clv_saved,
+  (clv_saved_per_customer * test_churns_baseline - total_cost) / total_cost * 100.0 as clv_roi,
+  case when total_cost > 0 then (monthly_revenue_saved*12.0 - total_cost) / total_cost * 100.0 else 0.0 end as roi,
+  case when total_cost > 0 then (monthly_revenue_saved*(90/30.0) - total_cost) / total_cost * 100.0 else 0.0 end
+    as test_period_roi from fin0),
+zt0 as (select *, (cast(test_churns_treated + control_churns as double)) / (test_size + control_size) as pooled from fin),
+zt1 as (select *, case when control_size > 0 then sqrt(pooled*(1.0-pooled)*(1.0/test_size + 1.0/control_size)) end as se
+  from zt0),
+zt as (select *, case when control_size > 0 and se > 0 then
+    (cast(test_churns_treated as double)/test_size - cast(control_churns as double)/control_size) / se end as z_stat
+  from zt1),
+zp as (select *, case when z_stat is not null then {two_sided_p_sql('z_stat')} end as p_value from zt),
+zs as (select *, case when p_value is not null then p_value < {_ALPHA}
+  else absolute_lift > baseline_churn_rate * 0.1 end as is_significant from zp),
+days as (select *, case when coalesce(p_value, 0.5) >= 0.5 then null when is_significant then 45.0
+  else least(90.0 * pow(coalesce(p_value, 0.5) / {_ALPHA}, 2), 365.0) end as estimated_days_to_significance from zs),
+months as (select * from range(1, 13) t(month)),
+proj as (select f.segment_type, f.segment_value, f.strategy, cast(m.month as integer) as month,
+  f.total_cost as cumulative_cost, f.monthly_revenue_saved * m.month as cumulative_savings,
+  f.monthly_revenue_saved * m.month - f.total_cost as net_impact from fin f cross join months m),
+rates as (select cast(r as double) as retention_rate from (values (0.1), (0.2), (0.30000000000000004), (0.4), (0.5), (0.6)) v(r)),
+sens as (select f.segment_type, f.segment_value, f.strategy, r.retention_rate,
+  case when f.total_cost > 0 then (f.monthly_revenue_test * r.retention_rate * (f.test_churn_rate_baseline/100.0) * 12.0
+    - f.total_cost) / f.total_cost * 100.0 else 0.0 end as roi from fin f cross join rates r)"""
+KEYS = "segment_type, segment_value, strategy"
+EFFECT_COLS = (f"{KEYS}, test_size, control_size, control_churns, test_churns_baseline, test_churns_treated, "
+               "control_churn_rate, test_churn_rate_baseline, test_churn_rate_treated, absolute_lift, relative_lift")
+FIN_COLS = (f"{KEYS}, monthly_revenue_saved, annual_revenue_saved, test_period_revenue_saved, clv_saved_per_customer, "
+            "total_clv_saved, total_cost, clv_roi, roi, test_period_roi")
+
+
+def _x(body: str) -> str:
+    return with_views(body, EXP_CTES)
+
+
+oracle("experiment_sizes", _x("""
+select segment_type, segment_value, count(*) as segment_size, cast(floor(count(*)*0.5) as bigint) as test_size,
+  count(*) - cast(floor(count(*)*0.5) as bigint) as control_size from seg6 group by all"""))
+oracle("assign_systematic", _x("select segment_type, segment_value, customer_id, position, arm from asg2"))
+oracle("every_nth_row", with_views("""
+select customer_id, risk_segment, position, position % 3 = 0 as is_test from
+ (select customer_id, risk_segment, row_number() over (partition by risk_segment
+   order by round(churn_probability, 9), customer_id) - 1 as position from scored_r where risk_segment is not null)"""))
+oracle("group_balance", _x("""
+select segment_type, segment_value, test_size, control_size, test_avg_churn_prob, control_avg_churn_prob,
+  test_avg_monthly_charges, control_avg_monthly_charges,
+  case when control_avg_churn_prob > 0 then (test_avg_churn_prob - control_avg_churn_prob) / control_avg_churn_prob
+    * 100.0 else 0.0 end as churn_prob_diff_pct,
+  case when control_avg_monthly_charges > 0 then (test_avg_monthly_charges - control_avg_monthly_charges)
+    / control_avg_monthly_charges * 100.0 else 0.0 end as charges_diff_pct from arms"""))
+oracle("experiment_baseline", _x("""
+select segment_type, segment_value, avg(cast(churn_flag as double))*100.0 as baseline_churn_rate,
+  avg(monthly_charges) as avg_monthly_charges, avg(clv) as baseline_clv, avg(churn_probability) as avg_churn_prob,
+  count(*) as segment_size, avg(monthly_charges)*avg(churn_probability)*count(*) as monthly_revenue_at_risk
+from seg6 group by all"""))
+oracle("adjusted_rate", _x("""
+select g.segment_type, g.segment_value, s.strategy, cast(a.adj as integer) as effectiveness_adjustment,
+  least(greatest(s.base_retention_rate * (1.0 + a.adj/100.0), 0.0), 1.0) as adjusted_rate
+from (select distinct segment_type, segment_value from seg6) g cross join strat s
+cross join (values (-50), (0), (50)) a(adj)"""))
+oracle("treatment_effect", _x(f"select {EFFECT_COLS} from eff2"))
+oracle("experiment_financials", _x(f"select {FIN_COLS} from fin"))
+oracle("value_per_customer", _x(f"""
+select {KEYS}, 'Cost Per Customer' as metric, cost_per_customer as amount from fin
+union all select {KEYS}, 'Revenue Saved Per Customer', case when test_churns_baseline > 0
+  then annual_revenue_saved / test_churns_baseline else 0.0 end from fin
+union all select {KEYS}, 'CLV Saved Per Customer', clv_saved_per_customer from fin"""))
+oracle("two_proportion_ztest", _x(f"select {KEYS}, z_stat, p_value, is_significant from zs"))
+oracle("days_to_significance", _x(f"select {KEYS}, p_value, is_significant, estimated_days_to_significance from days"))
+oracle("cumulative_projection", _x("select * from proj"))
+oracle("impact_projection", _x("select *, 3 as test_end_month, month <= 3 as in_test_period from proj"))
+oracle("breakeven_month", _x(f"""
+select {KEYS}, min(case when net_impact > 0 then month end) as breakeven_month, 3 as test_end_month,
+  min(case when net_impact > 0 then month end) <= 3 as breakeven_in_test from proj group by all"""))
+oracle("retention_sensitivity", _x("select * from sens"))
+oracle("sensitivity_breakeven_rate", _x(f"""
+select s.segment_type, s.segment_value, s.strategy,
+  case when f.test_churn_rate_baseline >= 0.01 and s.mn < 0 and s.mx > 0 then s.b end as breakeven_rate_pct
+from (select {KEYS}, min(roi) as mn, max(roi) as mx,
+    arg_min(case when cr then x1 + (x2 - x1) * (0.0 - y1) / (y2 - y1) end, case when cr then retention_rate end) as b
+  from (select *, retention_rate*100.0 as x1, roi as y1,
+      lead(retention_rate) over w * 100.0 as x2, lead(roi) over w as y2,
+      (roi < 0 and lead(roi) over w > 0) or (roi > 0 and lead(roi) over w < 0) as cr
+    from sens window w as (partition by {KEYS} order by retention_rate)) group by all) s
+join fin f on f.segment_type = s.segment_type and f.segment_value = s.segment_value and f.strategy = s.strategy"""))
+oracle("duration_sensitivity", _x(f"""
+select {KEYS}, cast(d.duration_days as integer) as duration_days,
+  case when total_cost > 0 then (monthly_revenue_saved * (d.duration_days / 30.0) - total_cost) / total_cost * 100.0
+    else 0.0 end as test_period_roi
+from fin cross join (values (30), (60), (90), (120), (150), (180)) d(duration_days)"""))
+oracle("recommendation_tier", _x(f"""
+select {KEYS}, roi, case when roi > 50 then 'Strong Recommendation' when roi > 20 then 'Recommended'
+  when roi > 0 then 'Conditionally Recommended' else 'Not Recommended' end as recommendation from fin"""))
+oracle("experiment_warnings", _x(f"""
+select {KEYS}, w as warning from (
+  select {KEYS}, case when test_period_roi <= 0 and roi > 0 then
+    'Strategy will not break even during the test period, but shows positive long-term ROI.' end as w from days
+  union all select {KEYS}, case when not is_significant then
+    'Results are not statistically significant. Consider increasing sample size or test duration.' end from days
+  union all select {KEYS}, case when relative_lift < 10 then 'Low relative lift' end from days) where w is not null"""))

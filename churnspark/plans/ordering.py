@@ -14,8 +14,14 @@ instead
    broadcasts it back (its size is bounded by the partition count).
 
 Row number = offset of the partition + position in partition + 1.  The order
-keys must be a total order (end with a unique key), so a recomputed task after an
-executor loss yields the same numbers.  ``group_row_number`` derives per-group
+keys must be a total order (end with a unique key).
+
+The tagged rows are read twice (counts, then numbering).  Spark seeds the range
+sample with the RDD id, so two separately planned range exchanges (e.g. after
+column pruning made the branches differ) pick different boundaries; the tagged
+rows are therefore checkpointed once into the shared checkpoint folder
+(``spark.checkpoint.dir``) and both passes read the same files.  That also cuts the
+lineage: a lost executor re-reads the checkpoint instead of re-sampling.  ``group_row_number`` derives per-group
 numbers from the global one: with the group key leading the order, the first
 global number of each group (one ``min`` per group, partial aggregation) is
 subtracted.
@@ -28,6 +34,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import shared_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -44,7 +52,10 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
                 .sortWithinPartitions(*cols)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_part", F.shiftright(F.col("_mid"), 33))
-                .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+                .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+                .drop("_mid"))
+    shared_dir(spark)  # registers the checkpoint folder when the session has none (tests)
+    ranged = ranged.checkpoint(eager=True)
     # one row per range partition: bounded by n, so the running sum and the
     # broadcast below are over a tiny table
     offsets = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -53,7 +64,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
                      .select("_part", F.coalesce(F.col("_off"), F.lit(0)).alias("_off")))
     return (ranged.join(F.broadcast(offsets), "_part")
                   .withColumn(out, F.col("_off") + F.col("_pos") + 1)
-                  .drop("_mid", "_part", "_pos", "_off"))
+                  .drop("_part", "_pos", "_off"))
 
 
 def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],

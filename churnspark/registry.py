@@ -314,3 +314,170 @@ for _name, _fn in [
 def q_zip_counts(spark, sf):
     return views.integrated(spark, sf).transform(features.geo_features).select(
         "customer_id", "zip_code", "customers_in_zip")
+
+
+# ---------------------------------------------------------------- 2.9 retention
+from .operators import experiments as X  # noqa: E402
+from .operators import retention as R  # noqa: E402
+
+# the registered ROI example: every risk segment and all customers as targets, with the
+# custom-strategy defaults (cost 50, rate 0.2)
+ROI_COST, ROI_RATE = 50.0, 0.2
+
+
+@query("retention_roi")
+def q_retention_roi(spark, sf):
+    a = A(spark, sf)
+    targets = a.withColumn("_t", F.explode(F.array(F.lit("All Customers"), F.col("risk_segment")))) \
+               .where(F.col("_t").isNotNull()).withColumnRenamed("_t", "target")
+    params = spark.createDataFrame([(t, ROI_COST, ROI_RATE) for t in ["All Customers", *B.RISK_LABELS]],
+                                   "target string, cost_per_customer double, retention_rate double")
+    return R.retention_roi(targets, ["target"], params)
+
+
+@query("strategy_catalog")
+def q_strategy_catalog(spark, sf):
+    sizes = A(spark, sf).groupBy("risk_segment").agg(F.count(F.lit(1)).alias("segment_customers"))
+    return R.strategy_catalog(spark).join(sizes, "risk_segment", "left").select(
+        "risk_segment", "strategy", "cost_per_customer", "retention_rate", "target_segment", "rule",
+        F.coalesce(F.col("segment_customers"), F.lit(0)).alias("segment_customers"))
+
+
+@query("strategy_target_rules")
+def q_strategy_rules(spark, sf):
+    t = R.strategy_targets(A(spark, sf))
+    return t.groupBy("risk_segment", "strategy", "rule", "charge_threshold").agg(
+        F.count(F.lit(1)).alias("targeted_customers"))
+
+
+@query("strategy_targets")
+def q_strategy_targets(spark, sf):
+    return R.strategy_targets(A(spark, sf)).select("customer_id", "risk_segment", "strategy")
+
+
+@query("segment_revenue")
+def q_segment_revenue(spark, sf):
+    return R.segment_revenue(A(spark, sf))
+
+
+@query("strategy_comparison")
+def q_strategy_comparison(spark, sf):
+    return R.strategy_comparison(A(spark, sf))
+
+
+@query("top_strategies")
+def q_top_strategies(spark, sf):
+    return R.top_strategies(A(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.10 experiments
+def _eff(spark, sf):
+    return X.treatment_effect(X.assign_systematic(A(spark, sf)))
+
+
+def _fin(spark, sf):
+    return X.experiment_financials(_eff(spark, sf))
+
+
+def _z(spark, sf):
+    return X.days_to_significance(X.two_proportion_ztest(_fin(spark, sf)))
+
+
+@query("experiment_sizes")
+def q_exp_sizes(spark, sf):
+    return X.experiment_sizes(A(spark, sf))
+
+
+@query("assign_systematic")
+def q_assign(spark, sf):
+    return X.assign_systematic(A(spark, sf)).select("segment_type", "segment_value", "customer_id", "position", "arm")
+
+
+@query("every_nth_row")
+def q_every_nth(spark, sf):
+    # every 3rd customer (pct 30 → n = 3) in score order within each risk segment
+    s = views.scored(spark, sf).where(F.col("risk_segment").isNotNull())
+    from .plans.ordering import group_row_number
+    n = group_row_number(s, ["risk_segment"], [F.round("churn_probability", 9), F.col("customer_id")], out="rn")
+    return n.select("customer_id", "risk_segment", (F.col("rn") - 1).alias("position"),
+                    (((F.col("rn") - 1) % 3) == 0).alias("is_test"))
+
+
+@query("group_balance")
+def q_group_balance(spark, sf):
+    return X.group_balance(X.assign_systematic(A(spark, sf)))
+
+
+@query("experiment_baseline")
+def q_exp_baseline(spark, sf):
+    return X.experiment_baseline(A(spark, sf))
+
+
+@query("adjusted_rate")
+def q_adjusted_rate(spark, sf):
+    return X.adjusted_rate(A(spark, sf))
+
+
+@query("treatment_effect")
+def q_treatment(spark, sf):
+    return _eff(spark, sf).select(*X.EFFECT_COLUMNS)
+
+
+@query("experiment_financials")
+def q_financials(spark, sf):
+    return _fin(spark, sf).select(*X.FINANCIAL_COLUMNS)
+
+
+@query("value_per_customer")
+def q_value_per_customer(spark, sf):
+    return X.value_per_customer(_fin(spark, sf))
+
+
+@query("two_proportion_ztest")
+def q_ztest(spark, sf):
+    return X.two_proportion_ztest(_fin(spark, sf)).select(*X.KEY, "z_stat", "p_value", "is_significant")
+
+
+@query("days_to_significance")
+def q_days(spark, sf):
+    return _z(spark, sf).select(*X.KEY, "p_value", "is_significant", "estimated_days_to_significance")
+
+
+@query("cumulative_projection")
+def q_cumulative(spark, sf):
+    return X.cumulative_projection(_fin(spark, sf))
+
+
+@query("impact_projection")
+def q_impact(spark, sf):
+    return X.impact_projection(_fin(spark, sf))
+
+
+@query("breakeven_month")
+def q_breakeven(spark, sf):
+    return X.breakeven_month(_fin(spark, sf))
+
+
+@query("retention_sensitivity")
+def q_ret_sens(spark, sf):
+    return X.retention_sensitivity(_fin(spark, sf))
+
+
+@query("sensitivity_breakeven_rate")
+def q_sens_breakeven(spark, sf):
+    return X.sensitivity_breakeven_rate(_fin(spark, sf))
+
+
+@query("duration_sensitivity")
+def q_dur_sens(spark, sf):
+    return X.duration_sensitivity(_fin(spark, sf))
+
+
+@query("recommendation_tier")
+def q_tier(spark, sf):
+    return X.recommendation_tier(_fin(spark, sf))
+
+
+@query("experiment_warnings")
+def q_warnings(spark, sf):
+    return X.experiment_warnings(_z(spark, sf))

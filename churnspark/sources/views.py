@@ -41,6 +41,12 @@ def add_score(df: DataFrame) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materialized once per session (the reference writes its primary table and the
+    reports read it back)."""
+    return fixtures.stored(spark, "analysis", sf_dir, lambda: build_analysis(spark, sf_dir))
+
+
+def build_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engineered(spark, sf_dir).transform(normalize_churn).transform(add_score)
 
 
