@@ -649,3 +649,73 @@ select {KEYS}, w as warning from (
   union all select {KEYS}, case when not is_significant then
     'Results are not statistically significant. Consider increasing sample size or test duration.' end from days
   union all select {KEYS}, case when relative_lift < 10 then 'Low relative lift' end from days) where w is not null"""))
+
+
+# ---------------------------------------------------------------- 2.8 machine learning (SQL-expressible parts)
+OHE = ["gender", "multiple_lines", "internet_service", *SERVICES, "contract", "payment_method"]
+oracle("one_hot_encode", with_fixtures(" union all ".join(
+    f"select customer_id, '{c}_' || {c} as dummy from base where {c} is not null and {c} > (select min({c}) from base)"
+    for c in OHE)))
+oracle("align_features", with_fixtures(" union all ".join(f"""
+select '{c}_' || l.v as feature, cast(count(s.customer_id) as bigint) as customers
+from (select distinct {c} as v from base where {c} is not null and {c} > (select min({c}) from base)) l
+left join (select * from base where contract = 'Month-to-month') s on s.{c} = l.v group by l.v""" for c in OHE)))
+oracle("stratified_split", with_views("""
+select customer_id, churn_flag, case when rn <= floor(n*0.2 + 0.5) then 'test' else 'train' end as split
+from (select customer_id, churn_flag,
+  row_number() over (partition by churn_flag order by md5('42|' || cast(customer_id as varchar)), customer_id) as rn,
+  count(*) over (partition by churn_flag) as n from analysis)"""))
+oracle("balanced_class_weight", with_views("""
+select churn_flag, count(*) as class_count,
+  cast((select count(*) from analysis) as double) / (2.0 * count(*)) as weight from analysis group by churn_flag"""))
+oracle("roc_auc", with_views("""
+select (sum(case when churn_flag = 1 then cast(rk as double) + (cast(c as double) - 1.0) / 2.0 end)
+        - sum(cast(churn_flag as double)) * (sum(cast(churn_flag as double)) + 1.0) / 2.0)
+       / (sum(cast(churn_flag as double)) * (count(*) - sum(cast(churn_flag as double)))) as auc
+from (select churn_flag, rank() over (order by churn_probability) as rk,
+  count(*) over (partition by churn_probability) as c from analysis)"""))
+oracle("classification_metrics", with_views("""
+select cast(correct as double) / n as accuracy,
+  case when tp + fp = 0 then null else cast(tp as double) / (tp + fp) end as precision,
+  case when tp + fn = 0 then null else cast(tp as double) / (tp + fn) end as recall,
+  case when tp + fp = 0 or tp + fn = 0 then null
+    else 2.0 * (cast(tp as double)/(tp+fp)) * (cast(tp as double)/(tp+fn))
+       / ((cast(tp as double)/(tp+fp)) + (cast(tp as double)/(tp+fn))) end as f1
+from (select sum(case when churn_probability >= 0.5 and churn_flag = 1 then 1 else 0 end) as tp,
+  sum(case when churn_probability >= 0.5 and churn_flag = 0 then 1 else 0 end) as fp,
+  sum(case when churn_probability < 0.5 and churn_flag = 1 then 1 else 0 end) as fn,
+  count(*) as n, sum(case when (churn_probability >= 0.5) = (churn_flag = 1) then 1 else 0 end) as correct
+  from analysis)"""))
+REPORT_CTES = """
+c as (select cast(sum(case when churn_probability > 0.5 and churn_flag = 1 then 1 else 0 end) as double) as tp1,
+  cast(sum(case when churn_probability > 0.5 and churn_flag = 0 then 1 else 0 end) as double) as fp1,
+  cast(sum(case when churn_probability <= 0.5 and churn_flag = 1 then 1 else 0 end) as double) as fn1,
+  cast(sum(case when churn_probability <= 0.5 and churn_flag = 0 then 1 else 0 end) as double) as tn1 from analysis),
+k as (select tn1/(tn1+fn1) as p0, tn1/(tn1+fp1) as r0, tp1/(tp1+fp1) as p1, tp1/(tp1+fn1) as r1,
+  tn1+fp1 as s0, tp1+fn1 as s1, (tp1+tn1)/(tp1+tn1+fp1+fn1) as acc from c),
+f as (select *, 2.0*p0*r0/(p0+r0) as f0, 2.0*p1*r1/(p1+r1) as f1 from k)"""
+oracle("classification_report", with_views("""
+select '0' as label, p0 as precision, r0 as recall, f0 as f1_score, s0 as support from f
+union all select '1', p1, r1, f1, s1 from f
+union all select 'accuracy', null, null, acc, s0 + s1 from f
+union all select 'macro avg', (p0+p1)/2, (r0+r1)/2, (f0+f1)/2, s0 + s1 from f
+union all select 'weighted avg', (p0*s0+p1*s1)/(s0+s1), (r0*s0+r1*s1)/(s0+s1), (f0*s0+f1*s1)/(s0+s1), s0 + s1 from f""",
+                                            REPORT_CTES))
+oracle("risk_factor_flags", with_views("""
+select customer_id, 'Month-to-month contract' as risk_factor from analysis where contract = 'Month-to-month'
+union all select customer_id, 'Customer tenure less than 1 year' from analysis where tenure < 12
+union all select customer_id, 'Fiber optic without security or tech support' from analysis
+  where internet_service = 'Fiber optic' and (online_security = 'No' or tech_support = 'No')
+union all select customer_id, 'Payment by electronic check' from analysis where payment_method = 'Electronic check'
+union all select customer_id, 'Low service adoption' from analysis where total_services <= 1 and internet_service <> 'No'"""))
+oracle("retention_recommendations", with_views("""
+select customer_id, 'Offer contract upgrade incentives' as recommendation from analysis
+  where churn_probability > 0.5 and contract = 'Month-to-month'
+union all select customer_id, 'Promote online security services' from analysis
+  where churn_probability > 0.5 and internet_service = 'Fiber optic' and online_security = 'No'
+union all select customer_id, 'Offer complimentary tech support' from analysis
+  where churn_probability > 0.5 and tech_support = 'No'
+union all select customer_id, 'Bundle additional services at discount' from analysis
+  where churn_probability > 0.5 and total_services <= 2
+union all select customer_id, 'Regular satisfaction checks' from analysis where not (churn_probability > 0.5)
+union all select customer_id, 'Loyalty rewards program' from analysis where not (churn_probability > 0.5)"""))

@@ -481,3 +481,199 @@ def q_tier(spark, sf):
 @query("experiment_warnings")
 def q_warnings(spark, sf):
     return X.experiment_warnings(_z(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.8 machine learning
+from .operators import ml as M  # noqa: E402
+from .operators.features import engineer_features  # noqa: E402
+from .plans.session import table_path  # noqa: E402
+
+OHE_COLUMNS = ["gender", "multiple_lines", "internet_service", *features.SERVICES, "contract", "payment_method"]
+# registered training runs use smaller ensembles than the reference's defaults
+# (RF 100 trees / depth 12, GBT 100 rounds) so the correctness gate stays quick;
+# the operator functions keep the reference values as defaults.
+RF_TREES, RF_DEPTH, GBT_ROUNDS = 30, 10, 30
+_MODELS: dict = {}
+
+
+def _dummies_long(df, names):
+    stack = ", ".join(f"'{n}', `{n}`" for n in names)
+    return (df.select("customer_id", F.expr(f"stack({len(names)}, {stack}) as (dummy, value)"))
+              .where(F.col("value") == 1).select("customer_id", "dummy"))
+
+
+@query("one_hot_encode")
+def q_one_hot(spark, sf):
+    b = base(spark, sf)
+    v = M.fit_vocabulary(b, OHE_COLUMNS)
+    return _dummies_long(M.one_hot_encode(b.select("customer_id", *OHE_COLUMNS), OHE_COLUMNS, v), v.dummy_names())
+
+
+@query("align_features")
+def q_align(spark, sf):
+    b = base(spark, sf)
+    v = M.fit_vocabulary(b, OHE_COLUMNS)
+    subset = b.where(F.col("contract") == "Month-to-month")
+    aligned = M.align_features(subset, v, ["tenure", "monthly_charges"])
+    names = v.dummy_names()
+    return aligned.agg(*[F.sum(F.col(n)).cast("bigint").alias(n) for n in names]).select(
+        F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, `{n}`' for n in names)}) "
+               f"as (feature, customers)"))
+
+
+def _model_table(spark, sf):
+    """Basic-model training table: preprocess → engineer → numeric target (cached per session)."""
+    key = (spark.sparkContext.applicationId, "model_table", sf)
+    if key not in _MODELS:
+        df = (base(spark, sf).transform(clean.preprocess).transform(engineer_features)
+              .withColumnRenamed("churn", "churn_flag"))
+        tbl, spec = M.prepare_modeling_data(df)
+        split = M.stratified_split(tbl)
+        _MODELS[key] = (split, spec)
+    return _MODELS[key]
+
+
+@query("stratified_split")
+def q_split(spark, sf):
+    s = views.analysis(spark, sf).select("customer_id", "churn_flag")
+    return M.stratified_split(s).select("customer_id", "churn_flag", "split")
+
+
+@query("balanced_class_weight")
+def q_weights(spark, sf):
+    return M.balanced_class_weight(views.analysis(spark, sf))
+
+
+def _trained(spark, sf, name):
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _MODELS:
+        split, spec = _model_table(spark, sf)
+        train = M.with_class_weight(split.where(F.col("split") == "train"))
+        n = train.count()
+        est = {"logistic_regression": lambda: M.logistic(n),
+               "random_forest": lambda: M.random_forest(RF_TREES, RF_DEPTH),
+               "boosted_trees": lambda: M.boosted_trees(GBT_ROUNDS)}[name]()
+        _MODELS[key] = M.fit(train, spec, est)
+    return _MODELS[key]
+
+
+def _model_metrics(spark, sf, name):
+    split, _ = _model_table(spark, sf)
+    model = _trained(spark, sf, name)
+    scored = M.score_churn(model, split)
+    tr = M.roc_auc(scored.where(F.col("split") == "train")).withColumnRenamed("auc", "train_auc")
+    te = M.roc_auc(scored.where(F.col("split") == "test")).withColumnRenamed("auc", "test_auc")
+    return tr.crossJoin(te).select(F.lit(name).alias("model"), "train_auc", "test_auc")
+
+
+for _m, _k in [("train_logistic", "logistic_regression"), ("train_random_forest", "random_forest"),
+               ("train_boosted_trees", "boosted_trees")]:
+    QUERIES[_m] = (lambda k: (lambda spark, sf: _model_metrics(spark, sf, k)))(_k)
+
+
+@query("select_best_model")
+def q_best(spark, sf):
+    out = None
+    for k in ("logistic_regression", "random_forest", "boosted_trees"):
+        m = _model_metrics(spark, sf, k)
+        out = m if out is None else out.unionByName(m)
+    return out.orderBy(F.col("test_auc").desc(), "model").limit(1)
+
+
+@query("roc_auc")
+def q_auc(spark, sf):
+    return M.roc_auc(views.analysis(spark, sf))
+
+
+@query("classification_metrics")
+def q_metrics(spark, sf):
+    return M.classification_metrics(views.analysis(spark, sf))
+
+
+@query("classification_report")
+def q_report(spark, sf):
+    return M.classification_report(views.analysis(spark, sf))
+
+
+@query("score_churn")
+def q_score(spark, sf):
+    split, _ = _model_table(spark, sf)
+    return M.score_churn(_trained(spark, sf, "logistic_regression"), split).select(
+        "customer_id", "churn_probability", "risk_segment")
+
+
+@query("batch_customer_scoring")
+def q_batch_scoring(spark, sf):
+    # new customers as the single-customer form builds them: total charges = monthly × tenure
+    _, spec = _model_table(spark, sf)
+    new = (base(spark, sf).withColumn("total_charges", (F.col("monthly_charges") * F.col("tenure")).cast("string"))
+           .transform(clean.preprocess).transform(engineer_features).withColumnRenamed("churn", "churn_flag"))
+    s = M.score_churn(_trained(spark, sf, "logistic_regression"), new)
+    return s.select("customer_id", "churn_probability",
+                    B.risk_category_point("churn_probability").alias("risk_category"))
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    _, spec = _model_table(spark, sf)
+    return M.feature_importance(_trained(spark, sf, "random_forest"), spec)
+
+
+@query("risk_factor_flags")
+def q_risk_flags(spark, sf):
+    return (M.risk_factor_flags(views.analysis(spark, sf))
+            .select("customer_id", F.explode("risk_factors").alias("risk_factor")))
+
+
+@query("retention_recommendations")
+def q_recommendations(spark, sf):
+    return (M.retention_recommendations(views.analysis(spark, sf))
+            .select("customer_id", F.explode("recommendations").alias("recommendation")))
+
+
+# ---------------------------------------------------------------- 2.1 sinks and persistence
+@query("save_load_model")
+def q_save_load(spark, sf):
+    from pyspark.ml import PipelineModel
+    path = table_path(spark, f"model_lr_{abs(hash(sf)) % 10**8}")
+    _trained(spark, sf, "logistic_regression").write().overwrite().save(path)
+    split, _ = _model_table(spark, sf)
+    return M.score_churn(PipelineModel.load(path), split).select("customer_id", "churn_probability")
+
+
+@query("feature_columns")
+def q_feature_columns(spark, sf):
+    _, spec = _model_table(spark, sf)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(spec.names)], "position int, feature string")
+
+
+def _write_read(spark, df, name, fmt="parquet"):
+    path = table_path(spark, name)
+    w = df.write.mode("overwrite")
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+        return spark.read.option("header", True).schema(df.schema).csv(path)
+    w.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("write_primary")
+def q_write_primary(spark, sf):
+    return _write_read(spark, views.engineered(spark, sf), f"primary_{abs(hash(sf)) % 10**8}")
+
+
+@query("write_engineered")
+def q_write_engineered(spark, sf):
+    df = base(spark, sf).transform(clean.preprocess).transform(engineer_features)
+    return _write_read(spark, df, f"engineered_{abs(hash(sf)) % 10**8}")
+
+
+@query("write_reports")
+def q_write_reports(spark, sf):
+    a = views.analysis(spark, sf)
+    # reports are small (one row per city / driver): one CSV file each
+    city = _write_read(spark, reports.churn_by_city(a).coalesce(1), f"churn_by_city_{abs(hash(sf)) % 10**8}", "csv")
+    drv = _write_read(spark, reports.churn_drivers(a).coalesce(1), f"churn_drivers_{abs(hash(sf)) % 10**8}", "csv")
+    return (city.select(F.lit("churn_by_city").alias("report"), F.col("city").alias("key"), "churn_rate")
+            .unionByName(drv.select(F.lit("churn_risk_factors").alias("report"), F.col("segment").alias("key"),
+                                    "churn_rate")))
