@@ -78,9 +78,10 @@ def segments(scored: DataFrame) -> DataFrame:
     """One row per (segment, customer) for every testing segmentation."""
     x = scored.withColumn("tenure_year_label", bins.tenure_year_label("tenure_group")) \
         if "tenure_group" in scored.columns else scored
+    present = [(t, c) for t, c in AB_SEGMENTATIONS if c is None or c in x.columns]
     arr = F.array(*[F.struct(F.lit(t).alias("t"), (F.lit("All Customers") if c is None
                                                    else F.col(c).cast("string")).alias("v"))
-                    for t, c in AB_SEGMENTATIONS])
+                    for t, c in present])
     return (x.withColumn("_s", F.explode(arr))
              .select(F.col("_s.t").alias("segment_type"), F.col("_s.v").alias("segment_value"), *x.columns)
              .where(F.col("segment_value").isNotNull()))
