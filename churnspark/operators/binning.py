@@ -83,7 +83,10 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     # per-metric statistics: one row per metric (bounded by len(metrics))
     basic = long.groupBy("metric").agg(F.countDistinct("value").alias("_nu"), F.min("value").alias("_mn"),
                                        F.max("value").alias("_mx"))
-    qs = quantiles_wide(long, "value", QUARTILE_PROBS, group=["metric"], prefix="_q")
+    # exact quartiles only for the metrics that use them (> 10 distinct values)
+    wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
+    qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
+                        group=["metric"], prefix="_q")
     stats = F.broadcast(basic.join(qs, "metric", "left"))
     # ranks of distinct values, only for metrics with ≤ 10 of them (≤ 10 rows per metric)
     small = (long.select("metric", "value").where(F.col("value").isNotNull()).distinct()

@@ -19,9 +19,10 @@ keys must be a total order (end with a unique key).
 The tagged rows are read twice (counts, then numbering).  Spark seeds the range
 sample with the RDD id, so two separately planned range exchanges (e.g. after
 column pruning made the branches differ) pick different boundaries; the tagged
-rows are therefore checkpointed once into the shared checkpoint folder
-(``spark.checkpoint.dir``) and both passes read the same files.  That also cuts the
-lineage: a lost executor re-reads the checkpoint instead of re-sampling.  ``group_row_number`` derives per-group
+rows (with their partition id and position as columns) are therefore written once
+as a parquet table in the shared folder (``spark.checkpoint.dir``) and both passes
+read the same files.  That also cuts the lineage: a lost executor re-reads the
+files instead of re-sampling.  ``group_row_number`` derives per-group
 numbers from the global one: with the group key leading the order, the first
 global number of each group (one ``min`` per group, partial aggregation) is
 subtracted.
@@ -29,12 +30,13 @@ subtracted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import shared_dir
+from .lineage import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -54,8 +56,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
                 .withColumn("_part", F.shiftright(F.col("_mid"), 33))
                 .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
                 .drop("_mid"))
-    shared_dir(spark)  # registers the checkpoint folder when the session has none (tests)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, f"rownum_{uuid.uuid4().hex}")
     # one row per range partition: bounded by n, so the running sum and the
     # broadcast below are over a tiny table
     offsets = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))

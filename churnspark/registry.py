@@ -371,8 +371,14 @@ def q_top_strategies(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.10 experiments
+def _assignment(spark, sf):
+    """The A/B assignment, written once per session: arms must stay fixed for every
+    figure derived from them (and the reports then start from files)."""
+    return fixtures.stored(spark, "assignment", sf, lambda: X.assign_systematic(A(spark, sf)))
+
+
 def _eff(spark, sf):
-    return X.treatment_effect(X.assign_systematic(A(spark, sf)))
+    return X.treatment_effect(_assignment(spark, sf))
 
 
 def _fin(spark, sf):
@@ -390,7 +396,7 @@ def q_exp_sizes(spark, sf):
 
 @query("assign_systematic")
 def q_assign(spark, sf):
-    return X.assign_systematic(A(spark, sf)).select("segment_type", "segment_value", "customer_id", "position", "arm")
+    return _assignment(spark, sf).select("segment_type", "segment_value", "customer_id", "position", "arm")
 
 
 @query("every_nth_row")
@@ -405,7 +411,7 @@ def q_every_nth(spark, sf):
 
 @query("group_balance")
 def q_group_balance(spark, sf):
-    return X.group_balance(X.assign_systematic(A(spark, sf)))
+    return X.group_balance(_assignment(spark, sf))
 
 
 @query("experiment_baseline")
