@@ -96,7 +96,9 @@ def experiment_sizes(scored: DataFrame, p: ExperimentParams = DEFAULT) -> DataFr
 def assign_systematic(scored: DataFrame, p: ExperimentParams = DEFAULT) -> DataFrame:
     """0-based position in (round(p, 9), customer_id) order within each segment; every
     n-th position is in the test arm."""
-    seg = segments(scored)
+    # only the columns the experiment reads travel through the range shuffle
+    carry = [c for c in ("customer_id", "churn_probability", CHURN, "monthly_charges", "clv") if c in scored.columns]
+    seg = segments(scored).select(*SEG, *carry)
     numbered = group_row_number(seg, SEG, [F.round("churn_probability", 9), F.col("customer_id")], out="_rn")
     pos = F.col("_rn") - 1
     return (numbered.withColumn("position", pos)

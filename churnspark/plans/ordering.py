@@ -47,33 +47,47 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
+    """1-based row number over the whole table in ``order`` (a total order)."""
+    return group_row_number(df, [], order, out=out, num_partitions=num_partitions)
+
+
+def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
+                     out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
+    """1-based row number within each group, ordered by ``order`` (a total order).
+
+    For low-cardinality groups – exactly the case where ``Window.partitionBy(group)``
+    would put a hot group into one task.  One aggregation over (range partition,
+    group) yields each group's row count and first position per partition (a table
+    of at most partitions × groups rows); its running sum per group gives the
+    group's offset at the start of every partition.  Row number = offset + position
+    − first position of the group in the partition + 1.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = _cols(order)
-    ranged = (df.repartitionByRange(n, *cols)
+    g = list(group)
+    # order expressions are evaluated once into columns: an expression key (e.g. a
+    # rounded double) would otherwise be re-evaluated inside every sort comparison
+    exprs = [*[F.col(c) for c in g], *_cols(order)]
+    keys = [f"_ok{i}" for i in range(len(exprs))]
+    cols = [F.col(k) for k in keys]
+    ranged = (df.withColumns(dict(zip(keys, exprs)))
+                .repartitionByRange(n, *cols)
                 .sortWithinPartitions(*cols)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_part", F.shiftright(F.col("_mid"), 33))
                 .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
                 .drop("_mid"))
-    ranged = materialize(ranged, f"rownum_{uuid.uuid4().hex}")
-    # one row per range partition: bounded by n, so the running sum and the
-    # broadcast below are over a tiny table
-    offsets = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
-                     .withColumn("_off", F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(
-                         Window.unboundedPreceding, -1)))
-                     .select("_part", F.coalesce(F.col("_off"), F.lit(0)).alias("_off")))
-    return (ranged.join(F.broadcast(offsets), "_part")
-                  .withColumn(out, F.col("_off") + F.col("_pos") + 1)
-                  .drop("_part", "_pos", "_off"))
-
-
-def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-                     out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
-    """1-based row number within each group, ordered by ``order`` (a total order)."""
-    g = list(group)
-    numbered = global_row_number(df, [*g, *_cols(order)], out="_grn", num_partitions=num_partitions)
-    firsts = numbered.groupBy(*g).agg(F.min("_grn").alias("_first"))
-    return (numbered.join(firsts, g)
-                    .withColumn(out, F.col("_grn") - F.col("_first") + 1)
-                    .drop("_grn", "_first"))
+    tagged = materialize(ranged, f"rownum_{uuid.uuid4().hex}")
+    gk = keys[:len(g)]
+    per = tagged.groupBy("_part", *gk).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    w = Window.partitionBy(*gk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_goff", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    # ≤ partitions × groups rows → broadcast; group keys compared null-safely
+    p = F.broadcast(per.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"{k}_2") for k in gk],
+                               "_goff", "_first"))
+    cond = F.col("_part") == F.col("_p2")
+    for k in gk:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    return (tagged.join(p, cond)
+                  .withColumn(out, F.col("_goff") + F.col("_pos") - F.col("_first") + 1)
+                  .drop("_part", "_pos", "_p2", "_goff", "_first", *keys, *[f"{k}_2" for k in gk]))
