@@ -7,6 +7,7 @@ by the number of binned columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import bins
 from ..plans.broadcast import one_row
+from ..plans.lineage import materialize
 from .stats import quantiles_wide
 
 QUARTILE_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -80,19 +82,25 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
                                 for m in present])).alias("mv")
     long = df.select(key, *extra, pairs).select(key, *extra, "mv.metric", "mv.value")
 
-    # per-metric statistics: one row per metric (bounded by len(metrics))
-    basic = long.groupBy("metric").agg(F.countDistinct("value").alias("_nu"), F.min("value").alias("_mn"),
-                                       F.max("value").alias("_mx"))
+    # "fit": per-metric statistics (one row per metric) and value ranks of the small
+    # metrics (≤ 10 rows each) are written once as tiny tables in the shared folder, so
+    # the final pass reads them instead of re-deriving them from the big table in every
+    # branch of the plan (5 scans of the source instead of ~18)
+    tag = uuid.uuid4().hex
+    basic = materialize(long.groupBy("metric").agg(F.countDistinct("value").alias("_nu"),
+                                                   F.min("value").alias("_mn"), F.max("value").alias("_mx")),
+                        f"usage_basic_{tag}", small=True)
     # exact quartiles only for the metrics that use them (> 10 distinct values)
     wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
     qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
                         group=["metric"], prefix="_q")
-    stats = F.broadcast(basic.join(qs, "metric", "left"))
-    # ranks of distinct values, only for metrics with ≤ 10 of them (≤ 10 rows per metric)
-    small = (long.select("metric", "value").where(F.col("value").isNotNull()).distinct()
-                 .join(F.broadcast(basic.where(F.col("_nu") <= 10).select("metric")), "metric")
+    stats = F.broadcast(materialize(basic.join(qs, "metric", "left"), f"usage_stats_{tag}", small=True))
+    small_metrics = F.broadcast(basic.where(F.col("_nu") <= 10).select("metric"))
+    small = (long.join(small_metrics, "metric", "left_semi").select("metric", "value")
+                 .where(F.col("value").isNotNull()).distinct()
                  .withColumn("_rk", F.row_number().over(Window.partitionBy("metric").orderBy("value")) - 1))
-    x = long.join(stats, "metric").join(F.broadcast(small), ["metric", "value"], "left")
+    small = F.broadcast(materialize(small, f"usage_ranks_{tag}", small=True))
+    x = long.join(stats, "metric").join(small, ["metric", "value"], "left")
 
     v = F.col("value")
     two = F.when(v == F.col("_mn"), F.concat(F.lit("Low ("), F.col("_mn_txt"), F.lit(")"))) \

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from .session import table_path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` as parquet under ``spark.checkpoint.dir`` and return the re-read table.
 
     The re-read plan starts at the files, so a lost executor only recomputes a
     scan, and later queries see real file statistics (AQE / broadcast sizing).
     """
     path = table_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    # a table bounded by construction (statistics, ranks) is written as one file
+    (df.coalesce(1) if small else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

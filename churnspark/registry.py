@@ -402,7 +402,8 @@ def q_assign(spark, sf):
 @query("every_nth_row")
 def q_every_nth(spark, sf):
     # every 3rd customer (pct 30 → n = 3) in score order within each risk segment
-    s = views.scored(spark, sf).where(F.col("risk_segment").isNotNull())
+    s = views.scored(spark, sf).where(F.col("risk_segment").isNotNull()).select(
+        "customer_id", "risk_segment", "churn_probability")
     from .plans.ordering import group_row_number
     n = group_row_number(s, ["risk_segment"], [F.round("churn_probability", 9), F.col("customer_id")], out="rn")
     return n.select("customer_id", "risk_segment", (F.col("rn") - 1).alias("position"),
