@@ -18,11 +18,13 @@ a broadcast (bounded by the number of groups or columns).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import materialize
 from ..plans.ordering import group_row_number
 
 
@@ -42,19 +44,20 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], group: Seq
         gg = ["_g"]
     else:
         gg = g
-    counts = v.groupBy(*gg).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = group_row_number(v, gg, [F.col("_v")], out="_rn")
-    # wanted ranks per (group, p): floor(h)+1 and floor(h)+2 (1-based), with h = (n-1)p
+    numbered, sizes = group_row_number(v, gg, [F.col("_v")], out="_rn", with_sizes=True)
+    # wanted ranks per (group, p): floor(h)+1 and floor(h)+2 (1-based), with h = (n-1)p;
+    # (groups × probs) rows, from the small per-partition table
     ps = F.explode(F.array(*[F.lit(p) for p in plist])).alias("p")
-    wanted = (counts.select(*gg, "_n", ps)
-                    .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-                    .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-                    .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
-                    .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    # (groups × probs) rows: equi-joins on (group, rank) against a broadcast of that bound
+    wanted = (sizes.select(*gg, F.col("group_size").alias("_n"), ps)
+                   .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+                   .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
+                   .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
+                   .withColumn("_frac", F.col("_h") - F.floor("_h")))
     need = F.broadcast(wanted.select(*gg, F.col("_lo").alias("_rn"))
                              .union(wanted.select(*gg, F.col("_hi").alias("_rn"))).distinct())
-    vals = numbered.join(need, [*gg, "_rn"]).select(*gg, "_rn", "_v")  # ≤ 2·groups·probs rows
+    # one pass over the numbered rows keeps ≤ 2·groups·probs of them (written as one small file)
+    vals = materialize(numbered.join(need, [*gg, "_rn"]).select(*gg, "_rn", "_v"),
+                       f"quantile_ranks_{uuid.uuid4().hex}", small=True)
     lo = wanted.join(vals.withColumnRenamed("_rn", "_lo").withColumnRenamed("_v", "_vlo"), [*gg, "_lo"])
     res = (lo.join(vals.withColumnRenamed("_rn", "_hi").withColumnRenamed("_v", "_vhi"), [*gg, "_hi"])
              .select(*gg, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))

@@ -52,7 +52,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
 
 
 def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-                     out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
+                     out: str = "row_number", num_partitions: int | None = None, with_sizes: bool = False):
     """1-based row number within each group, ordered by ``order`` (a total order).
 
     For low-cardinality groups – exactly the case where ``Window.partitionBy(group)``
@@ -61,6 +61,9 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
     of at most partitions × groups rows); its running sum per group gives the
     group's offset at the start of every partition.  Row number = offset + position
     − first position of the group in the partition + 1.
+
+    With ``with_sizes`` the group sizes (one row per group, from the same small
+    table) are returned as well: ``(numbered, sizes)``.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,13 +84,19 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
     gk = keys[:len(g)]
     per = tagged.groupBy("_part", *gk).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*gk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_goff", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    per = per.withColumn("_goff", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    per = materialize(per, f"rownum_parts_{uuid.uuid4().hex}", small=True)  # ≤ partitions × groups rows
     # ≤ partitions × groups rows → broadcast; group keys compared null-safely
     p = F.broadcast(per.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"{k}_2") for k in gk],
                                "_goff", "_first"))
     cond = F.col("_part") == F.col("_p2")
     for k in gk:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_2"))
-    return (tagged.join(p, cond)
-                  .withColumn(out, F.col("_goff") + F.col("_pos") - F.col("_first") + 1)
-                  .drop("_part", "_pos", "_p2", "_goff", "_first", *keys, *[f"{k}_2" for k in gk]))
+    numbered = (tagged.join(p, cond)
+                      .withColumn(out, F.col("_goff") + F.col("_pos") - F.col("_first") + 1)
+                      .drop("_part", "_pos", "_p2", "_goff", "_first", *keys, *[f"{k}_2" for k in gk]))
+    if not with_sizes:
+        return numbered
+    sizes = per.groupBy(*gk).agg(F.sum("_cnt").alias("group_size")).select(
+        *[F.col(k).alias(c) for k, c in zip(gk, g)], "group_size")
+    return numbered, sizes
