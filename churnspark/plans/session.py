@@ -27,20 +27,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "chu
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder).  Only when
+    the session has neither – local tests – a scratch folder is created once per
+    application and registered with ``setCheckpointDir`` (``spark.checkpoint.dir`` is a
+    core setting and cannot be changed on a running session).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="churnspark-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        app = spark.sparkContext.applicationId
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="churnspark-")
+            spark.sparkContext.setCheckpointDir(_FALLBACK[app])
+        d = _FALLBACK[app]
     return d.rstrip("/")
 
 
