@@ -36,6 +36,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .broadcast import checked_broadcast
 from .lineage import materialize
 
 _LOW_BITS = (1 << 33) - 1
@@ -86,9 +87,10 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
     w = Window.partitionBy(*gk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_goff", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     per = materialize(per, f"rownum_parts_{uuid.uuid4().hex}", small=True)  # ≤ partitions × groups rows
-    # ≤ partitions × groups rows → broadcast; group keys compared null-safely
-    p = F.broadcast(per.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"{k}_2") for k in gk],
-                               "_goff", "_first"))
+    # ≤ partitions × groups rows: broadcast under a checked bound (cheap – the table is
+    # already written), else a shuffle join; group keys compared null-safely
+    p = checked_broadcast(per.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"{k}_2") for k in gk],
+                                     "_goff", "_first"))
     cond = F.col("_part") == F.col("_p2")
     for k in gk:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_2"))

@@ -27,16 +27,37 @@ def base(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.1 sources
+def _csv_export(spark, sf, name, df):
+    """Write a Spark-derived table as a CSV export in the shared folder (once per session)."""
+    from .plans.session import table_path as _tp
+    from .sources import io
+    key = (spark.sparkContext.applicationId, f"csv_{name}", sf)
+    if key not in _CSV:
+        path = _tp(spark, f"csv_{name}_{abs(hash((spark.sparkContext.applicationId, sf))) % 10**10}")
+        io.write_csv(df, path)
+        _CSV[key] = path
+    return _CSV[key]
+
+
+_CSV: dict = {}
+
+
 @query("read_subscriptions")
 def q_read_subscriptions(spark, sf):
-    return base(spark, sf)
+    from .sources import io
+    return io.read_subscriptions(spark, _csv_export(spark, sf, "subscriptions", base(spark, sf)))
 
 
 @query("read_all_sources")
 def q_read_all_sources(spark, sf):
+    from .sources import io
     subs = fixtures.subscriptions(spark, sf)
-    parts = [("subscriptions", subs.select(*fixtures.SUBSCRIPTION_COLUMNS)),
-             ("crm", fixtures.crm(spark, sf, subs)), ("zip_population", fixtures.zip_population(spark, sf, subs))]
+    parts = [("subscriptions", io.read_subscriptions(spark, _csv_export(spark, sf, "subscriptions", base(spark, sf)))),
+             ("crm", clean.standardize_crm(io.read_crm(spark, _csv_export(spark, sf, "crm",
+                                                                        fixtures.raw_crm(spark, sf, subs))))),
+             ("zip_population", io.read_zip_population(spark, _csv_export(
+                 spark, sf, "zip", fixtures.zip_population(spark, sf, subs).withColumnsRenamed(
+                     {"zip_code": "Zip Code", "population": "Population"}))))]
     out = None
     for name, df in parts:
         c = df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("row_count"),
@@ -47,9 +68,12 @@ def q_read_all_sources(spark, sf):
 
 @query("read_enhanced")
 def q_read_enhanced(spark, sf):
-    # the integrated table without its target column: derive it from the status
-    df = views.integrated(spark, sf).drop("churn")
-    return clean.target_from_status(df).select("customer_id", "customer_status", "churn")
+    # the integrated table written without its target column: the reader derives it
+    from .plans.session import table_path as _tp
+    from .sources import io
+    path = _tp(spark, f"enhanced_{abs(hash((spark.sparkContext.applicationId, sf))) % 10**10}")
+    io.write_table(views.integrated(spark, sf).drop("churn"), path)
+    return io.read_enhanced(spark, path).select("customer_id", "customer_status", "churn")
 
 
 # ---------------------------------------------------------------- 2.2 cleaning
