@@ -155,8 +155,16 @@ def usage_metrics(crm: DataFrame) -> DataFrame:
 
 
 def segment_filter(df: DataFrame, definition: Mapping[str, object]) -> DataFrame:
-    """Rows equal to every (column, value) of ``definition``; unknown columns are ignored."""
-    conds = [F.col(k) == F.lit(v) for k, v in definition.items() if k in df.columns]
+    """Rows equal to every (column, value) of ``definition``; unknown columns are ignored.
+    A tenure-group label ("0-1 year" …) selects the matching numeric tenure code."""
+    from ..functions.bins import TENURE_YEAR_LABELS
+
+    def value(k, v):
+        numeric = isinstance(df.schema[k].dataType, T.NumericType)
+        if k == "tenure_group" and numeric and isinstance(v, str) and v in TENURE_YEAR_LABELS:
+            return TENURE_YEAR_LABELS.index(v)
+        return v
+    conds = [F.col(k) == F.lit(value(k, v)) for k, v in definition.items() if k in df.columns]
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 

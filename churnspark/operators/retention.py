@@ -115,6 +115,19 @@ def retention_roi(targets: DataFrame, keys: list[str], params: DataFrame) -> Dat
     Groups without customers come back with n = 0 and ROI 0."""
     prob = "churn_probability" in targets.columns
     clv = "clv" in targets.columns
+    if "monthly_charges" not in targets.columns:
+        # no charges: revenue figures 0, ROI −1 (reference semantics)
+        g = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers_targeted"),
+                                       (F.avg(F.col(CHURN).cast("double")) * F.lit(100.0)).alias("segment_churn_rate"))
+        x = F.broadcast(params).join(g, keys, "left")
+        n = F.coalesce(F.col("customers_targeted"), F.lit(0))
+        zero = F.lit(0.0)
+        return x.select(*keys, n.alias("customers_targeted"), "segment_churn_rate",
+                        (n * F.col("cost_per_customer")).alias("intervention_cost"), zero.alias("monthly_revenue"),
+                        zero.alias("annual_revenue_at_risk"), zero.alias("potential_annual_revenue_saved"),
+                        F.lit(-1.0).alias("estimated_roi"), F.lit(-100.0).alias("estimated_roi_percent"),
+                        zero.alias("avg_customer_clv"), zero.alias("potential_clv_impact"),
+                        F.lit(-1.0).alias("clv_roi"), F.lit(-100.0).alias("clv_roi_percent"))
     g = targets.groupBy(*keys).agg(*roi_aggregates(prob, clv))
     x = F.broadcast(params).join(g, keys, "left").withColumns({
         "customers_targeted": F.coalesce(F.col("customers_targeted"), F.lit(0)),

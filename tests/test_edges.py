@@ -140,3 +140,17 @@ def test_ztest_zero_churn_falls_back(spark):
                                "clv double")
     z = X.run(df).where(F.col("segment_type") == "All Customers").first()
     assert z.p_value is None and z.is_significant is False and z.estimated_days_to_significance is None
+
+
+def test_segment_filter_tenure_label_and_unknown_key(spark):
+    df = spark.createDataFrame([(1, 0, "DSL"), (2, 1, "DSL"), (3, 1, "No")],
+                               "customer_id int, tenure_group int, internet_service string")
+    out = clean.segment_filter(df, {"tenure_group": "1-2 years", "internet_service": "DSL", "nope": 3})
+    assert col(out, "customer_id") == [2]
+
+
+def test_roi_without_charges(spark):
+    t = spark.createDataFrame([("a", 1)], "target string, churn_flag int")
+    params = spark.createDataFrame([("a", 10.0, 0.2)], "target string, cost_per_customer double, retention_rate double")
+    r = retention.retention_roi(t, ["target"], params).first()
+    assert r.estimated_roi == -1.0 and r.monthly_revenue == 0.0 and r.intervention_cost == 10.0
