@@ -83,3 +83,17 @@ def test_one_row_scoring_equals_batch(spark, sf_small):
         one = M.score_churn(model, split.where(F.col("customer_id") == r.customer_id)).first()
         assert one.churn_probability == pytest.approx(r.churn_probability)
     assert E.entry(spark).count() > 0
+
+
+def test_hot_group_spread_over_partitions(spark):
+    """One group holds two thirds of the rows: numbering stays exact and the group's
+    rows are range-partitioned over several tasks (a window per group would use one)."""
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}", (i * 7919) % 1000) for i in range(30000)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = {r.id: r.rn for r in group_row_number(df, ["g"], ["v", "id"], out="rn", num_partitions=8).collect()}
+    exp = {r.id: r.rn for r in df.select("id", F.row_number().over(
+        Window.partitionBy("g").orderBy("v", "id")).alias("rn")).collect()}
+    assert got == exp
+    parts = (df.repartitionByRange(8, "g", "v", "id").where(F.col("g") == "hot")
+               .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts >= 4
