@@ -281,3 +281,12 @@ def feature_importance(model: PipelineModel, spec: FeatureSpec, top: int = 15) -
     rows = list(zip(spec.names, [float(v) for v in vals]))
     df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature").limit(top)
+
+
+def feature_columns(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Ordered feature names, read from the assembled vector's ``ml_attr`` metadata
+    (schema-level, bounded by the feature count – no data is scanned)."""
+    attrs = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    named = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame(named, "position int, feature string")

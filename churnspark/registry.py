@@ -674,18 +674,15 @@ def q_save_load(spark, sf):
 
 @query("feature_columns")
 def q_feature_columns(spark, sf):
-    _, spec = _model_table(spark, sf)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(spec.names)], "position int, feature string")
+    split, _ = _model_table(spark, sf)
+    return M.feature_columns(_trained(spark, sf, "logistic_regression"), split)
 
 
 def _write_read(spark, df, name, fmt="parquet"):
+    from .sources import io
     path = table_path(spark, name)
-    w = df.write.mode("overwrite")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-        return spark.read.option("header", True).schema(df.schema).csv(path)
-    w.parquet(path)
-    return spark.read.parquet(path)
+    io.write_table(df, path, fmt)
+    return io.read_csv(spark, path, df.schema) if fmt == "csv" else spark.read.parquet(path)
 
 
 @query("write_primary")
