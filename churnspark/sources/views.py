@@ -20,6 +20,13 @@ from . import fixtures
 
 
 def integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integrated table, written once per session: the feature step reads it three
+    times (rows, per-ZIP counts, mode statistics), and re-deriving it would repeat the
+    base ⋈ CRM shuffle join each time."""
+    return fixtures.stored(spark, "integrated", sf_dir, lambda: build_integrated(spark, sf_dir))
+
+
+def build_integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = fixtures.subscriptions(spark, sf_dir)
     base = subs.select(*fixtures.SUBSCRIPTION_COLUMNS)
     crm = fixtures.crm(spark, sf_dir, subs)
