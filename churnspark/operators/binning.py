@@ -66,7 +66,7 @@ def _number_text(c: F.Column, integral: bool) -> F.Column:
 
 
 def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str = "customer_id",
-                extra: Sequence[str] = ("churn_flag",)) -> DataFrame:
+                extra: Sequence[str] = ("churn_flag",), approx: bool = False) -> DataFrame:
     """Long table ``(key, extra…, metric, value, usage_level)`` with the reference's
     adaptive grouping chosen per metric from its statistics:
 
@@ -74,6 +74,9 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     * ``total_services`` → its 7 fixed labels ("Premium (x)" beyond);
     * ≤ 10 distinct → 7 labels cycled over the sorted distinct values;
     * else quartiles (``qcut``); duplicate edges → 4 equal-width bins, lowest included.
+
+    ``approx=True`` takes the quartile edges from ``percentile_approx`` (one pass, no
+    ordering) instead of the exact distributed ranks.
     """
     present = [m for m in metrics if m in df.columns
                and isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType))]
@@ -93,7 +96,7 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     # exact quartiles only for the metrics that use them (> 10 distinct values)
     wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
     qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
-                        group=["metric"], prefix="_q")
+                        group=["metric"], prefix="_q", approx=approx)
     stats = F.broadcast(materialize(basic.join(qs, "metric", "left"), f"usage_stats_{tag}", small=True))
     small_metrics = F.broadcast(basic.where(F.col("_nu") <= 10).select("metric"))
     small = (long.join(small_metrics, "metric", "left_semi").select("metric", "value")

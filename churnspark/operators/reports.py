@@ -83,8 +83,8 @@ def churn_by_population(df: DataFrame, approx: bool = False) -> DataFrame:
             .groupBy("population_segment").agg(churn_rate(), customer_count()))
 
 
-def churn_by_usage(df: DataFrame) -> DataFrame:
-    return (usage_group(df).where(F.col("usage_level").isNotNull())
+def churn_by_usage(df: DataFrame, approx: bool = False) -> DataFrame:
+    return (usage_group(df, approx=approx).where(F.col("usage_level").isNotNull())
             .groupBy("metric", "usage_level").agg(churn_rate(), customer_count())
             .orderBy("metric", F.col("churn_rate").desc()))
 

@@ -8,7 +8,7 @@ to double and integer sums to bigint on both sides.
 from __future__ import annotations
 
 from .functions.numeric import two_sided_p_sql
-from .sources.fixture_sql import (RISK_SQL, TENURE_CODE_SQL, _mode, _services_count, with_fixtures,
+from .sources.fixture_sql import (TENURE_CODE_SQL, _mode, _services_count, with_fixtures,
                                   with_views)
 
 SERVICES = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv",
@@ -143,7 +143,6 @@ oracle("clamp_probability", with_fixtures("""
 select customer_id, least(greatest(case when isfinite(x) then x else 0.0 end, 0.0), 1.0) as churn_probability
 from (select customer_id, churn_probability*1.5 - 0.25 as x from scored)"""))
 
-_unused = (RISK_SQL,)
 
 
 # ---------------------------------------------------------------- 2.5 binning

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +49,3 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}"
-
-
-def ensure_dir(path: str) -> None:
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
