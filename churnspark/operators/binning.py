@@ -97,7 +97,9 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
     qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
                         group=["metric"], prefix="_q", approx=approx)
-    stats = F.broadcast(materialize(basic.join(qs, "metric", "left"), f"usage_stats_{tag}", small=True))
+    # one row per metric (bounded by the metric list); its quartile branch reads the
+    # written, numbered table once, inside this broadcast
+    stats = F.broadcast(basic.join(qs, "metric", "left"))
     small_metrics = F.broadcast(basic.where(F.col("_nu") <= 10).select("metric"))
     small = (long.join(small_metrics, "metric", "left_semi").select("metric", "value")
                  .where(F.col("value").isNotNull()).distinct()

@@ -18,13 +18,11 @@ a broadcast (bounded by the number of groups or columns).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialize
 from ..plans.ordering import group_row_number
 
 
@@ -53,14 +51,19 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], group: Seq
                    .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
                    .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
                    .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    need = F.broadcast(wanted.select(*gg, F.col("_lo").alias("_rn"))
-                             .union(wanted.select(*gg, F.col("_hi").alias("_rn"))).distinct())
-    # one pass over the numbered rows keeps ≤ 2·groups·probs of them (written as one small file)
-    vals = materialize(numbered.join(need, [*gg, "_rn"]).select(*gg, "_rn", "_v"),
-                       f"quantile_ranks_{uuid.uuid4().hex}", small=True)
-    lo = wanted.join(vals.withColumnRenamed("_rn", "_lo").withColumnRenamed("_v", "_vlo"), [*gg, "_lo"])
-    res = (lo.join(vals.withColumnRenamed("_rn", "_hi").withColumnRenamed("_v", "_vhi"), [*gg, "_hi"])
-             .select(*gg, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))
+    # each wanted rank tagged with its role (lower / upper neighbour of h): ≤ 2·groups·probs
+    # rows, broadcast (bounded by construction)
+    need = F.broadcast(wanted.select(*gg, "p", "_frac", F.col("_lo").alias("_rn"), F.lit(True).alias("_is_lo"))
+                             .union(wanted.select(*gg, "p", "_frac", F.col("_hi").alias("_rn"),
+                                                  F.lit(False).alias("_is_lo"))))
+    # one pass over the numbered rows keeps ≤ 2·groups·probs of them; one grouped
+    # aggregate pairs the two neighbours (no second read of the kept ranks)
+    res = (numbered.join(need, [*gg, "_rn"])
+                   .groupBy(*gg, "p")
+                   .agg(F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
+                        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"),
+                        F.max("_frac").alias("_frac"))
+                   .select(*gg, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))
     return res.drop("_g") if not g else res
 
 
