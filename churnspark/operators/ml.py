@@ -80,8 +80,10 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
     """Reproducible stratified split: within each class, rows ordered by
     md5("seed|key"); the first ⌊fraction·n_class + ½⌋ are the test set."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    numbered = group_row_number(df.withColumn("_h", h), [label], [F.col("_h"), F.col(key)], out="_rn")
-    n = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    numbered, sizes = group_row_number(df.withColumn("_h", h), [label], [F.col("_h"), F.col(key)], out="_rn",
+                                       with_sizes=True)
+    # class sizes from the numbering's per-partition table, not a second pass over the rows
+    n = sizes.select(label, F.col("group_size").alias("_n"))
     cut = F.floor(F.col("_n") * F.lit(test_fraction) + F.lit(0.5))
     return (numbered.join(F.broadcast(n), label)  # one row per class
                     .withColumn("split", F.when(F.col("_rn") <= cut, "test").otherwise("train"))
