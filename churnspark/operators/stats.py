@@ -26,44 +26,49 @@ from pyspark.sql import functions as F
 from ..plans.ordering import group_row_number
 
 
+def _neighbour_ranks(df: DataFrame, value: str, probs: Sequence[float], gg: Sequence[str]) -> DataFrame:
+    """Rows ``(gg…, p, _is_lo, _frac, _v)``: for each group and probability the values at
+    the two ranks around ``h = (n − 1)·p`` (≤ 2·groups·probs rows); nulls ignored."""
+    v = df.select(*gg, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    numbered, sizes = group_row_number(v, gg, [F.col("_v")], out="_rn", with_sizes=True)
+    # wanted ranks per (group, p): floor(h)+1 and floor(h)+2 (1-based), from the small
+    # per-partition table; each tagged with its role (lower / upper neighbour)
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    wanted = (sizes.select(*gg, F.col("group_size").alias("_n"), ps)
+                   .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+                   .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
+                   .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
+                   .withColumn("_frac", F.col("_h") - F.floor("_h")))
+    roles = F.explode(F.array(F.struct(F.col("_lo").alias("_rn"), F.lit(True).alias("_is_lo")),
+                              F.struct(F.col("_hi").alias("_rn"), F.lit(False).alias("_is_lo")))).alias("_r")
+    # ≤ 2·groups·probs rows: broadcast (bounded by construction)
+    need = F.broadcast(wanted.select(*gg, "p", "_frac", roles).select(*gg, "p", "_frac", "_r._rn", "_r._is_lo"))
+    # one pass over the numbered rows keeps only those ranks
+    return numbered.join(need, [*gg, "_rn"]).select(*gg, "p", "_is_lo", "_frac", "_v")
+
+
+def _interpolate(lo: F.Column, hi: F.Column, frac: F.Column) -> F.Column:
+    return lo + (hi - lo) * frac
+
+
 def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
                    approx: bool = False) -> DataFrame:
     """One row per (group…, ``p``) with the quantile ``q`` of ``value`` (nulls ignored)."""
     g = list(group)
-    v = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     plist = [float(p) for p in probs]
     if approx:
+        v = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
         out = v.groupBy(*g).agg(F.percentile_approx("_v", plist, 10000).alias("_qs"))
         return (out.select(*g, F.posexplode("_qs").alias("_i", "q"))
                    .withColumn("p", F.element_at(F.array(*[F.lit(p) for p in plist]), F.col("_i") + 1))
                    .drop("_i"))
-    if not g:
-        v = v.withColumn("_g", F.lit(0))
-        gg = ["_g"]
-    else:
-        gg = g
-    numbered, sizes = group_row_number(v, gg, [F.col("_v")], out="_rn", with_sizes=True)
-    # wanted ranks per (group, p): floor(h)+1 and floor(h)+2 (1-based), with h = (n-1)p;
-    # (groups × probs) rows, from the small per-partition table
-    ps = F.explode(F.array(*[F.lit(p) for p in plist])).alias("p")
-    wanted = (sizes.select(*gg, F.col("group_size").alias("_n"), ps)
-                   .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-                   .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-                   .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
-                   .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    # each wanted rank tagged with its role (lower / upper neighbour of h): ≤ 2·groups·probs
-    # rows, broadcast (bounded by construction)
-    need = F.broadcast(wanted.select(*gg, "p", "_frac", F.col("_lo").alias("_rn"), F.lit(True).alias("_is_lo"))
-                             .union(wanted.select(*gg, "p", "_frac", F.col("_hi").alias("_rn"),
-                                                  F.lit(False).alias("_is_lo"))))
-    # one pass over the numbered rows keeps ≤ 2·groups·probs of them; one grouped
-    # aggregate pairs the two neighbours (no second read of the kept ranks)
-    res = (numbered.join(need, [*gg, "_rn"])
-                   .groupBy(*gg, "p")
-                   .agg(F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_vlo"),
-                        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_vhi"),
-                        F.max("_frac").alias("_frac"))
-                   .select(*gg, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))
+    gg = g or ["_g"]
+    src = df if g else df.withColumn("_g", F.lit(0))
+    kept = _neighbour_ranks(src, value, plist, gg)
+    lo, hi = F.col("_is_lo"), ~F.col("_is_lo")
+    res = (kept.groupBy(*gg, "p")
+               .agg(_interpolate(F.max(F.when(lo, F.col("_v"))), F.max(F.when(hi, F.col("_v"))),
+                                 F.max("_frac")).alias("q")))
     return res.drop("_g") if not g else res
 
 
@@ -71,11 +76,24 @@ def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float], group: Seq
                    prefix: str = "q", approx: bool = False) -> DataFrame:
     """One row per group with columns ``{prefix}0, {prefix}1, …`` in the order of ``probs``."""
     g = list(group)
-    long = quantiles_long(df, value, probs, g, approx=approx)
-    aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"{prefix}{i}") for i, p in enumerate(probs)]
-    if g:
-        return long.groupBy(*g).agg(*aggs)
-    return long.agg(*aggs)
+    plist = [float(p) for p in probs]
+    if approx:
+        long = quantiles_long(df, value, plist, g, approx=True)
+        aggs = [F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"{prefix}{i}") for i, p in enumerate(plist)]
+        return long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs)
+    gg = g or ["_g"]
+    src = df if g else df.withColumn("_g", F.lit(0))
+    kept = _neighbour_ranks(src, value, plist, gg)
+    # the kept ranks go straight to one row per group (one aggregation, no long form)
+    aggs = []
+    for i, p in enumerate(plist):
+        at = F.col("p") == p
+        aggs.append(_interpolate(F.max(F.when(at & F.col("_is_lo"), F.col("_v"))),
+                                 F.max(F.when(at & ~F.col("_is_lo"), F.col("_v"))),
+                                 F.max(F.when(at, F.col("_frac")))).alias(f"{prefix}{i}"))
+    # without groups: a global aggregate, so an empty / all-null column still gives its
+    # one row (of nulls) to the callers that cross-join it
+    return kept.groupBy(*g).agg(*aggs) if g else kept.agg(*aggs)
 
 
 def median_of(df: DataFrame, value: str, out: str = "median", approx: bool = False) -> DataFrame:
