@@ -85,8 +85,8 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
                                 for m in present])).alias("mv")
     long = df.select(key, *extra, pairs).select(key, *extra, "mv.metric", "mv.value")
 
-    # "fit": per-metric statistics (one row per metric) and value ranks of the small
-    # metrics (≤ 10 rows each) are written once as tiny tables in the shared folder, so
+    # "fit": per-metric basics (one row per metric) and value ranks of the small metrics
+    # (≤ 10 rows each) are written once as tiny tables in the shared folder, so
     # the final pass reads them instead of re-deriving them from the big table in every
     # branch of the plan (5 scans of the source instead of ~18)
     tag = uuid.uuid4().hex
@@ -97,9 +97,9 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
     qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
                         group=["metric"], prefix="_q", approx=approx)
-    # one row per metric (bounded by the metric list); its quartile branch reads the
-    # written, numbered table once, inside this broadcast
-    stats = F.broadcast(basic.join(qs, "metric", "left"))
+    # both sides have one row per metric (bounded by the metric list); the quartile
+    # branch reads the written, numbered table once, inside this broadcast
+    stats = F.broadcast(basic.join(F.broadcast(qs), "metric", "left"))
     small_metrics = F.broadcast(basic.where(F.col("_nu") <= 10).select("metric"))
     small = (long.join(small_metrics, "metric", "left_semi").select("metric", "value")
                  .where(F.col("value").isNotNull()).distinct()

@@ -33,7 +33,8 @@ def main():
                      plan.count("BatchEvalPython") + plan.count("ArrowEvalPython")))
     out = ["# Plan shapes (sf0.001, generated by tools/plan_report.py)", "",
            "Counts in the final (adaptive) executed plan of each registered query (model fits excluded). Scans read the written "
-           "analysis table or small statistics files. `single` counts mentions of `SinglePartition` (two per exchange in the "
+           "analysis table, the written row-numbered tables of exact quantiles and orderings, or small statistics "
+           "files. Shuffles include those over tables bounded by groups × probabilities. `single` counts mentions of `SinglePartition` (two per exchange in the "
            "plan text): each is the final step of a global aggregate, whose input is one partial-aggregate row per map "
            "task, or the per-partition offsets of the row-number helper. No row-level data passes through a "
            "single task. `python` counts Python evaluation nodes (always 0: no UDFs).", "",
