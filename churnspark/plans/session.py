@@ -33,12 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder).  Only when
-    the session has neither – local tests – a scratch folder is created once per
-    application and registered with ``setCheckpointDir`` (``spark.checkpoint.dir`` is a
-    core setting and cannot be changed on a running session).
+    the session has neither *and runs in local mode* (tests, benchmarks) a scratch folder
+    is created once per application and registered with ``setCheckpointDir``
+    (``spark.checkpoint.dir`` is a core setting and cannot be changed on a running
+    session).  On a cluster an unset folder is an error: a machine-local folder would
+    scatter the written tables over executor disks that die with the executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach (HDFS/S3/ABFS); "
+                               "derived tables and row-number tables are written there")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="churnspark-")

@@ -1,5 +1,7 @@
 """The shared folder is read from the session and never set on a running one."""
 
+import pytest
+
 from churnspark.plans import session
 
 
@@ -17,8 +19,9 @@ class _Conf:
 class _Ctx:
     applicationId = "app-test"
 
-    def __init__(self):
+    def __init__(self, master):
         self.dir = None
+        self.master = master
 
     def getCheckpointDir(self):
         return self.dir
@@ -28,13 +31,21 @@ class _Ctx:
 
 
 class _Spark:
-    def __init__(self, value):
+    def __init__(self, value, master="local[8]"):
         self.conf = _Conf(value)
-        self.sparkContext = _Ctx()
+        self.sparkContext = _Ctx(master)
 
 
 def test_reads_configured_folder():
     assert session.shared_dir(_Spark("hdfs://nn/shared/")) == "hdfs://nn/shared"
+    assert session.shared_dir(_Spark("hdfs://nn/shared", master="yarn")) == "hdfs://nn/shared"
+
+
+def test_cluster_without_folder_is_an_error():
+    s = _Spark(None, master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(s)
+    assert s.sparkContext.dir is None
 
 
 def test_fallback_registered_once_when_unset():
