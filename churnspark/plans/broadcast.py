@@ -6,25 +6,38 @@ Two kinds of bound are used in this package:
   parameter table has a fixed number of rows, a GROUP BY over a fixed label set
   yields at most that many rows.  Those sides use :func:`one_row` / ``F.broadcast``
   directly and say so at the call site.
-* *checked*: for a dimension read from storage (nation, ZIP population) the row
-  count is checked with ``limit(max_rows + 1).count()`` – it never scans more than
-  ``max_rows + 1`` rows – and the broadcast hint is only added under the bound.
-  Above it the plain DataFrame is returned and Spark plans a shuffle join (AQE may
-  still convert it at run time from real statistics).
+* *checked*: for a dimension read from storage (nation, ZIP population) or a table
+  whose size depends on the cluster (per-partition offsets) the row count and the
+  byte size are checked in one job over ``limit(max_rows + 1)`` – it never reads
+  more than ``max_rows + 1`` rows.  Bytes = rows × 8 per fixed-width field plus the
+  exact UTF-8 length of every string value (+ 8 per value).  The broadcast hint is
+  only added under both bounds; above them the plain DataFrame is returned and
+  Spark plans a shuffle join (AQE may still convert it at run time).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes (measured, see module doc), else ``df``."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 8 * len(df.schema.fields)  # 8 per field (value or string offset/length)
+    sample = df.limit(max_rows + 1)
+    row = sample.agg(F.count(F.lit(1)).alias("n"),
+                     *[F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"_b{i}")
+                       for i, c in enumerate(strings)]).first()
+    n = row["n"]
+    size = n * fixed + sum(row[f"_b{i}"] for i in range(len(strings)))
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def one_row(df: DataFrame) -> DataFrame:

@@ -53,3 +53,11 @@ def test_fallback_registered_once_when_unset():
     d1 = session.shared_dir(s)
     assert s.sparkContext.dir == d1
     assert session.shared_dir(s) == d1
+
+
+def test_checked_broadcast_bounds_rows_and_bytes(spark):
+    from churnspark.plans.broadcast import checked_broadcast
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k int, s string")
+    assert checked_broadcast(df) is not df                  # 50 rows, ~50 kB: broadcast
+    assert checked_broadcast(df, max_rows=10) is df         # too many rows
+    assert checked_broadcast(df, max_bytes=10_000) is df    # 50 kB of strings > 10 kB
