@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import mixing, packing
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
+    "op9_mixing": mixing.op9_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
