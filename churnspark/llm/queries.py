@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, substring_dedup
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES: dict[str, str] = {
