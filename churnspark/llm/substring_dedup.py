@@ -32,26 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .spark import shuffle_partitions, table
+from .blocks import NO_ID, among, answers_to, block_count, bucket_count, in_blocks, mail_from
+from .spark import table
 
 WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # every residue modulo 13 is a difference of two of these
 ANCHOR = WINDOW - PERIOD + 1
-DOCS_PER_BLOCK = 512
-BLOCKS_PER_BUCKET = 24
-NO_ID = -2**63
-
-
-def block_count(rows: int, per_block: int = DOCS_PER_BLOCK) -> int:
-    """Odd number of blocks, so that ids with a common even factor still spread."""
-    return (rows // per_block) | 1
-
-
-def in_blocks(docs: DataFrame, text: str, key: str, blocks: int) -> DataFrame:
-    """Rows (block, key, text)."""
-    return docs.select(F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(blocks)).cast("int").alias("block"),
-                       F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
 
 class _Block:
@@ -81,33 +68,6 @@ class _Block:
                               & (self.count[self.of] >= window))
 
 
-def _mail(block: int, h: np.ndarray, buckets: int, **more: np.ndarray) -> pa.Table:
-    order, bound = textops.by_bucket(h, buckets)
-    full = np.flatnonzero(np.diff(bound))
-    cols = {"bucket": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32())}
-    for name, values in {"h": h, **more}.items():
-        values = values[order]
-        cols[name] = pa.array([textops.binary(values[bound[i]:bound[i + 1]]) for i in full], pa.binary())
-    return pa.table(cols)
-
-
-def _answers(block: np.ndarray, h: np.ndarray) -> pa.Table:
-    order = np.argsort(block, kind="stable")
-    block, h = block[order], h[order]
-    at = np.flatnonzero(np.diff(block, prepend=-1))
-    ends = np.append(at[1:], len(block))
-    return pa.table({"block": pa.array(block[at], pa.int32()),
-                     "h": pa.array([textops.binary(h[a:b]) for a, b in zip(at, ends)], pa.binary())})
-
-
-def _among(values: np.ndarray, answers: pa.Table) -> np.ndarray:
-    got, _ = textops.joined(answers.column("h"), np.uint64)
-    if not len(got):
-        return np.zeros(len(values), dtype=bool)
-    got.sort()
-    return got[np.minimum(np.searchsorted(got, values), len(got) - 1)] == values
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW,
                    period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """Rows (key, text, n_words, n_removed): each document's kept words, joined by one space."""
@@ -115,7 +75,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     if anchor < 1 or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("cover must be a difference cover modulo period, and period at most window")
     blocks = block_count(docs.count())
-    buckets = max(shuffle_partitions(docs.sparkSession), blocks // BLOCKS_PER_BUCKET)
+    buckets = bucket_count(docs.sparkSession, blocks)
     texts = in_blocks(docs, text, key, blocks)
     mail = T.StructType.fromDDL("bucket int, block int, h binary, twice binary")
     starts = T.StructType.fromDDL("bucket int, block int, h binary, key binary")
@@ -126,7 +86,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         b = _Block(rows)
         h = textops.windows(b.words.hash, b.anchors(window, period, cover, anchor), anchor)
         h, n = np.unique(h, return_counts=True)
-        return _mail(rows.column("block")[0].as_py(), h, buckets, twice=n > 1)
+        return mail_from(rows.column("block")[0].as_py(), h, buckets, twice=n > 1)
 
     def shared_anchors(rows: pa.Table) -> pa.Table:
         h, sizes = textops.joined(rows.column("h"), np.uint64)
@@ -135,14 +95,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         _, group, n = np.unique(h, return_inverse=True, return_counts=True)
         often = n > 1
         often[group[twice]] = True
-        return _answers(block[often[group]], h[often[group]])
+        return answers_to(block[often[group]], h[often[group]])
 
     def send_windows(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _mail(0, np.empty(0, np.uint64), 1, key=np.empty(0, np.int64))
+            return mail_from(0, np.empty(0, np.uint64), 1, key=np.empty(0, np.int64))
         b = _Block(rows)
         at = b.anchors(window, period, cover, anchor)
-        at = at[_among(textops.windows(b.words.hash, at, anchor), answers)]
+        at = at[among(textops.windows(b.words.hash, at, anchor), answers)]
         # windows around an anchor start up to period - 1 words before it
         around = np.zeros(len(b.place) + 1, dtype=np.int32)
         np.add.at(around, at - np.minimum(b.place[at], period - 1), 1)
@@ -150,7 +110,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         may = b.starts(window)
         may = may[np.cumsum(around[:-1])[may] > 0]
         h, first = np.unique(textops.windows(b.words.hash, may, window), return_index=True)
-        return _mail(rows.column("block")[0].as_py(), h, buckets, key=b.keys[b.of[may[first]]])
+        return mail_from(rows.column("block")[0].as_py(), h, buckets, key=b.keys[b.of[may[first]]])
 
     def later_windows(rows: pa.Table) -> pa.Table:
         h, sizes = textops.joined(rows.column("h"), np.uint64)
@@ -158,7 +118,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         block = np.repeat(rows.column("block").to_numpy(), sizes)
         order = np.lexsort((keys, h))
         later = order[1:][h[order[1:]] == h[order[:-1]]]  # all but the first block of a hash
-        return _answers(block[later], h[later])
+        return answers_to(block[later], h[later])
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -166,7 +126,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         b = _Block(rows)
         at = b.starts(window)
         h = textops.windows(b.words.hash, at, window)
-        later = _among(h, answers)
+        later = among(h, answers)
         again = np.ones(len(at), dtype=bool)
         again[np.unique(h, return_index=True)[1]] = False
         at = at[later | again]
