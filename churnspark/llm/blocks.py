@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
@@ -29,10 +29,11 @@ def block_count(rows: int, per_block: int = DOCS_PER_BLOCK) -> int:
     return (rows // per_block) | 1
 
 
-def in_blocks(docs: DataFrame, text: str, key: str, blocks: int) -> DataFrame:
-    """Rows (block, key, text)."""
+def in_blocks(docs: DataFrame, text: str, key: str, blocks: int, rest: Column | None = None) -> DataFrame:
+    """Rows (block, key, text), and ``rest`` if given."""
     return docs.select(F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(blocks)).cast("int").alias("block"),
-                       F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+                       F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"),
+                       *([] if rest is None else [rest.alias("rest")]))
 
 
 def mail_from(block: int, h: np.ndarray, buckets: int, **more: np.ndarray) -> pa.Table:

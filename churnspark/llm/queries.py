@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, substring_dedup
+from . import line_dedup, mixing, packing, substring_dedup
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
