@@ -17,8 +17,10 @@ the id and the text are ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ WIDTH = 8
 DEPTH = 3
 END_ID = 2
 DOCS_PER_BIN = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 2_000_000
 
 
 class _WordEncoder:
@@ -47,54 +49,62 @@ class _WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer = self.tokenizer.normalizer
+        self.lower = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self._clear()
 
+    @staticmethod
+    def of_this_worker(path: str) -> _WordEncoder:
+        """The encoder that earlier tasks of this Python worker have filled, or a new one."""
+        kept = sys.modules.setdefault("encoders_of_this_worker", ModuleType("encoders_of_this_worker")).__dict__
+        return kept.setdefault(path, None) or kept.update({path: _WordEncoder(path)}) or kept[path]
+
     def _clear(self) -> None:
-        self.code: dict[int, int] = {}
+        self.keys = np.empty(0, dtype=np.uint64)  # sorted
+        self.start = np.empty(0, dtype=np.int64)
+        self.size = np.empty(0, dtype=np.int32)
         self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        ids: list[list[int]] = []
-        for i in range(0, len(words), 4096):
-            part = words[i:i + 4096]
+    def _add(self, hashes: np.ndarray, place: np.ndarray, words: list[str]) -> None:
+        """Encodes the words and puts them into the sorted cache at ``place``."""
+        sizes, parts = [], []
+        for i in range(0, len(words), 8192):
+            part = words[i:i + 8192]
             whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            got, offsets = whole.ids, whole.offsets
-            # token -> word by where the token begins in the joined words
+            # a token belongs to the word in which it begins
             ends = np.cumsum([len(w) + 1 for w in part])
-            mine = np.searchsorted(ends, [o[0] for o in offsets], side="right")
-            cut = np.searchsorted(mine, np.arange(len(part) + 1))
-            ids += [got[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-        n = len(self.code)
+            begins = np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole))
+            sizes.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+            parts.append(np.array(whole.ids, dtype=np.uint32))
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(ids) > len(self.size):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.flat[self.used:self.used + len(flat)] = flat
-        self.start[n:n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n:n + len(ids)] = sizes
+        start = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.code.update(zip(hashes, range(n, n + len(ids))))
+        self.keys = np.insert(self.keys, place, hashes)
+        self.start = np.insert(self.start, place, start)
+        self.size = np.insert(self.size, place, size.astype(np.int32))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with the end token."""
-        words = textops.Words(texts)
+        # a tokenizer that lower-cases gives Word the ids of word; special tokens are matched before that
+        words = textops.Words(texts, lower=self.lower and not any(b"<|" in t for t in texts))
         seen, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.code) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self._clear()
-        keys = seen.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.code]
-        if new:
-            at = first[new]
-            data = words.buf.tobytes()
-            self._add([keys[i] for i in new],
-                      [data[a:b].decode("utf-8", "replace") for a, b in zip(words.start[at], words.end[at])])
-        code = np.fromiter((self.code[k] for k in keys), np.int64, len(keys))[inverse]
+        at = np.searchsorted(self.keys, seen)
+        known = np.zeros(len(seen), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == seen[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            data, w = words.buf.tobytes(), first[new]
+            self._add(seen[new], at[new], [data[a:b].decode("utf-8", "replace")
+                                           for a, b in zip(words.start[w].tolist(), words.end[w].tolist())])
+            at = np.searchsorted(self.keys, seen)
+        code = at[inverse]
         size = self.size[code]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(self.start[code], size)]
@@ -108,7 +118,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str =
                            T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _WordEncoder(tokenizer_path)
+        encoder = _WordEncoder.of_this_worker(tokenizer_path)
         for batch in batches:
             texts = textops.text_bytes(batch.column(1))
             for a, b in textops.slices(texts):
