@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, packing, substring_dedup
+from . import langid, line_dedup, mixing, near_dedup, packing, substring_dedup
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
+    "op2_language_id": langid.op2_language_id,
     "op6_minhash_dedup": near_dedup.op6_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
