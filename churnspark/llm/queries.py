@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, near_dedup, packing, substring_dedup
+from . import html_text, langid, line_dedup, mixing, near_dedup, packing, substring_dedup
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": langid.op2_language_id,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op6_minhash_dedup": near_dedup.op6_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
