@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, line_dedup, mixing, near_dedup, packing, substring_dedup
+from . import ann, html_text, langid, line_dedup, mixing, near_dedup, packing, substring_dedup, top_search
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": langid.op2_language_id,
     "op4_html_extraction": html_text.op4_html_extraction,
+    "op5_top_search": top_search.op5_top_search,
     "op6_minhash_dedup": near_dedup.op6_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_hash_prefix_forest": ann.op10_hash_prefix_forest,
 }
 ORACLES: dict[str, str] = {
+    "op5_top_search": top_search.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
