@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, langid, line_dedup, mixing, near_dedup, packing, substring_dedup, top_search
+from . import ann, html_text, langid, licenses, line_dedup, mixing, near_dedup, packing, substring_dedup, top_search
 from .spark import Query
 
 QUERIES: dict[str, Query] = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": langid.op2_language_id,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_top_search": top_search.op5_top_search,
     "op6_minhash_dedup": near_dedup.op6_minhash_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op10_hash_prefix_forest": ann.op10_hash_prefix_forest,
 }
 ORACLES: dict[str, str] = {
+    "op3_license_scan": licenses.OP3_SQL,
     "op5_top_search": top_search.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
