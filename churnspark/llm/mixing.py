@@ -17,7 +17,7 @@ Columns other than the id, the source and the text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spark import running_totals, table, words_column, written
@@ -31,10 +31,12 @@ CELLS = 4096
 PHI = 0.6180339887498949
 
 
-def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Rows (key, source, size), written once."""
+def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+          row: Column | None = None) -> DataFrame:
+    """Rows (key, source, size, row), written once; ``row`` tells repeated rows apart."""
+    row = F.monotonically_increasing_id() if row is None else row
     return written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"),
-                               words_column(text).alias("size")), "sizes")
+                               words_column(text).alias("size"), row.alias("row")), "sizes")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -99,15 +101,14 @@ def schedule(goal: DataFrame) -> DataFrame:
 
 def mix(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES,
         block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, takes) of rows (key, source, size).
+    """(documents, takes) of rows (key, source, size, row).
 
-    documents: a row per input row with ``row``, ``source_size`` and ``target``.  takes: rows (row, pass,
+    documents: a row per input row with ``source_size`` and ``target``.  takes: rows (row, pass,
     slot, word_from, word_to), the words of a document that a slot reads."""
     bins = max(64, sizes.count() // DOCS_PER_BIN)
     goal = written(quotas(targets(sizes, weights, max_passes), block_words, max_passes)
                    .unionByName(targets(sizes, weights, max_passes).where("source_size = 0"), True), "targets")
-    docs = written(sizes.withColumn("row", F.monotonically_increasing_id())
-                   .withColumn("deal", F.md5(F.col("key").cast("string")))
+    docs = written(sizes.withColumn("deal", F.md5(F.col("key").cast("string")))
                    .withColumn("bin", F.floor(F.coalesce(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long"), F.lit(0))
                                               * bins / F.lit(2.0 ** 32)))  # rises with deal
                    .join(goal, sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"]), "mixed")
@@ -125,6 +126,23 @@ def mix(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES,
     return docs.drop("deal", "bin", "blocks", "quota"), takes
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The documents that the mix reads: a row of ``docs`` for each pass over one, cut to the words read.
+
+    A pass reads the blocks of a source in their order, so the words that it takes of a document are a
+    run of words; a document that is read in part is cut there, and its words are joined by one space."""
+    row = F.monotonically_increasing_id()
+    _, takes = mix(sized(docs, key, source, text, row))
+    reads = takes.groupBy("row", "pass").agg(F.min("word_from").alias("_from"), F.max("word_to").alias("_to"))
+    reads = written(reads.withColumnsRenamed({"row": "_row", "pass": "_pass"}), "reads")
+    words = F.regexp_extract_all(F.col(f"d.`{text}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.col("_from") + 1, F.col("_to") - F.col("_from")), " ")
+    whole = (F.col("_from") == 0) & (F.col("_to") == words_column(f"d.`{text}`"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("_row"))
+    out = held.join(reads, "_row").withColumn("_text", F.when(whole, F.col(f"d.`{text}`")).otherwise(cut))
+    return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all ``documents`` takes."""
     docs, takes = mix(sized(table(spark, sf_dir, "documents")))
