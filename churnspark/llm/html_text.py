@@ -141,7 +141,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
                 if name == tag:
                     close(depth)
                     break
-                if is_block and (not block or tag == "p"):
+                if is_block and name not in ("option", "optgroup") and (not block or tag == "p"):
                     break  # a stray end tag
             continue
         if block:
@@ -286,7 +286,9 @@ def low_branches(pages: DataFrame, least: float = LEAST, enough: int = PAGES, ga
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the columns ``keep`` and text: the blocks of the article without the low branches."""
-    rows = written(parsed(pages, html, url, keep), "parsed")
+    held = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("held"),
+                        F.col(html).alias("html"), F.col(url).alias("url"))
+    rows = written(parsed(held, keep=("held",)), "parsed")
     low = written(low_branches(rows), "branches").withColumnRenamed("host", "_of")
     small = checked_broadcast(low, max_rows=100_000, max_bytes=16 << 20)
     if small is not low:  # a row per host with such branches, few enough
@@ -300,8 +302,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[
     rows = rows.withColumn("_left", F.expr(
         "if(low is null, _blocks, filter(_blocks, b -> not exists(split(low, '\\n'), "
         "p -> b.path = p or startswith(b.path, concat(p, '/')))))"))
-    return rows.select(*keep, F.expr("array_join(transform(if(size(_left) > 0, _left, _blocks), b -> b.text), '\\n\\n')")
-                       .alias("text"))
+    text = "array_join(transform(if(size(_left) > 0, _left, _blocks), b -> b.text), '\\n\\n')"
+    return rows.select(*[F.col("held").getField(c).alias(c) for c in keep], F.expr(text).alias("text"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
