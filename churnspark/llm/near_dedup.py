@@ -10,11 +10,13 @@ at least ``threshold``.  Documents with equal sets are one text from the start.
    ``values - MATCHES + 1`` of either (prefix filter): common values skip the merge.
 3. Links first: each posting list is linked to a few hubs, not to all pairs.  The pairs' agreeing
    coordinates are counted, and those with MATCHES are confirmed on the full sets.
-4. The lists are then merged again without what the links have joined already: pairs of one list that
-   lie in different components are counted and confirmed as well.  So a group of thousands of copies
-   costs a few links per copy, and no link between different components is lost.
+4. The lists are then merged again without what the links have joined already: pairs of one list in
+   different components are counted and confirmed as well; in long lists, only if sketches of SKETCH
+   one-bit minima allow it.  So a group of thousands of copies costs a few links per copy, texts that are almost near to
+   such a group are not listed with each member, and no link between different components is lost.
 
-At a similarity of 0.8 a pair misses MATCHES of COORDINATES with a probability below 1e-4.
+At a similarity of 0.8 a pair misses MATCHES of COORDINATES with a probability below 1e-4, and the bound
+of the sketches (3.5 standard deviations) with one of 2e-4.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are documents of the same set and
@@ -23,12 +25,12 @@ share a component; an empty table gives no row.  Columns other than the id and t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +41,8 @@ from .spark import components, table, written
 COORDINATES = 32
 MATCHES = 17
 HUBS = 4
+SKETCH = 4096
+LONG_LIST = 128
 THRESHOLD = 0.8
 _MULTIPLIER = (np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -90,6 +94,48 @@ def signatures(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _of_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, kind: str,
+             column: Callable[[list[np.ndarray]], pa.Array], name: str) -> DataFrame:
+    """Rows (rep, value): ``column`` of the shingle sets of the texts ``ids`` (rep), read from ``docs`` again."""
+    need = written(ids.distinct().join(reps.select("rep", "key", "print"), "rep")
+                   .select(F.col("key").alias("need"), "rep", "print"), f"{name}_of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = textops.text_bytes(batch.column(0))
+            for a, b in textops.slices(texts):
+                found = shingle_sets(texts[a:b], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in found], pa.binary()), column(found)],
+                                                 ["print", "value"])
+
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    # ids are broadcast if they are few enough, else joined by a shuffle
+    mine = texts.join(checked_broadcast(need.select("need").distinct()), F.col("key").eqNullSafe(F.col("need")), "left_semi")
+    values = (mine.select("text").mapInArrow(run, f"print binary, value {kind}")
+              .groupBy("print").agg(F.first("value").alias("value")))
+    return written(need.join(values, "print").select("rep", "value"), name)
+
+
+def _members(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([s.tobytes() for s in sets], pa.binary())
+
+
+def _bits(sets: list[np.ndarray]) -> pa.Array:
+    """One bit of each of SKETCH further minima, as 64-bit words."""
+    out = np.zeros((len(sets), SKETCH), dtype=bool)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        every = np.concatenate([sets[i] for i in full])
+        size = np.array([len(sets[i]) for i in full])
+        at = np.cumsum(size) - size
+        odd = (np.random.default_rng(12).integers(0, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        for j in range(SKETCH):
+            out[full, j] = np.minimum.reduceat(every * odd[j], at) >> np.uint64(24) & np.uint64(1)
+    words = np.packbits(out, axis=1).view(np.int64).reshape(len(sets), -1)
+    ends = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str, shingle: int,
                threshold: float) -> DataFrame:
     """The pairs (a, b) with enough equal coordinates and enough of their full sets in common."""
@@ -98,18 +144,10 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, ke
     counted = written(pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
                       .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
                       .where(agree >= MATCHES).select("a", "b"), "counted")
-    need = (counted.select(F.col("a").alias("rep")).union(counted.select("b")).distinct()
-            .join(reps.select("rep", "key", "print"), "rep"))
-    need = written(need.select(F.col("key").alias("need"), "rep", "print"), "need")
-    wanted = need.select("need").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = textops.text_bytes(batch.column(0))
-            for a, b in textops.slices(texts):
-                found = shingle_sets(texts[a:b], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in found], pa.binary()),
-                                                  pa.array([s.tobytes() for s in found], pa.binary())], ["print", "members"])
+    if counted.isEmpty():
+        return counted
+    ids = counted.select(F.col("a").alias("rep")).union(counted.select("b"))
+    members = _of_sets(ids, reps, docs, text, key, shingle, "binary", _members, "members")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,14 +158,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, ke
                 ok.append(100 * both >= round(100 * threshold) * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    # few documents have a partner: their ids are broadcast if they are few enough, else joined by a shuffle
-    mine = texts.join(checked_broadcast(wanted), F.col("key").eqNullSafe(F.col("need")), "left_semi")
-    members = (mine.select("text").mapInArrow(sets, "print binary, members binary")
-               .groupBy("print").agg(F.first("members").alias("members")))
-    members = written(need.join(members, "print").select("rep", "members"), "members")
-    both = (counted.join(members.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
-            .join(members.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b"))
+    both = (counted.join(members.select(F.col("rep").alias("a"), F.col("value").alias("ma")), "a")
+            .join(members.select(F.col("rep").alias("b"), F.col("value").alias("mb")), "b"))
     return written(both.select("a", "b", "ma", "mb").mapInArrow(similar, "a long, b long"), "links")
 
 
@@ -135,8 +167,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                     threshold: float = THRESHOLD) -> DataFrame:
     """Rows (key, n_shingles, component_id, kept): the smallest key of each component, whose first row is kept."""
     sig = written(signatures(docs, text, key, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    reps = (sig.where("n > 0").groupBy("print").agg(F.min(F.struct("row", "key", "n", "signature")).alias("s"))
-            .select("print", F.col("s.row").alias("rep"), "s.key", "s.n", "s.signature"))
+    first_row = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row"))
+    reps = (sig.where("n > 0").groupBy("print")
+            .agg(F.min(F.struct("row", "key", "n", "signature")).alias("s"), F.min(first_row).alias("least"))
+            .select("print", F.col("s.row").alias("rep"), "s.key", "s.n", "s.signature", "least"))
     reps = written(reps, "texts")
     value = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     posted = (reps.select("rep", "n", F.posexplode("signature")).select("rep", "n", value.alias("value")))
@@ -144,46 +178,78 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     prefix = (posted.join(common, "value")
               .groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("many", "value"))).alias("v"))  # at most COORDINATES
               .where(F.size("v") >= MATCHES)
-              .select("rep", "n", F.explode(F.slice("v", F.lit(1), F.size("v") - (MATCHES - 1))).alias("v"))
-              .select("rep", "n", F.col("v.value").alias("value")))
+              .select("rep", "n", F.size("v").alias("common"),
+                      F.slice(F.col("v.value"), F.lit(1), F.size("v") - (MATCHES - 1)).alias("v"))
+              .select("rep", "n", "common", "v", F.posexplode("v").alias("place", "value")))
+    # lists by value and band of set sizes: similar sets lie in one band or in two next to each other
+    band = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9)
+    prefix = (prefix.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+              .select("rep", "n", "common", "own", F.slice("v", F.lit(1), F.col("place")).alias("v"),  # the values before
+                      F.xxhash64("value", F.when(F.col("own"), band).otherwise(band + 1)).alias("list")))
     prefix = written(prefix, "prefix")
     percent = round(100 * threshold)
     a_size = F.lit(100) * F.least("n", "m") >= percent * F.greatest("n", "m")
 
-    hub = [F.min(F.struct(F.xxhash64("rep", F.lit(j)), "rep", "n")).alias(f"h{j}") for j in range(HUBS)]
-    hubs = written(prefix.groupBy("value").agg(F.count(F.lit(1)).alias("many"), *hub).where("many > 1"), "hubs")
-    linked = (prefix.join(hubs, "value")
+    # hubs are texts with the fewest values of their own: what has a partner in the list, has most likely one there
+    hub = [F.min(F.struct(-F.col("common"), F.xxhash64("rep", F.lit(j)), "rep", "n")).alias(f"h{j}") for j in range(HUBS)]
+    hubs = written(prefix.groupBy("list").agg(F.count(F.lit(1)).alias("many"), *hub).where("many > 1"), "hubs")
+    linked = (prefix.join(hubs, "list")
               .select("rep", "n", F.explode(F.array(*[F.struct(F.col(f"h{j}.rep"), F.col(f"h{j}.n").alias("m"))
                                                       for j in range(HUBS)])).alias("h"))
               .select("rep", "n", F.col("h.rep").alias("hub"), F.col("h.m").alias("m")).where("rep <> hub").where(a_size)
               .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     linked = written(linked, "pairs")
     first = _confirmed(linked, reps, docs, text, key, shingle, threshold)
-    joined = components(first)
 
     # what the links have not joined: pairs of one list in different components
-    member = (prefix.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
+    label = components(first).withColumnRenamed("id", "rep")
+    member = (prefix.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     member = written(member, "member")
-    open_lists = written(member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                         .where("low < high").select("value"), "open")
-    member = member.join(open_lists, "value")
-    x = member.select("value", F.col("rep").alias("a"), "n", F.col("component").alias("ca"))
-    y = member.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    rest = (x.join(y, "value").where("a < b and ca <> cb").where(a_size).select("a", "b").distinct()
-            .join(linked, ["a", "b"], "left_anti"))
-    second = _confirmed(written(rest, "rest"), reps, docs, text, key, shingle, threshold)
-    final = components(first.unionByName(second))
-
-    node = (sig.join(reps.select("print", "rep"), "print", "left")
-            .join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-            .select("row", "key", "n", F.coalesce("component", "rep", "row").alias("component")))
-    node = written(node, "nodes")
-    least = written(node.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("least"))
-                    .select("component", F.col("least.key").alias("component_id"), F.col("least.row").alias("kept_row")), "least")
-    return (node.join(least, "component")
-            .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id",
-                    (F.col("row") == F.col("kept_row")).alias("kept")))
+    lists = (member.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                        F.count(F.lit(1)).alias("many"))
+             .where("low < high").select("list", "many"))
+    member = written(member.join(written(lists, "open"), "list"), "open_members")
+    second = first
+    if not member.isEmpty():
+        # sketches for the texts of long lists; in short ones the signatures are enough
+        bits = _of_sets(member.where(F.col("many") > LONG_LIST).select("rep"), reps, docs, text, key, shingle,
+                        "array<bigint>", _bits, "sketches").withColumnRenamed("value", "bits")
+        member = member.join(bits, "rep", "left").join(reps.select("rep", "signature"), "rep")
+
+        def side(rep: str, n: str, mark: str) -> DataFrame:
+            return member.select(F.col("list").alias(f"list{mark}"), F.col("rep").alias(rep), F.col("n").alias(n),
+                                 *[F.col(c).alias(f"{c}{mark}") for c in ("own", "component", "v", "bits", "signature")])
+
+        # a pair is listed in the first list that both are in, and only if its sketches differ as little as
+        # those of similar sets (first four words of them, then all) and its signatures agree
+        fair = (1 - threshold) / 2
+
+        def close(words: int, deviations: float) -> Column:
+            x, y = (F.slice(f"bits{m}", 1, words) for m in "12")
+            differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+            most = 64 * words * fair + deviations * (64 * words * fair * (1 - fair)) ** 0.5
+            return F.coalesce(differ <= F.lit(int(most)), F.lit(True))
+
+        def word(i: int) -> Column:
+            return F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i))))
+
+        few = F.coalesce(word(0) + word(1) + word(2) + word(3) <= int(256 * fair + 4 * (256 * fair * (1 - fair)) ** 0.5), F.lit(True))
+        agree = F.size(F.filter(F.zip_with("signature1", "signature2", lambda p, q: p == q), lambda e: e)) >= MATCHES
+        near = ((F.col("list1") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component1") != F.col("component2"))
+                & (F.col("own1") | F.col("own2")) & a_size & few & ~F.arrays_overlap("v1", "v2")
+                & close(SKETCH // 64, 3.5) & agree)
+        rest = side("a", "n", "1").join(side("b", "m", "2"), near).select("a", "b").join(linked, ["a", "b"], "left_anti")
+        second = _confirmed(written(rest, "rest"), reps, docs, text, key, shingle, threshold)
+    joined = components(first.unionByName(second))
+
+    # the least (key, row) of each component, from its distinct texts
+    joined = written(joined.withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep"), "joined")
+    least = joined.groupBy("component").agg(F.min("least").alias("of_all"))
+    group = written(joined.select("rep", "component").join(least, "component").select("rep", "of_all"), "groups")
+    out = (sig.join(reps.select("print", "rep", "least"), "print", "left").join(group, "rep", "left")
+           .withColumn("of", F.coalesce("of_all", "least", first_row)))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("of.key").alias("component_id"),
+                      (F.col("row") == F.col("of.row")).alias("kept"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
