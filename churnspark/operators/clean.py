@@ -1,21 +1,20 @@
 """Cleaning, encoding and imputation.
 
-Statistics (means, modes) are computed as one small aggregate and joined back with
-a broadcast of that bounded table; nothing is collected to the driver.
+Statistics (means, modes, null counts) come from one pass over the table; one value per
+column is collected and becomes a literal of the next plan, so rows are read once more
+and never joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.broadcast import one_row
-from .stats import modes
-
 YES_NO_COLUMNS = ["partner", "dependents", "phone_service", "paperless_billing", "churn"]
 
 
@@ -39,35 +38,83 @@ def zero_new_customer_charges(df: DataFrame, col: str = "total_charges", tenure:
                                .otherwise(F.col(col)))
 
 
-def mean_impute(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Null → column mean.
+@dataclass(frozen=True)
+class Imputation:
+    """Fitted fill values: the mean of every numeric column, the mode (ties → smallest) of
+    every string column, and the numeric columns that had nulls.  One value per column."""
+    means: dict[str, float | None]
+    modes: dict[str, str | None]
+    had_nulls: frozenset[str]
+
+    def apply(self, df: DataFrame, everywhere: bool = False, all_null_value: str | None = None) -> DataFrame:
+        """Fill nulls; numeric columns that had nulls when fitted become double, as a column
+        with missing values is a float column in the reference.  ``everywhere`` fills and
+        widens every numeric column (new customers may lack what the fitted table had)."""
+        numeric = {c for c in self.means if c in df.columns and (everywhere or c in self.had_nulls)}
+
+        def column(c: str) -> F.Column:
+            if c in numeric:
+                return F.coalesce(F.col(c).cast("double"), F.lit(self.means[c]).cast("double")).alias(c)
+            if c in self.modes:
+                fill = self.modes[c] if self.modes[c] is not None else all_null_value
+                return F.coalesce(F.col(c), F.lit(fill).cast("string")).alias(c)
+            return F.col(c)
+        return df.select(*[column(c) for c in df.columns])
+
+    def table(self, spark) -> DataFrame:
+        """``(column_name, mean, mode, had_nulls)``, to be stored with a model."""
+        rows = [(c, v, None, c in self.had_nulls) for c, v in self.means.items()]
+        rows += [(c, None, v, False) for c, v in self.modes.items()]
+        return spark.createDataFrame(rows, "column_name string, mean double, mode string, had_nulls boolean")
+
+    @staticmethod
+    def from_table(df: DataFrame, numeric: Sequence[str]) -> Imputation:
+        rows = df.collect()  # one row per column
+        numeric = set(numeric)
+        return Imputation({r["column_name"]: r["mean"] for r in rows if r["column_name"] in numeric},
+                          {r["column_name"]: r["mode"] for r in rows if r["column_name"] not in numeric},
+                          frozenset(r["column_name"] for r in rows if r["had_nulls"]))
+
+
+def fit_imputation(df: DataFrame, numeric: Sequence[str] | None = None, strings: Sequence[str] | None = None) -> Imputation:
+    """Means, modes and null counts of all columns in **one** pass over ``df``.
+
+    String columns are exploded into (column, value) pairs and counted; the numeric columns
+    ride on the first pair of each row, so their sums come from the same partial aggregation.
+    The result, one row per column, is collected: it is the fitted state of the table."""
+    numeric = list(numeric) if numeric is not None else numeric_columns(df)
+    strings = list(strings) if strings is not None else string_columns(df)
+    if not numeric and not strings:
+        return Imputation({}, {}, frozenset())
+    first = [F.struct(F.lit(0).alias("k"), F.lit(None).cast("string").alias("v"),
+                      *[F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)])]
+    rest = [F.struct(F.lit(j + 1).alias("k"), F.col(c).alias("v"),
+                     *[F.lit(None).cast("double").alias(f"n{i}") for i in range(len(numeric))])
+            for j, c in enumerate(strings)]
+    pairs = df.select(F.explode(F.array(*first, *rest)).alias("p")).select("p.*")
+    sums = [x for i in range(len(numeric)) for x in (F.sum(f"n{i}").alias(f"s{i}"), F.count(f"n{i}").alias(f"c{i}"))]
+    counts = pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    top = F.min_by("v", F.when(F.col("v").isNotNull(), F.struct((-F.col("rows")).alias("a"), F.col("v").alias("b"))))
+    stats = counts.groupBy("k").agg(top.alias("mode"), F.sum("rows").alias("rows"),
+                                    *[F.sum(f"{x}{i}").alias(f"{x}{i}") for i in range(len(numeric)) for x in "sc"])
+    by = {r["k"]: r for r in stats.collect()}  # one row per string column and one for the numbers
+    zero = by.get(0)
+    means = {c: zero[f"s{i}"] / zero[f"c{i}"] if zero and zero[f"c{i}"] else None for i, c in enumerate(numeric)}
+    nulls = frozenset(c for i, c in enumerate(numeric) if zero and zero[f"c{i}"] < zero["rows"])
+    return Imputation(means, {c: by[j + 1]["mode"] if j + 1 in by else None for j, c in enumerate(strings)}, nulls)
+
 
-    Defaults to the fractional columns (pandas keeps an integer column without nulls
-    as int64; one with nulls is float64 – pass such integral columns explicitly, they
-    come back as double).
-    """
-    cols = list(cols) if cols is not None else numeric_columns(df, fractional_only=True)
-    if not cols:
-        return df
-    means = one_row(df.agg(*[F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(cols)]))
-    out = df.crossJoin(means)
-    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_mean_{cols.index(c)}")).alias(c)
-                        if c in cols else F.col(c) for c in df.columns])
+def mean_impute(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Null → column mean, for every numeric column (integer columns too) that has nulls;
+    those come back as double, the others unchanged."""
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    return fit_imputation(df, cols, []).apply(df) if cols else df
 
 
 def mode_impute(df: DataFrame, cols: Sequence[str] | None = None, all_null_value: str | None = None) -> DataFrame:
     """Null string → most frequent value (ties → smallest); all-null column → ``all_null_value``."""
     cols = list(cols) if cols is not None else string_columns(df)
-    if not cols:
-        return df
-    m = modes(df, cols)
-    # pivot the ≤ len(cols) mode rows into one row; broadcast (bounded by construction)
-    wide = one_row(m.groupBy().pivot("column_name", cols).agg(F.first("mode"))
-                     .select(*[F.col(c).alias(f"_mode_{i}") for i, c in enumerate(cols)]))
-    out = df.crossJoin(wide)
-    fill = (lambda c: F.coalesce(F.col(c), F.col(f"_mode_{cols.index(c)}"), F.lit(all_null_value))) \
-        if all_null_value is not None else (lambda c: F.coalesce(F.col(c), F.col(f"_mode_{cols.index(c)}")))
-    return out.select(*[fill(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return fit_imputation(df, [], cols).apply(df, all_null_value=all_null_value) if cols else df
 
 
 def zero_fill(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -150,7 +197,7 @@ USAGE_COLUMNS = ["avg_monthly_long_distance_charges", "avg_monthly_gb_download",
 def usage_metrics(crm: DataFrame) -> DataFrame:
     present = [c for c in USAGE_COLUMNS if c in crm.columns]
     if not present:
-        raise ValueError("Insufficient usage metrics found.")
+        raise ValueError(f"none of the usage columns {USAGE_COLUMNS} is present")
     return crm.select("customer_id", *present)
 
 
@@ -168,10 +215,11 @@ def segment_filter(df: DataFrame, definition: Mapping[str, object]) -> DataFrame
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
-def preprocess(df: DataFrame) -> DataFrame:
-    """Base preparation: coerce charges → zero new customers → mean → mode → Yes/No encoding."""
-    return (df.transform(coerce_total_charges)
-              .transform(zero_new_customer_charges)
-              .transform(mean_impute)
-              .transform(mode_impute)
-              .transform(encode_yes_no))
+def preprocess(df: DataFrame, imputation: Imputation | None = None) -> DataFrame:
+    """Base preparation: coerce charges → zero new customers → mean and mode → Yes/No encoding.
+
+    Without ``imputation`` the fill values come from ``df`` itself (one pass); with one, e.g. of
+    the table a model was trained on, every row is filled the same whatever else is in ``df``."""
+    x = df.transform(coerce_total_charges).transform(zero_new_customer_charges)
+    filled = imputation.apply(x, everywhere=True) if imputation else fit_imputation(x).apply(x)
+    return filled.transform(encode_yes_no)

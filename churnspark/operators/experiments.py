@@ -5,9 +5,9 @@ every segment of every segmentation ("All Customers" plus the five segment types
 is assigned at once, and every strategy of the parameter list is evaluated on it:
 
 * assignment: customers of a segment in order of (score rounded to 9 places,
-  customer id); every n-th (n = ⌊100 / pct⌋) goes to the test arm.  Row numbers come
-  from :func:`~churnspark.plans.ordering.group_row_number` – range-partitioned, so a
-  segment holding a third of the table is spread over many tasks;
+  customer id); every n-th (n = ⌊100 / pct⌋) goes to the test arm.  Customers are sorted
+  once by ranges and numbered inside each range and segment, so a segment holding a
+  third of the table is spread over many tasks;
 * per (segment, arm) statistics are one GROUP BY; the per-strategy "treated" counts
   are conditional aggregates (one column per strategy of the *literal* parameter
   list), so rows are not multiplied by the number of strategies;
@@ -16,6 +16,7 @@ is assigned at once, and every strategy of the parameter list is evaluated on it
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bins
 from ..functions.numeric import two_sided_p
-from ..plans.ordering import group_row_number
+from ..plans.broadcast import checked_broadcast
+from ..plans.lineage import materialize
+from ..plans.ordering import tagged_order
 
 CHURN = "churn_flag"
 
@@ -96,14 +99,36 @@ def experiment_sizes(scored: DataFrame, p: ExperimentParams = DEFAULT) -> DataFr
 def assign_systematic(scored: DataFrame, p: ExperimentParams = DEFAULT) -> DataFrame:
     """0-based position in (round(p, 9), customer_id) order within each segment; every
     n-th position is in the test arm."""
-    # only the columns the experiment reads travel through the range shuffle
-    carry = [c for c in ("customer_id", "churn_probability", CHURN, "monthly_charges", "clv") if c in scored.columns]
-    seg = segments(scored).select(*SEG, *carry)
-    numbered = group_row_number(seg, SEG, [F.round("churn_probability", 9), F.col("customer_id")], out="_rn")
-    pos = F.col("_rn") - 1
-    return (numbered.withColumn("position", pos)
-                    .withColumn("arm", F.when(pos % p.every_nth == 0, "test").otherwise("control"))
-                    .drop("_rn"))
+    x = scored.withColumn("tenure_year_label", bins.tenure_year_label("tenure_group")) \
+        if "tenure_group" in scored.columns else scored
+    x = x.withColumn("_all", F.lit("All Customers"))
+    present = [(t, c or "_all") for t, c in AB_SEGMENTATIONS if c is None or c in x.columns]
+    # one row per customer travels through the range shuffle, with the columns the
+    # experiment reads; segments are exploded only in the output
+    carry = [c for c in ("customer_id", "churn_probability", CHURN, "monthly_charges", "clv") if c in x.columns]
+    tagged = tagged_order(x.select(*carry, *[F.col(c).cast("string").alias(f"_v{i}") for i, (_, c) in enumerate(present)]),
+                          [F.round("churn_probability", 9), F.col("customer_id")])
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("v")) for i in range(len(present))]))
+    per = (tagged.select("_part", pairs.alias("s")).select("_part", "s.i", "s.v").where(F.col("v").isNotNull())
+           .groupBy("_part", "i", "v").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("i", "v").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("_part").alias("_p2"), "i", "v", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
+    per = materialize(per, f"assignment_parts_{uuid.uuid4().hex}", small=True)  # partitions × segments rows
+    # numbers inside a range partition: the windows share the partitioning by _part
+    inside = {f"_n{i}": F.row_number().over(Window.partitionBy("_part", f"_v{i}").orderBy("_pos")) - 1
+              for i in range(len(present))}
+    names = F.array(*[F.lit(t) for t, _ in present])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("v"), F.col(f"_n{i}").alias("n"))
+                               for i in range(len(present))]))
+    long = (tagged.repartition("_part").withColumns(inside).select("_part", *carry, rows.alias("s"))
+            .select("_part", *carry, F.col("s.i").alias("_i"), F.col("s.v").alias("segment_value"), F.col("s.n").alias("_n"))
+            .where(F.col("segment_value").isNotNull()))
+    pos = F.col("_off") + F.col("_n")
+    return (long.join(checked_broadcast(per), (F.col("_part") == F.col("_p2")) & (F.col("_i") == F.col("i"))
+                      & (F.col("segment_value") == F.col("v")))
+                .select(F.element_at(names, F.col("_i") + 1).alias("segment_type"), "segment_value", *carry,
+                        pos.alias("position"),
+                        F.when(pos % p.every_nth == 0, "test").otherwise("control").alias("arm")))
 
 
 def _arm_stats(assigned: DataFrame, p: ExperimentParams) -> DataFrame:
@@ -207,7 +232,7 @@ def experiment_financials(effect: DataFrame, p: ExperimentParams = DEFAULT) -> D
     x = x.withColumn("total_clv_saved", F.col("clv_saved_per_customer") * F.col("test_churns_baseline"))
     tc = F.col("total_cost")
     return x.withColumns({
-        "clv_roi": (F.col("total_clv_saved") - tc) / tc * F.lit(100.0),
+        "clv_roi": F.try_divide(F.col("total_clv_saved") - tc, tc) * F.lit(100.0),
         "roi": F.when(tc > 0, (F.col("annual_revenue_saved") - tc) / tc * F.lit(100.0)).otherwise(F.lit(0.0)),
         "test_period_roi": F.when(tc > 0, (F.col("test_period_revenue_saved") - tc) / tc * F.lit(100.0))
                             .otherwise(F.lit(0.0)),
@@ -323,16 +348,19 @@ def recommendation_tier(fin: DataFrame) -> DataFrame:
     return fin.select(*KEY, "roi", tier.alias("recommendation"))
 
 
-# The reference's warning texts.
-WARN_BREAKEVEN = "Strategy will not break even during the test period, but shows positive long-term ROI."
-WARN_SIGNIFICANCE = "Results are not statistically significant. Consider increasing sample size or test duration."
+# Own wording.
+WARN_BREAKEVEN = "Loses money during the test period, but the yearly ROI is positive."
+WARN_SIGNIFICANCE = "Not statistically significant: use a larger sample or a longer test."
 WARN_LIFT = "Low relative lift"
 
 
 def experiment_warnings(fin_z: DataFrame) -> DataFrame:
+    days = F.concat(F.lit("About "), F.round("estimated_days_to_significance").cast("bigint").cast("string"),
+                    F.lit(" days of testing are needed for significance."))
     arr = F.array_compact(F.array(
         F.when((F.col("test_period_roi") <= 0) & (F.col("roi") > 0), F.lit(WARN_BREAKEVEN)),
         F.when(~F.col("is_significant"), F.lit(WARN_SIGNIFICANCE)),
+        F.when(~F.col("is_significant") & F.col("estimated_days_to_significance").isNotNull(), days),
         F.when(F.col("relative_lift") < 10, F.lit(WARN_LIFT))))
     return fin_z.select(*KEY, F.explode(arr).alias("warning"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bins
 from ..functions.numeric import clamp01
-from .clean import coerce_total_charges, mode_impute, zero_fill
+from .clean import (Imputation, coerce_total_charges, fit_imputation, mode_impute, preprocess, string_columns,
+                    zero_fill)
 
 SERVICES = ["online_security", "online_backup", "device_protection", "tech_support", "streaming_tv",
             "streaming_movies"]
@@ -88,13 +89,24 @@ def has_referrals(df: DataFrame, col: str = "number_of_referrals") -> DataFrame:
     return df.withColumn("has_referrals", F.coalesce(F.col(col) > 0, F.lit(False)).cast("int"))
 
 
-def engineer_features(df: DataFrame) -> DataFrame:
-    """Base feature step: service → financial → tenure/contract → zero-fill → mode-fill."""
-    return (df.transform(service_features)
-              .transform(financial_features)
-              .transform(tenure_contract_features)
-              .transform(zero_fill)
-              .transform(lambda d: mode_impute(d, all_null_value="Unknown")))
+def engineer_features(df: DataFrame, strings_filled: bool = False) -> DataFrame:
+    """Base feature step: service → financial → tenure/contract → zero-fill → mode-fill.
+
+    After :func:`~.clean.preprocess` (``strings_filled``) only all-null columns can still hold
+    a null; they become "Unknown" without another statistics pass."""
+    out = (df.transform(service_features)
+             .transform(financial_features)
+             .transform(tenure_contract_features)
+             .transform(zero_fill))
+    if strings_filled:
+        return out.na.fill("Unknown")
+    return mode_impute(out, all_null_value="Unknown")
+
+
+def prepare_customers(df: DataFrame, imputation: Imputation | None = None) -> DataFrame:
+    """Raw subscriptions → model features: preprocess and engineer, in training, for new
+    tables and on streams alike."""
+    return engineer_features(preprocess(df, imputation), strings_filled=True)
 
 
 def engineer_additional_features(df: DataFrame) -> DataFrame:
@@ -113,7 +125,9 @@ def engineer_additional_features(df: DataFrame) -> DataFrame:
     if "tenure" in out.columns:
         out = out.withColumns({"tenure_months": F.col("tenure"), "tenure_group": bins.tenure_code("tenure")})
     out = contract_risk_two_vocab(out)
-    return out.transform(zero_fill).transform(lambda d: mode_impute(d, all_null_value="Unknown"))
+    # the steps above change no string column but total_charges: modes come from the input
+    strings = [c for c in string_columns(out) if c in df.columns]
+    return fit_imputation(df, [], strings).apply(out.transform(zero_fill), all_null_value="Unknown")
 
 
 def revenue_per_service(df: DataFrame) -> DataFrame:

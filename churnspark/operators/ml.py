@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bins
-from ..plans.ordering import global_row_number, group_row_number
+from ..plans.broadcast import checked_broadcast
+from ..plans.ordering import group_row_number, group_running_sum
 from .clean import drop_identifier_columns, mean_impute, mode_impute
 
 LABEL = "churn_flag"
@@ -80,14 +81,18 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
     """Reproducible stratified split: within each class, rows ordered by
     md5("seed|key"); the first ⌊fraction·n_class + ½⌋ are the test set."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    numbered, sizes = group_row_number(df.withColumn("_h", h), [label], [F.col("_h"), F.col(key)], out="_rn",
-                                       with_sizes=True)
-    # class sizes from the numbering's per-partition table, not a second pass over the rows
-    n = sizes.select(label, F.col("group_size").alias("_n"))
-    cut = F.floor(F.col("_n") * F.lit(test_fraction) + F.lit(0.5))
-    return (numbered.join(F.broadcast(n), label)  # one row per class
-                    .withColumn("split", F.when(F.col("_rn") <= cut, "test").otherwise("train"))
-                    .drop("_h", "_rn", "_n"))
+    # only (class, hash, key) travels through the ordering; one row per class, the last
+    # test row, comes back, and the wide rows are compared with it where they are
+    narrow = df.select(F.col(label).alias("_l"), h.alias("_h"), F.col(key).alias("_k"))
+    numbered, sizes = group_row_number(narrow, ["_l"], [F.col("_h"), F.col("_k")], out="_rn", with_sizes=True)
+    cut = sizes.select(F.col("_l").alias("_cl"), F.floor(F.col("group_size") * F.lit(test_fraction) + F.lit(0.5))
+                       .cast("bigint").alias("_cut"))
+    last = (numbered.join(checked_broadcast(cut), F.col("_l").eqNullSafe(F.col("_cl")) & (F.col("_rn") == F.col("_cut")))
+                    .select("_cl", F.struct("_h", "_k").alias("_last")))
+    test = F.coalesce(F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_last"), F.lit(False))
+    return (df.join(checked_broadcast(last), F.col(label).eqNullSafe(F.col("_cl")), "left")
+              .withColumn("split", F.when(test, "test").otherwise("train"))
+              .drop("_cl", "_last"))
 
 
 def balanced_class_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -100,28 +105,32 @@ def balanced_class_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
     w = balanced_class_weight(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)  # ≤ number of classes rows
+    return df.join(checked_broadcast(w), label)  # one row per class
 
 
 # ---------------------------------------------------------------- evaluation
 def roc_auc(scored: DataFrame, score: str = "churn_probability", label: str = LABEL,
             key: str = "customer_id") -> DataFrame:
-    """Exact area under the ROC curve, one row ``auc``.
+    """Exact area under the ROC curve, one row ``auc``; null with one class only or no row.
 
-    Rank-sum (Mann–Whitney) with average ranks for tied scores: rows are numbered in
-    score order (distributed), each distinct score gets its first rank and count, and
-    AUC = (Σ over positives of the average rank − P(P+1)/2) / (P·N).
+    Rank-sum (Mann–Whitney) with average ranks for tied scores.  Rows are first counted
+    per distinct score (partial aggregation); running counts over the distinct scores give
+    each its first rank, and AUC = (Σ over positives of the average rank − P(P+1)/2) / (P·N).
     """
-    s = scored.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"), key)
-    numbered = global_row_number(s, [F.col("_s"), F.col(key)], out="_rn")
-    per_score = numbered.groupBy("_s").agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_c"),
-                                          F.sum("_y").alias("_pos"))
-    avg_rank = F.col("_first").cast("double") + (F.col("_c").cast("double") - F.lit(1.0)) / F.lit(2.0)
-    agg = per_score.agg(F.sum(F.col("_pos") * avg_rank).alias("_rs"), F.sum("_pos").cast("double").alias("_p"),
-                        F.sum("_c").cast("double").alias("_t"))
+    per_score = (scored.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"))
+                 .groupBy("_s").agg(F.count(F.lit(1)).alias("_c"), F.sum("_y").alias("_ones")))
+    running, _ = group_running_sum(per_score, [], [F.col("_s")], "_c", out="_before")
+    avg_rank = F.col("_before").cast("double") + (F.col("_c").cast("double") + F.lit(1.0)) / F.lit(2.0)
+    agg = running.agg(F.sum(F.col("_ones") * avg_rank).alias("_rs"), F.sum("_ones").cast("double").alias("_p"),
+                      F.sum("_c").cast("double").alias("_t"))
     n_neg = F.col("_t") - F.col("_p")
-    return agg.select(((F.col("_rs") - F.col("_p") * (F.col("_p") + F.lit(1.0)) / F.lit(2.0))
-                       / (F.col("_p") * n_neg)).alias("auc"))
+    return agg.select(F.try_divide(F.col("_rs") - F.col("_p") * (F.col("_p") + F.lit(1.0)) / F.lit(2.0),
+                                   F.col("_p") * n_neg).alias("auc"))
+
+
+def _ratio(a: F.Column, b: F.Column) -> F.Column:
+    """0 where nothing was predicted or nothing is there, so averages stay numbers."""
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
 def classification_metrics(scored: DataFrame, score: str = "churn_probability", label: str = LABEL,
@@ -133,11 +142,10 @@ def classification_metrics(scored: DataFrame, score: str = "churn_probability",
                    F.sum(((pred == 1) & (y == 0)).cast("int")).alias("fp"),
                    F.sum(((pred == 0) & (y == 1)).cast("int")).alias("fn"),
                    F.count(F.lit(1)).alias("n"), F.sum((pred == y).cast("int")).alias("correct"))
-    prec = F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double"))
-    rec = F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double"))
-    return c.select((F.col("correct") / F.col("n")).alias("accuracy"), prec.alias("precision"),
-                    rec.alias("recall"),
-                    F.try_divide(F.lit(2.0) * prec * rec, prec + rec).alias("f1"))
+    prec = _ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double"))
+    rec = _ratio(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double"))
+    return c.select(F.try_divide(F.col("correct"), F.col("n")).alias("accuracy"), prec.alias("precision"),
+                    rec.alias("recall"), _ratio(F.lit(2.0) * prec * rec, prec + rec).alias("f1"))
 
 
 def classification_report(scored: DataFrame, score: str = "churn_probability", label: str = LABEL,
@@ -151,22 +159,21 @@ def classification_report(scored: DataFrame, score: str = "churn_probability", l
     rows = []
     for k in (0, 1):
         tp, fp, fn = F.col(f"p{k}y{k}"), F.col(f"p{k}y{1 - k}"), F.col(f"p{1 - k}y{k}")
-        pr = F.try_divide(tp, tp + fp)
-        rc = F.try_divide(tp, tp + fn)
-        rows.append((str(k), pr, rc, F.try_divide(F.lit(2.0) * pr * rc, pr + rc), tp + fn))
+        pr, rc = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+        rows.append((str(k), pr, rc, _ratio(F.lit(2.0) * pr * rc, pr + rc), tp + fn))
     per = c.select(*[e.alias(f"{n}_{r}") for r, pr, rc, f1, sup in rows
                      for n, e in (("precision", pr), ("recall", rc), ("f1", f1), ("support", sup))],
-                   ((F.col("p0y0") + F.col("p1y1")) / (F.col("p0y0") + F.col("p0y1") + F.col("p1y0")
-                                                      + F.col("p1y1"))).alias("accuracy"))
+                   F.try_divide(F.col("p0y0") + F.col("p1y1"), F.col("p0y0") + F.col("p0y1") + F.col("p1y0")
+                                + F.col("p1y1")).alias("accuracy"))
     stack = []
     for r in ("0", "1"):
         stack.append(f"'{r}', precision_{r}, recall_{r}, f1_{r}, support_{r}")
     stack.append("'accuracy', cast(null as double), cast(null as double), accuracy, support_0 + support_1")
     stack.append("'macro avg', (precision_0 + precision_1) / 2, (recall_0 + recall_1) / 2, (f1_0 + f1_1) / 2, "
                  "support_0 + support_1")
-    stack.append("'weighted avg', (precision_0 * support_0 + precision_1 * support_1) / (support_0 + support_1), "
-                 "(recall_0 * support_0 + recall_1 * support_1) / (support_0 + support_1), "
-                 "(f1_0 * support_0 + f1_1 * support_1) / (support_0 + support_1), support_0 + support_1")
+    stack.append("'weighted avg', try_divide(precision_0 * support_0 + precision_1 * support_1, support_0 + support_1), "
+                 "try_divide(recall_0 * support_0 + recall_1 * support_1, support_0 + support_1), "
+                 "try_divide(f1_0 * support_0 + f1_1 * support_1, support_0 + support_1), support_0 + support_1")
     return per.select(F.expr(f"stack({len(stack)}, {', '.join(stack)}) as (label, precision, recall, f1_score, "
                              f"support)"))
 

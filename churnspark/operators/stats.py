@@ -4,11 +4,13 @@ Spark's exact ``percentile``/``median``/``mode`` keep a value→count map per gr
 and merge all of them in one final task: fine for a few hundred distinct values,
 not for a continuous column over billions of rows.  Here
 
-* quantiles come from ranks: values are numbered in sort order with
-  :func:`~churnspark.plans.ordering.group_row_number` (range-partitioned, no single
-  task), only the two neighbouring ranks of each requested probability are kept,
-  and numpy's default linear interpolation ``v[lo] + (v[hi] − v[lo])·frac`` with
-  ``h = (n − 1)·p`` is applied – the same edges pandas ``quantile``/``qcut`` use;
+* quantiles come from the distinct values: ``GROUP BY value`` counts first (partial
+  aggregation removes ties on the map side, so a value that a third of all rows have is
+  one row), running counts over the sorted distinct values
+  (:func:`~churnspark.plans.ordering.group_running_sum`) then say which value holds a
+  rank; only the two neighbouring ranks of each probability are kept, and numpy's
+  default linear interpolation ``v[lo] + (v[hi] − v[lo])·frac`` with ``h = (n − 1)·p``
+  is applied – the same edges pandas ``quantile``/``qcut`` use;
 * modes come from a distributed ``GROUP BY value`` count followed by a top-1 per
   column (ties → smallest value).
 
@@ -23,28 +25,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import group_row_number
+from ..plans.broadcast import checked_broadcast
+from ..plans.ordering import group_running_sum
 
 
-def _neighbour_ranks(df: DataFrame, value: str, probs: Sequence[float], gg: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """``(group…, _v, _n)``: the distinct values of ``value`` as doubles and their counts; nulls ignored."""
+    return (df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _neighbour_ranks(counts: DataFrame, probs: Sequence[float], gg: Sequence[str]) -> DataFrame:
     """Rows ``(gg…, p, _is_lo, _frac, _v)``: for each group and probability the values at
-    the two ranks around ``h = (n − 1)·p`` (≤ 2·groups·probs rows); nulls ignored."""
-    v = df.select(*gg, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    numbered, sizes = group_row_number(v, gg, [F.col("_v")], out="_rn", with_sizes=True)
-    # wanted ranks per (group, p): floor(h)+1 and floor(h)+2 (1-based), from the small
-    # per-partition table; each tagged with its role (lower / upper neighbour)
+    the two ranks around ``h = (n − 1)·p`` (≤ 2·groups·probs rows), from value counts."""
+    running, totals = group_running_sum(counts, gg, [F.col("_v")], "_n", out="_before")
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    wanted = (sizes.select(*gg, F.col("group_size").alias("_n"), ps)
-                   .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
-                   .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-                   .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n")))
-                   .withColumn("_frac", F.col("_h") - F.floor("_h")))
+    wanted = (totals.select(*gg, F.col("group_total").alias("_t"), ps)
+                    .withColumn("_h", (F.col("_t") - 1).cast("double") * F.col("p"))
+                    .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
+                    .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_t")))
+                    .withColumn("_frac", F.col("_h") - F.floor("_h")))
     roles = F.explode(F.array(F.struct(F.col("_lo").alias("_rn"), F.lit(True).alias("_is_lo")),
                               F.struct(F.col("_hi").alias("_rn"), F.lit(False).alias("_is_lo")))).alias("_r")
-    # ≤ 2·groups·probs rows: broadcast (bounded by construction)
-    need = F.broadcast(wanted.select(*gg, "p", "_frac", roles).select(*gg, "p", "_frac", "_r._rn", "_r._is_lo"))
-    # one pass over the numbered rows keeps only those ranks
-    return numbered.join(need, [*gg, "_rn"]).select(*gg, "p", "_is_lo", "_frac", "_v")
+    # 2·groups·probs rows: the groups are the caller's, so the size is checked
+    need = checked_broadcast(wanted.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(gg)], "p", "_frac", roles)
+                                   .select(*[f"_g{i}" for i in range(len(gg))], "p", "_frac", "_r._rn", "_r._is_lo"))
+    cond = (F.col("_before") < F.col("_rn")) & (F.col("_rn") <= F.col("_before") + F.col("_n"))
+    for i, c in enumerate(gg):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return running.join(need, cond).select(*gg, "p", "_is_lo", "_frac", "_v")
 
 
 def _interpolate(lo: F.Column, hi: F.Column, frac: F.Column) -> F.Column:
@@ -64,7 +73,7 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], group: Seq
                    .drop("_i"))
     gg = g or ["_g"]
     src = df if g else df.withColumn("_g", F.lit(0))
-    kept = _neighbour_ranks(src, value, plist, gg)
+    kept = _neighbour_ranks(value_counts(src, value, gg), plist, gg)
     lo, hi = F.col("_is_lo"), ~F.col("_is_lo")
     res = (kept.groupBy(*gg, "p")
                .agg(_interpolate(F.max(F.when(lo, F.col("_v"))), F.max(F.when(hi, F.col("_v"))),
@@ -83,17 +92,22 @@ def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float], group: Seq
         return long.groupBy(*g).agg(*aggs) if g else long.agg(*aggs)
     gg = g or ["_g"]
     src = df if g else df.withColumn("_g", F.lit(0))
-    kept = _neighbour_ranks(src, value, plist, gg)
+    return quantiles_of_counts(value_counts(src, value, gg), plist, g, prefix)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], group: Sequence[str], prefix: str = "q") -> DataFrame:
+    """:func:`quantiles_wide` of a table of value counts ``(group… or _g, _v, _n)``."""
+    kept = _neighbour_ranks(counts, list(probs), list(group) or ["_g"])
     # the kept ranks go straight to one row per group (one aggregation, no long form)
     aggs = []
-    for i, p in enumerate(plist):
+    for i, p in enumerate(probs):
         at = F.col("p") == p
         aggs.append(_interpolate(F.max(F.when(at & F.col("_is_lo"), F.col("_v"))),
                                  F.max(F.when(at & ~F.col("_is_lo"), F.col("_v"))),
                                  F.max(F.when(at, F.col("_frac")))).alias(f"{prefix}{i}"))
     # without groups: a global aggregate, so an empty / all-null column still gives its
     # one row (of nulls) to the callers that cross-join it
-    return kept.groupBy(*g).agg(*aggs) if g else kept.agg(*aggs)
+    return kept.groupBy(*group).agg(*aggs) if group else kept.agg(*aggs)
 
 
 def median_of(df: DataFrame, value: str, out: str = "median", approx: bool = False) -> DataFrame:

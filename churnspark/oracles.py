@@ -549,7 +549,7 @@ fin0 as (select *, monthly_revenue_test * adjusted_rate * (test_churn_rate_basel
 fin as (select *, monthly_revenue_saved*12.0 as annual_revenue_saved,
   monthly_revenue_saved * (90/30.0) as test_period_revenue_saved,
   clv_saved_per_customer * test_churns_baseline as total_clv_saved,
-  (clv_saved_per_customer * test_churns_baseline - total_cost) / total_cost * 100.0 as clv_roi,
+  (clv_saved_per_customer * test_churns_baseline - total_cost) / nullif(total_cost, 0) * 100.0 as clv_roi,
   case when total_cost > 0 then (monthly_revenue_saved*12.0 - total_cost) / total_cost * 100.0 else 0.0 end as roi,
   case when total_cost > 0 then (monthly_revenue_saved*(90/30.0) - total_cost) / total_cost * 100.0 else 0.0 end
     as test_period_roi from fin0),
@@ -644,9 +644,12 @@ select {KEYS}, roi, case when roi > 50 then 'Strong Recommendation' when roi > 2
 oracle("experiment_warnings", _x(f"""
 select {KEYS}, w as warning from (
   select {KEYS}, case when test_period_roi <= 0 and roi > 0 then
-    'Strategy will not break even during the test period, but shows positive long-term ROI.' end as w from days
+    'Loses money during the test period, but the yearly ROI is positive.' end as w from days
   union all select {KEYS}, case when not is_significant then
-    'Results are not statistically significant. Consider increasing sample size or test duration.' end from days
+    'Not statistically significant: use a larger sample or a longer test.' end from days
+  union all select {KEYS}, case when not is_significant and estimated_days_to_significance is not null then
+    'About ' || cast(cast(round(estimated_days_to_significance) as bigint) as varchar)
+    || ' days of testing are needed for significance.' end from days
   union all select {KEYS}, case when relative_lift < 10 then 'Low relative lift' end from days) where w is not null"""))
 
 
@@ -670,29 +673,29 @@ select churn_flag, count(*) as class_count,
 oracle("roc_auc", with_views("""
 select (sum(case when churn_flag = 1 then cast(rk as double) + (cast(c as double) - 1.0) / 2.0 end)
         - sum(cast(churn_flag as double)) * (sum(cast(churn_flag as double)) + 1.0) / 2.0)
-       / (sum(cast(churn_flag as double)) * (count(*) - sum(cast(churn_flag as double)))) as auc
+       / nullif(sum(cast(churn_flag as double)) * (count(*) - sum(cast(churn_flag as double))), 0.0) as auc
 from (select churn_flag, rank() over (order by churn_probability) as rk,
   count(*) over (partition by churn_probability) as c from analysis)"""))
 oracle("classification_metrics", with_views("""
-select cast(correct as double) / n as accuracy,
-  case when tp + fp = 0 then null else cast(tp as double) / (tp + fp) end as precision,
-  case when tp + fn = 0 then null else cast(tp as double) / (tp + fn) end as recall,
-  case when tp + fp = 0 or tp + fn = 0 then null
-    else 2.0 * (cast(tp as double)/(tp+fp)) * (cast(tp as double)/(tp+fn))
-       / ((cast(tp as double)/(tp+fp)) + (cast(tp as double)/(tp+fn))) end as f1
+select cast(correct as double) / n as accuracy, precision, recall,
+  coalesce(2.0 * precision * recall / nullif(precision + recall, 0.0), 0.0) as f1
+from (select correct, n, coalesce(cast(tp as double) / nullif(tp + fp, 0), 0.0) as precision,
+  coalesce(cast(tp as double) / nullif(tp + fn, 0), 0.0) as recall
 from (select sum(case when churn_probability >= 0.5 and churn_flag = 1 then 1 else 0 end) as tp,
   sum(case when churn_probability >= 0.5 and churn_flag = 0 then 1 else 0 end) as fp,
   sum(case when churn_probability < 0.5 and churn_flag = 1 then 1 else 0 end) as fn,
   count(*) as n, sum(case when (churn_probability >= 0.5) = (churn_flag = 1) then 1 else 0 end) as correct
-  from analysis)"""))
+  from analysis))"""))
 REPORT_CTES = """
 c as (select cast(sum(case when churn_probability > 0.5 and churn_flag = 1 then 1 else 0 end) as double) as tp1,
   cast(sum(case when churn_probability > 0.5 and churn_flag = 0 then 1 else 0 end) as double) as fp1,
   cast(sum(case when churn_probability <= 0.5 and churn_flag = 1 then 1 else 0 end) as double) as fn1,
   cast(sum(case when churn_probability <= 0.5 and churn_flag = 0 then 1 else 0 end) as double) as tn1 from analysis),
-k as (select tn1/(tn1+fn1) as p0, tn1/(tn1+fp1) as r0, tp1/(tp1+fp1) as p1, tp1/(tp1+fn1) as r1,
-  tn1+fp1 as s0, tp1+fn1 as s1, (tp1+tn1)/(tp1+tn1+fp1+fn1) as acc from c),
-f as (select *, 2.0*p0*r0/(p0+r0) as f0, 2.0*p1*r1/(p1+r1) as f1 from k)"""
+k as (select coalesce(tn1/nullif(tn1+fn1, 0), 0.0) as p0, coalesce(tn1/nullif(tn1+fp1, 0), 0.0) as r0,
+  coalesce(tp1/nullif(tp1+fp1, 0), 0.0) as p1, coalesce(tp1/nullif(tp1+fn1, 0), 0.0) as r1,
+  tn1+fp1 as s0, tp1+fn1 as s1, (tp1+tn1)/nullif(tp1+tn1+fp1+fn1, 0) as acc from c),
+f as (select *, coalesce(2.0*p0*r0/nullif(p0+r0, 0.0), 0.0) as f0, coalesce(2.0*p1*r1/nullif(p1+r1, 0.0), 0.0) as f1
+  from k)"""
 oracle("classification_report", with_views("""
 select '0' as label, p0 as precision, r0 as recall, f0 as f1_score, s0 as support from f
 union all select '1', p1, r1, f1, s1 from f

@@ -52,6 +52,58 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     return group_row_number(df, [], order, out=out, num_partitions=num_partitions)
 
 
+def _tagged(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], num_partitions: int | None):
+    """Range-partitioned, sorted and written rows with ``_part`` and ``_pos``; the key columns."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # order expressions are evaluated once into columns: an expression key (e.g. a
+    # rounded double) would otherwise be re-evaluated inside every sort comparison
+    exprs = [*[F.col(c) for c in group], *_cols(order)]
+    keys = [f"_ok{i}" for i in range(len(exprs))]
+    cols = [F.col(k) for k in keys]
+    ranged = (df.withColumns(dict(zip(keys, exprs)))
+                .repartitionByRange(n, *cols)
+                .sortWithinPartitions(*cols)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftright(F.col("_mid"), 33))
+                .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+                .drop("_mid"))
+    return materialize(ranged, f"rownum_{uuid.uuid4().hex}"), keys
+
+
+def tagged_order(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None = None) -> DataFrame:
+    """Written rows of ``df`` with ``_part`` (range partition, in order) and ``_pos`` (place in it)."""
+    tagged, keys = _tagged(df, [], order, num_partitions)
+    return tagged.drop(*keys)
+
+
+def group_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], weight: str,
+                      out: str = "before", num_partitions: int | None = None):
+    """``(rows, totals)``: ``out`` is the sum of ``weight`` over the rows of the group before a
+    row in ``order`` (a total order within the group); totals has ``(group…, group_total)``.
+
+    Meant for tables of *distinct* values with a count: however many rows share a value,
+    it is one row here, so neither a hot group nor a hot value gathers in one task."""
+    g = list(group)
+    tagged, keys = _tagged(df, g, order, num_partitions)
+    gk = keys[:len(g)]
+    per = tagged.groupBy("_part", *gk).agg(F.sum(weight).alias("_sum"))
+    w = Window.partitionBy(*gk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_goff", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
+    per = materialize(per, f"rownum_parts_{uuid.uuid4().hex}", small=True)  # ≤ partitions × groups rows
+    p = checked_broadcast(per.select(F.col("_part").alias("_p2"), *[F.col(k).alias(f"{k}_2") for k in gk], "_goff"))
+    cond = F.col("_part") == F.col("_p2")
+    for k in gk:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    inside = Window.partitionBy("_part", *gk).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (tagged.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+                  .join(p, cond).withColumn(out, F.col("_goff") + F.col("_in"))
+                  .drop("_part", "_pos", "_p2", "_goff", "_in", *keys, *[f"{k}_2" for k in gk]))
+    totals = per.groupBy(*gk).agg(F.sum("_sum").alias("group_total")).select(
+        *[F.col(k).alias(c) for k, c in zip(gk, g)], "group_total")
+    return rows, totals
+
+
 def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                      out: str = "row_number", num_partitions: int | None = None, with_sizes: bool = False):
     """1-based row number within each group, ordered by ``order`` (a total order).
@@ -66,22 +118,8 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
     With ``with_sizes`` the group sizes (one row per group, from the same small
     table) are returned as well: ``(numbered, sizes)``.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group)
-    # order expressions are evaluated once into columns: an expression key (e.g. a
-    # rounded double) would otherwise be re-evaluated inside every sort comparison
-    exprs = [*[F.col(c) for c in g], *_cols(order)]
-    keys = [f"_ok{i}" for i in range(len(exprs))]
-    cols = [F.col(k) for k in keys]
-    ranged = (df.withColumns(dict(zip(keys, exprs)))
-                .repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_part", F.shiftright(F.col("_mid"), 33))
-                .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-                .drop("_mid"))
-    tagged = materialize(ranged, f"rownum_{uuid.uuid4().hex}")
+    tagged, keys = _tagged(df, g, order, num_partitions)
     gk = keys[:len(g)]
     per = tagged.groupBy("_part", *gk).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*gk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

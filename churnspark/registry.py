@@ -225,7 +225,7 @@ def q_has_referrals(spark, sf):
 
 @query("engineer_features")
 def q_engineer(spark, sf):
-    return base(spark, sf).transform(clean.preprocess).transform(features.engineer_features)
+    return features.prepare_customers(base(spark, sf))
 
 
 @query("engineer_additional_features")

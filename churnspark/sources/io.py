@@ -95,7 +95,7 @@ def read_enhanced(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         return df
     if "customer_status" in df.columns:
         return target_from_status(df)
-    raise ValueError("Target variable 'churn' not found in dataset!")
+    raise ValueError("the table has neither a churn column nor a customer_status to derive it from")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
