@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import bins
 from ..plans.broadcast import one_row
 from ..plans.lineage import materialize
-from .stats import quantiles_wide
+from .stats import quantiles_of_counts, quantiles_wide
 
 QUARTILE_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 # The reference's usage-level label sets.
@@ -65,6 +65,25 @@ def _number_text(c: F.Column, integral: bool) -> F.Column:
     return c.cast("bigint").cast("string") if integral else c.cast("string")
 
 
+def _usage_rows(df: DataFrame, metrics: Sequence[str], extra: Sequence[str]) -> tuple[DataFrame, dict[str, bool]]:
+    """``(extra…, metric, value)`` rows of the present metrics, and which of them are integral."""
+    present = [m for m in metrics if m in df.columns
+               and isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType))]
+    integral = {m: isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType)) for m in present}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                                for m in present])).alias("mv")
+    return df.select(*extra, pairs).select(*extra, "mv.metric", "mv.value"), integral
+
+
+def usage_counts(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, flag: str = "churn_flag") -> DataFrame:
+    """``(metric, value, customers, churned)``, written once: one scan of the customers, and
+    everything else about the usage groups (bounds, ranks, quartiles, churn) reads this table."""
+    long, _ = _usage_rows(df, metrics, [flag])
+    return materialize(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("customers"),
+                                                           F.sum(F.col(flag).cast("bigint")).alias("churned")),
+                       f"usage_counts_{uuid.uuid4().hex}")
+
+
 def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str = "customer_id",
                 extra: Sequence[str] = ("churn_flag",), approx: bool = False) -> DataFrame:
     """Long table ``(key, extra…, metric, value, usage_level)`` with the reference's
@@ -78,34 +97,37 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
     ``approx=True`` takes the quartile edges from ``percentile_approx`` (one pass, no
     ordering) instead of the exact distributed ranks.
     """
-    present = [m for m in metrics if m in df.columns
-               and isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType))]
-    integral = {m: isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType)) for m in present}
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                                for m in present])).alias("mv")
-    long = df.select(key, *extra, pairs).select(key, *extra, "mv.metric", "mv.value")
-
-    # "fit": per-metric basics (one row per metric) and value ranks of the small metrics
-    # (≤ 10 rows each) are written once as tiny tables in the shared folder, so
-    # the final pass reads them instead of re-deriving them from the big table in every
-    # branch of the plan (5 scans of the source instead of ~18)
-    tag = uuid.uuid4().hex
-    basic = materialize(long.groupBy("metric").agg(F.countDistinct("value").alias("_nu"),
-                                                   F.min("value").alias("_mn"), F.max("value").alias("_mx")),
-                        f"usage_basic_{tag}", small=True)
-    # exact quartiles only for the metrics that use them (> 10 distinct values)
-    wide_metrics = F.broadcast(basic.where(F.col("_nu") > 10).select("metric"))
-    qs = quantiles_wide(long.join(wide_metrics, "metric", "left_semi"), "value", QUARTILE_PROBS,
-                        group=["metric"], prefix="_q", approx=approx)
-    # both sides have one row per metric (bounded by the metric list); the quartile
-    # branch reads the written, numbered table once, inside this broadcast
+    rows, integral = _usage_rows(df, metrics, [key, *extra])
+    flag = extra[0] if extra else key
+    return with_usage_level(rows, usage_counts(df, metrics, flag), integral, rows if approx else None)
+
+
+def usage_level_counts(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, flag: str = "churn_flag",
+                       approx: bool = False) -> DataFrame:
+    """``(metric, value, customers, churned, usage_level)`` per distinct value, without going back to the customers."""
+    rows, integral = _usage_rows(df, metrics, [])
+    counts = usage_counts(df, metrics, flag)
+    return with_usage_level(counts, counts, integral, rows if approx else None)
+
+
+def with_usage_level(rows: DataFrame, counts: DataFrame, integral: dict[str, bool], sample: DataFrame | None = None) -> DataFrame:
+    """Add ``usage_level`` to ``(…, metric, value)`` rows by the statistics of ``counts``."""
+    present = list(integral)
+    # one row per metric of the fixed metric list
+    basic = counts.groupBy("metric").agg(F.count("value").alias("_nu"), F.min("value").alias("_mn"), F.max("value").alias("_mx"))
+    wide = counts.join(F.broadcast(basic.where(F.col("_nu") > 10).select("metric")), "metric", "left_semi")
+    wide = wide.where(F.col("value").isNotNull())
+    if sample is not None:
+        qs = quantiles_wide(sample, "value", QUARTILE_PROBS, group=["metric"], prefix="_q", approx=True)
+    else:
+        qs = quantiles_of_counts(wide.select("metric", F.col("value").alias("_v"), F.col("customers").alias("_n")),
+                                 QUARTILE_PROBS, ["metric"], "_q")
     stats = F.broadcast(basic.join(F.broadcast(qs), "metric", "left"))
-    small_metrics = F.broadcast(basic.where(F.col("_nu") <= 10).select("metric"))
-    small = (long.join(small_metrics, "metric", "left_semi").select("metric", "value")
-                 .where(F.col("value").isNotNull()).distinct()
-                 .withColumn("_rk", F.row_number().over(Window.partitionBy("metric").orderBy("value")) - 1))
-    small = F.broadcast(materialize(small, f"usage_ranks_{tag}", small=True))
-    x = long.join(stats, "metric").join(small, ["metric", "value"], "left")
+    # at most 10 distinct values of each of the other metrics
+    small = (counts.join(F.broadcast(basic.where(F.col("_nu") <= 10).select("metric")), "metric", "left_semi")
+                   .where(F.col("value").isNotNull()).select("metric", "value")
+                   .withColumn("_rk", F.row_number().over(Window.partitionBy("metric").orderBy("value")) - 1))
+    x = rows.join(stats, "metric").join(F.broadcast(small), ["metric", "value"], "left")
 
     v = F.col("value")
     two = F.when(v == F.col("_mn"), F.concat(F.lit("Low ("), F.col("_mn_txt"), F.lit(")"))) \
@@ -133,5 +155,4 @@ def usage_group(df: DataFrame, metrics: Sequence[str] = USAGE_METRICS, key: str
               .when(F.col("_nu") <= 10, cyc)
               .when(_strictly_increasing(qnames), qcut)
               .otherwise(ew))
-    return (x.where(F.col("_nu") > 1).withColumn("usage_level", level)
-             .select(key, *extra, "metric", "value", "usage_level"))
+    return x.where(F.col("_nu") > 1).withColumn("usage_level", level).select(*rows.columns, "usage_level")

@@ -62,17 +62,16 @@ class Imputation:
         return df.select(*[column(c) for c in df.columns])
 
     def table(self, spark) -> DataFrame:
-        """``(column_name, mean, mode, had_nulls)``, to be stored with a model."""
-        rows = [(c, v, None, c in self.had_nulls) for c, v in self.means.items()]
-        rows += [(c, None, v, False) for c, v in self.modes.items()]
-        return spark.createDataFrame(rows, "column_name string, mean double, mode string, had_nulls boolean")
+        """``(column_name, kind, mean, mode, had_nulls)``, to be stored with a model."""
+        rows = [(c, "mean", v, None, c in self.had_nulls) for c, v in self.means.items()]
+        rows += [(c, "mode", None, v, False) for c, v in self.modes.items()]
+        return spark.createDataFrame(rows, "column_name string, kind string, mean double, mode string, had_nulls boolean")
 
     @staticmethod
-    def from_table(df: DataFrame, numeric: Sequence[str]) -> Imputation:
+    def from_table(df: DataFrame) -> Imputation:
         rows = df.collect()  # one row per column
-        numeric = set(numeric)
-        return Imputation({r["column_name"]: r["mean"] for r in rows if r["column_name"] in numeric},
-                          {r["column_name"]: r["mode"] for r in rows if r["column_name"] not in numeric},
+        return Imputation({r["column_name"]: r["mean"] for r in rows if r["kind"] == "mean"},
+                          {r["column_name"]: r["mode"] for r in rows if r["kind"] == "mode"},
                           frozenset(r["column_name"] for r in rows if r["had_nulls"]))
 
 
@@ -215,11 +214,18 @@ def segment_filter(df: DataFrame, definition: Mapping[str, object]) -> DataFrame
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
+def fit_preprocessing(df: DataFrame) -> Imputation:
+    """The fill values that :func:`preprocess` takes from ``df``; identifiers are never filled."""
+    x = df.transform(coerce_total_charges).transform(zero_new_customer_charges)
+    return fit_imputation(x, [c for c in numeric_columns(x) if not c.lower().endswith("id")])
+
+
 def preprocess(df: DataFrame, imputation: Imputation | None = None) -> DataFrame:
     """Base preparation: coerce charges → zero new customers → mean and mode → Yes/No encoding.
 
     Without ``imputation`` the fill values come from ``df`` itself (one pass); with one, e.g. of
     the table a model was trained on, every row is filled the same whatever else is in ``df``."""
-    x = df.transform(coerce_total_charges).transform(zero_new_customer_charges)
-    filled = imputation.apply(x, everywhere=True) if imputation else fit_imputation(x).apply(x)
+    x = df.transform(coerce_total_charges) if "total_charges" in df.columns else df
+    x = zero_new_customer_charges(x) if "total_charges" in df.columns else x
+    filled = imputation.apply(x, everywhere=True) if imputation else fit_preprocessing(df).apply(x)
     return filled.transform(encode_yes_no)

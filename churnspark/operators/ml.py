@@ -2,7 +2,7 @@
 
 * One-hot encoding keeps the reference's ``get_dummies(drop_first=True)`` meaning:
   levels sorted alphabetically, the first dropped, null → all zero.  The vocabulary
-  is learned once (``StringIndexer`` fit, alphabetical) and stored with the model, so
+  is learned once (a distributed distinct, bounded per column) and stored with the model, so
   scoring any table – one customer or a billion – aligns by construction (absent
   level → 0, unknown level → all zero).
 * Dummies are native ``CASE`` columns fed to a ``VectorAssembler``; no Python UDF.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from ..functions import bins
 from ..plans.broadcast import checked_broadcast
 from ..plans.ordering import group_row_number, group_running_sum
-from .clean import drop_identifier_columns, mean_impute, mode_impute
+from .clean import Imputation, drop_identifier_columns, fit_imputation
+from .features import prepare_customers
 
 LABEL = "churn_flag"
 
@@ -40,14 +41,30 @@ class Vocabulary:
         return [f"{c}_{lvl}" for c, lv in self.levels.items() for lvl in lv[1:]]
 
 
-def fit_vocabulary(df: DataFrame, cols: list[str]) -> Vocabulary:
-    """Alphabetical levels of each column (``StringIndexer`` fit; its label arrays are
-    bounded by the columns' cardinality)."""
+MAX_LEVELS = 1000
+
+
+def fit_vocabulary(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> Vocabulary:
+    """Alphabetical levels of each column, from a distributed distinct.
+
+    A column with more than ``max_levels`` levels is an error that names it (a key or a free text
+    was taken for a category): nothing is dropped, and no more than that reaches the driver."""
     if not cols:
         return Vocabulary({})
-    model = StringIndexer(inputCols=cols, outputCols=[f"_{c}_idx" for c in cols],
-                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    return Vocabulary({c: list(lv) for c, lv in zip(cols, model.labelsArray)})
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("level")) for c in cols]))
+    levels = df.select(pairs.alias("p")).select("p.*").where(F.col("level").isNotNull()).distinct()
+    levels = levels.persist()
+    try:
+        wide = [(r["c"], r["count"]) for r in levels.groupBy("c").count().where(F.col("count") > max_levels).collect()]
+        if wide:
+            raise ValueError("too many levels for one-hot encoding (limit "
+                             f"{max_levels}): " + ", ".join(f"{c} has {n}" for c, n in sorted(wide)))
+        found: dict[str, list[str]] = {c: [] for c in cols}
+        for r in levels.collect():  # at most max_levels per column
+            found[r["c"]].append(r["level"])
+    finally:
+        levels.unpersist()
+    return Vocabulary({c: sorted(v) for c, v in found.items()})
 
 
 def one_hot_columns(vocab: Vocabulary) -> list[F.Column]:
@@ -217,6 +234,7 @@ def retention_recommendations(df: DataFrame, score: str = "churn_probability") -
 class FeatureSpec:
     vocab: Vocabulary
     numeric: list[str]
+    imputation: Imputation
 
     @property
     def names(self) -> list[str]:
@@ -224,25 +242,30 @@ class FeatureSpec:
 
 
 def prepare_modeling_data(df: DataFrame, label: str = LABEL, key: str = "customer_id") -> tuple[DataFrame, FeatureSpec]:
-    """Drop target/key/id columns, impute (mean / mode / "Unknown"), learn the one-hot
-    vocabulary; returns the table (key, label, features…) and the feature spec."""
+    """Drop target/key/id columns, learn fill values (mean / mode / "Unknown") and the one-hot
+    vocabulary; returns the table (key, label, features…) and the feature spec, whose fill
+    values are the first stage of the fitted pipeline."""
     feats = drop_identifier_columns(df.drop(label), target=label, key=key)
     cat = [f.name for f in feats.schema.fields if isinstance(f.dataType, T.StringType)]
     num = [f.name for f in feats.schema.fields if isinstance(f.dataType, T.NumericType)]
-    base = df.select(key, label, *feats.columns).transform(lambda d: mean_impute(d, num)) \
-             .transform(lambda d: mode_impute(d, cat, all_null_value="Unknown"))
-    vocab = fit_vocabulary(base, cat)
-    return base, FeatureSpec(vocab, num)
+    imputation = fit_imputation(df, num, cat)
+    base = df.select(key, label, *feats.columns)
+    filled = imputation.apply(base, all_null_value="Unknown")
+    return base, FeatureSpec(fit_vocabulary(filled, cat), num, imputation)
 
 
 def feature_pipeline(spec: FeatureSpec) -> list:
     """Stages that turn a raw table into ``features``: dummies (SQL) + assembler."""
     dummies = ", ".join(f"CASE WHEN `{c}` = '{lvl.replace(chr(39), chr(39) * 2)}' THEN 1 ELSE 0 END AS `{c}_{lvl}`"
                         for c, lv in spec.vocab.levels.items() for lvl in lv[1:])
-    nums = ", ".join(f"COALESCE(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`" for c in spec.numeric)
+    def literal(v) -> str:
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    fills = [f"COALESCE(CAST(`{c}` AS DOUBLE), {float(spec.imputation.means.get(c) or 0.0)!r}D) AS `{c}`" for c in spec.numeric]
+    fills += [f"COALESCE(`{c}`, {literal(spec.imputation.modes.get(c) or 'Unknown')}) AS `{c}`" for c in spec.vocab.levels]
+    filled = [*spec.numeric, *spec.vocab.levels]
     sql = f"SELECT *, {dummies} FROM __THIS__" if dummies else "SELECT * FROM __THIS__"
-    fill = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in spec.numeric)}), {nums} "
-                                    f"FROM __THIS__") if spec.numeric else None
+    fill = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in filled)}), {', '.join(fills)} "
+                                    f"FROM __THIS__") if filled else None
     stages = [s for s in (fill, SQLTransformer(statement=sql)) if s is not None]
     stages.append(VectorAssembler(inputCols=spec.names, outputCol="features", handleInvalid="keep"))
     return stages
@@ -274,9 +297,38 @@ def score_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Probability of class 1 and the (right-closed) risk segment, no UDF."""
     out = model.transform(df)
     p = vector_to_array(F.col("probability")).getItem(1)
-    keep = [c for c in df.columns]
-    return out.select(*keep, p.alias("churn_probability")).withColumn("risk_segment",
-                                                                       bins.risk_segment("churn_probability"))
+    scored = out.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), p.alias("churn_probability"))
+    return scored.select("row.*", "churn_probability").withColumn("risk_segment", bins.risk_segment("churn_probability"))
+
+
+# ---------------------------------------------------------------- scoring raw customers
+def prepare_new_customers(df: DataFrame, imputation: Imputation) -> DataFrame:
+    """Features of customers as the single-customer form has them: total charges = monthly ×
+    tenure, everything missing filled with the values of the training table.  Per-row
+    expressions only, so one customer, a table and a stream get the same features."""
+    total = (F.col("monthly_charges") * F.col("tenure")).cast("string")
+    return prepare_customers(df.withColumn("total_charges", total), imputation)
+
+
+@dataclass
+class ChurnModel:
+    """A fitted pipeline with the fill values of the table it was trained on."""
+    pipeline: PipelineModel
+    imputation: Imputation
+
+    def score(self, raw: DataFrame) -> DataFrame:
+        """Scores of raw customers: the same for a customer alone and in any table."""
+        return score_churn(self.pipeline, prepare_new_customers(raw, self.imputation))
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.getActiveSession()
+        self.imputation.table(spark).write.mode("overwrite").parquet(f"{path}/imputation")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ChurnModel:
+        return ChurnModel(PipelineModel.load(f"{path}/pipeline"),
+                          Imputation.from_table(spark.read.parquet(f"{path}/imputation")))
 
 
 def feature_importance(model: PipelineModel, spec: FeatureSpec, top: int = 15) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins
 from ..plans.broadcast import one_row
-from .binning import population_quartiles, usage_group
+from .binning import population_quartiles, usage_level_counts
 from .features import revenue_per_service
 
 CHURN = "churn_flag"
@@ -84,8 +84,11 @@ def churn_by_population(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def churn_by_usage(df: DataFrame, approx: bool = False) -> DataFrame:
-    return (usage_group(df, approx=approx).where(F.col("usage_level").isNotNull())
-            .groupBy("metric", "usage_level").agg(churn_rate(), customer_count())
+    """Churn % and count per usage level, summed from the distinct values of each metric."""
+    return (usage_level_counts(df, approx=approx).where(F.col("usage_level").isNotNull())
+            .groupBy("metric", "usage_level")
+            .agg((F.sum("churned").cast("double") / F.sum("customers") * F.lit(100.0)).alias("churn_rate"),
+                 F.sum("customers").alias("customer_count"))
             .orderBy("metric", F.col("churn_rate").desc()))
 
 

@@ -721,3 +721,4 @@ union all select customer_id, 'Bundle additional services at discount' from anal
   where churn_probability > 0.5 and total_services <= 2
 union all select customer_id, 'Regular satisfaction checks' from analysis where not (churn_probability > 0.5)
 union all select customer_id, 'Loyalty rewards program' from analysis where not (churn_probability > 0.5)"""))
+oracle("scoring_agreement", with_fixtures("select customer_id, true as same_score from base"))

@@ -1,41 +1,26 @@
 """Scoring customers as their files arrive (the batch scoring operator on a stream).
 
 The reference scores customers one at a time from a form; ``batch_customer_scoring``
-scores whole tables.  Here the same feature steps and fitted pipeline run over a
-Structured Streaming file source: each micro-batch is a DataFrame, transformed with
-the stateless feature functions and the fitted ``PipelineModel``, and appended to a
-parquet sink.  Progress and the sink's commit log live under the shared checkpoint
+scores whole tables.  Here the same ``ChurnModel.score`` runs over a Structured
+Streaming file source: its features are per-row expressions with the fill values of the
+training table, so a customer's score does not depend on its micro-batch.  Scores are
+appended to a parquet sink.  Progress and the sink's commit log live under the shared checkpoint
 folder, so a restarted query (or lost executors) resumes without duplicates.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import bins
-from ..operators import clean, features
-from ..operators.ml import score_churn
+from ..operators.ml import ChurnModel
 
 
-def prepare_new_customers(df: DataFrame) -> DataFrame:
-    """Per-row feature steps only (no table-wide statistics), so they apply to any
-    micro-batch: total charges = monthly × tenure as in the single-customer form."""
-    return (df.withColumn("total_charges", F.col("monthly_charges") * F.col("tenure"))
-              .transform(clean.encode_yes_no)
-              .transform(features.service_features)
-              .transform(features.financial_features)
-              .transform(features.tenure_contract_features)
-              .withColumn("tenure_group", F.coalesce(F.col("tenure_group"), F.lit(0)))
-              .withColumn("contract_risk_factor", F.coalesce(F.col("contract_risk_factor"), F.lit(0))))
-
-
-def start_scoring_stream(spark: SparkSession, source_dir: str, schema, model: PipelineModel, sink_dir: str,
+def start_scoring_stream(spark: SparkSession, source_dir: str, schema, model: ChurnModel, sink_dir: str,
                          checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    scored = (score_churn(model, prepare_new_customers(stream))
+    scored = (model.score(stream)
               .withColumn("risk_category", bins.risk_category_point("churn_probability"))
               .select("customer_id", "churn_probability", "risk_segment", "risk_category"))
     w = (scored.writeStream.format("parquet").option("path", sink_dir)

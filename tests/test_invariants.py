@@ -74,14 +74,27 @@ def test_strategy_catalog_is_broadcast(spark, sf_small):
 
 
 def test_one_row_scoring_equals_batch(spark, sf_small):
+    """Raw rows with nulls score the same alone, in the table and after saving the model."""
     import __spark_entry__ as E
-    from churnspark.registry import _model_table, _trained
-    split, spec = _model_table(spark, sf_small)
-    model = _trained(spark, sf_small, "logistic_regression")
-    batch = M.score_churn(model, split).orderBy("customer_id").limit(3).collect()
-    for r in batch:
-        one = M.score_churn(model, split.where(F.col("customer_id") == r.customer_id)).first()
-        assert one.churn_probability == pytest.approx(r.churn_probability)
+    from churnspark.plans.session import table_path
+    from churnspark.registry import _churn_model
+    from churnspark.sources import fixtures
+    model = _churn_model(spark, sf_small)
+    raw = fixtures.base_subscriptions(spark, sf_small).drop("churn", "total_charges")
+    holes = raw.withColumns({
+        "tenure": F.when(F.col("customer_id") != 114, F.col("tenure")),
+        "contract": F.when(F.col("customer_id") != 152, F.col("contract")),
+        "monthly_charges": F.when(F.col("customer_id") != 182, F.col("monthly_charges"))})
+    ids = [114, 152, 182]
+    batch = {r.customer_id: r.churn_probability for r in model.score(holes).where(F.col("customer_id").isin(ids)).collect()}
+    assert set(batch) == set(ids) and all(p is not None for p in batch.values())
+    path = table_path(spark, "test_churn_model")
+    model.save(path)
+    again = M.ChurnModel.load(spark, path)
+    for i in ids:
+        one = holes.where(F.col("customer_id") == i)
+        assert model.score(one).first().churn_probability == batch[i]
+        assert again.score(one).first().churn_probability == batch[i]
     assert E.entry(spark).count() > 0
 
 
