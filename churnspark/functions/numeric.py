@@ -47,13 +47,3 @@ def two_sided_p(z: str | Column) -> Column:
     for a in reversed(AS_A[:4]):
         poly = poly * t + F.lit(a)
     return poly * t * F.exp(-x * x)
-
-
-def two_sided_p_sql(z: str) -> str:
-    """The same polynomial as SQL text (for the DuckDB oracles)."""
-    x = f"(abs({z})/sqrt(2.0))"
-    t = f"(1.0/(1.0+{AS_P}*{x}))"
-    poly = f"{AS_A[4]}"
-    for a in reversed(AS_A[:4]):
-        poly = f"(({poly})*{t}+({a}))"
-    return f"(({poly})*{t}*exp(-{x}*{x}))"

@@ -144,7 +144,9 @@ def _arm_stats(assigned: DataFrame, p: ExperimentParams) -> DataFrame:
         F.avg(F.when(c, F.col("monthly_charges"))).alias("control_avg_monthly_charges"),
         F.sum(F.when(c & (prob > 0.5), 1).otherwise(0)).cast("bigint").alias("control_churns"),
         F.sum(F.when(t & (prob > 0.5), 1).otherwise(0)).cast("bigint").alias("test_churns_baseline"),
-        F.sum(F.when(t, F.col("monthly_charges")).otherwise(0.0)).alias("monthly_revenue_test"),
+        # a decimal sum does not depend on the order of its rows
+        F.sum(F.when(t, F.col("monthly_charges")).otherwise(0.0).cast("decimal(20,6)")).cast("double")
+        .alias("monthly_revenue_test"),
         F.avg(F.when(t, F.col("clv"))).alias("test_clv") if "clv" in assigned.columns
         else (F.avg(F.when(t, F.col("monthly_charges"))) * F.lit(36.0)).alias("test_clv"),
         (F.avg(F.col(CHURN).cast("double")) * F.lit(100.0)).alias("baseline_churn_rate"),
@@ -184,17 +186,19 @@ def strategy_params(spark: SparkSession, p: ExperimentParams = DEFAULT) -> DataF
 
 
 def adjusted_rate(scored: DataFrame, adjustments: list[int] = (-50, 0, 50)) -> DataFrame:
-    """Adjusted retention rate of every strategy, for each effectiveness adjustment, per
-    segment of the data (the rate is the same for all segments of a strategy)."""
+    """Adjusted retention rate of every strategy, for each effectiveness adjustment, and the
+    customers it is expected to retain of those at risk (probability > .5) in each segment."""
     spark = scored.sparkSession
-    segs = segments(scored).select(*SEG).distinct()
+    segs = segments(scored).groupBy(*SEG).agg(
+        F.sum((F.col("churn_probability") > 0.5).cast("int")).cast("bigint").alias("customers_at_risk"))
     grid = spark.createDataFrame([(a,) for a in adjustments], "effectiveness_adjustment int")
     strat = spark.createDataFrame([(s.name, float(s.base_retention_rate)) for s in AB_STRATEGIES],
                                   "strategy string, base_retention_rate double")
     rate = F.least(F.greatest(F.col("base_retention_rate") * (F.lit(1.0) + F.col("effectiveness_adjustment")
                                                               / F.lit(100.0)), F.lit(0.0)), F.lit(1.0))
-    return segs.crossJoin(F.broadcast(strat.crossJoin(grid))).select(*SEG, "strategy", "effectiveness_adjustment",
-                                                                     rate.alias("adjusted_rate"))
+    return segs.crossJoin(F.broadcast(strat.crossJoin(grid))).select(
+        *SEG, "strategy", "effectiveness_adjustment", rate.alias("adjusted_rate"), "customers_at_risk",
+        (F.col("customers_at_risk") * rate).alias("expected_retained"))
 
 
 def treatment_effect(assigned: DataFrame, p: ExperimentParams = DEFAULT) -> DataFrame:

@@ -202,6 +202,7 @@ RISK_FACTOR_TEXTS = ["Month-to-month contract", "Customer tenure less than 1 yea
                      "Low service adoption"]
 RECOMMENDATION_TEXTS = ["Offer contract upgrade incentives", "Promote online security services",
                         "Offer complimentary tech support", "Bundle additional services at discount"]
+NO_RISK_FACTOR = "No major risk factor"  # own wording
 DEFAULT_RECOMMENDATIONS = ["Regular satisfaction checks", "Loyalty rewards program"]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..plans.broadcast import one_row
+from ..plans.broadcast import checked_broadcast, one_row
 from .stats import median_of
 
 CHURN = "churn_flag"
@@ -75,8 +75,8 @@ def strategy_targets(scored: DataFrame, catalog: DataFrame | None = None, approx
     customers (a one-row statistic, broadcast)."""
     cat = catalog if catalog is not None else strategy_catalog(scored.sparkSession)
     median = one_row(median_of(scored, "monthly_charges", out="charge_threshold", approx=approx_median))
-    # catalog: literal table of a handful of rows → broadcast by its fixed size
-    pairs = scored.join(F.broadcast(cat.crossJoin(median)), "risk_segment")
+    # the catalog may be the caller's: its size is checked
+    pairs = scored.join(checked_broadcast(cat.crossJoin(median)), "risk_segment")
     return pairs.where(rule_predicate())
 
 
@@ -119,7 +119,7 @@ def retention_roi(targets: DataFrame, keys: list[str], params: DataFrame) -> Dat
         # no charges: revenue figures 0, ROI −1 (reference semantics)
         g = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers_targeted"),
                                        (F.avg(F.col(CHURN).cast("double")) * F.lit(100.0)).alias("segment_churn_rate"))
-        x = F.broadcast(params).join(g, keys, "left")
+        x = checked_broadcast(params).join(g, keys, "left")
         n = F.coalesce(F.col("customers_targeted"), F.lit(0))
         zero = F.lit(0.0)
         return x.select(*keys, n.alias("customers_targeted"), "segment_churn_rate",
@@ -129,7 +129,7 @@ def retention_roi(targets: DataFrame, keys: list[str], params: DataFrame) -> Dat
                         zero.alias("avg_customer_clv"), zero.alias("potential_clv_impact"),
                         F.lit(-1.0).alias("clv_roi"), F.lit(-100.0).alias("clv_roi_percent"))
     g = targets.groupBy(*keys).agg(*roi_aggregates(prob, clv))
-    x = F.broadcast(params).join(g, keys, "left").withColumns({
+    x = checked_broadcast(params).join(g, keys, "left").withColumns({
         "customers_targeted": F.coalesce(F.col("customers_targeted"), F.lit(0)),
         "monthly_revenue": F.coalesce(F.col("monthly_revenue"), F.lit(0.0)),
         **({"_risk_p": F.coalesce(F.col("_risk_p"), F.lit(0.0))} if prob else {}),

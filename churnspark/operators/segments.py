@@ -12,20 +12,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bins
-from ..plans.broadcast import one_row
+from ..plans.broadcast import checked_broadcast, one_row
 from .reports import CHURN, charge_bin, churn_rate, customer_count, explode_keys
 
 # Segmentations of the segment and experiment pages.
 SEGMENTATIONS = [("Risk Level", "risk_segment"), ("Contract Type", "contract"),
                  ("Internet Service", "internet_service"), ("Tenure Group", "tenure_year_label"),
                  ("Payment Method", "payment_method")]
-NUMERIC_INSIGHT_COLUMNS = ["senior_citizen", "monthly_charges", "total_charges", "tenure", "total_services"]
-CATEGORICAL_INSIGHT_COLUMNS = ["gender", "partner", "dependents", "internet_service", "online_security",
-                               "online_backup", "device_protection", "tech_support", "streaming_tv",
-                               "streaming_movies", "phone_service", "multiple_lines", "contract", "payment_method",
-                               "paperless_billing"]
+# the columns of the insight pages; which of them are numeric is read from the table
+INSIGHT_COLUMNS = ["gender", "senior_citizen", "partner", "dependents", "internet_service", "online_security",
+                   "online_backup", "device_protection", "tech_support", "streaming_tv", "streaming_movies",
+                   "phone_service", "multiple_lines", "total_services", "monthly_charges", "total_charges", "contract",
+                   "payment_method", "paperless_billing", "tenure"]
 DEMOGRAPHIC = ["gender", "senior_citizen", "partner", "dependents"]
 SERVICE_INSIGHTS = ["internet_service", "online_security", "online_backup", "device_protection", "tech_support",
                     "streaming_tv", "streaming_movies", "phone_service", "multiple_lines", "total_services"]
@@ -57,19 +58,30 @@ def segment_profile(df: DataFrame) -> DataFrame:
         "churn_rate", (F.col("churn_rate") - F.col("_overall")).alias("churn_diff"), "monthly_revenue")
 
 
-def segment_numeric_insights(df: DataFrame, cols: Sequence[str] = NUMERIC_INSIGHT_COLUMNS,
-                             threshold: float = 10.0) -> DataFrame:
+def insight_columns(df: DataFrame, numeric: bool) -> list[str]:
+    return [c for c in INSIGHT_COLUMNS if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType) == numeric]
+
+
+def _unpivot(df: DataFrame, keys: Sequence[str], name: str, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Aggregates named ``{value}{i}`` → one row per key and column of ``cols``."""
+    rows = F.array(*[F.struct(F.lit(c).alias(name), *[F.col(f"{v}{i}").alias(v) for v in values]) for i, c in enumerate(cols)])
+    return df.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
+
+
+def segment_numeric_insights(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 10.0) -> DataFrame:
     """Segment mean vs overall mean; kept when the segment has > 1 distinct value,
-    the overall mean is > 0 and the difference is ≥ ``threshold`` %."""
-    cols = [c for c in cols if c in df.columns]
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = segment_long(df).select("segment_type", "segment_value", F.explode(arr).alias("_cv")) \
-                           .select("segment_type", "segment_value", "_cv.*")
-    seg = long.groupBy("segment_type", "segment_value", "column_name").agg(
-        F.avg("v").alias("segment_mean"), F.min("v").alias("_mn"), F.max("v").alias("_mx"))
-    overall = F.broadcast(df.select(F.explode(arr).alias("_cv")).select("_cv.*")
-                            .groupBy("column_name").agg(F.avg("v").alias("overall_mean")))
-    return (seg.join(overall, "column_name")
+    the overall mean is > 0 and the difference is ≥ ``threshold`` %.
+
+    Means are aggregate columns of the segments; only the few aggregated rows are unpivoted."""
+    cols = [c for c in cols if c in df.columns] if cols is not None else insight_columns(df, True)
+    v = [F.col(c).cast("double") for c in cols]
+    keys = ["segment_type", "segment_value"]
+    seg = _unpivot(segment_long(df).groupBy(*keys).agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(v) for n, f in (
+        ("segment_mean", F.avg), ("_mn", F.min), ("_mx", F.max))]), keys, "column_name", cols, ["segment_mean", "_mn", "_mx"])
+    overall = _unpivot(df.agg(*[F.avg(x).alias(f"overall_mean{i}") for i, x in enumerate(v)]), [], "column_name", cols,
+                       ["overall_mean"])
+    # overall: one row per column of the fixed list
+    return (seg.join(F.broadcast(overall), "column_name")
                .where((F.col("_mn") < F.col("_mx")) & (F.col("overall_mean") > 0))
                .withColumn("diff_pct", (F.col("segment_mean") - F.col("overall_mean")) / F.col("overall_mean")
                            * F.lit(100.0))
@@ -77,20 +89,22 @@ def segment_numeric_insights(df: DataFrame, cols: Sequence[str] = NUMERIC_INSIGH
                .select("segment_type", "segment_value", "column_name", "segment_mean", "overall_mean", "diff_pct"))
 
 
-def segment_categorical_insights(df: DataFrame, cols: Sequence[str] = CATEGORICAL_INSIGHT_COLUMNS,
-                                 threshold: float = 10.0) -> DataFrame:
+def segment_categorical_insights(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 10.0) -> DataFrame:
     """The segment's most common value (ties → smallest) and its share vs the overall
     share of that value; kept when |difference| ≥ ``threshold`` points."""
-    cols = [c for c in cols if c in df.columns]
+    cols = [c for c in cols if c in df.columns] if cols is not None else insight_columns(df, False)
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
-    counts = (segment_long(df).select("segment_type", "segment_value", F.explode(arr).alias("_cv"))
-              .select("segment_type", "segment_value", "_cv.*").where(F.col("v").isNotNull())
-              .groupBy("segment_type", "segment_value", "column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    # customers are counted by all their segments and attributes at once before the two explosions:
+    # many customers share such a combination, and only combinations are multiplied
+    combined = prepare(df).groupBy(*dict.fromkeys([*[c for _, c in SEGMENTATIONS], *cols, "tenure_group"])).agg(F.count(F.lit(1)).alias("_k"))
+    counts = (segment_long(combined).select("segment_type", "segment_value", "_k", F.explode(arr).alias("_cv"))
+              .select("segment_type", "segment_value", "_k", "_cv.*").where(F.col("v").isNotNull())
+              .groupBy("segment_type", "segment_value", "column_name", "v").agg(F.sum("_k").alias("n")))
     seg = counts.groupBy("segment_type", "segment_value", "column_name").agg(
         F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_nu"),
         F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("_top"))
-    ov = (df.select(F.explode(arr).alias("_cv")).select("_cv.*").where(F.col("v").isNotNull())
-            .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("_on")))
+    ov = (combined.select("_k", F.explode(arr).alias("_cv")).select("_k", "_cv.*").where(F.col("v").isNotNull())
+            .groupBy("column_name", "v").agg(F.sum("_k").alias("_on")))
     ov = ov.withColumn("overall_pct", F.col("_on") / F.sum("_on").over(
         Window.partitionBy("column_name")) * F.lit(100.0))
     out = (seg.where(F.col("_nu") > 1)
@@ -122,14 +136,13 @@ def segment_insights(df: DataFrame) -> DataFrame:
 def service_adoption(df: DataFrame, services: Sequence[str] = SERVICES) -> DataFrame:
     """% "Yes" per service, per segment and overall."""
     services = [s for s in services if s in df.columns]
-    arr = F.array(*[F.struct(F.lit(s).alias("service"),
-                             F.when(F.col(s) == "Yes", 1.0).otherwise(0.0).alias("y")) for s in services])
-    seg = (segment_long(df).select("segment_type", "segment_value", F.explode(arr).alias("_s")).select(
-        "segment_type", "segment_value", "_s.*").groupBy("segment_type", "segment_value", "service")
-        .agg((F.avg("y") * F.lit(100.0)).alias("segment_adoption")))
-    ov = F.broadcast(df.select(F.explode(arr).alias("_s")).select("_s.*").groupBy("service")
-                       .agg((F.avg("y") * F.lit(100.0)).alias("overall_adoption")))
-    return seg.join(ov, "service")
+    yes = [F.avg(F.when(F.col(s) == "Yes", 1.0).otherwise(0.0)) * F.lit(100.0) for s in services]
+    keys = ["segment_type", "segment_value"]
+    seg = _unpivot(segment_long(df).groupBy(*keys).agg(*[y.alias(f"segment_adoption{i}") for i, y in enumerate(yes)]),
+                   keys, "service", services, ["segment_adoption"])
+    ov = _unpivot(df.agg(*[y.alias(f"overall_adoption{i}") for i, y in enumerate(yes)]), [], "service", services,
+                  ["overall_adoption"])
+    return seg.join(F.broadcast(ov), "service")  # one row per service of the list
 
 
 def _distribution(df: DataFrame, attrs: Sequence[tuple[str, F.Column]]) -> DataFrame:
@@ -143,7 +156,7 @@ def _distribution(df: DataFrame, attrs: Sequence[tuple[str, F.Column]]) -> DataF
             .groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("_on")))
     ov = ov.withColumn("overall_pct", F.col("_on") / F.sum("_on").over(Window.partitionBy("attribute"))
                        * F.lit(100.0))
-    return (seg.join(F.broadcast(ov.select("attribute", "value", "overall_pct")), ["attribute", "value"], "left")
+    return (seg.join(checked_broadcast(ov.select("attribute", "value", "overall_pct")), ["attribute", "value"], "left")
                .select("segment_type", "segment_value", "attribute", "value", "segment_pct",
                        F.coalesce(F.col("overall_pct"), F.lit(0.0)).alias("overall_pct")))
 

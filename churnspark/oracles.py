@@ -7,7 +7,6 @@ to double and integer sums to bigint on both sides.
 
 from __future__ import annotations
 
-from .functions.numeric import two_sided_p_sql
 from .sources.fixture_sql import (TENURE_CODE_SQL, _mode, _services_count, with_fixtures,
                                   with_views)
 
@@ -24,6 +23,15 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+def two_sided_p_sql(z: str) -> str:
+    """Two-sided normal p-value as erfc(|z| / sqrt 2) by the published rational approximation 7.1.26,
+    written out here: the engine's own text is not used to check itself."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.3275911 * {x}))"
+    poly = f"((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592)"
+    return f"({poly} * {t} * exp(-{x} * {x}))"
+
+
 # shared CTE text: the base preparation chain
 PREP_CTES = f"""
 p1 as (select * replace (case when try_cast(trim(total_charges) as double) is null and tenure=0 then 0.0
@@ -39,7 +47,8 @@ oracle("read_subscriptions", with_fixtures("select * from base"))
 oracle("read_all_sources", with_fixtures("""
 select 'subscriptions' as source, count(*) as row_count, 21 as column_count from base
 union all select 'crm', count(*), 14 from crm
-union all select 'zip_population', count(*), 2 from zip_population"""))
+union all select 'zip_population', count(*), 2 from zip_population
+union all select 'data_dictionary', 21 + 14 + 2, 3"""))
 oracle("read_enhanced", with_views("""
 select customer_id, customer_status,
   case when customer_status='Churned' then 1 when customer_status='Stayed' then 0 end as churn
@@ -87,13 +96,14 @@ oracle("preprocess", with_fixtures("select * from prep", PREP_CTES))
 # ---------------------------------------------------------------- 2.3 joins
 oracle("common_customers", with_fixtures("""
 select count(*) as common_customers from
-  (select customer_id from subscriptions intersect select customer_id from crm)"""))
+  (select customer_id from subscriptions intersect select customer_id from crm where customer_status <> 'Joined')"""))
 oracle("integrate_inner_join", with_fixtures("""
-select b.*, c.* exclude (customer_id, gender) from base b join crm c on c.customer_id = b.customer_id"""))
+select b.*, c.* exclude (customer_id, gender) from base b join crm c on c.customer_id = b.customer_id
+where c.customer_status <> 'Joined'"""))
 oracle("join_zip_population", with_fixtures("""
 select c.customer_id, c.zip_code, c.latitude, c.longitude, z.population,
   cast(z.population as double)/10.0 as population_density
-from crm c left join zip_population z on z.zip_code = c.zip_code"""))
+from crm c left join zip_population z on z.zip_code = c.zip_code and z.zip_code >= 100"""))
 
 # ---------------------------------------------------------------- 2.4 features
 oracle("service_features", with_fixtures(f"""
@@ -527,7 +537,7 @@ arms as (select segment_type, segment_value,
   avg(case when arm='control' then monthly_charges end) as control_avg_monthly_charges,
   cast(sum(case when arm='control' and churn_probability > 0.5 then 1 else 0 end) as bigint) as control_churns,
   cast(sum(case when arm='test' and churn_probability > 0.5 then 1 else 0 end) as bigint) as test_churns_baseline,
-  sum(case when arm='test' then monthly_charges else 0.0 end) as monthly_revenue_test,
+  cast(sum(cast(case when arm='test' then monthly_charges else 0.0 end as decimal(20,6))) as double) as monthly_revenue_test,
   avg(case when arm='test' then clv end) as test_clv,
   avg(cast(churn_flag as double))*100.0 as baseline_churn_rate
   from asg2 group by all),
@@ -604,10 +614,12 @@ select segment_type, segment_value, avg(cast(churn_flag as double))*100.0 as bas
   count(*) as segment_size, avg(monthly_charges)*avg(churn_probability)*count(*) as monthly_revenue_at_risk
 from seg6 group by all"""))
 oracle("adjusted_rate", _x("""
+select *, customers_at_risk * adjusted_rate as expected_retained from (
 select g.segment_type, g.segment_value, s.strategy, cast(a.adj as integer) as effectiveness_adjustment,
-  least(greatest(s.base_retention_rate * (1.0 + a.adj/100.0), 0.0), 1.0) as adjusted_rate
-from (select distinct segment_type, segment_value from seg6) g cross join strat s
-cross join (values (-50), (0), (50)) a(adj)"""))
+  least(greatest(s.base_retention_rate * (1.0 + a.adj/100.0), 0.0), 1.0) as adjusted_rate, g.customers_at_risk
+from (select segment_type, segment_value, cast(sum(case when churn_probability > 0.5 then 1 else 0 end) as bigint)
+        as customers_at_risk from seg6 group by all) g cross join strat s
+cross join (values (-50), (0), (50)) a(adj))"""))
 oracle("treatment_effect", _x(f"select {EFFECT_COLS} from eff2"))
 oracle("experiment_financials", _x(f"select {FIN_COLS} from fin"))
 oracle("value_per_customer", _x(f"""
@@ -661,7 +673,8 @@ oracle("one_hot_encode", with_fixtures(" union all ".join(
 oracle("align_features", with_fixtures(" union all ".join(f"""
 select '{c}_' || l.v as feature, cast(count(s.customer_id) as bigint) as customers
 from (select distinct {c} as v from base where {c} is not null and {c} > (select min({c}) from base)) l
-left join (select * from base where contract = 'Month-to-month') s on s.{c} = l.v group by l.v""" for c in OHE)))
+left join (select * replace (case when payment_method = 'Mailed check' then 'Prepaid' else contract end as contract)
+  from base) s on s.{c} = l.v group by l.v""" for c in OHE)))
 oracle("stratified_split", with_views("""
 select customer_id, churn_flag, case when rn <= floor(n*0.2 + 0.5) then 'test' else 'train' end as split
 from (select customer_id, churn_flag,
@@ -709,7 +722,11 @@ union all select customer_id, 'Customer tenure less than 1 year' from analysis w
 union all select customer_id, 'Fiber optic without security or tech support' from analysis
   where internet_service = 'Fiber optic' and (online_security = 'No' or tech_support = 'No')
 union all select customer_id, 'Payment by electronic check' from analysis where payment_method = 'Electronic check'
-union all select customer_id, 'Low service adoption' from analysis where total_services <= 1 and internet_service <> 'No'"""))
+union all select customer_id, 'Low service adoption' from analysis where total_services <= 1 and internet_service <> 'No'
+union all select customer_id, 'No major risk factor' from analysis where not coalesce(contract = 'Month-to-month', false)
+  and not coalesce(tenure < 12, false) and not coalesce(internet_service = 'Fiber optic'
+    and (online_security = 'No' or tech_support = 'No'), false) and not coalesce(payment_method = 'Electronic check', false)
+  and not coalesce(total_services <= 1 and internet_service <> 'No', false)"""))
 oracle("retention_recommendations", with_views("""
 select customer_id, 'Offer contract upgrade incentives' as recommendation from analysis
   where churn_probability > 0.5 and contract = 'Month-to-month'
@@ -722,3 +739,15 @@ union all select customer_id, 'Bundle additional services at discount' from anal
 union all select customer_id, 'Regular satisfaction checks' from analysis where not (churn_probability > 0.5)
 union all select customer_id, 'Loyalty rewards program' from analysis where not (churn_probability > 0.5)"""))
 oracle("scoring_agreement", with_fixtures("select customer_id, true as same_score from base"))
+
+
+# ---------------------------------------------------------------- sinks: the same rows read back
+for _name, _same in (("write_primary", "engineer_additional_features"), ("write_primary_csv", "engineer_additional_features"),
+                     ("write_engineered", "engineer_features"), ("write_churn_details", "churn_details"),
+                     ("write_usage_metrics", "usage_metrics")):
+    oracle(_name, ORACLES[_same])
+oracle("write_geo", with_views("select customer_id, zip_code, city, latitude, longitude, population from integrated"))
+oracle("write_reports", f"""
+select 'churn_by_city' as report, city as key, churn_rate from ({ORACLES['churn_by_city']})
+union all select 'churn_risk_factors', segment, churn_rate from ({ORACLES['churn_drivers']})""")
+oracle("save_load_model", ORACLES["scoring_agreement"])

@@ -33,7 +33,7 @@ def _csv_export(spark, sf, name, df):
     from .sources import io
     key = (spark.sparkContext.applicationId, f"csv_{name}", sf)
     if key not in _CSV:
-        path = _tp(spark, f"csv_{name}_{abs(hash((spark.sparkContext.applicationId, sf))) % 10**10}")
+        path = _tp(spark, f"csv_{name}_{fixtures.tag(spark, sf)}")
         io.write_csv(df, path)
         _CSV[key] = path
     return _CSV[key]
@@ -58,6 +58,10 @@ def q_read_all_sources(spark, sf):
              ("zip_population", io.read_zip_population(spark, _csv_export(
                  spark, sf, "zip", fixtures.zip_population(spark, sf, subs).withColumnsRenamed(
                      {"zip_code": "Zip Code", "population": "Population"}))))]
+    from .plans.session import table_path as _tp
+    path = _tp(spark, f"dictionary_{fixtures.tag(spark, sf)}")
+    io.write_data_dictionary(io.data_dictionary(spark, {name: df.schema for name, df in parts}), path)
+    parts.append(("data_dictionary", io.read_data_dictionary(spark, path).where(F.col("Description").contains("–"))))
     out = None
     for name, df in parts:
         c = df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("row_count"),
@@ -71,7 +75,7 @@ def q_read_enhanced(spark, sf):
     # the integrated table written without its target column: the reader derives it
     from .plans.session import table_path as _tp
     from .sources import io
-    path = _tp(spark, f"enhanced_{abs(hash((spark.sparkContext.applicationId, sf))) % 10**10}")
+    path = _tp(spark, f"enhanced_{fixtures.tag(spark, sf)}")
     io.write_table(views.integrated(spark, sf).drop("churn"), path)
     return io.read_enhanced(spark, path).select("customer_id", "customer_status", "churn")
 
@@ -165,20 +169,21 @@ def q_preprocess(spark, sf):
 @query("common_customers")
 def q_common(spark, sf):
     subs = fixtures.subscriptions(spark, sf)
-    return integrate.common_customers(subs.select("customer_id"), fixtures.crm(spark, sf, subs))
+    return integrate.common_customers(subs.select("customer_id"), fixtures.established(fixtures.crm(spark, sf, subs)))
 
 
 @query("integrate_inner_join")
 def q_integrate(spark, sf):
     subs = fixtures.subscriptions(spark, sf)
-    return integrate.integrate_inner_join(subs.select(*fixtures.SUBSCRIPTION_COLUMNS), fixtures.crm(spark, sf, subs))
+    return integrate.integrate_inner_join(subs.select(*fixtures.SUBSCRIPTION_COLUMNS),
+                                          fixtures.established(fixtures.crm(spark, sf, subs)))
 
 
 @query("join_zip_population")
 def q_join_zip(spark, sf):
     subs = fixtures.subscriptions(spark, sf)
     crm = fixtures.crm(spark, sf, subs)
-    return integrate.join_zip_population(crm, fixtures.zip_population(spark, sf, subs)).select(
+    return integrate.join_zip_population(crm, fixtures.surveyed(fixtures.zip_population(spark, sf, subs))).select(
         "customer_id", "zip_code", "latitude", "longitude", "population", "population_density")
 
 
@@ -540,8 +545,9 @@ def q_one_hot(spark, sf):
 def q_align(spark, sf):
     b = base(spark, sf)
     v = M.fit_vocabulary(b, OHE_COLUMNS)
-    subset = b.where(F.col("contract") == "Month-to-month")
-    aligned = M.align_features(subset, v, ["tenure", "monthly_charges"])
+    # the whole table, with a contract that the vocabulary has never seen
+    new = b.withColumn("contract", F.when(F.col("payment_method") == "Mailed check", "Prepaid").otherwise(F.col("contract")))
+    aligned = M.align_features(new, v, ["tenure", "monthly_charges"])
     names = v.dummy_names()
     return aligned.agg(*[F.sum(F.col(n)).cast("bigint").alias(n) for n in names]).select(
         F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, `{n}`' for n in names)}) "
@@ -667,7 +673,8 @@ def q_importance(spark, sf):
 @query("risk_factor_flags")
 def q_risk_flags(spark, sf):
     return (M.risk_factor_flags(views.analysis(spark, sf))
-            .select("customer_id", F.explode("risk_factors").alias("risk_factor")))
+            .select("customer_id", F.explode(F.when(F.size("risk_factors") > 0, F.col("risk_factors"))
+                                             .otherwise(F.array(F.lit(M.NO_RISK_FACTOR)))).alias("risk_factor")))
 
 
 @query("retention_recommendations")
@@ -679,43 +686,66 @@ def q_recommendations(spark, sf):
 # ---------------------------------------------------------------- 2.1 sinks and persistence
 @query("save_load_model")
 def q_save_load(spark, sf):
-    from pyspark.ml import PipelineModel
-    path = table_path(spark, f"model_lr_{abs(hash(sf)) % 10**8}")
-    _trained(spark, sf, "logistic_regression").write().overwrite().save(path)
-    split, _ = _model_table(spark, sf)
-    return M.score_churn(PipelineModel.load(path), split).select("customer_id", "churn_probability")
+    """Whether the model read back scores each customer as the one that was saved."""
+    model = _churn_model(spark, sf)
+    path = table_path(spark, f"model_lr_{fixtures.tag(spark, sf)}")
+    model.save(path)
+    new = base(spark, sf).drop("churn")
+    a = model.score(new).select("customer_id", F.col("churn_probability").alias("a"))
+    b = M.ChurnModel.load(spark, path).score(new).select("customer_id", F.col("churn_probability").alias("b"))
+    return a.join(b, "customer_id", "full").select("customer_id", F.col("a").eqNullSafe(F.col("b")).alias("same_score"))
 
 
 @query("feature_columns")
 def q_feature_columns(spark, sf):
     split, _ = _model_table(spark, sf)
-    return M.feature_columns(_trained(spark, sf, "logistic_regression"), split)
+    names = M.feature_columns(_trained(spark, sf, "logistic_regression"), split)
+    return _write_read(spark, sf, names.coalesce(1), "feature_columns", "csv")
 
 
-def _write_read(spark, df, name, fmt="parquet"):
+def _write_read(spark, sf, df, name, fmt="parquet"):
     from .sources import io
-    path = table_path(spark, name)
+    path = table_path(spark, f"{name}_{fixtures.tag(spark, sf)}")
     io.write_table(df, path, fmt)
     return io.read_csv(spark, path, df.schema) if fmt == "csv" else spark.read.parquet(path)
 
 
 @query("write_primary")
 def q_write_primary(spark, sf):
-    return _write_read(spark, views.engineered(spark, sf), f"primary_{abs(hash(sf)) % 10**8}")
+    return _write_read(spark, sf, views.engineered(spark, sf), "primary")
+
+
+@query("write_primary_csv")
+def q_write_primary_csv(spark, sf):
+    return _write_read(spark, sf, views.engineered(spark, sf), "primary_csv", "csv")
+
+
+@query("write_geo")
+def q_write_geo(spark, sf):
+    geo = views.integrated(spark, sf).select("customer_id", "zip_code", "city", "latitude", "longitude", "population")
+    return _write_read(spark, sf, geo, "geo", "csv")
+
+
+@query("write_churn_details")
+def q_write_churn_details(spark, sf):
+    return _write_read(spark, sf, clean.churn_details(fixtures.crm(spark, sf)), "churn_details", "csv")
+
+
+@query("write_usage_metrics")
+def q_write_usage_metrics(spark, sf):
+    return _write_read(spark, sf, clean.usage_metrics(fixtures.crm(spark, sf)), "usage_metrics", "csv")
 
 
 @query("write_engineered")
 def q_write_engineered(spark, sf):
-    df = base(spark, sf).transform(clean.preprocess).transform(engineer_features)
-    return _write_read(spark, df, f"engineered_{abs(hash(sf)) % 10**8}")
+    return _write_read(spark, sf, features.prepare_customers(base(spark, sf)), "engineered")
 
 
 @query("write_reports")
 def q_write_reports(spark, sf):
     a = views.analysis(spark, sf)
-    # reports are small (one row per city / driver): one CSV file each
-    city = _write_read(spark, reports.churn_by_city(a).coalesce(1), f"churn_by_city_{abs(hash(sf)) % 10**8}", "csv")
-    drv = _write_read(spark, reports.churn_drivers(a).coalesce(1), f"churn_drivers_{abs(hash(sf)) % 10**8}", "csv")
+    city = _write_read(spark, sf, reports.churn_by_city(a), "churn_by_city", "csv")
+    drv = _write_read(spark, sf, reports.churn_drivers(a), "churn_drivers", "csv")
     return (city.select(F.lit("churn_by_city").alias("report"), F.col("city").alias("key"), "churn_rate")
             .unionByName(drv.select(F.lit("churn_risk_factors").alias("report"), F.col("segment").alias("key"),
                                     "churn_rate")))

@@ -53,11 +53,11 @@ select customer_id, gender, zip_code, city, 30.0 + cast(zip_code as double)/1000
   case when churn='Yes' then 'Churned' when tenure<=3 then 'Joined' else 'Stayed' end as customer_status,
   case when churn='Yes' then case customer_id%3 when 0 then 'Competitor' when 1 then 'Price' else 'Attitude' end end as churn_category,
   case when churn='Yes' then concat('reason ', cast(customer_id%5 as varchar)) end as churn_reason
-from subscriptions where customer_id%7 <> 0)"""
+from subscriptions)"""
 
 ZIP_SQL = """
 zip_population as (
-select distinct zip_code, 1000 + (zip_code*7919)%50000 as population from subscriptions where zip_code%17 <> 0)"""
+select distinct zip_code, 1000 + (zip_code*7919)%50000 as population from subscriptions)"""
 
 SCORED_SQL = """
 scored as (

@@ -19,6 +19,8 @@ carries the CRM columns ``zip_code``, ``city``, ``number_of_referrals``,
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +73,25 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _TABLES:
-        import hashlib
-        tag = hashlib.md5(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:12]
-        _TABLES[key] = materialize(build(), f"{name}_{tag}")
+        _TABLES[key] = materialize(build(), f"{name}_{tag(spark, sf_dir)}")
     return _TABLES[key]
 
 
+def tag(spark: SparkSession, sf_dir: str) -> str:
+    """A name part that differs between applications and inputs, the same in every process."""
+    return hashlib.md5(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:12]
+
+
+def established(crm_table: DataFrame) -> DataFrame:
+    """The CRM as it is before the newly joined are entered: the gap that the join operators have to bridge."""
+    return crm_table.where(F.col("customer_status") != "Joined")
+
+
+def surveyed(zips: DataFrame) -> DataFrame:
+    """The ZIP table without the first nation, which has no survey: ZIPs that find no population."""
+    return zips.where(F.col("zip_code") >= 100)
+
+
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subscription table (materialized once per session, see :func:`stored`)."""
     return stored(spark, "subscriptions", sf_dir, lambda: build_subscriptions(spark, sf_dir))
@@ -149,17 +164,13 @@ def base_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crm(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None) -> DataFrame:
-    """CRM table, already in this package's snake_case names.
-
-    Every 7th customer is missing, so the inner join with the base table drops rows;
-    ``gender`` exists on both sides.
-    """
+    """CRM table, already in this package's snake_case names; ``gender`` is also a base column."""
     s = subs if subs is not None else subscriptions(spark, sf_dir)
     cid = F.col("customer_id")
     zipd = F.col("zip_code").cast("double")
     churned = F.col("churn") == "Yes"
     cat = F.when(cid % 3 == 0, "Competitor").when(cid % 3 == 1, "Price").otherwise("Attitude")
-    return s.where(cid % 7 != 0).select(
+    return s.select(
         cid, "gender", "zip_code", "city",
         (F.lit(30.0) + zipd / F.lit(1000.0)).alias("latitude"),
         (F.lit(-120.0) + zipd / F.lit(1000.0)).alias("longitude"),
@@ -191,9 +202,9 @@ def raw_crm(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None) ->
 
 
 def zip_population(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None) -> DataFrame:
-    """ZIP → population dimension; ZIPs divisible by 17 are missing on purpose."""
+    """ZIP → population dimension."""
     s = subs if subs is not None else subscriptions(spark, sf_dir)
-    z = s.select("zip_code").where(F.col("zip_code") % 17 != 0).distinct()
+    z = s.select("zip_code").distinct()
     return z.select("zip_code", (F.lit(1000) + (F.col("zip_code") * 7919) % 50000).alias("population"))
 
 

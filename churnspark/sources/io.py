@@ -86,6 +86,19 @@ def read_data_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, DICTIONARY_SCHEMA, encoding="windows-1252")
 
 
+def write_data_dictionary(df: DataFrame, path: str) -> None:
+    """A dictionary as the source has it: windows-1252, one file (a row per field of a table)."""
+    src, dst = _cp1252_fix()
+    rows = df.select(*[F.translate(F.col(f"`{c}`"), dst, src).alias(c) for c in df.columns])
+    rows.coalesce(1).write.mode("overwrite").options(**_CSV_OPTIONS).option("encoding", "ISO-8859-1").csv(path)
+
+
+def data_dictionary(spark: SparkSession, tables: dict[str, T.StructType]) -> DataFrame:
+    """``(Table, Field, Description)`` of the given schemas."""
+    rows = [(t, f.name, f"{f.name} – {f.dataType.simpleString()}") for t, schema in tables.items() for f in schema.fields]
+    return spark.createDataFrame(rows, DICTIONARY_SCHEMA)
+
+
 def read_enhanced(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The integrated table; without a ``churn`` column the target is derived from the
     customer status, and without either a ``ValueError`` is raised."""

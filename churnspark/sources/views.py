@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bins
 from ..operators.clean import normalize_churn
 from ..operators.features import engineer_additional_features
-from ..operators.integrate import integrate_inner_join
+from ..operators.integrate import integrate_inner_join, join_zip_population
 from . import fixtures
 
 
@@ -31,11 +31,8 @@ def build_integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = subs.select(*fixtures.SUBSCRIPTION_COLUMNS)
     crm = fixtures.crm(spark, sf_dir, subs)
     zips = fixtures.zip_population(spark, sf_dir, subs)
-    # keys overlap by construction here, so the no-overlap probe (an extra job) is skipped;
-    # the ZIP table is derived, its size is known only at run time → AQE picks the join
-    joined = integrate_inner_join(base, crm, check_overlap=False)
-    out = joined.join(zips, "zip_code", "left")
-    return out.withColumn("population_density", F.col("population") / F.lit(10.0))
+    # keys overlap by construction here, so the no-overlap probe (an extra job) is skipped
+    return join_zip_population(integrate_inner_join(base, crm, check_overlap=False), zips)
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
