@@ -77,6 +77,12 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     return _TABLES[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop the session's record of stored tables (their files are gone)."""
+    for key in [k for k in _TABLES if k[0] == spark.sparkContext.applicationId]:
+        del _TABLES[key]
+
+
 def tag(spark: SparkSession, sf_dir: str) -> str:
     """A name part that differs between applications and inputs, the same in every process."""
     return hashlib.md5(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:12]
