@@ -88,11 +88,9 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
         codes = letter_codes()
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
-            texts = textops.text_bytes(batch.column(1))
             for name in sorted(set(names)):
-                mine = [texts[i] for i in np.flatnonzero(names == name)]
-                for a, b in textops.slices(mine, _SLICE):
-                    _, gram, n = _grams(mine[a:b], codes)
+                for _, _, texts in textops.slices(batch.column(1).filter(pa.array(names == name)), _SLICE):
+                    _, gram, n = _grams(texts, codes)
                     gram, group = np.unique(gram, return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()),
@@ -123,10 +121,9 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
         for batch in batches:
-            texts = textops.text_bytes(batch.column(len(keep)))
-            for a, b in textops.slices(texts, _SLICE):
+            for a, b, texts in textops.slices(batch.column(len(keep)), _SLICE):
                 n = b - a
-                doc, gram, count = _grams(texts[a:b], codes)
+                doc, gram, count = _grams(texts, codes)
                 order = np.lexsort((gram, -count, doc)) if n == 1 else _ranked(doc, gram, count)
                 doc, gram = doc[order], gram[order]
                 rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]

@@ -71,9 +71,8 @@ def signatures(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textops.text_bytes(batch.column(1))
-            for a, b in textops.slices(texts):
-                sets = shingle_sets(texts[a:b], shingle)
+            for a, b, texts in textops.slices(batch.column(1)):
+                sets = shingle_sets(texts, shingle)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 least = np.zeros((len(full), COORDINATES), dtype=np.int32)
@@ -102,9 +101,8 @@ def _of_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textops.text_bytes(batch.column(0))
-            for a, b in textops.slices(texts):
-                found = shingle_sets(texts[a:b], shingle)
+            for _, _, texts in textops.slices(batch.column(0)):
+                found = shingle_sets(texts, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in found], pa.binary()), column(found)],
                                                  ["print", "value"])
 
@@ -136,14 +134,18 @@ def _bits(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str, shingle: int,
-               threshold: float) -> DataFrame:
-    """The pairs (a, b) with enough equal coordinates and enough of their full sets in common."""
+def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree on MATCHES coordinates."""
     sig = reps.select("rep", "signature")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    counted = written(pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
-                      .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-                      .where(agree >= MATCHES).select("a", "b"), "counted")
+    return (pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
+            .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
+            .where(agree >= MATCHES).select("a", "b"))
+
+
+def _confirmed(counted: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str, shingle: int,
+               threshold: float) -> DataFrame:
+    """The pairs (a, b) of a written table with enough of their full sets in common."""
     if counted.isEmpty():
         return counted
     ids = counted.select(F.col("a").alias("rep")).union(counted.select("b"))
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
               .select("rep", "n", F.col("h.rep").alias("hub"), F.col("h.m").alias("m")).where("rep <> hub").where(a_size)
               .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     linked = written(linked, "pairs")
-    first = _confirmed(linked, reps, docs, text, key, shingle, threshold)
+    first = _confirmed(written(_counted(linked, reps), "counted"), reps, docs, text, key, shingle, threshold)
 
     # what the links have not joined: pairs of one list in different components
     label = components(first).withColumnRenamed("id", "rep")
@@ -209,7 +211,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                                         F.count(F.lit(1)).alias("many"))
              .where("low < high").select("list", "many"))
     member = written(member.join(written(lists, "open"), "list"), "open_members")
-    second = first
+    second = None
     if not member.isEmpty():
         # sketches for the texts of long lists; in short ones the signatures are enough
         bits = _of_sets(member.where(F.col("many") > LONG_LIST).select("rep"), reps, docs, text, key, shingle,
@@ -240,10 +242,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                 & close(SKETCH // 64, 3.5) & agree)
         rest = side("a", "n", "1").join(side("b", "m", "2"), near).select("a", "b").join(linked, ["a", "b"], "left_anti")
         second = _confirmed(written(rest, "rest"), reps, docs, text, key, shingle, threshold)
-    joined = components(first.unionByName(second))
+    if second is not None and not second.isEmpty():
+        label = components(first.unionByName(second)).withColumnRenamed("id", "rep")
 
     # the least (key, row) of each component, from its distinct texts
-    joined = written(joined.withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep"), "joined")
+    joined = written(label.join(reps.select("rep", "least"), "rep"), "joined")
     least = joined.groupBy("component").agg(F.min("least").alias("of_all"))
     group = written(joined.select("rep", "component").join(least, "component").select("rep", "of_all"), "groups")
     out = (sig.join(reps.select("print", "rep", "least"), "print", "left").join(group, "rep", "left")

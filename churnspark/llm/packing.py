@@ -120,9 +120,8 @@ def tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _WordEncoder.of_this_worker(tokenizer_path)
         for batch in batches:
-            texts = textops.text_bytes(batch.column(1))
-            for a, b in textops.slices(texts):
-                ids = encoder.encode(texts[a:b])
+            for a, b, texts in textops.slices(batch.column(1)):
+                ids = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([textops.binary(x.astype("<u4")) for x in ids], pa.binary())], ["doc", "n", "ids"])

@@ -61,29 +61,22 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], to
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of the edges (a, b): rows (id, component), component = smallest id.
-
-    Alternates the large-star and the small-star step on edge tables that are written each round,
-    until the edges no longer change (about the logarithm of the largest diameter in rounds)."""
-    def summary(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    cur = written(edges.where(F.col(a) != F.col(b))
-                  .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    state = summary(cur)
-    while state[0]:
+    """Connected components of the distinct edges (a, b): rows (id, component), component = smallest id.
+
+    Alternates the large-star and the small-star step on edge tables that are written each round, until
+    all edges are rays of stars, whose centres have no smaller neighbour (about the logarithm of the
+    largest diameter in rounds)."""
+    cur = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "edges")
+    while not cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").unionByName(
+            cur.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v < w").select("v", "u")).isEmpty():
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         # large star: neighbours above u go to the smallest of u and its neighbours
-        large = (both.where("v > u").join(least, "u")
-                     .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         cur = written(large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                                       F.struct("u", F.col("m").alias("v")))).alias("e"))
                       .select("e.u", "e.v").where("u <> v").distinct(), "stars")
-        before, state = state, summary(cur)
-        if state == before:
-            break
     return (cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-               .unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
+               .unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 4 << 20
@@ -39,16 +40,18 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts that hold about ``limit`` bytes; a longer text is a run of its own."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, texts) of runs of a batch's texts that hold about ``limit`` bytes; a longer text is a
+    run of its own.  Only one run at a time is turned into Python objects."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
     first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield first, i
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield first, i, text_bytes(column.slice(first, i - first))
             first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        size += n
+    if first < len(column):
+        yield first, len(column), text_bytes(column.slice(first))
 
 
 class Words:
