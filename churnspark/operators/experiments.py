@@ -291,7 +291,8 @@ def cumulative_projection(fin: DataFrame, p: ExperimentParams = DEFAULT) -> Data
     w = Window.partitionBy(*KEY).orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumns({
         "cumulative_cost": F.sum(F.when(F.col("month") == 1, F.col("total_cost")).otherwise(F.lit(0.0))).over(w),
-        "cumulative_savings": F.sum("monthly_revenue_saved").over(w),
+        # every month saves the same: the product is the running sum without its rounding
+        "cumulative_savings": F.col("monthly_revenue_saved") * F.col("month"),
     })
     return x.select(*KEY, "month", "cumulative_cost", "cumulative_savings",
                     (F.col("cumulative_savings") - F.col("cumulative_cost")).alias("net_impact"))
