@@ -751,3 +751,13 @@ oracle("write_reports", f"""
 select 'churn_by_city' as report, city as key, churn_rate from ({ORACLES['churn_by_city']})
 union all select 'churn_risk_factors', segment, churn_rate from ({ORACLES['churn_drivers']})""")
 oracle("save_load_model", ORACLES["scoring_agreement"])
+
+_NUMERIC_FEATURES = ["senior_citizen", "partner", "dependents", "tenure", "phone_service", "paperless_billing", "monthly_charges",
+                     "total_charges", "total_services", "has_tech_support", "has_online_security", "streaming_services",
+                     "clv", "avg_monthly_spend", "tenure_months", "tenure_group", "contract_risk_factor"]
+_DUMMY_ROWS = " union all ".join(
+    f"select {i} as i, '{c}' as c, {c} as v from base where {c} > (select min({c}) from base) group by {c}" for i, c in enumerate(OHE))
+oracle("feature_columns", with_fixtures(" union all ".join(
+    f"select cast({i} as integer) as position, '{c}' as feature" for i, c in enumerate(_NUMERIC_FEATURES)) + f"""
+union all select cast({len(_NUMERIC_FEATURES)} + row_number() over (order by i, v) - 1 as integer), c || '_' || v
+from ({_DUMMY_ROWS})"""))
