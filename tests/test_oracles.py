@@ -7,11 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from churnspark.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["orders", "customer", "nation", "lineitem", "part"]
-# differences in the 6th decimal from float summation order between engines
-FLOAT_TOLERANT = {"experiment_financials", "impact_projection"}
 
 
 @pytest.fixture(scope="module")
@@ -34,14 +33,13 @@ def _rows(tbl, places):
     return cols, sorted(tuple(_norm(x[i], places) for x in data) for i in range(tbl.num_rows))
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, con, name):
     st = E.queries()[name](spark, SF).toArrow()
-    dt = con.sql(E.oracle_sql()[name]).arrow()
+    dt = con.sql(ORACLES[name]).arrow()
     dt = dt.read_all() if hasattr(dt, "read_all") else dt
-    places = 3 if name in FLOAT_TOLERANT else 6
-    sc, sr = _rows(st, places)
-    dc, dr = _rows(dt, places)
+    sc, sr = _rows(st, 6)
+    dc, dr = _rows(dt, 6)
     assert sc == dc
     assert st.num_rows == dt.num_rows
     assert sr == dr
