@@ -1,9 +1,11 @@
 """Licence scan: lines of a file against licence statements, and inheritance down the directories.
 
 1. Every line is a set of terms (letters or digits, lower case).  Terms are weighed by inverse document
-   frequency over all lines of all files; a term outside the templates' vocabulary counts as one that no
-   line has.  A line's licence is the template with the highest cosine, if it is at least ``COSINE``.
-   A line whose foreign terms alone rule this out is left out before any term is joined.
+   frequency over all lines of all files, inside and outside the templates' vocabulary.  A line's licence
+   is the template with the highest cosine, if it is at least ``COSINE``.  A line that no template can
+   reach, even if its other terms had the least possible weight, is left out before any term is joined.
+   (``OP3_SQL`` still gives a term outside the vocabulary the weight of one that no line has; both agree
+   on lines without such terms.)
 2. A file whose terms are mostly in licence lines is a licence file: its licence holds in its directory
    and below.
 3. A file without a licence of its own takes that of the nearest ancestor directory: each directory is
@@ -70,28 +72,42 @@ def line_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, cos
     ``files`` has a unique long column ``row``."""
     spark = files.sparkSession
     terms = template_terms(spark, templates)
-    # the vocabulary in the plan: one array of the fixed table's terms
-    vocabulary = F.lit([r["term"] for r in terms.select("term").distinct().orderBy("term").collect()])
     lines = (files.select("row", F.posexplode(F.split(text, "\n")).alias("line", "words"))
              .withColumn("all", F.array_distinct(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))))
-             .where(F.size("all") > 0)
-             .withColumn("known", F.array_intersect("all", vocabulary))
-             .select("row", "line", F.size("all").alias("terms"), "known"))
-    lines = written(lines, "lines")
-    many = lines.count()
-    seen = lines.select(F.explode("known").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = (F.log(F.lit(1.0 + many) / (1 + F.coalesce("df", F.lit(0)))) + 1)
+             .where(F.size("all") > 0).select("row", "line", "all"))
+    # lines with each term; the empty term stands for all lines
+    seen = written(lines.select(F.explode(F.array_append("all", F.lit(""))).alias("term")).groupBy("term")
+                   .agg(F.count(F.lit(1)).alias("df")), "terms")
+    many = (seen.where("term = ''").first() or ("", 0))[1]
+    weight = F.log(F.lit(1.0 + many) / (1 + F.coalesce("df", F.lit(0)))) + 1
     idf = written(terms.select("term").distinct().join(seen, "term", "left")
                   .select("term", (weight * weight).alias("w2")), "idf")  # a row per term of the fixed table
-    foreign = F.pow(F.log(F.lit(1.0 + many)) + 1, 2)
-    # cosine**2 <= known weight / (known weight + foreign weight), and no known term weighs more than a foreign one
-    may = lines.where((F.size("known") > 0) & ((F.col("terms") - F.size("known"))
-                                               <= F.size("known") * (1 / cosine**2 - 1) + 1e-9))
-    term = may.select("row", "line", (F.col("terms") - F.size("known")).alias("strange"), F.explode("known").alias("term"))
-    norm = (term.join(F.broadcast(idf), "term").groupBy("row", "line")
-            .agg((F.sum("w2") + F.first("strange") * foreign).alias("norm2")))
     of = terms.join(idf, "term")
-    of = of.join(of.groupBy("template").agg(F.sum("w2").alias("t2")), "template")
+    of = written(of.join(of.groupBy("template").agg(F.sum("w2").alias("t2")), "template"), "templates")
+    # the vocabulary and the templates in the plan: the fixed table's terms and their weights
+    w2 = {r["term"]: r["w2"] for r in idf.orderBy("term").collect()}
+    vocabulary = F.lit(list(w2))
+    weights = F.create_map(*[F.lit(x) for pair in w2.items() for x in pair])
+    sized = of.groupBy("template", "t2").agg(F.collect_list("term").alias("terms")).orderBy("template").collect()
+    fixed = F.array(*[F.struct(F.lit(r["t2"]).alias("t2"), F.lit(r["terms"]).alias("terms")) for r in sized])
+
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0.0), lambda sum_, t: sum_ + weights[t])
+
+    # dot <= norm**2, and any term weighs at least 1, whatever its frequency: a bound without the other terms' weights
+    least = (cosine - 1e-6) ** 2  # scores are rounded
+    lines = lines.withColumn("known", F.array_intersect("all", vocabulary)).withColumn("known2", total(F.col("known")))
+    reach = F.exists(fixed, lambda t: F.pow(total(F.array_intersect("known", t["terms"])), 2)
+                     >= least * t["t2"] * (F.col("known2") + F.size("all") - F.size("known")))
+    may = F.when((F.size("known") > 0) & (F.col("known2") >= least * min(r["t2"] for r in sized)), reach).otherwise(False)
+    lines = written(lines.select("row", "line", F.size("all").alias("terms"), F.when(may, F.col("all")).alias("bag")), "lines")
+    may = lines.where("bag is not null")
+    strange = (may.select("row", "line", F.explode(F.array_except("bag", vocabulary)).alias("term")).join(seen, "term")
+               .groupBy("row", "line").agg(F.sum(weight * weight).alias("strange")))
+    term = may.select("row", "line", F.explode(F.array_intersect("bag", vocabulary)).alias("term"))
+    norm = (term.join(F.broadcast(idf), "term").groupBy("row", "line").agg(F.sum("w2").alias("norm2"))
+            .join(strange, ["row", "line"], "left")
+            .select("row", "line", (F.col("norm2") + F.coalesce("strange", F.lit(0.0))).alias("norm2")))
     dot = (term.join(F.broadcast(of), "term").groupBy("row", "line", "template", "license")
            .agg(F.sum("w2").alias("dot"), F.first("t2").alias("t2")))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("t2")), 6)

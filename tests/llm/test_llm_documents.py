@@ -1,6 +1,9 @@
 """Operators on documents: brute force on small tables and the cases that their docstrings define."""
 
+import collections
+import math
 import random
+import re
 import zlib
 
 import brute_force as brute
@@ -182,6 +185,32 @@ def test_license_scan(spark):
     assert licenses.scan(files.limit(0), "id", "path").count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_license_lines_with_ordinary_words(spark, times):
+    r = random.Random(7)
+    common, known = "for on it at we he she they".split(), sorted({w for _, s in licenses.TEMPLATES for w in re.findall(r"[^\W_]+", s.lower())})
+    texts = ["Released under the MIT License for on", "It is for on: Licensed under the Apache License, Version 2.0", "All rights reserved for we"]
+    texts += [s + " " + " ".join(r.sample(common + ["rare", "seldom"], r.randint(0, 6))) for _, s in licenses.TEMPLATES for _ in range(4)]
+    texts += [" ".join(r.sample(known, r.randint(1, 6)) + r.sample(common, 3)) for _ in range(40)]
+    texts += [" ".join([*common, f"w{i}"]) for i in range(300 * times)]
+    bags = [set(re.findall(r"[^\W_]+", x.lower())) for x in texts]
+    df = collections.Counter(w for b in bags for w in b)
+    w2 = {w: (math.log((1 + len(bags)) / (1 + df[w])) + 1) ** 2 for w in {*df, *known}}
+    templates = [(name, set(re.findall(r"[^\W_]+", s.lower()))) for name, s in licenses.TEMPLATES]
+
+    def best(bag):
+        size = sum(w2[w] for w in bag)
+        return min((-round(sum(w2[w] for w in bag & t) / math.sqrt(size * sum(w2[w] for w in t)), 6), name) for name, t in templates)
+
+    files = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {x["row"]: (x["license"], x["score"]) for x in licenses.line_licenses(files).collect()}
+    assert len(got) == len(texts) and [got[i][0] for i in range(3)] == ["MIT", "Apache-2.0", "Proprietary"]
+    for i, bag in enumerate(bags):
+        score, name = best(bag)
+        assert got[i][0] == (name if -score >= licenses.COSINE else None), texts[i]
+        assert got[i][1] is None or got[i][1] == pytest.approx(-score, abs=2e-6)
+
+
 def same_as_sql(spark, name, sf):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
