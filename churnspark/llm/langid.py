@@ -6,8 +6,10 @@ in the same way; its out-of-place distance to a profile is the sum over them of
 ranks, at most ``PROFILE`` and ``PROFILE`` for an n-gram that the profile lacks.  The nearest profile wins,
 and the score is one minus its distance over the largest possible one.
 
-Profiles are fitted on a sample of the labelled documents, chosen by a hash of the id, of about
-``SAMPLE`` documents (the documented bound of the fit); all documents are predicted from whole texts.
+Profiles are fitted on a sample of each language's labelled documents, chosen by a hash of the id (of the
+text where the id is null): all of a language with at most ``SAMPLE`` documents and about ``SAMPLE`` of a
+larger one (the documented bound of the fit), so every label has a profile at every table size.  All
+documents are predicted from whole texts.
 
 Cases: null text, or one without a letter, gives ``und`` with score 0, and so does every text if there is
 no labelled document; ties go to the language first in code point order; repeated rows get equal rows; an
@@ -80,9 +82,13 @@ def _grams(texts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
         profile: int = PROFILE, sample: int = SAMPLE) -> list[tuple[str, list[int]]]:
     """The languages of the rows where ``labelled`` holds and their profiles, at most ``profile`` n-grams each."""
-    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
+        F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))), F.lit(1 << 40)).alias("deal"))
+    # a row per language, fewer than the profile rows that are collected below; the smallest hash is always in
+    most = rows.groupBy("lang").agg(F.greatest(F.min("deal"), F.floor(
+        F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))) * (1 << 40))).alias("most"))
+    rows = rows.join(F.broadcast(most.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where("deal <= most")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
@@ -96,7 +102,7 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
                         [pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()),
                          pa.array(np.bincount(group, weights=n, minlength=len(gram)).astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = (rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    counts = (rows.select("lang", "text")
               .mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)

@@ -168,6 +168,17 @@ def test_language_accuracy_and_odd(spark):
     assert langid.predict(empty(spark), langid.fit(empty(spark), F.lit(True)), keep=("doc_id",)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"the cat and dog {i}", "en") for i in range(3000)] + [(None, f"le chat et le chien {i}", "fr") for i in range(3000)]
+    rows += [(5000, "\u03bb\u03cc\u03b3\u03bf\u03c2 \u03ba\u03b1\u03b9", "el")] * 2 + [(6000, "ordet", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (1, 40, 20000):
+        profiles = langid.fit(docs, F.lit(True), sample=sample)
+        assert [name for name, _ in profiles] == ["el", "en", "fr"]
+        got = langid.predict(docs, profiles, keep=("lang",)).where("lang = 'el'").collect()
+        assert [r["lang_pred"] for r in got] == ["el", "el"] and all(r["score"] >= 0.2 for r in got)
+
+
 # ---------------------------------------------------------------- licences
 def test_license_scan(spark):
     rows = [("p/LICENSE", "Released under the MIT License."), ("p/a.py", "code"), ("p/q/b.py", "code here"),
