@@ -8,10 +8,14 @@
    a leaf's content importance is one minus the mean of its texts' entropies, log(pages with the text) /
    log(m): a menu that every page repeats has 0, text of one page has 1.  Inner nodes weigh their own
    presentation against the importance of their children, as deep as the tree goes.
-3. Branches below ``LEAST`` importance are removed from each page, if at least ``PAGES`` pages show them.
-   Elements that say what they are (``nav``, ``footer``, ``form``, a class such as ``sidebar``) are
-   removed by name, also on hosts with too few pages; if a page has an article or main element, its text
-   is taken from there.  If nothing would be left, the page keeps its unpruned article or body.
+3. Branches whose nodes are all below ``LEAST`` importance are removed from each page, if at least ``PAGES``
+   pages show them.  The tree holds all blocks, whatever their names.
+4. Names add to that, also on hosts with too few pages.  Elements that are no text (``nav``, ``footer``) are
+   left out; the text of a ``form`` or of a class such as ``sidebar`` weighs ``NAMED`` of its length: the
+   branch is left out unless it outweighs the text beside it, or holds the page's main element, or an
+   article with most of the page's text where no article is outside such branches.
+5. If a page has an article or main element, its text is taken from there.  If nothing would be left, the
+   page keeps its unpruned article or body.
 
 Cases: null or empty html gives empty text; a null url is a host of its own; unclosed elements end with
 their parent, and an open ``p`` with the next block; repeated rows are pages of their own; an empty table
@@ -38,6 +42,7 @@ from .spark import table, written
 LEAST = 0.15
 PAGES = 10
 GAMMA = 0.9
+NAMED = 0.25
 SALTS = 64
 
 # fixed values of HTML: elements that end or hold a block of text, that have no content, that are not text
@@ -56,6 +61,7 @@ ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "disqus respond sharing related recommended recommendations pager pagination contentinfo "
                   "complementary".split())
 ASIDE_ALONE = frozenset("banner banners menu header masthead topbar notice notices alert social share toolbar form".split())
+NEVER = NOT_TEXT - {"form"}  # a form may be the whole page's wrapper
 CONTENT = frozenset("article content main post entry story body text".split())
 ITEMS = {"li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"},
          "option": {"option"}}
@@ -68,44 +74,66 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marked(tag: str, attributes: str) -> tuple[str, bool]:
-    """(style of an element: tag and class, whether it is named as something other than the article)"""
-    style, other = tag, tag in NOT_TEXT
+def _marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(style of an element: tag and class, whether it is named as something other than the article, whether
+    it is never text)"""
+    style, other, never = tag, tag in NOT_TEXT, tag in NEVER
     if attributes and not attributes.isspace():
         for m in _MARKS.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "class":
                 style = tag + "." + ".".join(sorted(value.split()))
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                other = True
+                never = True
             elif name != "aria-hidden" and tag not in ("html", "body"):
                 # an article has classes of many kinds: only a class that is one such word counts
                 words = value.lower().split() if tag in ("article", "main") else _WORD.findall(_CAMEL.sub(" ", value).lower())
                 if not {"with", "has", "no"} & set(words):
                     other = other or not ASIDE.isdisjoint(words) or (
                         not ASIDE_ALONE.isdisjoint(words) and CONTENT.isdisjoint(words))
-    return style, other
+    return style, other, never
 
 
-def blocks(html: str) -> list[tuple[str, str, int]]:
-    """(element path, text, number of its article or -1) of each block that is not named as something else.
+def _kept(named: list[int], own: list[int], articles: list[tuple[int, bool, int]]) -> tuple[list[bool], list[bool]]:
+    """Of each named branch, whether its text stays; of each article, whether it is the page's.
+
+    ``named``: the next outer branch of each, or -1; ``own``: text in each and in no inner branch, then text in
+    none; ``articles``: (branch that holds it or -1, whether it is a main element, its text)."""
+    whole = own[:]
+    for e in range(len(named) - 1, -1, -1):
+        whole[named[e]] += whole[e]
+    holds, outside = [False] * len(named), any(e < 0 for e, *_ in articles)
+    pages = [e < 0 or main or not outside and 2 * size > whole[-1] for e, main, size in articles]
+    for (e, *_), page in zip(articles, pages):
+        while page and e >= 0:
+            holds[e], e = True, named[e]
+    kept, beside = [False] * len(named), [0] * len(named) + [own[-1]]
+    for e, outer in enumerate(named):
+        kept[e] = (outer < 0 or kept[outer]) and (holds[e] or NAMED * whole[e] > beside[outer])
+        beside[e] = beside[outer] + own[e]
+    return kept, pages
+
+
+def blocks(html: str) -> list[tuple[str, str, int, int]]:
+    """(element path, text, number of its article or -1, 1 if its names leave it out) of each block.
 
     The path is of the innermost block element; white space is collapsed and references are decoded."""
-    out: list[tuple[str, str, int]] = []
-    # open elements: (tag, block path, named as other than the article, article, whether it ends a block)
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
+    out: list[tuple[str, str, int, int]] = []
+    # open elements: (tag, block path, named branch or -1, -2: never text, article, whether it ends a block)
+    stack: list[tuple[str, str, int, int, bool]] = [("", "", -1, -1, False)]
     piece: list[str] = []
-    articles = 0
+    named: list[int] = []  # next outer named branch
+    articles: list[tuple[int, bool]] = []  # its named branch, whether it is a main element
 
     def flush() -> None:
         text = " ".join(("".join(piece) if len(piece) > 1 else piece[0]).split())
         piece.clear()
         _, path, other, article, _ = stack[-1]
-        if text and not other:
+        if text:
             if "&" in text:
                 text = " ".join(html_entities.unescape(text).split())
             if text:
-                out.append((path, text, article))
+                out.append((path, text, article, other))
 
     def close(depth: int) -> None:
         if piece and any(x[4] for x in stack[depth:]):
@@ -169,32 +197,49 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             at = ending.end() if ending else size
             continue
         _, path, other, article, _ = stack[-1]
-        style, odd = (tag, tag in NOT_TEXT) if not attributes or attributes.isspace() else _marked(tag, attributes)
+        style, odd, never = ((tag, tag in NOT_TEXT, tag in NEVER) if not attributes or attributes.isspace()
+                             else _marked(tag, attributes))
         if attributes.endswith("/") and not block:
             continue
         # a header of the article itself, with its heading, is part of the article
         if tag == "header" and article >= 0 and style == "header":
-            odd = False
-        if not other and not odd and article < 0 and (tag in ("article", "main") or 'role="main"' in attributes):
-            article, articles = articles, articles + 1
-        stack.append((tag, f"{path}/{style}" if block else path, other or odd, article, block))
+            odd = never = False
+        main = tag == "main" or 'role="main"' in attributes
+        if other != -2 and not odd and not never and article < 0 and (main or tag == "article"):
+            article = len(articles)
+            articles.append((other, main))
+        if never or other == -2:
+            other = -2
+        elif odd:
+            named.append(other)
+            other = len(named) - 1
+        stack.append((tag, f"{path}/{style}" if block else path, other, article, block))
     if piece:
         flush()
-    return out
+    own, sizes = [0] * (len(named) + 1), [0] * len(articles)
+    for _, text, article, other in out:
+        if other != -2:
+            own[other] += len(text)
+            if article >= 0:
+                sizes[article] += len(text)
+    kept, pages = _kept(named, own, [(e, main, size) for (e, main), size in zip(articles, sizes)])
+    kept, pages = [*kept, False, True], [*pages, False]  # -2, -1: never text, no branch; -1: no article
+    return [(path, text, article if kept[other] and pages[article] else -1, int(not kept[other]))
+            for path, text, article, other in out]
 
 
 def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _nodes(rows: list[tuple[str, str, int]]) -> dict[str, int]:
+def _nodes(rows: list[tuple[str, str, int, int]]) -> dict[str, int]:
     """The style nodes of a page above its blocks, and a hash of each one's layout (0: no child)."""
     children: dict[str, dict[str, None]] = {}
     for path in {r[0]: None for r in rows}:
         while path and path not in children:
             children[path] = {}
             path = path.rpartition("/")[0]
-    for path, text, _ in rows:
+    for path, *_ in rows:
         while path:
             parent, _, name = path.rpartition("/")
             if not parent or name in children[parent]:
@@ -206,10 +251,10 @@ def _nodes(rows: list[tuple[str, str, int]]) -> dict[str, int]:
 
 
 def parsed(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of the columns ``keep``, then _host, _blocks (path, text, article) and _nodes (path, layout)."""
+    """Rows of the columns ``keep``, then _host, _blocks (path, text, article, named) and _nodes (path, layout)."""
     keep = list(keep)
     schema = T.StructType([*[pages.schema[c] for c in keep], *T.StructType.fromDDL(
-        "_host string, _blocks array<struct<path:string,text:string,article:int>>, "
+        "_host string, _blocks array<struct<path:string,text:string,article:int,named:int>>, "
         "_nodes array<struct<path:string,layout:bigint>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +268,9 @@ def parsed(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[s
 
             flat = [b for r in rows for b in r]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep) + 1], lists(
-                [len(r) for r in rows], ["path", "text", "article"],
+                [len(r) for r in rows], ["path", "text", "article", "named"],
                 [pa.array([b[0] for b in flat], pa.string()), pa.array([b[1] for b in flat], pa.string()),
-                 pa.array([b[2] for b in flat], pa.int32())]), lists(
+                 pa.array([b[2] for b in flat], pa.int32()), pa.array([b[3] for b in flat], pa.int32())]), lists(
                 [len(n) for n in nodes], ["path", "layout"],
                 [pa.array([p for n in nodes for p in n], pa.string()),
                  pa.array([x for n in nodes for x in n.values()], pa.int64())])], schema.names)
@@ -234,7 +279,8 @@ def parsed(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[s
 
 
 def low_branches(pages: DataFrame, least: float = LEAST, enough: int = PAGES, gamma: float = GAMMA) -> DataFrame:
-    """Rows (host, low): the paths, one a line, of each host's style tree whose importance is below ``least``.
+    """Rows (host, low): the paths, one a line, of each host's style tree whose importance, and that of all below
+    them, is under ``least``.
 
     ``pages`` are parsed pages."""
     def feature(kind: str, path: str, value: str):
@@ -257,6 +303,7 @@ def low_branches(pages: DataFrame, least: float = LEAST, enough: int = PAGES, ga
         """Importance of one host's nodes, from the leaves up; rows are style nodes, not pages."""
         by = {r["path"]: r for r in rows.to_pylist()}
         importance: dict[str, float] = {}
+        most: dict[str, float] = {}  # of a node and those below it
         children: dict[str, list[str]] = {}
         for path in by:
             if path:
@@ -268,7 +315,7 @@ def low_branches(pages: DataFrame, least: float = LEAST, enough: int = PAGES, ga
             own = 1 - (r["text_log"] or 0.0) / r["texts"] / log_m if r["texts"] and log_m else 1.0
             kids = [(by[k]["m"] or 1, importance[k]) for k in children.get(path, [])]
             if not kids:
-                importance[path] = own
+                importance[path] = most[path] = own
                 continue
             layout = 1.0
             if log_m and r["layouts"]:
@@ -278,7 +325,8 @@ def low_branches(pages: DataFrame, least: float = LEAST, enough: int = PAGES, ga
             if r["texts"]:
                 below = max(below, own)
             importance[path] = (1 - weight) * layout + weight * below
-        low = [p for p, v in importance.items() if p and v < least and (by[p]["m"] or 0) >= enough]
+            most[path] = max(importance[path], own if r["texts"] else 0.0, *(most[k] for k in children[path]))
+        low = [p for p, v in most.items() if p and v < least and (by[p]["m"] or 0) >= enough]
         return pa.table({"host": pa.array([rows.column("host")[0].as_py()], pa.string()), "low": pa.array(["\n".join(sorted(low))], pa.string())})
 
     return node.groupBy("host").applyInArrow(weigh, "host string, low string").where("low <> ''")
@@ -298,7 +346,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[
         rows = (rows.withColumn("_deal", F.pmod(F.xxhash64("_blocks"), F.lit(SALTS)))
                 .join(salted, F.col("_of").eqNullSafe(F.col("_host")) & (F.col("_deal") == F.col("_salt")), "left"))
     rows = rows.withColumn("_blocks", F.expr(
-        "if(exists(_blocks, b -> b.article >= 0), filter(_blocks, b -> b.article >= 0), _blocks)"))
+        "if(exists(_blocks, b -> b.article >= 0), filter(_blocks, b -> b.article >= 0), filter(_blocks, b -> b.named = 0))"))
     rows = rows.withColumn("_left", F.expr(
         "if(low is null, _blocks, filter(_blocks, b -> not exists(split(low, '\\n'), "
         "p -> b.path = p or startswith(b.path, concat(p, '/')))))"))

@@ -39,6 +39,23 @@ def test_html_cases(spark):
     assert text_of(spark, [(None, "<p>x"), (None, "<p>x")]) == {0: "x", 1: "x"}
 
 
+def test_names_do_not_drop_the_article(spark):
+    long = "Words of the article. " * 20
+    cases = [
+        (f"<div class='content-sidebar-wrap'><main><p>{long}</p></main><div class=sidebar>s</div></div><p>foot", long.strip()),
+        (f"<div class='elementor-widget-container'><p>{long}</p></div><p>All rights", long.strip() + "\n\nAll rights"),
+        (f"<div class='elementor-widget-container'><p>{long}</p></div>", long.strip()),
+        (f"<form id=aspnetForm><nav>n</nav><div class=post><p>{long}</p></div><div class=sidebar>s</div></form>", long.strip()),
+        (f"<div class='content-sidebar-wrap'><article><p>{long}</p></article><aside>a</aside></div>", long.strip()),
+        (f"<div class=post>{long}</div><div class=related><article>card one</article><article>card two</article></div>", long.strip()),
+        (f"<article>{long}</article><div class=comments><article>{long * 9}</article></div>", long.strip()),
+        (f"<div class=post>{long}</div><div class=sidebar>{long}</div>", long.strip()),
+    ]
+    got = text_of(spark, [(f"http://h{i}.org/", h) for i, (h, _) in enumerate(cases)])
+    for i, (h, want) in enumerate(cases):
+        assert got[i] == want, h
+
+
 def test_site_tree_drops_what_a_host_repeats(spark):
     site = [("http://site.org/%d" % i, f"<div class=box><p>Same words on every page</p></div><div class=text><p>Own words {i} of this page</p></div>") for i in range(30)]
     few = [("http://few.org/%d" % i, "<div class=box><p>Same words on every page</p></div><div class=text><p>same</p></div>") for i in range(3)]
