@@ -114,10 +114,13 @@ def mix(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES,
                    .join(goal, sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"]), "mixed")
     stream = running_totals(docs.where("size > 0").select("row", "nth", "bin", "deal", "size", "source_size", "blocks"),
                             ["nth"], ["bin", "deal", "row"], {"at": "size"}, bins)
-    # block k holds the words from floor(k * size / blocks) of the source's stream
+    # block k holds the words from floor(k * size / blocks) of the source's stream; the products are beyond a long
+    def product(a: str, b: str) -> str:
+        return f"cast({a} as decimal(19,0)) * cast({b} as decimal(18,0))"
     parts = stream.withColumn("block", F.explode(F.sequence(
-        F.expr("(at * blocks) div source_size"), F.expr("least(((at + size) * blocks) div source_size, blocks - 1)"))))
-    low, high = "(block * source_size + blocks - 1) div blocks", "((block + 1) * source_size + blocks - 1) div blocks"
+        F.expr(f"({product('at', 'blocks')}) div source_size"),
+        F.expr(f"least(({product('at + size', 'blocks')}) div source_size, blocks - 1)"))))
+    low, high = (f"({product('source_size', k)} + blocks - 1) div blocks" for k in ("block", "block + 1"))
     parts = (parts.withColumns({"word_from": F.expr(f"greatest(at, {low}) - at"),
                                 "word_to": F.expr(f"least(at + size, {high}) - at")})
              .where("word_to > word_from").select("row", "nth", "block", "word_from", "word_to"))

@@ -384,6 +384,19 @@ def test_mixed_documents(spark):
     assert mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mix_of_very_large_sources(spark):
+    unit = 10**14
+    rows = [(i, "ab"[i % 2], (i + 1) * unit // 3, i) for i in range(60)]
+    out, takes = mixing.mix(spark.createDataFrame(rows, "key long, source string, size long, row long"), block_words=unit)
+    taken = {r["row"]: r["t"] for r in takes.groupBy("row").agg(F.sum(F.expr("word_to - word_from")).alias("t")).collect()}
+    per = {}
+    for r in out.collect():
+        assert 0 <= taken.get(r["row"], 0) <= 3 * r["size"]
+        per.setdefault(r["source"], []).append(r)
+    for x in per.values():
+        assert abs(sum(taken.get(r["row"], 0) for r in x) - x[0]["target"]) <= unit
+
+
 def test_mix_repeats_itself(spark):
     one, two = (sorted(tuple(r) for r in queries.QUERIES["op9_mixing"](spark, SF).collect()) for _ in range(2))
     assert one == two
