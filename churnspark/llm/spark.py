@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import checked_broadcast
 from ..plans.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,15 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder's ``llm/<application id>``."""
+    return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder's ``llm/<application id>`` and read it again.
 
     Later steps read these files, so a lost executor costs the tasks that it ran, not the steps
     before.  The folder of an application can go when its results have been read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HOT_SHARE = 10_000  # a value counts as hot above this part of all rows, so there are fewer hot values than this
+
+
+def split_by_heat(values: DataFrame, many: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(hot, rest) of a table of values with ``many``, the rows that hold each: one value is one row.
+
+    ``hot`` is marked for broadcast: at most HOT_SHARE values can hold more than that part of ``rows``.  So a
+    join with ``rest`` has no key with more rows than that."""
+    least = max(1000, rows // HOT_SHARE)
+    return F.broadcast(values.where(F.col(many) > least)), checked_broadcast(values.where(F.col(many) <= least))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

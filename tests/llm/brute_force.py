@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,3 +89,63 @@ def kept_words(docs: list[tuple[int, str | None]], window: int = 20) -> list[tup
             seen.add(s)
         out.append((" ".join(x for x, g in zip(w, gone) if not g), len(w), sum(gone)))
     return out
+
+
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+def fill_in_middle(key, text: str | None, rate: int = 100, spm: int = 50) -> tuple:
+    """(n, form, prefix length, middle length, output)."""
+    text = text or ""
+    units = LINE.findall(text)
+    digits = hashlib.sha256(f"7:{'' if key is None else key}".encode()).hexdigest()
+    h = [int(digits[8 * i:8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < spm:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def spelling(docs, one_in: int | None = 31) -> dict:
+    """word: (form, root, n, n_near, form_n), by deletion neighbourhoods and an edit check."""
+    count: collections.Counter = collections.Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if one_in and h % one_in == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            if len(run) >= 7:
+                count[run] += 1
+    words = {w: n for w, n in count.items() if n >= 2}
+    by_variant = collections.defaultdict(set)
+    for w in words:
+        for v in {w, *(w[:i] + w[i + 1:] for i in range(len(w)))}:
+            by_variant[v].add(w)
+    near = collections.defaultdict(set)
+    for same in by_variant.values():
+        for a in same:
+            near[a] |= {b for b in same if a != b and one_edit(a, b)}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n, len(near[w]), words[form[w]] if form[w] else None) for w, n in words.items()}
+
+
+def exact_groups(docs) -> list[tuple]:
+    """(key, keep key, group size, rows kept in the group) for each document."""
+    groups = collections.defaultdict(list)
+    for key, text in docs:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(key)
+    return [(k, min(g, key=lambda x: (x is None, x or 0)), len(g), t) for t, g in groups.items() for k in g]
