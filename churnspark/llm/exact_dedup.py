@@ -31,8 +31,9 @@ from .spark import fresh_path, split_by_heat, table, written
 
 SHARE = 64
 FILES_PER_BATCH = 100_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# state on disk; a store of a partition may be small, so no disk is reserved in advance
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: str) -> Column:
@@ -50,12 +51,14 @@ def _longer(text: Column, level: int) -> Column:
 
 @contextmanager
 def _disk_state(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
