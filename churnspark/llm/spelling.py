@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .spark import split_by_heat, table, written
 
-LETTERS = r"[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LENGTH = 7
 LEAST_COUNT = 2
@@ -41,12 +41,15 @@ ONE_IN = 31
 STEP = 4    # code points that a place leaves open
 PLACES = 4  # at most; the step grows with very long words
 SIDE = 256
-CELLS = 1 << 20  # compared at once: words x words x code points
+ROWS = 64        # compared at once with as many others; many tiles are smaller
+CELLS = 1 << 20  # at most: words x words x code points
 
 
-def runs(docs: DataFrame, text: str = "text", key: str = "doc_id", pattern: str = LETTERS) -> DataFrame:
-    """Rows (key, run): every match of ``pattern``, with A-Z lower-cased."""
-    found = F.regexp_extract_all(F.col(text).cast("string"), F.lit(pattern), F.lit(0))
+def runs(docs: DataFrame, text: str = "text", key: str = "doc_id", letters: str = LETTERS, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """Rows (key, run): every maximal run of ``letters`` with at least ``least_length`` code points, A-Z lower-cased.
+
+    A greedy match takes a run whole, and deletions only shorten it: shorter runs give no word."""
+    found = F.regexp_extract_all(F.col(text).cast("string"), F.lit(f"{letters}{{{least_length},}}"), F.lit(0))
     return (docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.explode(found).alias("run"))
             .withColumn("run", F.translate("run", UPPER, LOWER)))
 
@@ -117,7 +120,7 @@ def compare(tile: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     width = int(longer.max())
     left, right = _matrix(words, width), _matrix([w[::-1] for w in words], width)
     length = np.array([len(w) for w in words])
-    side = max(1, min(SIDE, int((CELLS / width) ** 0.5)))
+    side = max(1, min(ROWS, int((CELLS / width) ** 0.5)))
     first, last = np.searchsorted(tile, tile, "left"), np.searchsorted(tile, tile, "right")
     out_a, out_b = [], []
     for i in range(0, len(words), side):
