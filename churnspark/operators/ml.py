@@ -1,22 +1,21 @@
-"""Model preparation, training, evaluation and scoring on ``pyspark.ml``.
-
-* One-hot encoding keeps the reference's ``get_dummies(drop_first=True)`` meaning:
-  levels sorted alphabetically, the first dropped, null → all zero.  The vocabulary
-  is learned once (a distributed distinct, bounded per column) and stored with the model, so
-  scoring any table – one customer or a billion – aligns by construction (absent
-  level → 0, unknown level → all zero).
-* Dummies are native ``CASE`` columns fed to a ``VectorAssembler``; no Python UDF.
+"""Model preparation, training, evaluation and scoring.
+
+* One-hot encoding keeps the reference's ``get_dummies(drop_first=True)`` meaning: levels sorted alphabetically,
+  the first dropped, null and unknown → all zero.  :func:`one_hot_encode` gives one column per level, for columns of
+  up to MAX_LEVELS levels; models are trained on the sparse encoding (``encoding.py``), whose dictionary is a
+  table of any size that is stored with the model.
+* Logistic regression by Newton steps (``logistic.py``), boosted trees on histograms (``boosting.py``), random
+  forests by ``pyspark.ml``.  Their numeric kernels work on Arrow batches.
 * Metrics are aggregates over the scored table; the AUC is exact (rank-sum with
   average ties) and distributed (ranks from the checkpointed global row number).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +23,14 @@ from pyspark.sql import types as T
 
 from ..functions import bins
 from ..plans.broadcast import checked_broadcast
+from ..plans.lineage import materialize
 from ..plans.ordering import group_row_number, group_running_sum
+from . import logistic
+from .boosting import BoostedModel, BoostParams, first_splits, fit_boosted  # noqa: F401
 from .clean import Imputation, drop_identifier_columns, fit_imputation
+from .encoding import Encoder, fit_encoder
 from .features import prepare_customers
+from .logistic import LinearModel, LogisticFit
 
 LABEL = "churn_flag"
 
@@ -233,73 +237,119 @@ def retention_recommendations(df: DataFrame, score: str = "churn_probability") -
 # ---------------------------------------------------------------- training
 @dataclass
 class FeatureSpec:
-    vocab: Vocabulary
-    numeric: list[str]
+    """What turns a table into features: fill values of the training table and the encoder."""
+    encoder: Encoder
     imputation: Imputation
 
-    @property
-    def names(self) -> list[str]:
-        return [*self.numeric, *self.vocab.dummy_names()]
+    def filled(self, df: DataFrame) -> DataFrame:
+        return self.imputation.apply(df, everywhere=True, all_null_value="Unknown")
+
+    def save(self, path: str) -> None:
+        self.encoder.save(path)
+        self.imputation.table(SparkSession.getActiveSession()).write.mode("overwrite").parquet(f"{path}/fill")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FeatureSpec:
+        return FeatureSpec(Encoder.load(spark, path), Imputation.from_table(spark.read.parquet(f"{path}/fill")))
 
 
-def prepare_modeling_data(df: DataFrame, label: str = LABEL, key: str = "customer_id") -> tuple[DataFrame, FeatureSpec]:
-    """Drop target/key/id columns, learn fill values (mean / mode / "Unknown") and the one-hot
-    vocabulary; returns the table (key, label, features…) and the feature spec, whose fill
-    values are the first stage of the fitted pipeline."""
+def prepare_modeling_data(df: DataFrame, name: str, label: str = LABEL, key: str = "customer_id") -> tuple[DataFrame, FeatureSpec]:
+    """Drop target/key/id columns, learn fill values (mean / mode / "Unknown") and the dictionary of levels
+    (written under ``name``); returns the table (key, label, columns…) and the feature spec."""
     feats = drop_identifier_columns(df.drop(label), target=label, key=key)
     cat = [f.name for f in feats.schema.fields if isinstance(f.dataType, T.StringType)]
     num = [f.name for f in feats.schema.fields if isinstance(f.dataType, T.NumericType)]
-    imputation = fit_imputation(df, num, cat)
-    base = df.select(key, label, *feats.columns)
-    filled = imputation.apply(base, all_null_value="Unknown")
-    return base, FeatureSpec(fit_vocabulary(filled, cat), num, imputation)
+    base = df.select(key, label, *num, *cat)
+    spec = FeatureSpec(Encoder(num, {}, 0, None), fit_imputation(df, num, cat))
+    spec.encoder = fit_encoder(spec.filled(base), num, cat, name)
+    return base, spec
 
 
-def feature_pipeline(spec: FeatureSpec) -> list:
-    """Stages that turn a raw table into ``features``: dummies (SQL) + assembler."""
-    dummies = ", ".join(f"CASE WHEN `{c}` = '{lvl.replace(chr(39), chr(39) * 2)}' THEN 1 ELSE 0 END AS `{c}_{lvl}`"
-                        for c, lv in spec.vocab.levels.items() for lvl in lv[1:])
-    def literal(v) -> str:
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    fills = [f"COALESCE(CAST(`{c}` AS DOUBLE), {float(spec.imputation.means.get(c) or 0.0)!r}D) AS `{c}`" for c in spec.numeric]
-    fills += [f"COALESCE(`{c}`, {literal(spec.imputation.modes.get(c) or 'Unknown')}) AS `{c}`" for c in spec.vocab.levels]
-    filled = [*spec.numeric, *spec.vocab.levels]
-    sql = f"SELECT *, {dummies} FROM __THIS__" if dummies else "SELECT * FROM __THIS__"
-    fill = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in filled)}), {', '.join(fills)} "
-                                    f"FROM __THIS__") if filled else None
-    stages = [s for s in (fill, SQLTransformer(statement=sql)) if s is not None]
-    stages.append(VectorAssembler(inputCols=spec.names, outputCol="features", handleInvalid="keep"))
-    return stages
+@dataclass
+class LogisticModel:
+    spec: FeatureSpec
+    linear: LinearModel
+    fit: LogisticFit | None = None
 
+    def score(self, df: DataFrame) -> DataFrame:
+        return _with_rows(self.linear.score, df, self.spec)
 
-def logistic(n_rows: int, c: float = 0.8, max_iter: int = 1000) -> LogisticRegression:
-    """L2 logistic regression equivalent to sklearn's ``C`` with balanced weights that sum
-    to N: ``regParam = 1/(C·N)``, no standardization."""
-    return LogisticRegression(labelCol=LABEL, featuresCol="features", weightCol="weight", maxIter=max_iter,
-                              regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False)
+    def importance(self) -> DataFrame:
+        """Rows (feature, importance): the absolute coefficients."""
+        return self.linear.table.where("feature >= 0").select("feature", F.abs("coefficient").alias("importance"))
 
+    def save(self, path: str) -> None:
+        self.spec.save(path)
+        self.linear.table.write.mode("overwrite").parquet(f"{path}/coefficients")
 
-def random_forest(num_trees: int = 100, max_depth: int = 12, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                  minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=seed)
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LogisticModel:
+        spec = FeatureSpec.load(spark, path)
+        return LogisticModel(spec, LinearModel(spec.encoder, spark.read.parquet(f"{path}/coefficients")))
 
 
-def boosted_trees(max_iter: int = 100, step: float = 0.1, max_depth: int = 5, subsample: float = 0.8,
-                  seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(labelCol=LABEL, featuresCol="features", maxIter=max_iter, stepSize=step, maxDepth=max_depth,
-                         subsamplingRate=subsample, seed=seed)
+@dataclass
+class ForestModel:
+    spec: FeatureSpec
+    forest: RandomForestClassificationModel
+
+    def score(self, df: DataFrame) -> DataFrame:
+        def scored(filled: DataFrame) -> DataFrame:
+            out = self.forest.transform(self.spec.encoder.vectors(filled))
+            return out.select(*filled.columns, vector_to_array(F.col("probability")).getItem(1).alias("churn_probability"))
+        return _with_rows(scored, df, self.spec)
+
+    def importance(self) -> DataFrame:
+        """Rows (feature, importance), one per feature of the model."""
+        values = enumerate(self.forest.featureImportances.toArray().tolist())
+        return SparkSession.getActiveSession().createDataFrame([(i, float(v)) for i, v in values], "feature long, importance double")
+
+
+@dataclass
+class TreesModel:
+    spec: FeatureSpec
+    boosted: BoostedModel
 
+    def score(self, df: DataFrame) -> DataFrame:
+        return _with_rows(self.boosted.score, df, self.spec)
 
-def fit(train: DataFrame, spec: FeatureSpec, estimator) -> PipelineModel:
-    return Pipeline(stages=[*feature_pipeline(spec), estimator]).fit(train)
+    def importance(self) -> DataFrame:
+        return self.boosted.importance(SparkSession.getActiveSession())
 
 
-def score_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Probability of class 1 and the (right-closed) risk segment, no UDF."""
-    out = model.transform(df)
-    p = vector_to_array(F.col("probability")).getItem(1)
-    scored = out.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), p.alias("churn_probability"))
-    return scored.select("row.*", "churn_probability").withColumn("risk_segment", bins.risk_segment("churn_probability"))
+def _with_rows(score, df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """``df`` as it is (nulls not filled) with the probability of its filled rows."""
+    used = [c for c in [*spec.encoder.numeric, *spec.encoder.sizes] if c in df.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    scored = score(spec.filled(df.select(row, *used)))
+    return scored.select("_row", "churn_probability").select("_row.*", "churn_probability")
+
+
+def train_logistic(train: DataFrame, spec: FeatureSpec) -> LogisticModel:
+    """``C = 0.8`` and balanced weights (column ``weight``), by Newton steps."""
+    linear, fit = logistic.train_logistic(spec.filled(train).withColumnRenamed(LABEL, "label"), spec.encoder)
+    return LogisticModel(spec, linear, fit)
+
+
+def train_random_forest(train: DataFrame, spec: FeatureSpec, num_trees: int = 100, max_depth: int = 12, seed: int = 42) -> ForestModel:
+    forest = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
+                                    minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=seed)
+    return ForestModel(spec, forest.fit(spec.encoder.vectors(spec.filled(train)).select(LABEL, "features")))
+
+
+def boosting_design(train: DataFrame, spec: FeatureSpec, key: str = "customer_id") -> DataFrame:
+    """Written rows (key, label, numeric, levels)."""
+    rows = spec.encoder.encode(spec.filled(train).withColumnRenamed(LABEL, "label"), [key, "label"])
+    return materialize(rows, f"design_{uuid.uuid4().hex}")
+
+
+def train_boosted_trees(train: DataFrame, spec: FeatureSpec, params: BoostParams = BoostParams()) -> TreesModel:
+    return TreesModel(spec, fit_boosted(boosting_design(train, spec), spec.encoder, params))
+
+
+def score_churn(model, df: DataFrame) -> DataFrame:
+    """Probability of class 1 and the (right-closed) risk segment; ``model`` is one of the models above."""
+    return model.score(df).withColumn("risk_segment", bins.risk_segment("churn_probability"))
 
 
 # ---------------------------------------------------------------- scoring raw customers
@@ -313,42 +363,31 @@ def prepare_new_customers(df: DataFrame, imputation: Imputation) -> DataFrame:
 
 @dataclass
 class ChurnModel:
-    """A fitted pipeline with the fill values of the table it was trained on."""
-    pipeline: PipelineModel
+    """A fitted model with the fill values of the raw table it was trained on."""
+    model: LogisticModel
     imputation: Imputation
 
     def score(self, raw: DataFrame) -> DataFrame:
         """Scores of raw customers: the same for a customer alone and in any table."""
-        return score_churn(self.pipeline, prepare_new_customers(raw, self.imputation))
+        return score_churn(self.model, prepare_new_customers(raw, self.imputation))
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.model.save(f"{path}/model")
         spark = SparkSession.getActiveSession()
         self.imputation.table(spark).write.mode("overwrite").parquet(f"{path}/imputation")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ChurnModel:
-        return ChurnModel(PipelineModel.load(f"{path}/pipeline"),
+        return ChurnModel(LogisticModel.load(spark, f"{path}/model"),
                           Imputation.from_table(spark.read.parquet(f"{path}/imputation")))
 
 
-def feature_importance(model: PipelineModel, spec: FeatureSpec, top: int = 15) -> DataFrame:
+def feature_importance(model, top: int = 15) -> DataFrame:
     """Features by importance (trees) or |coefficient| (logistic), top ``top``."""
-    est = model.stages[-1]
-    if hasattr(est, "featureImportances"):
-        vals = est.featureImportances.toArray().tolist()
-    else:
-        vals = [abs(v) for v in est.coefficients.toArray().tolist()]
-    # one value per feature: bounded by the model's feature count
-    rows = list(zip(spec.names, [float(v) for v in vals]))
-    df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
-    return df.orderBy(F.col("importance").desc(), "feature").limit(top)
-
-
-def feature_columns(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Ordered feature names, read from the assembled vector's ``ml_attr`` metadata
-    (schema-level, bounded by the feature count – no data is scanned)."""
-    attrs = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
-    named = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(named, "position int, feature string")
+    named = model.importance().join(model.spec.encoder.names(), "feature").select(F.col("name").alias("feature"), "importance")
+    return named.orderBy(F.col("importance").desc(), "feature").limit(top)
+
+
+def feature_columns(model) -> DataFrame:
+    """Ordered feature names (position, feature) of a model."""
+    return model.spec.encoder.names().select(F.col("feature").cast("int").alias("position"), F.col("name").alias("feature"))

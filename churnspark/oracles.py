@@ -761,3 +761,14 @@ oracle("feature_columns", with_fixtures(" union all ".join(
     f"select cast({i} as integer) as position, '{c}' as feature" for i, c in enumerate(_NUMERIC_FEATURES)) + f"""
 union all select cast({len(_NUMERIC_FEATURES)} + row_number() over (order by i, v) - 1 as integer), c || '_' || v
 from ({_DUMMY_ROWS})"""))
+
+# ---------------------------------------------------------------- trained models
+from . import oracles_ml  # noqa: E402
+
+POINT_RISK_SQL = """case when churn_probability < 0.25 then 'Low Risk' when churn_probability < 0.5 then 'Medium-Low Risk'
+  when churn_probability < 0.75 then 'Medium-High Risk' else 'High Risk' end"""
+ORACLES.update(oracles_ml.oracles(_NUMERIC_FEATURES, OHE, BASE_STRINGS, YES_NO, POINT_RISK_SQL))
+ENHANCED_NUMBERS = 26
+ENHANCED_STRINGS = ["gender", "partner", "dependents", "phone_service", "multiple_lines", "internet_service", *SERVICES, "contract",
+                    "paperless_billing", "payment_method", "city"]
+oracle("sparse_one_hot", oracles_ml.sparse_one_hot(ENHANCED_NUMBERS, ENHANCED_STRINGS))

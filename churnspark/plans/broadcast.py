@@ -43,3 +43,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a side that is a global aggregate (exactly one row by construction)."""
     return F.broadcast(df)
+
+
+HOT_SHARE = 10_000  # a value counts as hot above this part of all rows, so there are fewer hot values than this
+
+
+def split_by_heat(values: DataFrame, many: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(hot, rest)`` of a table of values with ``many``, the rows that hold each: one value is one row.
+
+    ``hot`` is marked for broadcast: at most HOT_SHARE values can hold more than that part of ``rows``.  So a
+    join with ``rest`` has no key with more rows than that, unless those are under a thousand."""
+    least = max(1000, rows // HOT_SHARE)
+    return F.broadcast(values.where(F.col(many) > least)), checked_broadcast(values.where(F.col(many) <= least))

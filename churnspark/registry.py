@@ -567,7 +567,7 @@ def _model_table(spark, sf):
     key = (spark.sparkContext.applicationId, "model_table", sf)
     if key not in _MODELS:
         df = features.prepare_customers(base(spark, sf), _imputation(spark, sf)).withColumnRenamed("churn", "churn_flag")
-        tbl, spec = M.prepare_modeling_data(df)
+        tbl, spec = M.prepare_modeling_data(df, f"base_{fixtures.tag(spark, sf)}")
         _MODELS[key] = (fixtures.stored(spark, "model_table", sf, lambda: M.stratified_split(tbl)), spec)
     return _MODELS[key]
 
@@ -587,22 +587,35 @@ def q_weights(spark, sf):
     return M.balanced_class_weight(views.analysis(spark, sf))
 
 
-def _trained(spark, sf, name):
-    key = (spark.sparkContext.applicationId, name, sf)
+# what the integrated table knows only of customers who have left (or what is made from the target)
+LEAKS = ["churn", "customer_status", "churn_category", "churn_reason"]
+
+
+def _enhanced_table(spark, sf):
+    """Training table of the integrated customers and its feature spec."""
+    key = (spark.sparkContext.applicationId, "enhanced_table", sf)
+    if key not in _MODELS:
+        df = views.engineered(spark, sf).transform(clean.normalize_churn).drop(*LEAKS)
+        tbl, spec = M.prepare_modeling_data(df, f"enhanced_{fixtures.tag(spark, sf)}")
+        _MODELS[key] = (fixtures.stored(spark, "enhanced_table", sf, lambda: M.stratified_split(tbl)), spec)
+    return _MODELS[key]
+
+
+def _trained(spark, sf, name, table=_model_table):
+    key = (spark.sparkContext.applicationId, name, table.__name__, sf)
     if key not in _MODELS:
-        split, spec = _model_table(spark, sf)
+        split, spec = table(spark, sf)
         train = M.with_class_weight(split.where(F.col("split") == "train"))
-        n = train.count()
-        est = {"logistic_regression": lambda: M.logistic(n),
-               "random_forest": M.random_forest, "boosted_trees": M.boosted_trees}[name]()
-        _MODELS[key] = M.fit(train, spec, est)
+        _MODELS[key] = {"logistic_regression": M.train_logistic, "random_forest": M.train_random_forest,
+                        "boosted_trees": M.train_boosted_trees}[name](train, spec)
     return _MODELS[key]
 
 
-def _model_metrics(spark, sf, name):
-    split, _ = _model_table(spark, sf)
-    model = _trained(spark, sf, name)
-    scored = M.score_churn(model, split)
+def _model_metrics(spark, sf, name, table=_model_table):
+    split, _ = table(spark, sf)
+    model = _trained(spark, sf, name, table)
+    # rounded, so that equal customers tie whatever the order in which their features are added
+    scored = M.score_churn(model, split).withColumn("churn_probability", F.round("churn_probability", 9))
     tr = M.roc_auc(scored.where(F.col("split") == "train")).withColumnRenamed("auc", "train_auc")
     te = M.roc_auc(scored.where(F.col("split") == "test")).withColumnRenamed("auc", "test_auc")
     return tr.crossJoin(te).select(F.lit(name).alias("model"), "train_auc", "test_auc")
@@ -664,10 +677,44 @@ def q_scoring_agreement(spark, sf):
         "customer_id", F.col("churn_probability").eqNullSafe(F.col("whole")).alias("same_score"))
 
 
+@query("train_enhanced")
+def q_enhanced(spark, sf):
+    """The logistic model and the boosted trees of the integrated table."""
+    a, b = (_model_metrics(spark, sf, k, _enhanced_table) for k in ("logistic_regression", "boosted_trees"))
+    return a.unionByName(b)
+
+
+@query("logistic_coefficients")
+def q_coefficients(spark, sf):
+    """Each feature's coefficient, and whether the gradient there is below 1e-6 of the sum of weights."""
+    model = _trained(spark, sf, "logistic_regression")
+    named = model.spec.encoder.names().unionByName(spark.createDataFrame([(-1, "(intercept)")], "feature long, name string"))
+    fitted = M.logistic.coefficient_table(model.fit, spark)
+    return fitted.join(named, "feature").select(F.col("name").alias("feature"), "coefficient",
+                                                (F.abs("gradient") < 1e-6).alias("gradient_is_zero"))
+
+
+@query("sparse_one_hot")
+def q_sparse(spark, sf):
+    """The features of each customer's levels in the integrated table (cities included)."""
+    split, spec = _enhanced_table(spark, sf)
+    rows = spec.encoder.encode(spec.filled(split), ["customer_id"])
+    return rows.select("customer_id", F.explode("levels").alias("feature"))
+
+
+@query("boosted_first_splits")
+def q_first_splits(spark, sf):
+    """Every split of the first round of boosting with its gain, all training rows."""
+    split, spec = _model_table(spark, sf)
+    design = M.boosting_design(split.where(F.col("split") == "train"), spec)
+    splits = M.first_splits(design, spec.encoder)
+    return splits.join(spec.encoder.names(), "feature").select(
+        F.col("name").alias("feature"), "split_value", "left_gradient", "left_hessian", "gain")
+
+
 @query("feature_importance")
 def q_importance(spark, sf):
-    _, spec = _model_table(spark, sf)
-    return M.feature_importance(_trained(spark, sf, "random_forest"), spec)
+    return M.feature_importance(_trained(spark, sf, "random_forest"))
 
 
 @query("risk_factor_flags")
@@ -698,8 +745,7 @@ def q_save_load(spark, sf):
 
 @query("feature_columns")
 def q_feature_columns(spark, sf):
-    split, _ = _model_table(spark, sf)
-    names = M.feature_columns(_trained(spark, sf, "logistic_regression"), split)
+    names = M.feature_columns(_trained(spark, sf, "logistic_regression"))
     return _write_read(spark, sf, names.coalesce(1), "feature_columns", "csv")
 
 
