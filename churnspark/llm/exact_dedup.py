@@ -27,7 +27,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spark import fresh_path, split_by_heat, table, written
+from ..plans.broadcast import split_by_heat
+from .spark import fresh_path, table, written
 
 SHARE = 64
 FILES_PER_BATCH = 100_000

@@ -114,8 +114,9 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
 
 def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str = "text", keep: tuple[str, ...] = (),
             size: int = PROFILE) -> DataFrame:
-    """Rows of the columns ``keep``, then lang_pred and score."""
+    """Rows of the columns ``keep``, then lang_pred and score.  The text is read from ``keep`` if it is there."""
     keep = list(keep)
+    place = keep.index(text) if text in keep and docs.schema[text].dataType == T.StringType() else len(keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     names = [name for name, _ in profiles]
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
         for batch in batches:
-            for a, b, texts in textops.slices(batch.column(len(keep)), _SLICE):
+            for a, b, texts in textops.slices(batch.column(place), _SLICE):
                 n = b - a
                 doc, gram, count = _grams(texts, codes)
                 order = np.lexsort((gram, -count, doc)) if n == 1 else _ranked(doc, gram, count)
@@ -140,8 +141,8 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
                     at[vocabulary[at] != gram] = len(vocabulary)
                 far = np.zeros((n, len(names)))
                 for j in range(len(names)):
-                    place = ranks[at, j]
-                    apart = np.where(place < size, np.minimum(np.abs(place - rank), size), size)
+                    theirs = ranks[at, j]
+                    apart = np.where(theirs < size, np.minimum(np.abs(theirs - rank), size), size)
                     far[:, j] = np.bincount(doc, weights=apart, minlength=n)
                 most = np.bincount(doc, minlength=n) * float(size)
                 known = most > 0 if names else np.zeros(n, dtype=bool)
@@ -151,7 +152,8 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
                 yield pa.RecordBatch.from_arrays([*[batch.column(i)[a:b] for i in range(len(keep))],
                                                   pa.array(label, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    more = [F.col(text).cast("string").alias("_text")] if place == len(keep) else []
+    return docs.select(*keep, *more).mapInArrow(run, schema)
 
 
 def _ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:

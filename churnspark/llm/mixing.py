@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spark import running_totals, table, words_column, written
+from .spark import numbered, running_totals, table, words_column, written
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -134,16 +134,17 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
 
     A pass reads the blocks of a source in their order, so the words that it takes of a document are a
     run of words; a document that is read in part is cut there, and its words are joined by one space."""
-    row = F.monotonically_increasing_id()
-    _, takes = mix(sized(docs, key, source, text, row))
-    reads = takes.groupBy("row", "pass").agg(F.min("word_from").alias("_from"), F.max("word_to").alias("_to"))
-    reads = written(reads.withColumnsRenamed({"row": "_row", "pass": "_pass"}), "reads")
-    words = F.regexp_extract_all(F.col(f"d.`{text}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.col("_from") + 1, F.col("_to") - F.col("_from")), " ")
-    whole = (F.col("_from") == 0) & (F.col("_to") == words_column(f"d.`{text}`"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("_row"))
-    out = held.join(reads, "_row").withColumn("_text", F.when(whole, F.col(f"d.`{text}`")).otherwise(cut))
-    return out.select(*[F.col("_text").alias(c) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    held = numbered(docs)
+    sizes = sized(held.select("row", *[F.col("doc").getField(c).alias(n) for c, n in ((key, "key"), (source, "source"), (text, "text"))]),
+                  "key", "source", "text", F.col("row"))
+    _, takes = mix(sizes)
+    reads = takes.groupBy("row", "pass").agg(F.min("word_from").alias("from"), F.max("word_to").alias("to"))
+    reads = written(reads, "reads")
+    words = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.col("from") + 1, F.col("to") - F.col("from")), " ")
+    whole = (F.col("from") == 0) & (F.col("to") == words_column(f"doc.`{text}`"))
+    out = held.join(reads, "row").withColumn("read", F.when(whole, F.col(f"doc.`{text}`")).otherwise(cut))
+    return out.select(*[F.col("read").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

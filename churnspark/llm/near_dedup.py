@@ -15,8 +15,9 @@ at least ``threshold``.  Documents with equal sets are one text from the start.
    one-bit minima allow it.  So a group of thousands of copies costs a few links per copy, texts that are almost near to
    such a group are not listed with each member, and no link between different components is lost.
 
-At a similarity of 0.8 a pair misses MATCHES of COORDINATES with a probability below 1e-4, and the bound
-of the sketches (3.5 standard deviations) with one of 2e-4.
+Full sets decide every link.  What can be lost is a pair that is never a candidate: at a similarity of exactly 0.8
+two signatures agree on fewer than MATCHES of COORDINATES with a probability of 3.5e-8 (binomial; 4.1e-9 at
+0.82), and the sketches, which only long lists use, exceed their bound of 6.5 standard deviations with less than 1e-9.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are documents of the same set and
@@ -38,10 +39,11 @@ from ..plans.broadcast import checked_broadcast
 from . import textops
 from .spark import components, table, written
 
-COORDINATES = 32
+COORDINATES = 40
 MATCHES = 17
 HUBS = 4
 SKETCH = 4096
+DEVIATIONS = 6.5  # of a sketch's distance, above that of sets at the threshold
 LONG_LIST = 128
 THRESHOLD = 0.8
 _MULTIPLIER = (np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -115,7 +117,9 @@ def _of_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: s
 
 
 def _members(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([s.tobytes() for s in sets], pa.binary())
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(every.view(np.int64)))
 
 
 def _bits(sets: list[np.ndarray]) -> pa.Array:
@@ -149,20 +153,12 @@ def _confirmed(counted: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
     if counted.isEmpty():
         return counted
     ids = counted.select(F.col("a").alias("rep")).union(counted.select("b"))
-    members = _of_sets(ids, reps, docs, text, key, shingle, "binary", _members, "members")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= round(100 * threshold) * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+    members = _of_sets(ids, reps, docs, text, key, shingle, "array<bigint>", _members, "members")
     both = (counted.join(members.select(F.col("rep").alias("a"), F.col("value").alias("ma")), "a")
             .join(members.select(F.col("rep").alias("b"), F.col("value").alias("mb")), "b"))
-    return written(both.select("a", "b", "ma", "mb").mapInArrow(similar, "a long, b long"), "links")
+    common, all_of = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
+    similar = F.lit(100) * common >= F.lit(round(100 * threshold)) * (all_of - common)
+    return written(both.where(similar).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5,
@@ -235,11 +231,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         def word(i: int) -> Column:
             return F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i))))
 
-        few = F.coalesce(word(0) + word(1) + word(2) + word(3) <= int(256 * fair + 4 * (256 * fair * (1 - fair)) ** 0.5), F.lit(True))
+        few = F.coalesce(word(0) + word(1) + word(2) + word(3) <= int(256 * fair + DEVIATIONS * (256 * fair * (1 - fair)) ** 0.5), F.lit(True))
         agree = F.size(F.filter(F.zip_with("signature1", "signature2", lambda p, q: p == q), lambda e: e)) >= MATCHES
         near = ((F.col("list1") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component1") != F.col("component2"))
                 & (F.col("own1") | F.col("own2")) & a_size & few & ~F.arrays_overlap("v1", "v2")
-                & close(SKETCH // 64, 3.5) & agree)
+                & close(SKETCH // 64, DEVIATIONS) & agree)
         rest = side("a", "n", "1").join(side("b", "m", "2"), near).select("a", "b").join(linked, ["a", "b"], "left_anti")
         second = _confirmed(written(rest, "rest"), reps, docs, text, key, shingle, threshold)
     if second is not None and not second.isEmpty():

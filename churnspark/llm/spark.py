@@ -8,18 +8,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.broadcast import checked_broadcast
 from ..plans.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+BATCH_BYTES = "8m"
+_BYTES_PER_BATCH, _DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row), unless the session has set a size of its own."""
+    if spark.conf.get(_BYTES_PER_BATCH, _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES_PER_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder's ``llm/<application id>``."""
+    small_batches(spark)
     return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,16 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HOT_SHARE = 10_000  # a value counts as hot above this part of all rows, so there are fewer hot values than this
-
-
-def split_by_heat(values: DataFrame, many: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(hot, rest) of a table of values with ``many``, the rows that hold each: one value is one row.
+def numbered(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows (doc, row): the columns as a struct, so no name clashes, and a number.
 
-    ``hot`` is marked for broadcast: at most HOT_SHARE values can hold more than that part of ``rows``.  So a
-    join with ``rest`` has no key with more rows than that."""
-    least = max(1000, rows // HOT_SHARE)
-    return F.broadcast(values.where(F.col(many) > least)), checked_broadcast(values.where(F.col(many) <= least))
+    Written once: a number that is computed anew can differ, as it depends on how the scan is split."""
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return written(docs.select(held, F.monotonically_increasing_id().alias("row")), name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

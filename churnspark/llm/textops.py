@@ -52,6 +52,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         size += n
     if first < len(column):
         yield first, len(column), text_bytes(column.slice(first))
+    pa.default_memory_pool().release_unused()  # workers stay alive between tasks: what they keep adds up
 
 
 class Words:

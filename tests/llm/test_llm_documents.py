@@ -270,6 +270,30 @@ def test_near_chain_and_large_group(spark):
     check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_near_pairs_that_fewer_coordinates_lose(spark):
+    """Pairs at exactly 80 %, four of which 32 coordinates with 17 matches lose."""
+    some = [216, 1483, 25794, 33937, *range(60)]
+    rows = [(2 * k + side, " ".join(f"p{i}w{j}" for j in (range(37) if side == 0 else range(4, 41))))
+            for k, i in enumerate(some) for side in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("many", [40, 200])
+def test_near_pairs_at_the_threshold_in_lists(spark, many):
+    """Texts that share most words, linked at exactly 80 % in chains, with lists below and above LONG_LIST."""
+    rnd = random.Random(many)
+    common = [f"c{j}" for j in range(30)]
+    rows = []
+    for k in range(many):
+        own = [f"k{k}w{j}" for j in range(8)]
+        first = common + own
+        second = first[:-4] + [f"k{k}v{j}" for j in range(3)] if k % 2 else first[4:] + [f"k{k}v{j}" for j in range(4)]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    rnd.shuffle(rows)
+    check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2)
+
+
 def test_near_odd(spark):
     got = near_dedup.near_duplicates(odd_documents(spark), shingle=2).collect()
     by = {}
