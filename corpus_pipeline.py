@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.llm import langid, line_dedup, mixing, near_dedup, packing
-from churnspark.llm.spark import table, written
+from churnspark.llm.spark import numbered, small_batches, table, written
 
 LEAST_SCORE = 0.2  # of the nearest language profile; real text of a learned language is far above
 TOKENIZER = "word_bpe_49k.json"
@@ -24,11 +24,13 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled documents have; the rest go."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
+    small_batches(spark)
     profiles = langid.fit(docs, F.lit(True))
-    known = langid.predict(held, profiles, text="t", keep=("doc",))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    held = docs.select(others.alias("doc"), F.col("text").cast("string").alias("text"))
+    known = langid.predict(held, profiles, keep=("doc", "text"))
     known = known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return known.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return known.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    group = near_dedup.near_duplicates(rows, key="_row", shingle=5).select("_row", "component_id")
-    group = written(group.join(rows.select("_row", "doc_id"), "_row"), "groups")
-    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s"))
-    kept = first.select(F.col("s._row").alias("_row"))
-    return rows.join(group.join(kept, "_row", "left_anti").select("_row"), "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    texts = rows.select("row", F.col("doc.text").alias("text"), F.col("doc.doc_id").alias("doc_id"))
+    group = near_dedup.near_duplicates(texts, key="row", shingle=5).select("row", "component_id")
+    group = written(group.join(texts.select("row", "doc_id"), "row"), "groups")
+    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s"))
+    # the rows that stay are their groups' firsts: what is not such a row is dropped
+    dropped = group.join(first.select(F.col("s.row").alias("row")), "row", "left_anti").select("row")
+    return rows.join(dropped, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
