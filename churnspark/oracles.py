@@ -24,12 +24,15 @@ def oracle(name: str, sql: str) -> None:
 
 
 def two_sided_p_sql(z: str) -> str:
-    """Two-sided normal p-value as erfc(|z| / sqrt 2) by the published rational approximation 7.1.26,
-    written out here: the engine's own text is not used to check itself."""
+    """Two-sided normal p-value as erfc(|z| / sqrt 2): the series of erf for small arguments, the continued fraction
+    beyond.  The engine uses rational approximations; nothing of them is in here."""
     x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + 0.3275911 * {x}))"
-    poly = f"((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592)"
-    return f"({poly} * {t} * exp(-{x} * {x}))"
+    series = (f"list_reduce(list_prepend(1.0::double, list_transform(range(80, 0, -1), lambda k: k::double)), "
+              f"lambda a, k: 1.0 + 2.0 * {x} * {x} / (2.0 * k + 1.0) * a)")
+    fraction = (f"list_reduce(list_prepend({x}, list_transform(range(120, 0, -1), lambda k: k::double)), "
+                f"lambda a, k: {x} + k / 2.0 / a)")
+    return (f"(case when {x} < 2.0 then 1.0 - 2.0 / sqrt(pi()) * exp(-{x} * {x}) * {x} * {series} "
+            f"else exp(-{x} * {x}) / sqrt(pi()) / {fraction} end)")
 
 
 # shared CTE text: the base preparation chain
@@ -772,3 +775,46 @@ ENHANCED_NUMBERS = 26
 ENHANCED_STRINGS = ["gender", "partner", "dependents", "phone_service", "multiple_lines", "internet_service", *SERVICES, "contract",
                     "paperless_billing", "payment_method", "city"]
 oracle("sparse_one_hot", oracles_ml.sparse_one_hot(ENHANCED_NUMBERS, ENHANCED_STRINGS))
+
+# ---------------------------------------------------------------- many definitions, densities, checked reads, kept reports
+DEFINITION_COLUMNS = ["gender", "contract", "internet_service", "payment_method", "senior_citizen", "tech_support"]
+_LEVELS = ", ".join(f"l{i} as (select distinct cast({c} as varchar) as v from base where {c} is not null union all select null)"
+                    for i, c in enumerate(DEFINITION_COLUMNS))
+_DEFINITIONS = f"""{_LEVELS},
+defs as (select {' || '.join(f"'|' || coalesce(l{i}.v, '*')" for i in range(len(DEFINITION_COLUMNS)))} as definition,
+  {', '.join(f'l{i}.v as {c}' for i, c in enumerate(DEFINITION_COLUMNS))} from {', '.join(f'l{i}' for i in range(len(DEFINITION_COLUMNS)))})"""
+_MEETS = " and ".join(f"(d.{c} is null or d.{c} = cast(b.{c} as varchar))" for c in DEFINITION_COLUMNS)
+oracle("segment_definitions", with_fixtures(f"""
+select definition, count(*) as customers, cast(sum(tenure) as bigint) as months from defs d join base b on {_MEETS} group by definition""", _DEFINITIONS))
+oracle("definition_roi", with_views(f"""
+select definition, coalesce(n, 0) as customers_targeted, coalesce(n, 0) * 50.0::double as intervention_cost, coalesce(rev, 0.0) as monthly_revenue,
+  rate as segment_churn_rate, case when n > 0 then (risk * 0.2 - n * 50.0) / (n * 50.0) else 0.0 end as estimated_roi
+from (select d.definition, count(b.customer_id) as n, sum(b.monthly_charges) as rev, avg(cast(b.churn_flag as double)) * 100.0 as rate,
+    sum(b.monthly_charges * b.churn_probability) * 12.0 as risk
+  from defs d left join analysis b on {_MEETS} group by d.definition)""", _DEFINITIONS))
+DENSITY_CTES = SEG_CTES + """,
+val as (select segment_type, segment_value, monthly_charges as v from seg
+  union all select 'All Customers', 'All Customers', monthly_charges from analysis),
+st0 as (select segment_type, segment_value, count(*) as n, min(v) as low, max(v) as high, stddev_samp(v) as s,
+  quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as iqr from val group by all),
+st1 as (select *, least(greatest(2.0 * iqr * pow(n, -1.0 / 3.0), (high - low) / sqrt(n) / 2), (high - low) / (log2(n) + 1.0)) as w from st0),
+st as (select *, case when w > 0 then cast(ceil((high - low) / w) as bigint) else 1 end as bins, coalesce(s * pow(n, -0.2), 0.0) as h from st1)"""
+oracle("charge_bins", with_views("""
+select s.segment_type, s.segment_value, b as bin, low0 + b * width as low, low0 + (b + 1) * width as high,
+  cast((select count(*) from val v where v.segment_type = s.segment_type and v.segment_value = s.segment_value
+    and least(cast(floor((v.v - low0) / width) as bigint), bins - 1) = b) as bigint) as customer_count
+from (select *, unnest(range(0, bins)) as b, case when high > low then low else low - 0.5 end as low0,
+  case when high > low then (high - low) / bins else 1.0 end as width from st) s""", DENSITY_CTES))
+oracle("charge_density", with_views("""
+select g.segment_type, g.segment_value, g.cell, g.start + (g.cell + 0.5) * g.step as at,
+  sum(m * exp(-0.5 * pow((g.cell - c.k) * g.step / g.h, 2))) / (g.n * g.h * sqrt(2.0 * pi())) as density
+from (select *, low - 6.0 * h as start, (high - low + 12.0 * h) / 256 as step, unnest(range(0, 256)) as cell from st where h > 0) g
+join (select v.segment_type, v.segment_value, cast(floor((v.v - (low - 6.0 * h)) / ((high - low + 12.0 * h) / 256)) as bigint) as k, count(*) as m
+  from val v join st on v.segment_type = st.segment_type and v.segment_value = st.segment_value where h > 0 group by all) c
+  on c.segment_type = g.segment_type and c.segment_value = g.segment_value
+group by g.segment_type, g.segment_value, g.cell, g.start, g.step, g.n, g.h""", DENSITY_CTES))
+oracle("read_checked", with_fixtures("""
+select case when customer_id % 97 = 1 then 'short' when customer_id % 101 = 2 then 'long' when customer_id % 103 = 5 then 'quote'
+  when customer_id % 107 = 3 then 'value:monthly_charges' else 'good' end as reason, count(*) as row_count, cast(sum(customer_id) as bigint) as ids
+from base group by 1"""))
+oracle("kept_reports", ORACLES["write_reports"])

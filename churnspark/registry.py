@@ -3,6 +3,7 @@ SURVEY §2.  Each reads the test tables (through the fixture views) in full."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -795,3 +796,87 @@ def q_write_reports(spark, sf):
     return (city.select(F.lit("churn_by_city").alias("report"), F.col("city").alias("key"), "churn_rate")
             .unionByName(drv.select(F.lit("churn_risk_factors").alias("report"), F.col("segment").alias("key"),
                                     "churn_rate")))
+
+
+# ---------------------------------------------------------------- many definitions, densities, checked reads, kept reports
+from .operators import definitions as D  # noqa: E402
+from .operators import density  # noqa: E402
+
+DEFINITION_COLUMNS = ["gender", "contract", "internet_service", "payment_method", "senior_citizen", "tech_support"]
+
+
+def _definitions(spark, sf):
+    """(definitions, params): each combination of a level or none of six columns, the table's own levels; 2 880 or so."""
+    b = base(spark, sf)
+    combined = spark.range(1).select(F.lit("").alias("definition"), F.array().cast("array<struct<column_name:string,value:string>>").alias("c"))
+    for c in DEFINITION_COLUMNS:
+        level = b.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().unionByName(
+            spark.range(1).select(F.lit(None).cast("string").alias("v")))
+        one = F.array(F.struct(F.lit(c).alias("column_name"), F.col("v").alias("value")))
+        combined = combined.crossJoin(F.broadcast(level)).select(  # a few levels a column
+            F.concat("definition", F.lit("|"), F.coalesce("v", F.lit("*"))).alias("definition"),
+            F.when(F.col("v").isNull(), F.col("c")).otherwise(F.concat("c", one)).alias("c"))
+    combined = fixtures.stored(spark, "definitions", sf, lambda: combined)
+    params = combined.select("definition", F.lit(ROI_COST).alias("cost_per_customer"), F.lit(ROI_RATE).alias("retention_rate"))
+    return combined.select("definition", F.explode_outer("c").alias("c")).select("definition", "c.*"), params
+
+
+@query("segment_definitions")
+def q_definitions(spark, sf):
+    """Customers of every definition that has any."""
+    definitions, _ = _definitions(spark, sf)
+    return D.segment_members(base(spark, sf), definitions).groupBy("definition").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("tenure").alias("months"))
+
+
+@query("definition_roi")
+def q_definition_roi(spark, sf):
+    """Retention ROI of every definition, those without customers included."""
+    definitions, params = _definitions(spark, sf)
+    roi = D.segment_roi(A(spark, sf), definitions, params)
+    return roi.select("definition", "customers_targeted", "intervention_cost", "monthly_revenue", "segment_churn_rate", "estimated_roi")
+
+
+@query("charge_bins")
+def q_charge_bins(spark, sf):
+    return density.automatic_histogram(A(spark, sf))
+
+
+@query("charge_density")
+def q_charge_density(spark, sf):
+    return density.binned_density(A(spark, sf))
+
+
+@query("read_checked")
+def q_read_checked(spark, sf):
+    """An export of the subscriptions with damaged lines (by customer number): rows and bad rows by reason."""
+    from .plans.session import table_path as _tp
+    from .sources import io, quarantine
+    b, i = base(spark, sf), F.col("customer_id")
+    cells = [F.coalesce(F.when(i % 107 == 3, F.lit("many")).otherwise(F.col(c).cast("string")) if c == "monthly_charges"
+                        else F.col(c).cast("string"), F.lit("")) for c in fixtures.SUBSCRIPTION_COLUMNS]
+    line = F.concat_ws(",", *cells)
+    short = F.concat_ws(",", *cells[:-1])
+    line = (F.when(i % 97 == 1, short).when(i % 101 == 2, F.concat(line, F.lit(",more"))).when(i % 103 == 5, F.concat(F.lit('"'), line)).otherwise(line))
+    path = _tp(spark, f"damaged_{fixtures.tag(spark, sf)}")
+    b.select(line.alias("value")).write.mode("overwrite").text(path)
+    read = quarantine.read_checked(spark, path, io.SUBSCRIPTION_SCHEMA, header=False)
+    good = read.rows.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("row_count"), F.sum("customer_id").cast("bigint").alias("ids"))
+    return good.unionByName(read.quarantine.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(F.regexp_extract("raw", r"^\"?(\d+)", 1).cast("bigint")).cast("bigint").alias("ids")))
+
+
+@query("kept_reports")
+def q_kept_reports(spark, sf):
+    """City and driver reports from partial aggregates of five micro-batches."""
+    from .plans.session import table_path as _tp
+    from .streaming import reports as kept
+    name = f"{fixtures.tag(spark, sf)}_{uuid.uuid4().hex[:8]}"
+    source, store = _tp(spark, f"arriving_{name}"), _tp(spark, f"kept_{name}")
+    a = A(spark, sf)
+    a.repartition(5).write.mode("overwrite").parquet(source)
+    kept.start_report_stream(spark, source, a.schema, store, f"{store}/checkpoint", files_per_batch=1).awaitTermination()
+    merged = kept.stored(spark, store)
+    city = kept.churn_by_city(merged).select(F.lit("churn_by_city").alias("report"), F.col("city").alias("key"), "churn_rate")
+    return city.unionByName(kept.churn_drivers(merged).select(F.lit("churn_risk_factors").alias("report"), F.col("segment").alias("key"), "churn_rate"))
