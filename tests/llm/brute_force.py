@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -149,3 +150,51 @@ def exact_groups(docs) -> list[tuple]:
     for key, text in docs:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(key)
     return [(k, min(g, key=lambda x: (x is None, x or 0)), len(g), t) for t, g in groups.items() for k in g]
+
+
+def style_tree(pages, enough: int, gamma: float) -> dict:
+    """Style path: (pages with it, importance, largest importance from there down) of one host's parsed pages."""
+    shown = collections.Counter(c for nodes, _ in pages for c in {c for _, s in nodes for c in s.split(".")[1:]})
+    m: collections.Counter = collections.Counter()
+    layouts, texts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    children = collections.defaultdict(set)
+    for nodes, blocks in pages:
+        paths, kids = [()], {(): {}}
+        for parent, style in nodes[1:]:
+            tag, *classes = style.split(".")
+            name = ".".join([tag, *[c for c in classes if shown[c] >= enough]])
+            kids[paths[parent]][name] = None
+            children[paths[parent]].add((*paths[parent], name))
+            paths.append((*paths[parent], name))
+            kids.setdefault(paths[-1], {})
+        for path, names in kids.items():
+            m[path] += 1
+            if names:
+                layouts[path][tuple(names)] += 1
+        for path, text in {(paths[b[0]], b[1]) for b in blocks}:
+            texts[path][text] += 1
+    out: dict = {}
+
+    def weigh(path):
+        for kid in children[path]:
+            weigh(kid)
+        log_m = math.log(m[path])
+        own = 1.0
+        if texts[path] and log_m:
+            own = 1 - sum(math.log(n) for n in texts[path].values()) / len(texts[path]) / log_m
+        if not children[path]:
+            out[path] = (m[path], own, own)
+            return
+        layout = 1.0
+        if log_m and layouts[path]:
+            total = sum(layouts[path].values())
+            layout = min(1.0, -sum(n / total * math.log(n / total) for n in layouts[path].values()) / log_m)
+        below = sum(out[k][0] * out[k][1] for k in children[path]) / sum(out[k][0] for k in children[path])
+        if texts[path]:
+            below = max(below, own)
+        weight = gamma ** len(children[path])
+        value = (1 - weight) * layout + weight * below
+        out[path] = (m[path], value, max(value, own if texts[path] else 0.0, *(out[k][2] for k in children[path])))
+
+    weigh(())
+    return out

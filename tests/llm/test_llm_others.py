@@ -1,6 +1,9 @@
 """Operators on pages and vectors, and the pipeline."""
 
 import math
+import random
+import time
+import tracemalloc
 
 import brute_force as brute
 import numpy as np
@@ -69,7 +72,7 @@ def test_site_tree_drops_what_a_host_repeats(spark):
 def test_salted_join_equals_broadcast(spark, monkeypatch):
     rows = [("http://site.org/%d" % i, f"<div class=box><p>Same</p></div><p>Own {i}</p>") for i in range(30)]
     want = text_of(spark, rows)
-    monkeypatch.setattr(html_text, "checked_broadcast", lambda df, **_: df)
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", -1)
     assert text_of(spark, rows) == want
 
 
@@ -79,11 +82,103 @@ def test_pages_whole_table(spark):
     rows = out.collect()
     assert out.columns == ["page_id", "url", "text", "n_chars"] and len(rows) == len(pages)
     for r in rows:
-        blocks = html_text.blocks(pages[r["page_id"]])
+        _, blocks = html_text.parse(pages[r["page_id"]] or "")
         inside = [b for b in blocks if b[2] >= 0] or blocks
         assert set(r["text"].split("\n\n")) <= {b[1] for b in inside} | {""} and r["n_chars"] == len(r["text"])
 
 
+WORDS = "some different words of this comment or article which nobody else has written yet".split()
+
+
+def prose(seed, n):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(n))
+
+
+def test_comments_sidebars_and_notices_go_whatever_their_size(spark):
+    """Thirty pages of a host, other words on each: a short article, a long part with a telling name."""
+    for name in ("comments", "comment-list", "sidebar", "cookie-notice", "disqus_thread", "main-menu", "ad-box"):
+        site = [(f"http://site.org/{i}", f"<article><p>{prose(i, 20)}</p></article><div class='{name}'><p>{prose(100 + i, 150)}</p></div>") for i in range(30)]
+        body = [(u, h.replace("<article>", "<div class=text>").replace("</article>", "</div>")) for u, h in site]
+        for rows in (site, body):
+            got = text_of(spark, rows[:30])
+            assert [got[i] for i in range(30)] == [prose(i, 20) for i in range(30)], name
+
+
+def test_a_teaser_is_not_the_article(spark):
+    rows = [(f"http://site.org/{i}", f"<div class=text><p>{prose(i, 120)}</p></div><article><p>teaser {i}</p></article>") for i in range(30)]
+    got = text_of(spark, rows)
+    assert all(prose(i, 120) in got[i] for i in range(30))
+
+
+def test_classes_of_one_page_do_not_part_the_tree(spark):
+    rows = [(f"http://site.org/{i}", f"<body class='postid-{i} home'><div class='box b{i}'><p>Same words on every page</p></div>"
+             f"<div class='text t{i}'><p>{prose(i, 30)}</p></div></body>") for i in range(30)]
+    got = text_of(spark, rows)
+    assert [got[i] for i in range(30)] == [prose(i, 30) for i in range(30)]
+
+
+@pytest.mark.parametrize("html", ["<b>" * 8000 + "</i>" * 8000 + "x", "<a \"" * 8000, "<a \"" * 8000 + ">", "<div>" * 200_000 + "x", "<b>" * 60_000 + "<div>a</div>" * 60_000,
+                                  "<p><b>" * 60_000, "<li><b>" * 60_000, "<b>" * 60_000 + "<li>" * 60_000, "<" * 1_000_000, "<script>" * 100_000, "</p>" * 250_000,
+                                  "<table><tr><td>" * 60_000, "<!--" * 250_000, "<div class='" * 80_000],
+                         ids=range(14))
+def test_bad_html_takes_time_in_proportion(html):
+    before = time.process_time()
+    tracemalloc.start()
+    nodes, _ = html_text.parse(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - before < 12 and peak < 200 << 20  # tracing takes most of the time
+    assert len(nodes) < len(html)
+
+
+def random_page(rnd, i):
+    box = rnd.choice(["<div class='top a'><p>Same</p><p>Menu</p></div>", "<div class='top b'><p>Same</p></div>", ""])
+    side = "<div><ul><li>one<li>two</ul></div>" if rnd.random() < 0.8 else f"<div><ul><li>{prose(i, 3)}</ul></div>"
+    return f"<body class=p{i}>{box}<section><div class='x'><p>{prose(i, 12)}</p></div></section>{side}<div>foot</div></body>"
+
+
+def test_style_tree_equals_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(f"http://{rnd.choice(['a', 'b', 'b', 'c'])}.org/{i}", random_page(rnd, i)) for i in range(120)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    parsed = html_text.parsed(pages, keep=("page_id",))
+    common = html_text.common_classes(parsed)
+    found = html_text.importance(html_text.features(html_text._with_host(parsed, common))).collect()
+    by_host = {}
+    for u, h in rows:
+        by_host.setdefault(u[7:12], []).append(html_text.parse(h))
+    want = {}
+    for host, some in by_host.items():
+        want |= {(host, *k): v for k, v in brute.style_tree(some, html_text.PAGES, html_text.GAMMA).items()}
+    got = {(r["host"], r["node"]): (r["m"], r["importance"], r["most"]) for r in found}
+    paths = {}
+    for host, some in by_host.items():
+        common_of = frozenset(next((r["common"] for r in common.collect() if r["host"] == host), []))
+        for nodes, _ in some:
+            ids, _ = html_text.style_ids(nodes, common_of)
+            for i, one in enumerate(ids):
+                path = []
+                while i > 0:
+                    tag, *classes = nodes[i][1].split(".")
+                    path.append(".".join([tag, *[c for c in classes if c in common_of]]))
+                    i = nodes[i][0]
+                paths[host, one] = (host, *reversed(path))
+    assert {paths[k] for k in got} == set(want)
+    for k, v in got.items():
+        assert v == pytest.approx(want[paths[k]], abs=1e-9), paths[k]
+
+
+def test_the_tree_decides_on_the_given_pages(spark):
+    """The tree alone, without names: pages of which it removes blocks."""
+    pages = spark.read.parquet(f"{SF_MORE}/pages.parquet").withColumn("url", F.lit("http://one.org/"))
+    rows = html_text.parsed(pages, keep=("page_id",))
+    weighed = html_text.importance(html_text.features(html_text._with_host(rows, html_text.common_classes(rows))))
+    assert weighed.where("m >= 10").count() > 5 and weighed.where("most > importance").count() >= 0
+    text = {r["page_id"]: r["text"] for r in html_text.extract(pages, keep=("page_id",)).collect()}
+    assert all(text.values())
+
+
 # ---------------------------------------------------------------- vectors
 def odd_vectors(spark, size=6, n=400):
     rng = np.random.default_rng(1)
