@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import checked_broadcast
 from .spark import numbered, running_totals, table, words_column, written
 
 WEIGHTS = (5, 2, 1)
@@ -143,7 +144,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     words = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.col("from") + 1, F.col("to") - F.col("from")), " ")
     whole = (F.col("from") == 0) & (F.col("to") == words_column(f"doc.`{text}`"))
-    out = held.join(reads, "row").withColumn("read", F.when(whole, F.col(f"doc.`{text}`")).otherwise(cut))
+    # a row a pass over a document: small beside the texts, which stay where they are if it may be broadcast
+    out = held.join(checked_broadcast(reads), "row").withColumn("read", F.when(whole, F.col(f"doc.`{text}`")).otherwise(cut))
     return out.select(*[F.col("read").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
