@@ -2,16 +2,20 @@
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs.  All but the last return the columns of docs.
+A stage's own intermediate tables are deleted when the next one starts, so its result must have been written by then.
 Null texts, empty tables, repeated rows and extra columns are handled as the operators define.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.llm import langid, line_dedup, mixing, near_dedup, packing
-from churnspark.llm.spark import numbered, small_batches, table, written
+from churnspark.llm.spark import delete, numbered, recorded, small_batches, table, written
 
 LEAST_SCORE = 0.2  # of the nearest language profile; real text of a learned language is far above
 TOKENIZER = "word_bpe_49k.json"
@@ -22,9 +26,29 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_TABLES: dict[tuple[str, str], list[str]] = {}  # intermediate tables by application and stage
+
+
+def _after(before: str | None) -> Callable[[Stage], Stage]:
+    """A stage that starts when what ``before`` returned is written."""
+    def stage(fn: Stage) -> Stage:
+        @wraps(fn)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            app = spark.sparkContext.applicationId
+            small_batches(spark)
+            delete(spark, _TABLES.pop((app, before), []))
+            with recorded() as paths:
+                out = fn(spark, docs, sf_dir)
+            _TABLES.setdefault((app, fn.__name__), []).extend(paths)
+            return out
+        return run_stage
+    return stage
+
+
+@_after(None)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled documents have; the rest go."""
-    small_batches(spark)
     profiles = langid.fit(docs, F.lit(True))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     held = docs.select(others.alias("doc"), F.col("text").cast("string").alias("text"))
@@ -33,11 +57,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
+@_after("language_id")
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line equals but for at most one edit."""
     return _with_length(line_dedup.drop_similar_lines(docs).select(*docs.columns))
 
 
+@_after("drop_lines")
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     rows = numbered(docs)
@@ -50,11 +76,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(dropped, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
+@_after("near_duplicates")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources reads them."""
     return _with_length(mixing.mixed_documents(docs))
 
 
+@_after("mix_sources")
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training windows, with their token ids."""
     import public_tokenizers
