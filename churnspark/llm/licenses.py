@@ -1,20 +1,21 @@
-"""Licence scan: lines of a file against licence statements, and inheritance down the directories.
-
-1. Every line is a set of terms (letters or digits, lower case).  Terms are weighed by inverse document
-   frequency over all lines of all files, inside and outside the templates' vocabulary.  A line's licence
-   is the template with the highest cosine, if it is at least ``COSINE``.  A line that no template can
-   reach, even if its other terms had the least possible weight, is left out before any term is joined.
-   (``OP3_SQL`` still gives a term outside the vocabulary the weight of one that no line has; both agree
-   on lines without such terms.)
-2. A file whose terms are mostly in licence lines is a licence file: its licence holds in its directory
-   and below.
-3. A file without a licence of its own takes that of the nearest ancestor directory: each directory is
+"""Licence scan: headers and licence files against templates, and inheritance down the directories.
+
+1. Every line is a set of terms (letters or digits, lower case); so are two lines that follow each other, for
+   statements that are wrapped, and whole files.  Terms are weighed by inverse document frequency over all lines of
+   all files, inside and outside the templates' vocabulary.
+2. Headers: a line's licence is the statement with the highest cosine, if it is at least ``COSINE``.  Two lines that have none
+   alone may have one together.  Licence files: a file's licence is the whole licence text with the highest cosine, if it is
+   at least ``FILE_COSINE``.  What no template can reach, even if its other terms had the least possible weight, is left out
+   before any term is joined.
+3. A file whose terms are mostly in licence lines, or that is like a whole licence text, is a licence file: its licence holds in
+   its directory and below.
+4. A file without a licence of its own takes that of the nearest ancestor directory: each directory is
    joined with its ancestors once, and files with their directory.
 
-Built from DataFrame functions alone; the vocabulary and the templates are a fixed table.
+Built from DataFrame functions alone; the vocabulary and the templates are fixed tables.
 
-Cases: null or empty text has no licence of its own but may inherit one; a null path inherits nothing;
-of equal cosines the licence and then the line first in order wins, and of several licence files in a
+Cases: null or empty text has no licence of its own but may inherit one; a null path inherits nothing; a whole text goes before
+lines; of equal cosines the licence and then the line first in order wins, and of several licence files in a
 directory the one with the highest cosine, then the smallest licence and path; repeated rows are files of
 their own; an empty table gives no row.  Columns other than the key, the path and the text are ignored.
 """
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import checked_broadcast
+from .license_texts import FILE_TEMPLATES
 from .spark import table, written
 
 # fixed values: statements that name a licence, as headers and licence files have them
@@ -54,6 +57,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 COSINE = 0.6
+FILE_COSINE = 0.45
 MOSTLY = 0.5
 TERM = r"[\p{L}\p{N}]+"
 
@@ -66,55 +70,81 @@ def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
         F.lower("statement"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def line_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """Rows (row, line, terms, license, score) of all lines that are not blank; license null below ``cosine``.
+def bags_of(files: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (row, line, all): the distinct terms of each line that is not blank."""
+    return (files.select("row", F.posexplode(F.split(text, "\n")).alias("line", "words"))
+            .withColumn("all", F.array_distinct(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))))
+            .where(F.size("all") > 0).select("row", "line", "all"))
 
-    ``files`` has a unique long column ``row``."""
-    spark = files.sparkSession
-    terms = template_terms(spark, templates)
-    lines = (files.select("row", F.posexplode(F.split(text, "\n")).alias("line", "words"))
-             .withColumn("all", F.array_distinct(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))))
-             .where(F.size("all") > 0).select("row", "line", "all"))
-    # lines with each term; the empty term stands for all lines
-    seen = written(lines.select(F.explode(F.array_append("all", F.lit(""))).alias("term")).groupBy("term")
+
+def frequencies(lines: DataFrame) -> DataFrame:
+    """Written rows (term, df): lines with each term; the empty term stands for all lines."""
+    return written(lines.select(F.explode(F.array_append("all", F.lit(""))).alias("term")).groupBy("term")
                    .agg(F.count(F.lit(1)).alias("df")), "terms")
+
+
+def similar(bags: DataFrame, key: list[str], seen: DataFrame, templates, cosine: float, name: str) -> DataFrame:
+    """Written rows (key…, license, score): the best template of each bag (``all``), if its cosine is at least ``cosine``."""
+    spark = bags.sparkSession
+    terms = template_terms(spark, templates)
     many = (seen.where("term = ''").first() or ("", 0))[1]
     weight = F.log(F.lit(1.0 + many) / (1 + F.coalesce("df", F.lit(0)))) + 1
     idf = written(terms.select("term").distinct().join(seen, "term", "left")
                   .select("term", (weight * weight).alias("w2")), "idf")  # a row per term of the fixed table
     of = terms.join(idf, "term")
     of = written(of.join(of.groupBy("template").agg(F.sum("w2").alias("t2")), "template"), "templates")
-    # the vocabulary and the templates in the plan: the fixed table's terms and their weights
-    w2 = {r["term"]: r["w2"] for r in idf.orderBy("term").collect()}
-    vocabulary = F.lit(list(w2))
-    weights = F.create_map(*[F.lit(x) for pair in w2.items() for x in pair])
-    sized = of.groupBy("template", "t2").agg(F.collect_list("term").alias("terms")).orderBy("template").collect()
-    fixed = F.array(*[F.struct(F.lit(r["t2"]).alias("t2"), F.lit(r["terms"]).alias("terms")) for r in sized])
-
-    def total(some: Column) -> Column:
-        return F.aggregate(some, F.lit(0.0), lambda sum_, t: sum_ + weights[t])
-
-    # dot <= norm**2, and any term weighs at least 1, whatever its frequency: a bound without the other terms' weights
+    # the templates in the plan, as a fixed table
+    sized = (of.groupBy("template", "t2").agg(F.collect_list("term").alias("terms"), F.max("w2").alias("most")).orderBy("template").collect())
+    vocabulary = F.lit(sorted({t for r in sized for t in r["terms"]}))
+    # any term weighs at least 1, whatever its frequency, so with k terms in common, none above ``most``, the square of
+    # the cosine is at most k * most / t2, and at most t2 / (terms of the bag): bounds without any weight of the bag
     least = (cosine - 1e-6) ** 2  # scores are rounded
-    lines = lines.withColumn("known", F.array_intersect("all", vocabulary)).withColumn("known2", total(F.col("known")))
-    reach = F.exists(fixed, lambda t: F.pow(total(F.array_intersect("known", t["terms"])), 2)
-                     >= least * t["t2"] * (F.col("known2") + F.size("all") - F.size("known")))
-    may = F.when((F.size("known") > 0) & (F.col("known2") >= least * min(r["t2"] for r in sized)), reach).otherwise(False)
-    lines = written(lines.select("row", "line", F.size("all").alias("terms"), F.when(may, F.col("all")).alias("bag")), "lines")
-    may = lines.where("bag is not null")
-    strange = (may.select("row", "line", F.explode(F.array_except("bag", vocabulary)).alias("term")).join(seen, "term")
-               .groupBy("row", "line").agg(F.sum(weight * weight).alias("strange")))
-    term = may.select("row", "line", F.explode(F.array_intersect("bag", vocabulary)).alias("term"))
-    norm = (term.join(F.broadcast(idf), "term").groupBy("row", "line").agg(F.sum("w2").alias("norm2"))
-            .join(strange, ["row", "line"], "left")
-            .select("row", "line", (F.col("norm2") + F.coalesce("strange", F.lit(0.0))).alias("norm2")))
-    dot = (term.join(F.broadcast(of), "term").groupBy("row", "line", "template", "license")
+    fixed = F.array(*[F.struct(F.lit(least * r["t2"] / r["most"]).alias("few"), F.lit(r["t2"] / least).alias("size"), F.lit(r["terms"]).alias("terms"))
+                      for r in sized])
+    fewest = min(least * r["t2"] / r["most"] for r in sized)
+    bags = bags.withColumn("known", F.array_intersect("all", vocabulary))
+    reach = F.exists(fixed, lambda t: (F.size(F.array_intersect("known", t["terms"])) >= t["few"]) & (F.size("all") <= t["size"]))
+    may = written(bags.where(F.size("known") >= fewest).where(reach).select(*key, "all", "known"), name)
+    strange = (may.select(*key, F.explode(F.array_except("all", "known")).alias("term")).join(seen, "term")
+               .groupBy(*key).agg(F.sum(weight * weight).alias("strange")))
+    term = may.select(*key, F.explode("known").alias("term"))
+    norm = (term.join(F.broadcast(idf), "term").groupBy(*key).agg(F.sum("w2").alias("norm2"))
+            .join(strange, key, "left").select(*key, (F.col("norm2") + F.coalesce("strange", F.lit(0.0))).alias("norm2")))
+    dot = (term.join(F.broadcast(of), "term").groupBy(*key, "template", "license")
            .agg(F.sum("w2").alias("dot"), F.first("t2").alias("t2")))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("t2")), 6)
-    best = (dot.join(norm, ["row", "line"]).withColumn("score", score).where(F.col("score") >= cosine)
-            .groupBy("row", "line").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
-            .select("row", "line", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score")))
-    return lines.select("row", "line", "terms").join(best, ["row", "line"], "left")
+    best = (dot.join(norm, key).withColumn("score", score).where(F.col("score") >= cosine)
+            .groupBy(*key).agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
+            .select(*key, F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score")))
+    return written(best, f"{name}-found")
+
+
+def line_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, cosine: float = COSINE, seen: DataFrame | None = None) -> DataFrame:
+    """Rows (row, line, license, score) of the lines with a licence, alone or with the line before or after.
+
+    ``files`` has a unique long column ``row``."""
+    seen = frequencies(bags_of(files, text)) if seen is None else seen
+    bags = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.array_distinct(
+        F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))).alias("all"))), lambda b: F.size(b["all"]) > 0)
+    # each line, and each with the next that is not blank; ``next`` is -1 for a line alone
+    single = F.transform("bags", lambda b: F.struct(b["line"].alias("line"), F.lit(-1).alias("next"), b["all"].alias("all")))
+    pairs = F.transform(F.slice("bags", F.lit(2), F.greatest(F.size("bags") - 1, F.lit(0))), lambda b, i: F.struct(
+        F.get(F.col("bags"), i)["line"].alias("line"), b["line"].alias("next"), F.array_union(F.get(F.col("bags"), i)["all"], b["all"]).alias("all")))
+    each = files.select("row", bags.alias("bags")).select("row", F.explode(F.concat(single, pairs)).alias("p")).select("row", "p.*")
+    found = similar(each, ["row", "line", "next"], seen, templates, cosine, "lines")
+    alone = found.where("next < 0").drop("next")
+    taken = alone.select("row", "line")
+    windows = (found.where("next >= 0").join(taken, ["row", "line"], "left_anti")
+               .join(taken.withColumnRenamed("line", "next"), ["row", "next"], "left_anti"))
+    parts = windows.select("row", F.explode(F.array("line", "next")).alias("line"), "license", "score")
+    best = parts.groupBy("row", "line").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
+    return alone.unionByName(best.select("row", "line", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score")))
+
+
+def file_licenses(files: DataFrame, seen: DataFrame, text: str = "text", templates=FILE_TEMPLATES, cosine: float = FILE_COSINE) -> DataFrame:
+    """Rows (row, license, score) of the files that are like a whole licence text."""
+    bags = files.select("row", F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("all"))
+    return similar(bags, ["row"], seen, templates, cosine, "files")
 
 
 def directory(path: str) -> Column:
@@ -125,18 +155,21 @@ def scan(files: DataFrame, key: str, path: str, text: str = "text", templates=TE
     """Rows (key, path, license_lines, own_license, own_score, is_license_file, license, license_dir).
 
     ``license`` is the file's own or the inherited one; ``license_dir`` the directory it is inherited from."""
-    rows = files.withColumns({"_key": F.col(key), "_path": F.col(path).cast("string"), "_text": F.col(text).cast("string")})
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col("_key").alias("key"),
-                       F.col("_path").alias("path"), F.col("_text").alias("text"))
-    lines = line_licenses(rows, "text", templates, cosine)
-    own = (lines.groupBy("row").agg(
+    rows = written(files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(path).cast("string").alias("path"),
+                                F.col(text).cast("string").alias("text")), "rows")  # once: a number computed anew may differ
+    seen = frequencies(bags_of(rows))
+    lines = written(line_licenses(rows, "text", templates, cosine, seen), "licensed")
+    # only files with such lines are asked for how much of them it is
+    some = bags_of(rows.join(checked_broadcast(lines.select("row").distinct()), "row", "left_semi")).join(lines, ["row", "line"], "left")
+    own = some.groupBy("row").agg(
         F.count("license").alias("license_lines"),
-        (F.sum(F.when(F.col("license").isNotNull(), F.col("terms"))) / F.sum("terms")).alias("part"),
-        F.min(F.when(F.col("license").isNotNull(), F.struct(-F.col("score"), "license", "line"))).alias("b")))
-    found = written(rows.select("row", "key", "path").join(own, "row", "left").select(
+        (F.sum(F.when(F.col("license").isNotNull(), F.size("all"))) / F.sum(F.size("all"))).alias("part"),
+        F.min(F.when(F.col("license").isNotNull(), F.struct(-F.col("score"), "license", "line"))).alias("b"))
+    whole = file_licenses(rows, seen).select("row", F.col("license").alias("file_license"), F.col("score").alias("file_score"))
+    found = written(rows.select("row", "key", "path").join(own, "row", "left").join(whole, "row", "left").select(
         "key", "path", directory("path").alias("dir"), F.coalesce("license_lines", F.lit(0)).cast("long").alias("license_lines"),
-        F.col("b.license").alias("own_license"), (-F.col("b.col1")).alias("own_score"),
-        F.coalesce(F.col("part") >= MOSTLY, F.lit(False)).alias("is_license_file")), "found")
+        F.coalesce("file_license", "b.license").alias("own_license"), F.coalesce("file_score", -F.col("b.col1")).alias("own_score"),
+        (F.col("file_license").isNotNull() | F.coalesce(F.col("part") >= MOSTLY, F.lit(False))).alias("is_license_file")), "found")
     # directories, not files, are joined with their ancestors
     holds = (found.where(F.col("is_license_file") & F.col("path").isNotNull()).groupBy("dir")
              .agg(F.min(F.struct(-F.col("own_score"), "own_license", "path")).alias("b"))
@@ -162,12 +195,30 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.withColumn("path", path), "doc_id", "path")
 
 
+def _values(templates) -> str:
+    return "select * from (values " + ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(templates)) \
+        + ") t(template, license, statement)"
+
+
+def _similar_sql(name: str, bags: str, key: str, templates, cosine: float) -> str:
+    """CTE ``name`` (key, license, score): the best template of each row (key, bag) of ``bags``."""
+    return rf"""
+{name}_terms as materialized (
+  select template, license, unnest(list_distinct(regexp_extract_all(lower(statement), '[\p{{L}}\p{{N}}]+'))) as term from ({_values(templates)})),
+{name}_of as materialized (select template, license, term, pow(ln((1.0::double + many) / (1 + coalesce(d.df, 0))) + 1, 2) as w2
+  from {name}_terms t cross join total left join df d using (term)),
+{name}_each as materialized (select {key}, unnest(bag) as term from {bags}),
+{name}_norms as (select {key}, sum(pow(ln((1.0::double + many) / (1 + d.df)) + 1, 2)) as norm2 from {name}_each join df d using (term) cross join total group by {key}),
+{name}_dots as (select {key}, template, license, sum(w2) as dot from {name}_each join {name}_of using (term) group by {key}, template, license),
+{name}_sizes as (select template, sum(w2) as t2 from {name}_of group by template),
+{name} as materialized (
+  select {key}, license, score from (
+    select {key}, license, round(dot / sqrt(norm2 * t2), 6) as score from {name}_dots join {name}_norms using ({key}) join {name}_sizes using (template))
+  where score >= {cosine} qualify row_number() over (partition by {key} order by score desc, license) = 1)"""
+
+
 OP3_SQL = r"""
-with templates as (select * from (values """ + ", ".join(
-    f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES)) + r""") t(template, license, statement)),
-terms as (
-  select template, license, unnest(list_distinct(regexp_extract_all(lower(statement), '[\p{L}\p{N}]+'))) as term from templates),
-files as (
+with files as materialized (
   select doc_id, row_number() over () as line_of, text,
          concat_ws('/', coalesce(source, 'none'), floor(doc_id / 1000.0)::bigint, floor(doc_id / 100.0)::bigint) as dir,
          concat_ws('/', coalesce(source, 'none'), floor(doc_id / 1000.0)::bigint, floor(doc_id / 100.0)::bigint,
@@ -175,38 +226,36 @@ files as (
   from documents),
 split_lines as (
   select line_of, unnest(string_split(text, chr(10))) as words, unnest(range(len(string_split(text, chr(10))))) as line from files),
-bags as (
-  select line_of, line, list_distinct(regexp_extract_all(lower(words), '[\p{L}\p{N}]+')) as bag from split_lines),
-lines as (select line_of, line, bag, len(bag) as terms from bags where len(bag) > 0),
-total as (select count(*) as many from lines),
-known as (
-  select l.line_of, l.line, l.terms, t.term
-  from (select line_of, line, terms, unnest(bag) as term from lines) l join (select distinct term from terms) t using (term)),
-idf as (
-  select t.term, pow(ln((1.0::double + many) / (1 + coalesce(d.df, 0))) + 1, 2) as w2
-  from (select distinct term from terms) t cross join total left join (select term, count(*) as df from known group by term) d using (term)),
-norms as (
-  select line_of, line, sum(w2) + (max(terms) - count(*)) * pow(ln(1.0::double + max(many)) + 1, 2) as norm2
-  from known join idf using (term) cross join total group by line_of, line),
-sizes as (select template, sum(w2) as t2 from terms join idf using (term) group by template),
-dots as (
-  select k.line_of, k.line, t.template, t.license, sum(i.w2) as dot
-  from known k join terms t using (term) join idf i using (term) group by all),
-scored as (
-  select d.line_of, d.line, d.license, round(d.dot / sqrt(n.norm2 * s.t2), 6) as score
-  from dots d join norms n using (line_of, line) join sizes s using (template)),
+lines as materialized (
+  select line_of, line, bag, len(bag) as terms from (
+    select line_of, line, list_distinct(regexp_extract_all(lower(words), '[\p{L}\p{N}]+')) as bag from split_lines) where len(bag) > 0),
+total as materialized (select count(*) as many from lines),
+df as materialized (select term, count(*) as df from (select unnest(bag) as term from lines) group by term),
+pairs as (
+  select line_of, line, next, list_distinct(list_concat(bag, more)) as bag from (
+    select line_of, line, bag, lead(line) over w as next, lead(bag) over w as more from lines window w as (partition by line_of order by line))
+  where next is not null),
+whole as (select line_of, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as bag from files where text is not null),
+""" + ",".join([
+    _similar_sql("alone", "lines", "line_of, line", TEMPLATES, COSINE), _similar_sql("together", "pairs", "line_of, line, next", TEMPLATES, COSINE),
+    _similar_sql("like_files", "whole", "line_of", FILE_TEMPLATES, FILE_COSINE)]) + r""",
+apart as (
+  select t.* from together t left join alone a on a.line_of = t.line_of and a.line = t.line left join alone b on b.line_of = t.line_of and b.line = t.next
+  where a.line is null and b.line is null),
 matched as (
-  select line_of, line, license, score from scored where score >= 0.6
-  qualify row_number() over (partition by line_of, line order by score desc, license) = 1),
+  select line_of, line, license, score from alone
+  union all select line_of, line, license, score from (
+    select line_of, line, license, score, row_number() over (partition by line_of, line order by score desc, license) as nth from (
+      select line_of, line, license, score from apart union all select line_of, next, license, score from apart)) where nth = 1),
 own as (
   select l.line_of, count(m.license) as license_lines,
          sum(case when m.license is not null then l.terms end) / sum(l.terms)::double as part,
          min(struct_pack(s := -m.score, l := m.license, n := l.line)) filter (m.license is not null) as b
   from lines l left join matched m using (line_of, line) group by l.line_of),
 found as (
-  select f.doc_id, f.path, f.dir, coalesce(o.license_lines, 0)::bigint as license_lines, o.b.l as own_license,
-         -o.b.s as own_score, coalesce(o.part >= 0.5, false) as is_license_file
-  from files f left join own o using (line_of)),
+  select f.doc_id, f.path, f.dir, coalesce(o.license_lines, 0)::bigint as license_lines, coalesce(w.license, o.b.l) as own_license,
+         coalesce(w.score, -o.b.s) as own_score, w.license is not null or coalesce(o.part >= 0.5, false) as is_license_file
+  from files f left join own o using (line_of) left join like_files w using (line_of)),
 holds as (
   select dir as license_dir, own_license as held from found where is_license_file
   qualify row_number() over (partition by dir order by own_score desc, own_license, path) = 1),

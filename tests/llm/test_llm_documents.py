@@ -215,11 +215,57 @@ def test_license_lines_with_ordinary_words(spark, times):
 
     files = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     got = {x["row"]: (x["license"], x["score"]) for x in licenses.line_licenses(files).collect()}
-    assert len(got) == len(texts) and [got[i][0] for i in range(3)] == ["MIT", "Apache-2.0", "Proprietary"]
+    assert [got[i][0] for i in range(3)] == ["MIT", "Apache-2.0", "Proprietary"]
     for i, bag in enumerate(bags):
         score, name = best(bag)
-        assert got[i][0] == (name if -score >= licenses.COSINE else None), texts[i]
-        assert got[i][1] is None or got[i][1] == pytest.approx(-score, abs=2e-6)
+        assert got.get(i, (None,))[0] == (name if -score >= licenses.COSINE else None), texts[i]
+        assert i not in got or got[i][1] == pytest.approx(-score, abs=2e-6)
+
+
+def license_files(spark):
+    """Whole licence texts with lines broken anywhere, wrapped headers, and ordinary files below them."""
+    r = random.Random(3)
+    rows = []
+    for k, (name, text) in enumerate(licenses.FILE_TEMPLATES):
+        words = f"Copyright (c) 20{k:02} Some Name {text}".split()
+        lines, at = [], 0
+        while at < len(words):
+            n = r.randint(5, 14)
+            lines.append(" ".join(words[at:at + n]))
+            at += n
+        rows += [(f"d{k}/LICENSE", "\n".join(lines), name), (f"d{k}/x/y.py", "import this\nprint(1)", name)]
+    rows += [("w/a.py", "# This work is licensed under the\n\n# GNU General Public License, version 3\n" + "some code of the file here\n" * 9, "GPL-3.0"), ("w/b.py", "code", None),
+             ("v/README", "My program does things.\n" * 9 + "It is Released under the MIT License", "MIT"), ("v/c.py", None, None)]
+    return rows
+
+
+def test_whole_texts_are_licence_files(spark):
+    rows = license_files(spark)
+    ordinary = [(f"o/{i}.txt", f"line {i} of some text\nthe software and the terms of use w{i}", None) for i in range(300)]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows + ordinary)], "id long, path string, text string")
+    got = {x["path"]: x for x in licenses.scan(files, "id", "path").collect()}
+    for path, _, want in rows + ordinary:
+        assert got[path]["license"] == want, path
+        assert got[path]["is_license_file"] == path.endswith("LICENSE"), path
+
+
+def test_license_sql_on_texts_and_ordinary_words(spark):
+    r = random.Random(11)
+    common = "for on it at we he she they".split()
+    texts = [t for _, t, _ in license_files(spark)] + [s + " " + " ".join(r.sample([*common, "rare", "seldom"], r.randint(0, 6))) for _, s in licenses.TEMPLATES]
+    texts += ["", "\n\n", " ".join(common)] + [" ".join([*common, f"w{i}"]) for i in range(200)]
+    docs = spark.createDataFrame([(i * 7, t, None, "ab"[i % 2], 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="licenses-")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = con.execute(licenses.OP3_SQL)
+    names = [d[0] for d in want.description]
+    want = sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in want.fetchall()), key=str)
+    got = queries.QUERIES["op3_license_scan"](spark, folder).select(*names).collect()
+    assert sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in got), key=str) == want
+    assert sum(row[names.index("is_license_file")] for row in want) >= len(licenses.FILE_TEMPLATES)
 
 
 def same_as_sql(spark, name, sf):
