@@ -27,30 +27,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .spark import table
+from .spark import table, written
 
 PROFILE = 400
 SAMPLE = 20_000
+MOST_LANGUAGES = 10_000  # bounds what is broadcast and what the driver holds
 UNKNOWN = "und"
 _SLICE = 1 << 20  # bytes of text at once
-_BITS = 9  # of a letter's code: 0 pads an n-gram, 1 is a blank, letters follow
+_BITS = 18  # of a letter's code: 0 pads an n-gram, 1 is a blank, letters follow
+_DOCS = 1 << (64 - 3 * _BITS)  # texts at once: their number and an n-gram are one 64-bit key
+_LAST = 0x34000  # above all code points of letters
 
 
 def letter_codes() -> np.ndarray:
-    """Code of every code point: letters by their lower case, 0 for anything else.
-
-    Letters below U+01F0 have codes of their own; later scripts share the codes from 256 on."""
-    codes = np.zeros(0x110000, dtype=np.uint16)
-    for c in range(0x30000):
+    """Code of every code point: letters are numbered, upper case as lower case, 0 for anything else."""
+    codes, number = np.zeros(0x110000, dtype=np.uint32), {}
+    for c in range(_LAST):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
-            c2 = ord(low) if len(low) == 1 else c
-            codes[c] = c2 if 2 <= c2 < 0x1F0 else 256 + c2 % 256
-    codes[0x30000:0xE0000] = 256
+            codes[c] = number.setdefault(low if len(low) == 1 else ch, len(number) + 2)
     return codes
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of texts of about ``_SLICE`` bytes and at most ``_DOCS`` texts."""
+    for a, b, texts in textops.slices(column, _SLICE):
+        for i in range(0, b - a, _DOCS):
+            yield a + i, min(a + i + _DOCS, b), texts[i:i + _DOCS]
+
+
 def _grams(texts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, n-gram, count) of all n-grams, ordered by document and n-gram."""
     raw = b"\n".join([*texts, b""])
@@ -86,16 +92,18 @@ def fit(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
         F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))), F.lit(1 << 40)).alias("deal"))
     # a row per language, fewer than the profile rows that are collected below; the smallest hash is always in
-    most = rows.groupBy("lang").agg(F.greatest(F.min("deal"), F.floor(
-        F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))) * (1 << 40))).alias("most"))
-    rows = rows.join(F.broadcast(most.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where("deal <= most")
+    most = written(rows.groupBy(F.col("lang").alias("_lang")).agg(F.greatest(F.min("deal"), F.floor(
+        F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))) * (1 << 40))).alias("most")), "languages")
+    if (many := most.count()) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang} has {many} values, more than {MOST_LANGUAGES}: it does not name languages")
+    rows = rows.join(F.broadcast(most), F.col("lang") == F.col("_lang")).where("deal <= most")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             for name in sorted(set(names)):
-                for _, _, texts in textops.slices(batch.column(1).filter(pa.array(names == name)), _SLICE):
+                for _, _, texts in _slices(batch.column(1).filter(pa.array(names == name))):
                     _, gram, n = _grams(texts, codes)
                     gram, group = np.unique(gram, return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
@@ -128,7 +136,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = letter_codes()
         for batch in batches:
-            for a, b, texts in textops.slices(batch.column(place), _SLICE):
+            for a, b, texts in _slices(batch.column(place)):
                 n = b - a
                 doc, gram, count = _grams(texts, codes)
                 order = np.lexsort((gram, -count, doc)) if n == 1 else _ranked(doc, gram, count)

@@ -136,7 +136,7 @@ def test_language_brute_force(spark):
                 for i in range(len(c) - n + 1):
                     g = c[i:i + n]
                     if any(x != 1 for x in g):
-                        k = sum(x << 9 * (n - 1 - j) for j, x in enumerate(g))
+                        k = sum(x << langid._BITS * (n - 1 - j) for j, x in enumerate(g))
                         count[k] = count.get(k, 0) + 1
         return sorted(count, key=lambda k: (-count[k], k))[:60]
 
@@ -179,6 +179,33 @@ def test_every_language_is_learned(spark):
         assert [r["lang_pred"] for r in got] == ["el", "el"] and all(r["score"] >= 0.2 for r in got)
 
 
+def test_scripts_keep_their_letters_apart(spark):
+    """Russian, Ukrainian, Greek, Chinese and Japanese: letters that share low bits of their code points."""
+    words = {"ru": "это был один из тех дней когда всё шло не так", "uk": "це був один із тих днів коли все йшло не так ї є",
+             "el": "αυτή ήταν μία από εκείνες τις ημέρες που όλα", "zh": "这是一个天气很好的日子我们去公园玩人们都很高兴", "ja": "これは天気のいい日でしたのでわたしたちは公園へ"}
+    rnd = random.Random(2)
+
+    def text(lang):
+        some = list(words[lang]) if lang in ("zh", "ja") else words[lang].split()
+        return ("" if lang in ("zh", "ja") else " ").join(rnd.choice(some) for _ in range(60))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(words) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.fit(docs.where("doc_id < 30"), F.lit(True))
+    got = langid.predict(docs.where("doc_id >= 30"), profiles, keep=("lang",)).collect()
+    assert len(got) == 30 and all(r["lang"] == r["lang_pred"] for r in got)
+    codes = langid.letter_codes()
+    some = [chr(c) for c in range(langid._LAST) if chr(c).isalpha() and len(chr(c).lower()) == 1]
+    assert len({int(codes[ord(x)]) for x in some}) == len({x.lower() for x in some}) and codes.max() < 1 << langid._BITS
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang has 5"):
+        langid.fit(docs, F.lit(True))
+
+
 # ---------------------------------------------------------------- licences
 def test_license_scan(spark):
     rows = [("p/LICENSE", "Released under the MIT License."), ("p/a.py", "code"), ("p/q/b.py", "code here"),
