@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..plans.broadcast import checked_broadcast, one_row
-from .stats import median_of
+from ..plans.broadcast import checked_broadcast
+from .stats import exact_quantile, median_of
 
 CHURN = "churn_flag"
 
@@ -72,11 +72,14 @@ def rule_predicate() -> F.Column:
 def strategy_targets(scored: DataFrame, catalog: DataFrame | None = None, approx_median: bool = False) -> DataFrame:
     """Customer × strategy pairs: the strategy targets the customer's risk segment and
     the customer satisfies its rule.  The charge threshold is the median over **all**
-    customers (a one-row statistic, broadcast)."""
+    customers, one number that is found by a few counting passes."""
     cat = catalog if catalog is not None else strategy_catalog(scored.sparkSession)
-    median = one_row(median_of(scored, "monthly_charges", out="charge_threshold", approx=approx_median))
+    if approx_median:
+        median = median_of(scored, "monthly_charges", approx=True).first()[0]
+    else:
+        median = exact_quantile(scored, "monthly_charges", 0.5)
     # the catalog may be the caller's: its size is checked
-    pairs = scored.join(checked_broadcast(cat.crossJoin(median)), "risk_segment")
+    pairs = scored.join(checked_broadcast(cat.withColumn("charge_threshold", F.lit(median).cast("double"))), "risk_segment")
     return pairs.where(rule_predicate())
 
 

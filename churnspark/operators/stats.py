@@ -115,6 +115,47 @@ def median_of(df: DataFrame, value: str, out: str = "median", approx: bool = Fal
     return quantiles_wide(df, value, [0.5], approx=approx).select(F.col("q0").alias(out))
 
 
+CELLS = 4096
+
+
+def exact_quantile(df: DataFrame, value: str, p: float) -> float | None:
+    """One exact quantile (linear interpolation) of a column by narrowing histograms; null without values.
+
+    A first pass gives count, smallest and largest value; each further one counts the rows of CELLS cells
+    between the bounds and keeps the cell that holds the rank, until its values are all equal or so few that they are listed.
+    No value is shuffled: a pass sends at most CELLS rows a task and to the driver."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not whole["n"]:
+        return None
+    h = (whole["n"] - 1) * p
+    lo = int(h)
+    found: dict[int, float] = {}
+    # ranks still sought by the bounds (with the rows below) in which they lie
+    sought = {(whole["low"], whole["high"], 0): sorted({lo, min(lo + 1, whole["n"] - 1)})}
+    while sought:
+        (low, high, below), ranks = sought.popitem()
+        if low == high:
+            found |= dict.fromkeys(ranks, low)
+            continue
+        inside = rows.where(F.col("v").between(low, high))
+        cell = F.least(F.floor((F.col("v") - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+        cells = sorted(inside.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for rank in ranks:
+            at = below
+            for c in cells:
+                if rank < at + c["n"]:
+                    break
+                at += c["n"]
+            if c["n"] <= CELLS and c["low"] < c["high"]:
+                listed = sorted(r["v"] for r in rows.where(F.col("v").between(c["low"], c["high"])).collect())  # at most CELLS
+                found |= {r: listed[r - at] for r in ranks if at <= r < at + c["n"]}
+            elif rank not in found:
+                sought.setdefault((c["low"], c["high"], at), []).append(rank)
+    v, w = found[lo], found[min(lo + 1, whole["n"] - 1)]
+    return v + (w - v) * (h - lo)
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: ``(column_name, mode)``; ties → smallest value, nulls ignored."""
     cols = list(cols)

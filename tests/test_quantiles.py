@@ -32,3 +32,22 @@ def test_median_global_and_empty(spark):
     # an empty column still yields its one row (callers cross-join it)
     empty = median_of(df.where("v > 1e9"), "v").collect()
     assert len(empty) == 1 and empty[0]["median"] is None
+
+
+def test_quantile_by_counting_passes(spark, monkeypatch):
+    import random
+
+    from churnspark.operators import stats
+    rnd = random.Random(6)
+    monkeypatch.setattr(stats, "CELLS", 16)
+    cases = [[5.0], [1.0, 2.0], [3.0] * 400, [float(i) for i in range(700)], [rnd.gauss(0, 1) for _ in range(900)],
+             [5.0] * 500 + [rnd.random() * 10 for _ in range(300)], [0.0] * 300 + [1e9 + i for i in range(301)], [1e-300, 1.0, 1e300] * 50]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        ordered = sorted(values)
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            h = (len(ordered) - 1) * p
+            lo = int(h)
+            hi = min(lo + 1, len(ordered) - 1)
+            assert stats.exact_quantile(df, "v", p) == ordered[lo] + (ordered[hi] - ordered[lo]) * (h - lo)
+    assert stats.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
