@@ -818,3 +818,8 @@ select case when customer_id % 97 = 1 then 'short' when customer_id % 101 = 2 th
   when customer_id % 107 = 3 then 'value:monthly_charges' else 'good' end as reason, count(*) as row_count, cast(sum(customer_id) as bigint) as ids
 from base group by 1"""))
 oracle("kept_reports", ORACLES["write_reports"])
+
+# ---------------------------------------------------------------- stored sketches and bucketed tables
+oracle("sketch_quantiles", """select column_name, p::double as p, true as within_error
+from (values ('monthly_charges'), ('total_charges'), ('population'), ('avg_monthly_gb_download')) c(column_name), (values (0.25), (0.5), (0.75)) q(p)""")
+oracle("integrate_bucketed", ORACLES["integrate_inner_join"])

@@ -880,3 +880,32 @@ def q_kept_reports(spark, sf):
     merged = kept.stored(spark, store)
     city = kept.churn_by_city(merged).select(F.lit("churn_by_city").alias("report"), F.col("city").alias("key"), "churn_rate")
     return city.unionByName(kept.churn_drivers(merged).select(F.lit("churn_risk_factors").alias("report"), F.col("segment").alias("key"), "churn_rate"))
+
+
+# ---------------------------------------------------------------- stored sketches and bucketed tables
+from .operators import sketches  # noqa: E402
+
+SKETCHED = ["monthly_charges", "total_charges", "population", "avg_monthly_gb_download"]
+
+
+@query("sketch_quantiles")
+def q_sketches(spark, sf):
+    """Quartiles from the merged sketches of five parts: whether each one's rank is within the stated error."""
+    from .plans.session import table_path as _tp
+    a = A(spark, sf)
+    path = _tp(spark, f"sketches_{fixtures.tag(spark, sf)}")
+    for part in range(5):
+        sketches.store(a.where(F.pmod(F.xxhash64("customer_id"), F.lit(5)) == part), SKETCHED, path, part)
+    found = sketches.rank_errors(a, sketches.quantiles(sketches.merged(spark, path), [0.25, 0.5, 0.75]))
+    return found.select("column_name", "p", (F.col("rank_error") <= sketches.RANK_ERROR).alias("within_error"))
+
+
+@query("integrate_bucketed")
+def q_integrate_bucketed(spark, sf):
+    """The customer join of the integration on tables in buckets of the customer, with no exchange under it."""
+    from .plans import buckets
+    subs = fixtures.subscriptions(spark, sf)
+    tag = fixtures.tag(spark, sf)
+    left = buckets.write_bucketed(subs.select(*fixtures.SUBSCRIPTION_COLUMNS), f"subscriptions_by_customer_{tag}", "customer_id", 8)
+    right = buckets.write_bucketed(fixtures.established(fixtures.crm(spark, sf, subs)), f"crm_by_customer_{tag}", "customer_id", 8)
+    return integrate.integrate_inner_join(left, right, check_overlap=False)

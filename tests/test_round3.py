@@ -156,3 +156,41 @@ def test_kept_reports_after_replay_and_compaction(spark, sf_small):
     assert report_rows(kept.churn_by_city(merged, 5)) == report_rows(reports.churn_by_city(a, 5))
     columns = ["feature", "category", "segment", "churn_rate", "customer_count", "overall_churn", "relative_risk"]
     assert report_rows(kept.churn_drivers(merged).select(*columns)) == report_rows(reports.churn_drivers(a).select(*columns))
+
+
+# ---------------------------------------------------------------- sketches and buckets
+def test_sketches_of_parts_merge(spark):
+    from churnspark.operators import sketches
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 30000).cast("double")).alias("v"),
+                                   F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("w"), F.lit(None).cast("double").alias("none"), "id")
+    path = table_path(spark, "sketch_probe")
+    for part in (0, 1, 2, 1):
+        sketches.store(df.where(F.col("id") % 3 == part), ["v", "w", "none"], path, part)
+    merged = sketches.merged(spark, path)
+    assert {r["column_name"]: r["n"] for r in merged.collect()} == {"v": 30000, "w": 24000}
+    errors = sketches.rank_errors(df, sketches.quantiles(merged, [0.01, 0.25, 0.5, 0.9])).collect()
+    assert len(errors) == 8 and all(r["rank_error"] <= sketches.RANK_ERROR for r in errors)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_join_and_count_need_no_exchange(spark):
+    from churnspark.plans import buckets
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = buckets.write_bucketed(spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.col("id").alias("x")), "probe_a", "k", 4)
+        b = buckets.write_bucketed(spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("y")), "probe_b", "k", 4)
+        joined = a.join(b, "k")
+        assert "Exchange" not in final_plan(joined) and joined.count() == 3000
+        counts = a.groupBy("k").count()
+        assert "Exchange" not in final_plan(counts) and counts.count() == 5000
+        spark.sql("DROP TABLE probe_a")  # the files stay
+        again = buckets.attach(spark, "probe_a")
+        assert "Exchange" not in final_plan(again.join(b, "k")) and again.count() == 5000
+        assert buckets.manifest(spark, "probe_a").buckets == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
