@@ -16,8 +16,8 @@ at least ``threshold``.  Documents with equal sets are one text from the start.
    such a group are not listed with each member, and no link between different components is lost.
 
 Full sets decide every link.  What can be lost is a pair that is never a candidate: at a similarity of exactly 0.8
-two signatures agree on fewer than MATCHES of COORDINATES with a probability of 3.5e-8 (binomial; 4.1e-9 at
-0.82), and the sketches, which only long lists use, exceed their bound of 6.5 standard deviations with less than 1e-9.
+two signatures agree on fewer than MATCHES of COORDINATES with a probability of 2.1e-7 (binomial), and the sketches, which
+only long lists use, exceed their bounds (5 and, of 256 bits, 5.5 standard deviations) with 9.1e-7; both fall fast above 0.8.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are documents of the same set and
@@ -40,10 +40,10 @@ from . import textops
 from .spark import components, table, written
 
 COORDINATES = 40
-MATCHES = 17
-HUBS = 4
+MATCHES = 18
+HUBS = 2
 SKETCH = 4096
-DEVIATIONS = 6.5  # of a sketch's distance, above that of sets at the threshold
+DEVIATIONS = 5.0  # of a sketch's distance, above that of sets at the threshold
 LONG_LIST = 128
 THRESHOLD = 0.8
 _MULTIPLIER = (np.random.default_rng(11).integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -201,12 +201,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
     # what the links have not joined: pairs of one list in different components
     label = components(first).withColumnRenamed("id", "rep")
-    member = (prefix.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    member = written(member, "member")
-    lists = (member.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                        F.count(F.lit(1)).alias("many"))
+    known = F.coalesce("component", "rep")
+    # the components of a list from narrow rows; values and sketches only of lists with several
+    of = prefix.select("rep", "list").join(label, "rep", "left").select("list", known.alias("component"))
+    lists = (of.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
              .where("low < high").select("list", "many"))
-    member = written(member.join(written(lists, "open"), "list"), "open_members")
+    member = prefix.join(written(lists, "open"), "list").join(label, "rep", "left").withColumn("component", known)
+    member = written(member, "open_members")
     second = None
     if not member.isEmpty():
         # sketches for the texts of long lists; in short ones the signatures are enough
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         def word(i: int) -> Column:
             return F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i))))
 
-        few = F.coalesce(word(0) + word(1) + word(2) + word(3) <= int(256 * fair + DEVIATIONS * (256 * fair * (1 - fair)) ** 0.5), F.lit(True))
+        few = F.coalesce(word(0) + word(1) + word(2) + word(3) <= int(256 * fair + (DEVIATIONS + 0.5) * (256 * fair * (1 - fair)) ** 0.5), F.lit(True))
         agree = F.size(F.filter(F.zip_with("signature1", "signature2", lambda p, q: p == q), lambda e: e)) >= MATCHES
         near = ((F.col("list1") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component1") != F.col("component2"))
                 & (F.col("own1") | F.col("own2")) & a_size & few & ~F.arrays_overlap("v1", "v2")
