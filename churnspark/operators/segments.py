@@ -8,6 +8,7 @@ separate (small) aggregate joined back with a broadcast of its bounded size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import bins
 from ..plans.broadcast import checked_broadcast, one_row
+from ..plans.lineage import materialize
 from .reports import CHURN, charge_bin, churn_rate, customer_count, explode_keys
 
 # Segmentations of the segment and experiment pages.
@@ -94,17 +96,18 @@ def segment_categorical_insights(df: DataFrame, cols: Sequence[str] | None = Non
     share of that value; kept when |difference| ≥ ``threshold`` points."""
     cols = [c for c in cols if c in df.columns] if cols is not None else insight_columns(df, False)
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
-    # customers are counted by all their segments and attributes at once before the two explosions:
-    # many customers share such a combination, and only combinations are multiplied
-    combined = prepare(df).groupBy(*dict.fromkeys([*[c for _, c in SEGMENTATIONS], *cols, "tenure_group"])).agg(F.count(F.lit(1)).alias("_k"))
-    counts = (segment_long(combined).select("segment_type", "segment_value", "_k", F.explode(arr).alias("_cv"))
-              .select("segment_type", "segment_value", "_k", "_cv.*").where(F.col("v").isNotNull())
-              .groupBy("segment_type", "segment_value", "column_name", "v").agg(F.sum("_k").alias("n")))
-    seg = counts.groupBy("segment_type", "segment_value", "column_name").agg(
+    # one scan: each customer's values under each of its segments and under all, counted before the shuffle, which
+    # carries a row for each (segment, column, value) and task
+    keys = F.array(*[F.struct(F.lit(label).alias("segment_type"), F.col(c).cast("string").alias("segment_value"))
+                     for label, c in [*SEGMENTATIONS, (None, "_all")]])
+    counts = (prepare(df).withColumn("_all", F.lit("")).select(F.explode(keys).alias("_s"), *cols).where(F.col("_s.segment_value").isNotNull())
+              .select("_s.*", F.explode(arr).alias("_cv")).select("segment_type", "segment_value", "_cv.*").where(F.col("v").isNotNull())
+              .groupBy("segment_type", "segment_value", "column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(counts, f"segment_counts_{uuid.uuid4().hex}", small=True)  # segments x values of the insight columns
+    seg = counts.where(F.col("segment_type").isNotNull()).groupBy("segment_type", "segment_value", "column_name").agg(
         F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_nu"),
         F.min_by(F.struct("v", "n"), F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("_top"))
-    ov = (combined.select("_k", F.explode(arr).alias("_cv")).select("_k", "_cv.*").where(F.col("v").isNotNull())
-            .groupBy("column_name", "v").agg(F.sum("_k").alias("_on")))
+    ov = counts.where(F.col("segment_type").isNull()).select("column_name", "v", F.col("n").alias("_on"))
     ov = ov.withColumn("overall_pct", F.col("_on") / F.sum("_on").over(
         Window.partitionBy("column_name")) * F.lit(100.0))
     out = (seg.where(F.col("_nu") > 1)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from churnspark.operators import boosting, encoding, logistic, ml
+from churnspark.operators import boosting, encoding, ml
 from churnspark.plans.lineage import materialize
 from churnspark.plans.session import table_path
 

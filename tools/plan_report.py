@@ -11,7 +11,8 @@ from churnspark.registry import QUERIES  # noqa: E402
 from churnspark.sources import views  # noqa: E402
 
 MODEL = {"train_logistic", "train_random_forest", "train_boosted_trees", "select_best_model", "score_churn",
-         "batch_customer_scoring", "feature_importance", "save_load_model", "feature_columns", "scoring_agreement"}
+         "batch_customer_scoring", "feature_importance", "save_load_model", "feature_columns", "scoring_agreement", "train_enhanced",
+         "logistic_coefficients", "boosted_first_splits"}
 
 
 def main():
@@ -34,7 +35,7 @@ def main():
                      - final.count("BroadcastExchange") - final.count("ReusedExchange"),
                      final.count("BroadcastExchange"), final.count("*("),
                      final.count("SinglePartition"),
-                     final.count("BatchEvalPython") + final.count("ArrowEvalPython"), jobs))
+                     final.count("BatchEvalPython") + final.count("ArrowEvalPython") + final.count("MapInArrow"), jobs))
     out = ["# Plan shapes (sf0.001, generated by tools/plan_report.py)", "",
            "Counts in the final adaptive plan of each registered query (model fits excluded); the initial plan in the "
            "same text is cut off. Scans read the written analysis table, written orderings, or small statistics files. "
