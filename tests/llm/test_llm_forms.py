@@ -7,7 +7,7 @@ import random
 import brute_force as brute
 import pytest
 from pyspark.sql import functions as F
-from test_llm_documents import SF_MORE, empty, in_order, odd_documents, pairs
+from test_llm_documents import SF_MORE, empty, odd_documents, pairs
 
 from churnspark.llm import exact_dedup, fim, queries, spelling
 from churnspark.llm.spark import fresh_path, written
