@@ -16,8 +16,9 @@ at least ``threshold``.  Documents with equal sets are one text from the start.
    such a group are not listed with each member, and no link between different components is lost.
 
 Full sets decide every link.  What can be lost is a pair that is never a candidate: at a similarity of exactly 0.8
-two signatures agree on fewer than MATCHES of COORDINATES with a probability of 2.1e-7 (binomial), and the sketches, which
-only long lists use, exceed their bounds (5 and, of 256 bits, 5.5 standard deviations) with 9.1e-7; both fall fast above 0.8.
+two signatures agree on fewer than MATCHES of COORDINATES with a probability of 1.1e-6 (binomial), and the sketches, which
+only long lists use, exceed their bounds (5 and, of 256 bits, 5.5 standard deviations) with 9.1e-7; both fall fast above 0.8.  Values before a
+list's are kept as 32-bit marks: that two texts seem to share an earlier list and do not has a chance of 1e-7.
 
 Cases: a null or empty text, or one of white space alone, has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are documents of the same set and
@@ -40,7 +41,7 @@ from . import textops
 from .spark import components, table, written
 
 COORDINATES = 40
-MATCHES = 18
+MATCHES = 19
 HUBS = 2
 SKETCH = 4096
 DEVIATIONS = 5.0  # of a sketch's distance, above that of sets at the threshold
@@ -138,9 +139,14 @@ def _bits(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))
 
 
+def _low_bytes(signature: str) -> Column:
+    """A byte of each coordinate: signatures agree on at least as many bytes as coordinates, in a quarter of the space."""
+    return F.transform(signature, lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte"))
+
+
 def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree on MATCHES coordinates."""
-    sig = reps.select("rep", "signature")
+    """The pairs (a, b) whose signatures agree on MATCHES coordinates (bytes of them)."""
+    sig = reps.select("rep", _low_bytes("signature").alias("signature"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     return (pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
             .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
@@ -181,8 +187,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
               .select("rep", "n", "common", "v", F.posexplode("v").alias("place", "value")))
     # lists by value and band of set sizes: similar sets lie in one band or in two next to each other
     band = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9)
+    marks = F.transform(F.slice("v", F.lit(1), F.col("place")), lambda x: F.hash(x))  # of the values before
     prefix = (prefix.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
-              .select("rep", "n", "common", "own", F.slice("v", F.lit(1), F.col("place")).alias("v"),  # the values before
+              .select("rep", "n", "common", "own", marks.alias("v"),
                       F.xxhash64("value", F.when(F.col("own"), band).otherwise(band + 1)).alias("list")))
     prefix = written(prefix, "prefix")
     percent = round(100 * threshold)
@@ -213,7 +220,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         # sketches for the texts of long lists; in short ones the signatures are enough
         bits = _of_sets(member.where(F.col("many") > LONG_LIST).select("rep"), reps, docs, text, key, shingle,
                         "array<bigint>", _bits, "sketches").withColumnRenamed("value", "bits")
-        member = member.join(bits, "rep", "left").join(reps.select("rep", "signature"), "rep")
+        member = member.join(bits, "rep", "left").join(reps.select("rep", _low_bytes("signature").alias("signature")), "rep")
 
         def side(rep: str, n: str, mark: str) -> DataFrame:
             return member.select(F.col("list").alias(f"list{mark}"), F.col("rep").alias(rep), F.col("n").alias(n),
