@@ -22,6 +22,8 @@ their own; an empty table gives no row.  Columns other than the key, the path an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,17 +96,36 @@ def similar(bags: DataFrame, key: list[str], seen: DataFrame, templates, cosine:
     of = terms.join(idf, "term")
     of = written(of.join(of.groupBy("template").agg(F.sum("w2").alias("t2")), "template"), "templates")
     # the templates in the plan, as a fixed table
-    sized = (of.groupBy("template", "t2").agg(F.collect_list("term").alias("terms"), F.max("w2").alias("most")).orderBy("template").collect())
-    vocabulary = F.lit(sorted({t for r in sized for t in r["terms"]}))
-    # any term weighs at least 1, whatever its frequency, so with k terms in common, none above ``most``, the square of
-    # the cosine is at most k * most / t2, and at most t2 / (terms of the bag): bounds without any weight of the bag
+    w2 = {r["term"]: r["w2"] for r in idf.orderBy("term").collect()}
+    texts: dict[int, list[str]] = {}
+    for r in of.select("template", "term").orderBy("template", "term").collect():
+        texts.setdefault(r["template"], []).append(r["term"])
+    vocabulary = F.lit(list(w2))
+    weights = F.create_map(*[F.lit(x) for pair in w2.items() for x in pair])
+
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0.0), lambda sum_, t: sum_ + weights[t])
+
+    # the square of the cosine is at most the common terms' weight / t2.  A template's lightest terms, which together
+    # reach half of what is needed, leave the other half to its heavy ones: so many of these must be there
     least = (cosine - 1e-6) ** 2  # scores are rounded
-    fixed = F.array(*[F.struct(F.lit(least * r["t2"] / r["most"]).alias("few"), F.lit(r["t2"] / least).alias("size"), F.lit(r["terms"]).alias("terms"))
-                      for r in sized])
-    fewest = min(least * r["t2"] / r["most"] for r in sized)
-    bags = bags.withColumn("known", F.array_intersect("all", vocabulary))
-    reach = F.exists(fixed, lambda t: (F.size(F.array_intersect("known", t["terms"])) >= t["few"]) & (F.size("all") <= t["size"]))
-    may = written(bags.where(F.size("known") >= fewest).where(reach).select(*key, "all", "known"), name)
+    fixed, heavy_terms, fewest = [], set(), math.inf
+    for terms_of in texts.values():
+        t2 = sum(w2[t] for t in terms_of)
+        heavy, light = sorted(terms_of, key=lambda t: (w2[t], t)), 0.0
+        while heavy and light + w2[heavy[0]] <= least * t2 / 2:
+            light += w2[heavy.pop(0)]
+        few = (least * t2 - light) / w2[heavy[-1]]
+        fewest, heavy_terms = min(fewest, few), heavy_terms | set(heavy)
+        fixed.append(F.struct(F.lit(few).alias("few"), F.lit(t2).alias("t2"), F.lit(heavy).alias("heavy"), F.lit(terms_of).alias("terms")))
+    fixed = F.array(*fixed)
+    bags = bags.withColumn("_heavy", F.array_intersect("all", F.lit(sorted(heavy_terms)))).where(F.size("_heavy") >= fewest)
+    bags = bags.where(F.exists(fixed, lambda t: F.size(F.array_intersect("_heavy", t["heavy"])) >= t["few"]))
+    # any term weighs at least 1, whatever its frequency: a bound without the weights of terms that no template has
+    bags = bags.withColumn("known", F.array_intersect("all", vocabulary)).withColumn("known2", total(F.col("known")))
+    reach = F.exists(fixed, lambda t: F.pow(total(F.array_intersect("known", t["terms"])), 2)
+                     >= least * t["t2"] * (F.col("known2") + F.size("all") - F.size("known")))
+    may = written(bags.where(reach).select(*key, "all", "known"), name)
     strange = (may.select(*key, F.explode(F.array_except("all", "known")).alias("term")).join(seen, "term")
                .groupBy(*key).agg(F.sum(weight * weight).alias("strange")))
     term = may.select(*key, F.explode("known").alias("term"))
