@@ -8,6 +8,9 @@ A definition is a set of conditions ``column = value``; its customers meet all o
    definitions that it has the rarest condition of, and an empty definition is posted under the token of all.
 3. The other conditions are counted in the customer's own tokens: as many must be there as the definition has.
 
+Before the join customers may be counted by :func:`profiles`, their values in the columns that the definitions use: a
+report over definitions then joins and multiplies profiles, not customers, however many definitions a customer meets.
+
 Conditions on unknown columns are ignored; a condition that is given twice counts once; two values for one column
 are never met; a null value is met by nobody.  A tenure-group label stands for its numeric code, as in
 :func:`~churnspark.operators.clean.segment_filter`.
@@ -15,13 +18,15 @@ are never met; a null value is met by nobody.  A tenure-group label stands for i
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bins import TENURE_YEAR_LABELS
 from ..plans.broadcast import checked_broadcast
-from .retention import retention_roi
+from .retention import partial_sums, roi_of_sums, summed
 
 ALL = ""  # the token that every customer has
 
@@ -76,6 +81,17 @@ def segment_members(df: DataFrame, definitions: DataFrame) -> DataFrame:
             .select("definition", "row.*"))
 
 
+def profiles(df: DataFrame, definitions: DataFrame, sums: Sequence[Column]) -> DataFrame:
+    """Rows (columns that the definitions use…, sums…): the aggregates ``sums`` of the customers that are alike in these.
+
+    Customers of one profile meet the same definitions.  A definition's figures come from adding up its profiles'."""
+    used = {r["column_name"] for r in definitions.select("column_name").distinct().where(F.col("column_name").isin(df.columns)).collect()}
+    # by a literal as well: no column and no customer is no profile
+    return df.groupBy(F.lit(0).alias("_alike"), *[F.col(f"`{c}`") for c in df.columns if c in used]).agg(*sums)
+
+
 def segment_roi(df: DataFrame, definitions: DataFrame, params: DataFrame) -> DataFrame:
     """The retention ROI of each row (definition, cost_per_customer, retention_rate) of ``params``, also without customers."""
-    return retention_roi(segment_members(df, definitions), ["definition"], params)
+    alike = profiles(df, definitions, partial_sums(df))
+    members = segment_members(alike, definitions).groupBy("definition").agg(*summed(alike))
+    return roi_of_sums(members, ["definition"], params)

@@ -83,17 +83,24 @@ def strategy_targets(scored: DataFrame, catalog: DataFrame | None = None, approx
     return pairs.where(rule_predicate())
 
 
-def roi_aggregates(prob: bool = True, clv: bool = True) -> list[F.Column]:
-    mc = F.col("monthly_charges")
-    out = [F.count(F.lit(1)).alias("customers_targeted"), F.sum(mc).alias("monthly_revenue"),
-           F.avg(F.col(CHURN).cast("double")).alias("_churn_mean")]
-    if prob:
-        out.append((F.sum(mc * F.col("churn_probability")) * F.lit(12.0)).alias("_risk_p"))
-    if clv:
-        out.append(F.avg("clv").alias("avg_customer_clv"))
+def partial_sums(customers: DataFrame) -> list[F.Column]:
+    """Aggregates of some customers that can be added up with those of others (:func:`summed`) to their figures."""
+    churn, mc = F.col(CHURN).cast("double"), F.col("monthly_charges")
+    out = [F.count(F.lit(1)).alias("_n"), F.sum(churn).alias("_churn"), F.count(churn).alias("_churn_n")]
+    if "monthly_charges" in customers.columns:
+        out.append(F.sum(mc).alias("_revenue"))
+        if "churn_probability" in customers.columns:
+            out.append(F.sum(mc * F.col("churn_probability")).alias("_risk"))
+        if "clv" in customers.columns:
+            out += [F.sum("clv").alias("_clv"), F.count("clv").alias("_clv_n")]
     return out
 
 
+def summed(partial: DataFrame) -> list[F.Column]:
+    """Aggregates that add up the columns of :func:`partial_sums`."""
+    return [F.sum(c).alias(c) for c in ("_n", "_churn", "_churn_n", "_revenue", "_risk", "_clv", "_clv_n") if c in partial.columns]
+
+
 def roi_columns(cost: F.Column, rate: F.Column, prob: bool = True, clv: bool = True) -> list[F.Column]:
     """The reference's ROI arithmetic on the grouped row (``_churn_mean`` etc.)."""
     n = F.col("customers_targeted")
@@ -116,12 +123,16 @@ def retention_roi(targets: DataFrame, keys: list[str], params: DataFrame) -> Dat
     """ROI per target group.  ``targets`` has one row per (key…, customer); ``params``
     has (key…, cost_per_customer, retention_rate), one row per group (bounded, broadcast).
     Groups without customers come back with n = 0 and ROI 0."""
-    prob = "churn_probability" in targets.columns
-    clv = "clv" in targets.columns
-    if "monthly_charges" not in targets.columns:
+    return roi_of_sums(targets.groupBy(*keys).agg(*partial_sums(targets)), keys, params)
+
+
+def roi_of_sums(sums: DataFrame, keys: list[str], params: DataFrame) -> DataFrame:
+    """:func:`retention_roi` from the sums (:func:`partial_sums`) of each group."""
+    prob, clv = "_risk" in sums.columns, "_clv" in sums.columns
+    churn_mean = F.try_divide("_churn", "_churn_n")
+    if "_revenue" not in sums.columns:
         # no charges: revenue figures 0, ROI −1 (reference semantics)
-        g = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers_targeted"),
-                                       (F.avg(F.col(CHURN).cast("double")) * F.lit(100.0)).alias("segment_churn_rate"))
+        g = sums.select(*keys, F.col("_n").alias("customers_targeted"), (churn_mean * F.lit(100.0)).alias("segment_churn_rate"))
         x = checked_broadcast(params).join(g, keys, "left")
         n = F.coalesce(F.col("customers_targeted"), F.lit(0))
         zero = F.lit(0.0)
@@ -131,7 +142,9 @@ def retention_roi(targets: DataFrame, keys: list[str], params: DataFrame) -> Dat
                         F.lit(-1.0).alias("estimated_roi"), F.lit(-100.0).alias("estimated_roi_percent"),
                         zero.alias("avg_customer_clv"), zero.alias("potential_clv_impact"),
                         F.lit(-1.0).alias("clv_roi"), F.lit(-100.0).alias("clv_roi_percent"))
-    g = targets.groupBy(*keys).agg(*roi_aggregates(prob, clv))
+    g = sums.select(*keys, F.col("_n").alias("customers_targeted"), F.col("_revenue").alias("monthly_revenue"),
+                    churn_mean.alias("_churn_mean"), *([(F.col("_risk") * F.lit(12.0)).alias("_risk_p")] if prob else []),
+                    *([F.try_divide("_clv", "_clv_n").alias("avg_customer_clv")] if clv else []))
     x = checked_broadcast(params).join(g, keys, "left").withColumns({
         "customers_targeted": F.coalesce(F.col("customers_targeted"), F.lit(0)),
         "monthly_revenue": F.coalesce(F.col("monthly_revenue"), F.lit(0.0)),
