@@ -9,12 +9,14 @@ and the counts; what follows has at most ``2 sqrt n`` or ``cells`` rows a segmen
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.broadcast import checked_broadcast
+from ..plans.lineage import materialize
 from . import stats
 from .segments import segment_long
 
@@ -32,8 +34,9 @@ def with_overall(df: DataFrame, value: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
-    """Rows (segment_type, segment_value, _v, _n): distinct values with their counts."""
-    return with_overall(df, value).groupBy(*KEYS, F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows (segment_type, segment_value, _v, _n): distinct values with their counts, written as statistics and cells both read them."""
+    counts = with_overall(df, value).groupBy(*KEYS, F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(counts, f"value_counts_{uuid.uuid4().hex}")
 
 
 def bin_statistics(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
