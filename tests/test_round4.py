@@ -135,3 +135,10 @@ def test_one_scoring_for_both_areas(spark, sf_small):
     out = registry.QUERIES["train_logistic"](spark, sf_small)
     written = lineage._WRITTEN[spark.sparkContext.applicationId][before:]
     assert sum("/scored_" in p for p in written) == 1 and out.count() == 1
+
+
+def test_forest_keeps_the_nodes_of_rows(spark):
+    df = lineage.materialize(people(spark, 400).drop("churn_probability"), "forest_people")
+    table, spec = ml.prepare_modeling_data(df, "forest")
+    model = ml.train_random_forest(table, spec, num_trees=2, max_depth=3)
+    assert model.forest.getCacheNodeIds() and model.forest.getNumTrees == 2
